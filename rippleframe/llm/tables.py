@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names, with its lineage cut.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; beside the warehouse where it names none."""
+    context = spark.sparkContext
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
 
-    A session without spark.checkpoint.dir (tests, a laptop) gets a folder beside
-    its warehouse.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared scratch folder and read again: no lineage, and any executor can read it."""
+    path = f"{scratch(df.sparkSession).rstrip('/')}/rippleframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

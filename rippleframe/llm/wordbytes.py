@@ -93,13 +93,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets): runs of rows of about `limit` bytes; a longer text is a run of its own."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets): runs of up to `rows` rows and about `limit` bytes; a longer text is a run of its own."""
     data, offsets = flat(column)
     at, n = 0, len(offsets) - 1
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        end = min(max(end, at + 1), n)
+        end = min(max(end, at + 1), at + rows, n)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
