@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rippleframe.llm import bpe, qda, rules, superminhash, toxicity, urls
+from rippleframe.llm import bpe, pii, qda, rules, superminhash, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_disclosure": op1_pii_disclosure,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_toxicity_ftrl": op6_toxicity_ftrl,
