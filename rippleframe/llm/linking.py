@@ -40,26 +40,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(members: DataFrame, check: Check, near: Callable[[F.Column, F.Column], F.Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(groups, links) of members (key, id, size).
+    """(groups, links) of members (key, id), with `size` if near is given and, at will, `anchor`.
 
-    check keeps those of its pairs (a, b), a < b, that are links; near is a
-    necessary condition on the two sizes. groups has (id, label) of linked ids.
+    check keeps those of its stored pairs (a, b), a < b, that are links; near is
+    a necessary condition on two sizes; with anchors, buckets without one are
+    skipped. groups has (id, label) of linked ids. Without buckets of two ids
+    both are empty.
     """
-    fits = near or (lambda x, y: F.lit(True))
-    stars = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("c"), F.max("id").alias("last")).filter("c.id < last").select("key", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"))
-    buckets = stored(members.join(stars, "key").distinct())
-    tried = stored(buckets.filter((F.col("id") > F.col("centre")) & fits(F.col("size"), F.col("centre_size"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    extra = ["size"] if near else []
+    low, last = F.min(F.struct("id", *extra)).alias("c"), F.max("id").alias("last")
+    some = [F.max("anchor").alias("some")] if "anchor" in members.columns else []
+    stars = members.groupBy("key").agg(low, last, *some).filter("c.id < last" + " and some" * len(some))
+    stars = stars.select("key", F.col("c.id").alias("centre"), *[F.col("c.size").alias("centre_size")] * len(extra))
+    buckets = stored(members.select("key", "id", *extra).join(stars, "key").distinct())
+    fits = (lambda x, y: near(F.col(x), F.col(y))) if near else (lambda x, y: F.lit(True))
+    tried = stored(buckets.filter((F.col("id") > F.col("centre")) & fits("size", "centre_size")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(check(tried))
     groups = components(links)
 
-    placed = buckets.join(groups, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
+    placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
     placed = stored(placed.join(open_keys, "key"))
     largest = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"))
     placed = placed.join(largest, "key")
-    rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), F.col("size").alias("i_size"), F.col("label").alias("i_label"))
-    crossed = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits(F.col("size"), F.col("i_size")))
-    untried = crossed.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("size").alias("i_size")] * len(extra), F.col("label").alias("i_label"))
+    crossed = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("size", "i_size"))
+    untried = stored(crossed.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(check(untried))
     if not more.head(1):
         return groups, links

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.rules import LOUD, LOWERCASE, SEPARATORS, SYMBOLS, UPPER, _sums, measures
+from rippleframe.llm.rules import LOUD, SEPARATORS, SYMBOLS, _sums, measures
 from rippleframe.llm.tables import id_and_text, stored
 from rippleframe.llm.toxicity import remainder
-from rippleframe.llm.wordbytes import Prefix, byte_table, mix, pieces, word_ranges
+from rippleframe.llm.wordbytes import LOWERCASE, UPPER, Prefix, byte_table, mix, pieces, word_ranges
 
 DIGITS = byte_table(b"0123456789")
 STOPS = byte_table(b".,;:")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, pii, qda, rules, superminhash, toxicity, urls
+from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, superminhash, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,12 @@ def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the digest of the text that stays."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,9 +53,11 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii_disclosure": op1_pii_disclosure,
+    "op2_template_decontamination": op2_template_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_toxicity_ftrl": op6_toxicity_ftrl,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_qda": op8_quality_qda,
     "op9_url_automaton": op9_url_automaton,
     "op10_superminhash": op10_superminhash,

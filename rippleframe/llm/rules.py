@@ -16,11 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rippleframe.llm.tables import id_and_text
-from rippleframe.llm.wordbytes import SPACES, Prefix, byte_table, chained, mix, pieces, word_ranges
+from rippleframe.llm.wordbytes import LOWERCASE, SPACES, UPPER, Prefix, byte_table, chained, mix, pieces, word_ranges
 
 SYMBOLS = byte_table(b"#*$%&|<>")
-UPPER = byte_table(bytes(range(65, 91)))
-LOWERCASE = byte_table(bytes(range(97, 123)))
 LOUD = byte_table(b"!?")
 SEPARATORS = byte_table(b"|>")
 #: Lower-case phrases that mark a line of up to BOILERPLATE_WORDS words as boilerplate.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import linked_groups
-from rippleframe.llm.tables import id_and_text, stored
+from rippleframe.llm.tables import id_and_text, stored, with_ids
 from rippleframe.llm.wordbytes import LOWER, Prefix, chained, mix, pieces, signed, word_ranges
 
 PLACES, ROWS = 128, 4
@@ -133,8 +133,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = leaders.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"])
+        ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        sets = shingle_sets(with_ids(docs, ids, "doc_id"), words).dropDuplicates(["doc_id"])
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))

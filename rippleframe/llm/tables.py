@@ -28,3 +28,12 @@ def stored(df: DataFrame) -> DataFrame:
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that count, as doc_id and text; a null text becomes empty."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+
+#: Ids that a semi-join may send to every task: 16 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose id is among the stored ids: their number is counted first, up to `most` are sent to the tasks, more are joined by shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")

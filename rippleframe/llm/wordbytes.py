@@ -43,10 +43,21 @@ def byte_table(chars: bytes, inside: bool = True) -> np.ndarray:
 SPACES = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Everything in ASCII but letters and digits.
 PUNCTUATION = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()))
+UPPER = byte_table(bytes(range(65, 91)))
+LOWERCASE = byte_table(bytes(range(97, 123)))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the Latin-1 capitals of UTF-8 lower-cased."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[capital] += 0x20
+    return out
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
