@@ -161,8 +161,8 @@ def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     return linked_groups(bucket_members(docs, edits, min_bytes), verified)[0]
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_removed, text (without the removed lines).
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_removed, text (without the removed lines) and the columns named in keep.
 
     Lines of at least min_bytes bytes fall into classes: equal lines, and lines
     linked by at most `edits` edits. Of a class the line with the smallest
@@ -173,8 +173,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     are ignored; an empty table gives an empty result. Lines are told apart by
     64-bit hashes.
     """
-    docs = id_and_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    known = docs.filter("doc_id is not null")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *kept)
+    known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
     lines = occurrences(known, min_bytes)
     groups = line_classes(known, edits, min_bytes)
     first = F.min(F.struct("doc_id", "th", "line")).alias("first")
@@ -185,8 +187,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     doubtful = own.join(classes, "label", "left").withColumn("stays", F.coalesce("stays", "first")).filter((F.col("stays") < F.col("last"))).select("id", "stays")
     gone = lines.join(doubtful, "id").filter(F.struct("doc_id", "th", "line") != F.col("stays"))
     gone = gone.select("doc_id", "th", "line").distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    joined = docs.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone")
+    joined = docs.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone", *[f"kept_{k}" for k in range(len(keep))])
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [(c, df.schema[c].dataType.simpleString()) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +201,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
                     drop = set(out)
                     text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in drop])
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), *batch.columns[3:]], ["doc_id", "n_lines", "n_removed", "text", *keep])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, text string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, text string" + "".join(f", `{c}` {k}" for c, k in more))

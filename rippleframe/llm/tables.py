@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared scratch folder and read again: no lineage, and any executor can read it."""
+    # what finished steps left in memory on the driver keeps their shuffle files on disk
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     path = f"{scratch(df.sparkSession).rstrip('/')}/rippleframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,3 +41,8 @@ BROADCAST_IDS = 1_000_000
 def with_ids(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose id is among the stored ids: their number is counted first, up to `most` are sent to the tasks, more are joined by shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose id is not among the stored ids, in the way of with_ids(); rows with a null id stay."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_anti")

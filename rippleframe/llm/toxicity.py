@@ -111,19 +111,39 @@ def trained(df: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int =
     return features.repartition(1).sortWithinPartitions("order_key").mapInArrow(learn, "place bigint, weight double")
 
 
+def _table(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights) that are not zero, of at most 2**BITS + 1 rows."""
+    rows = weights.collect()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+
+def _dense(compact: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    w = np.zeros((1 << BITS) + 1)
+    w[compact[0]] = compact[1]
+    return w
+
+
+def clean(df: DataFrame, weights: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, all columns, whose score is below the threshold; null texts count as empty."""
+    compact, at = _table(weights), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _dense(compact)
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(probabilities(data, offsets, w) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row; weights are those of trained(), at most 2**BITS + 1 rows."""
-    table = np.zeros((1 << BITS) + 1)
-    for place, weight in weights.collect():
-        table[place] = weight
-    at = np.flatnonzero(table)
-    compact = at, table[at]
+    compact = _table(weights)
     docs = id_and_text(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros((1 << BITS) + 1)
-        w[compact[0]] = compact[1]
+        w = _dense(compact)
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(1)):
                 p = probabilities(data, offsets, w)
