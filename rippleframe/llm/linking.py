@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rippleframe.llm.tables import stored
 
 Check = Callable[[DataFrame], DataFrame]
+Near = Callable[[F.Column, F.Column], F.Column]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,32 +40,53 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("id", "label")
 
 
-def linked_groups(members: DataFrame, check: Check, near: Callable[[F.Column, F.Column], F.Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(groups, links) of members (key, id), with `size` if near is given and, at will, `anchor`.
-
-    check keeps those of its stored pairs (a, b), a < b, that are links; near is
-    a necessary condition on two sizes; with anchors, buckets without one are
-    skipped. groups has (id, label) of linked ids. Without buckets of two ids
-    both are empty.
-    """
-    extra = ["size"] if near else []
+def _buckets(members: DataFrame, extra: list[str]) -> DataFrame:
+    """(key, id, *extra, centre, centre_traits) of the members of buckets with two ids or more."""
     low, last = F.min(F.struct("id", *extra)).alias("c"), F.max("id").alias("last")
     some = [F.max("anchor").alias("some")] if "anchor" in members.columns else []
     stars = members.groupBy("key").agg(low, last, *some).filter("c.id < last" + " and some" * len(some))
-    stars = stars.select("key", F.col("c.id").alias("centre"), *[F.col("c.size").alias("centre_size")] * len(extra))
-    buckets = stored(members.select("key", "id", *extra).join(stars, "key").distinct())
-    fits = (lambda x, y: near(F.col(x), F.col(y))) if near else (lambda x, y: F.lit(True))
-    tried = stored(buckets.filter((F.col("id") > F.col("centre")) & fits("size", "centre_size")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    stars = stars.select("key", F.col("c.id").alias("centre"), *[F.col("c.traits").alias("centre_traits")] * len(extra))
+    return stored(members.select("key", "id", *extra).join(stars, "key").distinct())
+
+
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, links) of members (key, id), with `traits` if near is given and, at will, `anchor`.
+
+    check keeps those of its stored pairs (a, b), a < b, that are links; near is
+    a necessary condition on the traits of two members; with anchors, buckets without one are
+    skipped. refine, given the stored (id) of all members of buckets that the
+    stars left in several groups, returns finer members of them, in whose
+    buckets all their links can be found too, with their own near. groups has (id, label) of linked
+    ids. Without buckets of two ids both are empty.
+    """
+    extra = ["traits"] if near else []
+    fits = lambda x, y: near(F.col(x), F.col(y)) if near else F.lit(True)
+
+    def stars(buckets: DataFrame) -> DataFrame:
+        return buckets.filter((F.col("id") > F.col("centre")) & fits("traits", "centre_traits")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+
+    def open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+        placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
+        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        return stored(placed.join(several, "key"))
+
+    buckets = _buckets(members, extra)
+    tried = stored(stars(buckets))
     links = stored(check(tried))
     groups = components(links)
-
-    placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    placed = stored(placed.join(open_keys, "key"))
+    placed = open_members(buckets, groups)
+    if refine:
+        members, near = refine(stored(placed.select("id").distinct()))
+        extra = ["traits"]
+        buckets = _buckets(members, extra)
+        fresh = stored(stars(buckets).join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.unionByName(fresh), links.unionByName(stored(check(fresh)))
+        groups = components(links)
+        placed = open_members(buckets, groups)
     largest = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"))
     placed = placed.join(largest, "key")
-    rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("size").alias("i_size")] * len(extra), F.col("label").alias("i_label"))
-    crossed = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("size", "i_size"))
+    rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("traits").alias("i_traits")] * len(extra), F.col("label").alias("i_label"))
+    crossed = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("traits", "i_traits"))
     untried = stored(crossed.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(check(untried))
     if not more.head(1):

@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.linking import linked_groups
+from rippleframe.llm.linking import Near, linked_groups
 from rippleframe.llm.tables import id_and_text, stored, with_ids
 from rippleframe.llm.wordbytes import LOWER, Prefix, chained, mix, pieces, signed, word_ranges
 
 PLACES, ROWS = 128, 4
 WORDS, PERCENT = 5, 80
+SKETCH_WORDS = 32
 _LEVEL = 0xD6E8FEB86659FD93
 
 
@@ -97,20 +98,52 @@ def features(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
+def parity_sketches(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """(docs x SKETCH_WORDS) bits: each element flips one bit of its document.
+
+    The sketches of two sets differ in at most as many bits as the sets have
+    elements that are not common: an exact bound.
+    """
+    bit = mix(h + np.uint64(11)) % np.uint64(64 * SKETCH_WORDS)
+    flips = np.bincount(owner * (64 * SKETCH_WORDS) + bit.astype(np.int64), minlength=docs * 64 * SKETCH_WORDS) % 2
+    return np.packbits(flips.astype(np.uint8).reshape(docs, -1), axis=1).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>) of rows (doc_id, text)."""
+    """(doc_id, shingles array<bigint>, sketch array<bigint>) of rows (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
+            for a, b, data, offsets in pieces(batch.column(1), rows=1024):
                 h, owner = shingles(data, offsets, words)
                 h = h[np.argsort(owner, kind="stable")]
                 ends = np.zeros(b - a + 1, np.int32)
                 np.cumsum(np.bincount(owner, minlength=b - a), out=ends[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), signed(h))], ["doc_id", "shingles"])
+                sketch = parity_sketches(h, np.repeat(np.arange(b - a), np.diff(ends)), b - a)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), signed(h)), sketch], ["doc_id", "shingles", "sketch"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>, sketch array<bigint>")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, traits) of the rarest shingles of sets (doc_id, shingles): enough that two sets at the threshold share one.
+
+    Of n shingles, n - ceil(percent * n / 100) + 1 are enough in any common
+    order. The order is by the number of these sets that have a shingle, so a
+    document with that many shingles of its own has no partner and drops out.
+    """
+    rows = sets.select(F.col("doc_id").alias("id"), F.size("shingles").cast("bigint").alias("size"), F.explode("shingles").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
+    shared = rows.join(shared, "key")
+    own = Window.partitionBy("id")
+    alone = F.col("size") - F.count("*").over(own)
+    enough = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    rank = F.row_number().over(own.orderBy("sets", "key"))
+    first = shared.withColumn("rank", rank).withColumn("alone", alone).filter(F.col("rank") <= enough - F.col("alone"))
+    first = first.join(sets.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    return first.select("key", "id", F.struct("size", (F.col("size") - F.col("alone")).alias("shared"), "sketch").alias("traits"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, places: int = PLACES, rows: int = ROWS) -> DataFrame:
@@ -119,7 +152,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents are linked where 100 * |A and B| >= percent * |A or B| of their
     sets of word shingles (A-Z lower-cased, 64-bit hashes); component_id is the
     smallest id that links reach. Documents with equal sets fall together first,
-    so that copies never meet in buckets. With 32 bands of 4 a pair at 0.8 is
+    so that copies never meet in buckets. Bands of the signature are the buckets;
+    where a bucket's star leaves several groups, its documents meet again over
+    their rarest shingles (an exact filter) instead of all with all. With 32 bands of 4 a pair at 0.8 is
     missed with probability 5e-8. Null and empty texts have no shingles and link
     with nothing. Rows that repeat an id share that id's component; rows with a
     null id come back alone, component_id null and kept true. Other columns are
@@ -130,7 +165,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = found.filter("doc_id is not null and n_shingles > 0")
     twins = stored(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     leaders = named.join(twins.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = leaders.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
+    members = leaders.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("size")).alias("traits"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -140,8 +175,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    sized = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    groups, _ = linked_groups(members, verified, sized)
+    def sized(x: Column, y: Column) -> Column:
+        return 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+
+    def possible(x: Column, y: Column) -> Column:
+        """What the sizes, the shingles shared with any other document and the sketches leave possible."""
+        both = x["size"] + y["size"]
+        apart = F.lit(0)
+        for k in range(SKETCH_WORDS):
+            apart = apart + F.bit_count(x["sketch"][k].bitwiseXOR(y["sketch"][k]))
+        return sized(x, y) & ((100 + percent) * F.least(x["shared"], y["shared"]) >= percent * both) & ((100 + percent) * apart <= (100 - percent) * both)
+
+    def refined(ids: DataFrame) -> tuple[DataFrame, Near]:
+        ids = ids.withColumnRenamed("id", "doc_id")
+        return rare_shingles(stored(shingle_sets(with_ids(docs, ids, "doc_id"), words).dropDuplicates(["doc_id"])), percent), possible
+
+    groups, _ = linked_groups(members, verified, sized, refined)
     labels = twins.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
