@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, superminhash, toxicity, urls
+from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, suffixes, superminhash, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op2_template_decontamination": op2_template_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_refinement": op5_suffix_refinement,
     "op6_toxicity_ftrl": op6_toxicity_ftrl,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_qda": op8_quality_qda,

@@ -26,7 +26,16 @@ def stored(df: DataFrame) -> DataFrame:
     df.sparkSession._jvm.System.gc()
     path = f"{scratch(df.sparkSession).rstrip('/')}/rippleframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of stored() that nothing reads any more."""
+    session = df.sparkSession
+    at = session._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
