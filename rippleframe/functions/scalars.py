@@ -57,9 +57,3 @@ def psnr(mse: Column, peak: float = 255) -> Column:
 
 def median3(a: Column, b: Column, c: Column) -> Column:
     return F.sort_array(F.array(a, b, c))[1]
-
-
-def reflect(k: Column, n: Column | int) -> Column:
-    """Index of the symmetric extension at full rate: -k below 0, 2(n-1)-k from n on."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(k < 0, -k).when(k >= n, 2 * (n - 1) - k).otherwise(k)

@@ -1,8 +1,8 @@
-"""FIR filter banks, packets, sub-sample phases and chroma resampling, on one tap-join core.
+"""FIR filter banks, packets, sub-sample phases and chroma resampling, on one core.
 
-A filter is a small table of taps. Each output position is paired with the input
-positions under its taps by an equi-join on a computed, already reflected (or
-clamped) key, and the products are summed with partial aggregation.
+A filter is a small table of taps. Each sample is multiplied by the taps that
+see it and the products are summed by output position, with partial
+aggregation: one shuffle an axis and no join.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.functions.scalars import reflect
-
 #: Centre tap and one side of symmetric nine-tap filters (low, high), by number.
 BANKS = {
     0: ((0.5645751, 0.2927051, -0.05224239, -0.04270508, 0.01995484), (0.5645751, -0.2927051, -0.05224239, 0.04270508, 0.01995484)),
@@ -37,103 +35,97 @@ def synthesis_taps(number: int, half: int) -> dict[int, float]:
     return {o: w * (-1) ** (o + half) * (-1) ** half for o, w in bank_taps(number, 1 - half).items()}
 
 
-def _spread(axis: str, taps: dict[int, float]) -> Column:
-    return F.explode(F.array(*[F.struct((F.col(axis) + o).alias("k"), F.lit(float(w)).alias("w")) for o, w in taps.items()]))
-
-
-def convolve(targets: DataFrame, samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], length: str = "_n", edge: str = "reflect") -> DataFrame:
-    """(keys, y, x, v) at the targets (keys, y, x, length): sum of taps over samples (keys, y, x, v) along axis."""
-    k = F.col("_t.k")
-    where = reflect(k, F.col(length)) if edge == "reflect" else F.least(F.greatest(k, F.lit(0)), F.col(length) - 1)
-    other = "x" if axis == "y" else "y"
-    pairs = targets.withColumn("_t", _spread(axis, taps)).select(*keys, "y", "x", where.alias("_k"), F.col("_t.w").alias("_w"))
-    source = samples.select(*keys, F.col(axis).alias("_k"), other, "v")
-    return pairs.join(source, [*keys, "_k", other]).groupBy(*keys, "y", "x").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-
-
-def with_length(samples: DataFrame, keys: list[str], axis: str) -> DataFrame:
-    return samples.join(samples.groupBy(*keys).agg((F.max(axis) + 1).alias("_n")), keys)
-
-
-def fir_half(samples: DataFrame, keys: list[str], axis: str, number: int, half: int) -> DataFrame:
-    """Low (0) or high (1) half along an axis: only the kept parity is computed, then halved."""
-    targets = with_length(samples, keys, axis).filter(F.col(axis) % 2 == half).select(*keys, "y", "x", "_n")
-    return convolve(targets, samples, keys, axis, bank_taps(number, half)).withColumn(axis, F.expr(f"{axis} div 2").cast("int"))
-
-
-def fir_analysis(samples: DataFrame, keys: list[str], number: int = 0) -> DataFrame:
-    """(keys, band, y, x, c): rows filtered along y first, as in wavelet2d."""
+def scatter(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], n: int, at: Column | None = None, edge: str = "reflect", parity: int | None = None) -> DataFrame:
+    """(keys, y, x, v): outputs 0 .. n - 1 along axis, each the sum of taps over inputs at output + offset.
+
+    Every sample sends its products to the outputs that see it, directly or
+    through its mirror images at both ends (or, with edge "clamp", as the
+    repeated first or last sample). Zeros that up-sampling would put in are
+    never made, outputs of the other parity neither. `at` is the samples' place
+    on the output grid, the axis itself by default.
+    """
+    k = (F.col(axis) if at is None else at).cast("int")
+    table = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in taps.items()])
+    rows = samples.select(*keys, "y", "x", "v", k.alias("_k"), F.explode(table).alias("_t"))
+    o = F.col("_t.o")
+    if edge == "reflect":
+        images = F.array(F.col("_k"), F.when(F.col("_k") > 0, -F.col("_k")), F.when(F.col("_k") < n - 1, 2 * (n - 1) - F.col("_k")))
+        spots = F.transform(images, lambda m: m - o)
+    else:
+        first = F.when(o <= 0, F.sequence(F.lit(0), -o)).otherwise(F.array().cast("array<int>"))
+        last = F.when(o >= 0, F.sequence(F.lit(n - 1) - o, F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
+        spots = F.when(F.col("_k") == 0, first).when(F.col("_k") == n - 1, last).otherwise(F.array(F.col("_k") - o))
+    rows = rows.select(*keys, "x" if axis == "y" else "y", F.explode(spots).alias("_i"), (F.col("v") * F.col("_t.w")).alias("_p"))
+    rows = rows.filter((F.col("_i") >= 0) & (F.col("_i") < n))
+    if parity is not None:
+        rows = rows.filter(F.col("_i") % 2 == parity).withColumn("_i", F.expr("_i div 2").cast("int"))
+    out = rows.withColumnRenamed("_i", axis).groupBy(*keys, "y", "x").agg(F.sum("_p").alias("v"))
+    return out.select(*keys, "y", "x", "v")
+
+
+def fir_analysis(samples: DataFrame, keys: list[str], height: int, width: int, number: int = 0) -> DataFrame:
+    """(keys, band, y, x, c): only the kept parity is computed; columns first, as in wavelet2d."""
     out = None
     for down, names in ((0, ("LL", "HL")), (1, ("LH", "HH"))):
-        tall = fir_half(samples, keys, "y", number, down)
+        tall = scatter(samples, keys, "y", bank_taps(number, down), height, parity=down)
         for across, name in enumerate(names):
-            part = fir_half(tall, keys, "x", number, across).select(*keys, F.lit(name).alias("band"), "y", "x", F.col("v").alias("c"))
+            part = scatter(tall, keys, "x", bank_taps(number, across), width, parity=across).select(*keys, F.lit(name).alias("band"), "y", "x", F.col("v").alias("c"))
             out = part if out is None else out.unionByName(part)
     return out
 
 
-def upsampled(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], start: int = 0) -> DataFrame:
-    """Twice as many samples along an axis: those at 2k + start meet the taps, the zeros between are never made."""
-    grid = with_length(samples, keys, axis).withColumn("_n", 2 * F.col("_n")).withColumn(axis, F.explode(F.array(2 * F.col(axis), 2 * F.col(axis) + 1)))
-    k = F.col("_t.k")
-    pairs = grid.select(*keys, "y", "x", "_n").withColumn("_t", _spread(axis, taps)).select(*keys, "y", "x", reflect(k, F.col("_n")).alias("_k"), F.col("_t.w").alias("_w"))
-    pairs = pairs.filter((F.col("_k") - start) % 2 == 0).withColumn("_k", F.expr(f"(_k - {start}) div 2").cast("int"))
-    other = "x" if axis == "y" else "y"
-    source = samples.select(*keys, F.col(axis).alias("_k"), other, "v")
-    return pairs.join(source, [*keys, "_k", other]).groupBy(*keys, "y", "x").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+def upsampled(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], n: int, start: int = 0) -> DataFrame:
+    """2 * n samples along an axis from n that stand at 2k + start."""
+    return scatter(samples, keys, axis, taps, 2 * n, 2 * F.col(axis) + start)
 
 
-def fir_synthesis(coeffs: DataFrame, keys: list[str], number: int = 0) -> DataFrame:
-    """(keys, y, x, v): each band up-sampled along x, then y, and all four added."""
+def fir_synthesis(coeffs: DataFrame, keys: list[str], height: int, width: int, number: int = 0) -> DataFrame:
+    """(keys, y, x, v): each band up-sampled along x, then y, and all four added; height and width are the frame's."""
     parts = None
     for band, (down, across) in {"LL": (0, 0), "HL": (0, 1), "LH": (1, 0), "HH": (1, 1)}.items():
         one = coeffs.filter(F.col("band") == band).select(*keys, "y", "x", F.col("c").alias("v"))
-        one = upsampled(one, keys, "x", synthesis_taps(number, across), across)
-        one = upsampled(one, keys, "y", synthesis_taps(number, down), down)
+        one = upsampled(one, keys, "x", synthesis_taps(number, across), width // 2, across)
+        one = upsampled(one, keys, "y", synthesis_taps(number, down), height // 2, down)
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy(*keys, "y", "x").agg(F.sum("v").alias("v"))
 
 
-def packet(samples: DataFrame, keys: list[str], number: int = 0, bands: int = 16) -> DataFrame:
+def packet(samples: DataFrame, keys: list[str], height: int, width: int, number: int = 0, bands: int = 16) -> DataFrame:
     """(keys, band, y, x, c): 4 bands; 7 or 10 split LL again (once, twice); 16 split every band once."""
-    first = fir_analysis(samples, keys, number)
+    first = fir_analysis(samples, keys, height, width, number)
     if bands == 4:
         return first
     if bands == 16:
         inner = first.select(*keys, F.col("band").alias("outer"), "y", "x", F.col("c").alias("v"))
-        out = fir_analysis(inner, [*keys, "outer"], number)
+        out = fir_analysis(inner, [*keys, "outer"], height // 2, width // 2, number)
         return out.select(*keys, F.concat_ws("/", "outer", "band").alias("band"), "y", "x", "c")
     low = first.filter("band = 'LL'").select(*keys, "y", "x", F.col("c").alias("v"))
-    deeper = packet(low, keys, number, bands - 3)
+    deeper = packet(low, keys, height // 2, width // 2, number, bands - 3)
     return first.filter("band <> 'LL'").unionByName(deeper.withColumn("band", F.concat(F.lit("LL/"), "band")))
 
 
-def subpel_phases(samples: DataFrame, keys: list[str]) -> DataFrame:
+def subpel_phases(samples: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """(keys, phase, y, x, v): 16 quarter-sample phases, 4 * (y phase) + (x phase), edges repeated."""
-    def along(frame: DataFrame, own: list[str], axis: str, name: str) -> DataFrame:
+
+    def along(frame: DataFrame, own: list[str], axis: str, n: int, name: str) -> DataFrame:
         out = frame.withColumn(name, F.lit(0)).select(*own, name, "y", "x", "v")
-        targets = with_length(frame, own, axis).select(*own, "y", "x", "_n")
         for phase, taps in PHASES.items():
-            part = convolve(targets, frame, own, axis, {o - 3: w for o, w in enumerate(taps)}, edge="clamp").withColumn(name, F.lit(phase))
+            part = scatter(frame, own, axis, {o - 3: w for o, w in enumerate(taps)}, n, edge="clamp").withColumn(name, F.lit(phase))
             out = out.unionByName(part.select(*own, name, "y", "x", "v"))
         return out
 
-    wide = along(along(samples, keys, "x", "px"), [*keys, "px"], "y", "py")
+    wide = along(along(samples, keys, "x", width, "px"), [*keys, "px"], "y", height, "py")
     return wide.select(*keys, (4 * F.col("py") + F.col("px")).alias("phase"), "y", "x", "v")
 
 
-def chroma_down(samples: DataFrame, keys: list[str], to: str = "422") -> DataFrame:
+def chroma_down(samples: DataFrame, keys: list[str], height: int, width: int, to: str = "422") -> DataFrame:
     """Half the columns (422) or half of both (420), symmetric extension."""
-    out = samples.select(*keys, "y", "x", "v")
-    for axis in ("x",) if to == "422" else ("x", "y"):
-        targets = with_length(out, keys, axis).filter(F.col(axis) % 2 == 0).select(*keys, "y", "x", "_n")
-        out = convolve(targets, out, keys, axis, CHROMA_DOWN).withColumn(axis, F.expr(f"{axis} div 2").cast("int"))
-    return out
+    out = scatter(samples, keys, "x", CHROMA_DOWN, width, parity=0)
+    return out if to == "422" else scatter(out, keys, "y", CHROMA_DOWN, height, parity=0)
 
 
-def chroma_up(samples: DataFrame, keys: list[str], axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
+def chroma_up(samples: DataFrame, keys: list[str], height: int, width: int, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Twice the samples along each axis."""
-    out = samples.select(*keys, "y", "x", "v")
     for axis in axes:
-        out = upsampled(out, keys, axis, CHROMA_UP)
-    return out
+        samples = upsampled(samples, keys, axis, CHROMA_UP, height if axis == "y" else width)
+    return samples

@@ -8,8 +8,8 @@ from rippleframe.operators.lifting import HIGH_GAIN, LOW_GAIN, STEPS
 __all__ = ["BANKS", "CHROMA_DOWN", "CHROMA_UP", "PHASES", "bank_taps", "synthesis_taps"]
 
 
-def rq(e: str) -> str:
-    return f"(CASE WHEN abs({e}) < 5e-7 THEN 0.0 ELSE round({e}, 6) END)"
+def rq(e: str, digits: int = 6) -> str:
+    return f"(CASE WHEN abs({e}) < 5e-{digits + 1} THEN 0.0 ELSE round({e}, {digits}) END)"
 
 
 def lift(src: str, keys: str, idx: str, val: str) -> str:
@@ -33,7 +33,7 @@ def wavelet(src: str, name: str, keys: str = "frame") -> str:
 
 
 def taps(pairs: dict[int, float]) -> str:
-    return "(VALUES " + ", ".join(f"({o}, {float(w)!r})" for o, w in pairs.items()) + ") t(o, w)"
+    return "(VALUES " + ", ".join(f"({o}, {float(w)!r})" for o, w in pairs.items()) + ") t(_o, w)"
 
 
 def reflected(k: str, n: str) -> str:
@@ -43,7 +43,7 @@ def reflected(k: str, n: str) -> str:
 def fir(src: str, axis: str, n: int, pairs: dict[int, float], half: int | None, keys: str = "frame", edge: str = "reflect") -> str:
     """SELECT of the filtered src along axis; half keeps one parity and halves the axis."""
     other = "x" if axis == "y" else "y"
-    k = f"a.{axis} + o"
+    k = f"a.{axis} + _o"
     where = reflected(k, str(n)) if edge == "reflect" else f"greatest(0, least({n - 1}, {k}))"
     kept = f"WHERE a.{axis} % 2 = {half}" if half is not None else ""
     out = f"CAST(a.{axis} // 2 AS INT)" if half is not None else f"a.{axis}"
@@ -57,5 +57,5 @@ def up(src: str, axis: str, n: int, pairs: dict[int, float], start: int, keys: s
     """SELECT of src up-sampled along axis from n samples to 2n."""
     other = "x" if axis == "y" else "y"
     own = ", ".join(f"s.{c}" for c in keys.split(", "))
-    k = reflected("g.i + o", str(2 * n))
+    k = reflected("g.i + _o", str(2 * n))
     return f"SELECT {own}, CAST(g.i AS INT) AS {axis}, s.{other} AS {other}, sum(s.v * w) AS v FROM (SELECT unnest(range({2 * n})) AS i) g CROSS JOIN {taps(pairs)} JOIN {src} s ON 2 * s.{axis} + {start} = {k} GROUP BY ALL"

@@ -17,15 +17,15 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, without a negative zero."""
-    r = lambda c: F.when(F.abs(c) < 5e-7, 0.0).otherwise(F.round(c, 6)).alias(c)
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many decimals, without a negative zero."""
+    r = lambda c: F.when(F.abs(c) < 5 * 10.0 ** -(digits + 1), 0.0).otherwise(F.round(c, digits)).alias(c)
     return df.select(*[r(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             ORACLE_SQL[name] = sql
         return f
@@ -284,7 +284,7 @@ f1 AS ({' UNION ALL '.join(f"SELECT frame, '{b}' AS band, y, x, v AS c FROM ({Q.
 
 @register("WIN6_fir_analysis", FIR1 + f" SELECT frame, band, y, x, {Q.rq('c')} AS c FROM f1")
 def _fira(spark, sf):
-    return filters.fir_analysis(frames(spark, sf), ["frame"])
+    return filters.fir_analysis(frames(spark, sf), ["frame"], 16, 16)
 
 
 SYN = FIR1 + "".join(f""",
@@ -293,14 +293,14 @@ u{b} AS (SELECT frame, y, x, c AS v FROM f1 WHERE band = '{b}'), v{b} AS ({Q.up(
 
 @register("WIN7_fir_synthesis", SYN + f" SELECT frame, y, x, {Q.rq('sum(v)')} AS v FROM (SELECT * FROM zLL UNION ALL SELECT * FROM zHL UNION ALL SELECT * FROM zLH UNION ALL SELECT * FROM zHH) GROUP BY ALL")
 def _firs(spark, sf):
-    return filters.fir_synthesis(filters.fir_analysis(frames(spark, sf), ["frame"]), ["frame"])
+    return filters.fir_synthesis(filters.fir_analysis(frames(spark, sf), ["frame"], 16, 16), ["frame"], 16, 16)
 
 
 @register("WIN8_packet", FIR1 + f""", n AS (SELECT frame, band AS o, y, x, c AS v FROM f1),
 nlo AS ({Q.fir('n', 'y', 8, Q.bank_taps(0, 0), 0, 'frame, o')}), nhi AS ({Q.fir('n', 'y', 8, Q.bank_taps(0, 1), 1, 'frame, o')})
 """ + " UNION ALL ".join(f"SELECT frame, o || '/{b}' AS band, y, x, {Q.rq('v')} AS c FROM ({Q.fir(s, 'x', 8, Q.bank_taps(0, k), k, 'frame, o')})" for b, s, k in (("LL", "nlo", 0), ("HL", "nlo", 1), ("LH", "nhi", 0), ("HH", "nhi", 1))))
 def _packet(spark, sf):
-    return filters.packet(frames(spark, sf), ["frame"], 0, 16)
+    return filters.packet(frames(spark, sf), ["frame"], 16, 16, 0, 16)
 
 
 _PX = " UNION ALL ".join(["SELECT frame, 0 AS px, y, x, v FROM frames16"] + [f"SELECT frame, {p} AS px, y, x, v FROM ({Q.fir('frames16', 'x', 16, {o - 3: w for o, w in enumerate(t)}, None, edge='clamp')})" for p, t in Q.PHASES.items()])
@@ -308,19 +308,19 @@ _PY = " UNION ALL ".join(["SELECT frame, px, 0 AS py, y, x, v FROM hx"] + [f"SEL
 PHASED = FR + f", hx AS ({_PX}), hy AS ({_PY}), ph AS (SELECT frame, CAST(4 * py + px AS INT) AS phase, y, x, v FROM hy)"
 
 
-@register("WIN9_subpel_phases", PHASED + f" SELECT frame, phase, y, x, {Q.rq('v')} AS v FROM ph")
+@register("WIN9_subpel_phases", PHASED + f" SELECT frame, phase, y, x, {Q.rq('v', 8)} AS v FROM ph", 8)
 def _phases(spark, sf):
-    return filters.subpel_phases(frames(spark, sf), ["frame"])
+    return filters.subpel_phases(frames(spark, sf), ["frame"], 16, 16)
 
 
 @register("WIN10_chroma_down", FR + f", cx AS ({Q.fir('frames16', 'x', 16, Q.CHROMA_DOWN, 0)}) SELECT frame, y, x, {Q.rq('v')} AS v FROM ({Q.fir('cx', 'y', 16, Q.CHROMA_DOWN, 0)})")
 def _cdown(spark, sf):
-    return filters.chroma_down(frames(spark, sf), ["frame"], "420")
+    return filters.chroma_down(frames(spark, sf), ["frame"], 16, 16, "420")
 
 
 @register("WIN11_chroma_up", FR + f", cy AS ({Q.up('frames16', 'y', 16, Q.CHROMA_UP, 0)}) SELECT frame, y, x, {Q.rq('v')} AS v FROM ({Q.up('cy', 'x', 16, Q.CHROMA_UP, 0)})")
 def _cup(spark, sf):
-    return filters.chroma_up(frames(spark, sf), ["frame"])
+    return filters.chroma_up(frames(spark, sf), ["frame"], 16, 16)
 
 
 # ---- temporal
