@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.linking import linked_groups
+from rippleframe.llm.linking import Near, linked_groups
 from rippleframe.llm.tables import id_and_text, stored, with_ids
 from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
 
@@ -110,16 +110,18 @@ def bucket_members(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """(key, id, anchor) of the different lines of each task; a task that remembers too many lines starts afresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(2)):
                 starts, ends, _, _ = line_ranges(data, offsets)
                 prefix = Prefix(data)
                 use, ids = _ids(prefix, starts, ends, min_bytes)
                 ids, first = np.unique(ids, return_index=True)
-                new = ~np.isin(ids, seen)
+                new = np.array([x not in seen for x in ids.tolist()], bool)
                 ids, use = ids[new], use[first[new]]
-                seen = np.union1d(seen, ids) if len(seen) < SEEN else ids
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(ids.tolist())
                 for at, keys, indexed in segment_keys(prefix, starts[use], ends[use], edits, min_bytes):
                     yield pa.RecordBatch.from_arrays([signed(keys), signed(ids[at]), pa.array(np.full(len(at), indexed))], ["key", "id", "anchor"])
 
@@ -142,23 +144,52 @@ def line_texts(docs: DataFrame, ids: DataFrame, min_bytes: int) -> DataFrame:
     return with_ids(lines, ids, "id").dropDuplicates(["id"])
 
 
+def parity(data: bytes) -> int:
+    """64 bits, each the parity of the bytes that fall to it: an edit changes at most two."""
+    n = np.bincount(np.frombuffer(data, np.uint8) & 63, minlength=64) & 1
+    return int(np.packbits(n.astype(np.uint8)).view(np.int64)[0])
+
+
+def open_members(texts: DataFrame, edits: int, min_bytes: int) -> DataFrame:
+    """(key, id, anchor, traits) of lines (id, body); traits bound the edits between two lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(1)):
+                ids, lengths = batch.column(0).slice(a, b - a), np.diff(offsets)
+                bits = np.array([parity(data[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+                for at, keys, indexed in segment_keys(Prefix(data), offsets[:-1], offsets[1:], edits, min_bytes):
+                    yield pa.RecordBatch.from_arrays([signed(keys), ids.take(pa.array(at)), pa.array(np.full(len(at), indexed)), pa.array(lengths[at]), pa.array(bits[at])], ["key", "id", "anchor", "size", "bits"])
+
+    rows = texts.select("id", "body").mapInArrow(run, "key bigint, id bigint, anchor boolean, size bigint, bits bigint")
+    return rows.select("key", "id", "anchor", F.struct("size", "bits").alias("traits"))
+
+
 def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     """(id, label) of the lines of rows (doc_id, th, text) that have another one within `edits` edits, by links or chains of links."""
+    texts: list[DataFrame] = []  # of every line that shares a bucket, once the first pairs are known
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        texts = stored(line_texts(docs, ids, min_bytes))
+        if not texts:
+            ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            texts.append(stored(line_texts(docs, ids, min_bytes)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = [within(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), edits) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        both = pairs.join(texts[0].select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts[0].select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         both = both.filter(F.abs(F.length("x") - F.length("y")) <= edits)
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    return linked_groups(bucket_members(docs, edits, min_bytes), verified)[0]
+    def possible(x: F.Column, y: F.Column) -> F.Column:
+        return (F.abs(x["size"] - y["size"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
+
+    def refined(ids: DataFrame) -> tuple[DataFrame, Near]:
+        return open_members(texts[0].join(ids, "id", "left_semi"), edits, min_bytes), possible
+
+    return linked_groups(bucket_members(docs, edits, min_bytes), verified, refine=refined)[0]
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -177,7 +208,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *kept)
     known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
-    lines = occurrences(known, min_bytes)
+    lines = stored(occurrences(known, min_bytes))
     groups = line_classes(known, edits, min_bytes)
     first = F.min(F.struct("doc_id", "th", "line")).alias("first")
     seen = F.max(F.struct("doc_id", "th", "line")).alias("last")
