@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from rippleframe.functions.adaptive import capped_step
 from rippleframe.functions.scalars import dequantize, quantize
 
 
@@ -36,7 +36,7 @@ def conditional_entropy(df: DataFrame, keys: list[str], context: list[str]) -> D
     return sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n") - F.col("s")).alias("bits"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function, Arrow batches at a time."""
     from math import erf, sqrt
@@ -89,17 +89,6 @@ def adaptive_cost(symbols: DataFrame, size: int) -> DataFrame:
     return symbols.withColumn("bits", F.log2((F.count("*").over(total) + size) / (F.count("*").over(seen) + 1)))
 
 
-def capped_step(counts: list[int], sym: int, cap: int) -> float:
-    """Bits of one symbol; the counts move on, and halve, rounding up, when their sum reaches the cap."""
-    from math import log2
-
-    bits = log2(sum(counts) / counts[sym])
-    counts[sym] += 1
-    if sum(counts) >= cap:
-        counts[:] = [(c + 1) // 2 for c in counts]
-    return bits
-
-
 def adaptive_cost_capped(symbols: DataFrame, size: int, cap: int) -> DataFrame:
     """adaptive_cost with halving at the cap: serial by nature within a (stream, ctx), parallel across them."""
 

@@ -6,10 +6,13 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rippleframe.sources.planar import write_files
+
 
 def scan_tagged_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(dmv, freq) tables of a text log: `dmv:` lines with numbers, `frq:` lines with gop, level, frame, ctx, total, counts."""
@@ -67,6 +70,19 @@ def scan_clip_bundle(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, "clip string, kind string, channel int, y int, x int, v double")
 
 
+def write_clip_bundle(rows: DataFrame, folder: str) -> None:
+    """<clip>_<kind>.npy of rows (clip, kind, channel, y, x, v): one array [channel, height, width] a clip and kind."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros(tuple(pdf[c].max() + 1 for c in ("channel", "y", "x")))
+        a[pdf["channel"], pdf["y"], pdf["x"]] = pdf["v"]
+        out = io.BytesIO()
+        np.save(out, a)
+        return pd.DataFrame({"name": [f"{pdf['clip'].iloc[0]}_{pdf['kind'].iloc[0]}.npy"], "content": [out.getvalue()]})
+
+    write_files(rows.groupBy("clip", "kind").applyInPandas(pack, "name string, content binary"), folder)
+
+
 def export_blocks(blocks: DataFrame, path: str) -> None:
     """Leaves in pre-order as tab-separated files: cx, cy, xblk, yblk, mode, has_mv, mvx, mvy."""
     rows = blocks.repartitionByRange("frame", "path").sortWithinPartitions("frame", "path")

@@ -16,6 +16,7 @@ SCHEMA = "clip string, plane string, frame int, y int, x int, v double"
 
 @dataclass
 class Range(InputPartition):
+    path: str
     start: int
     stop: int
 
@@ -54,22 +55,33 @@ class PlanarReader(DataSourceReader):
             yield f  # Spark checks rows again
 
     def partitions(self):
+        from pyarrow import fs
+
         step = int(self.options.get("frames_per_task", 8))
-        return [Range(a, min(a + step, self.high + 1)) for a in range(self.low, self.high + 1, step)] or [Range(0, 0)]
+        store, path = fs.FileSystem.from_uri(self.options["path"])
+        files = [path] if store.get_file_info(path).is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file)
+        return [Range(p, a, min(a + step, self.high + 1)) for p in files for a in range(self.low, self.high + 1, step)] or [Range(path, 0, 0)]
 
     def read(self, partition: Range):
         size = sum(h * w for _, h, w in self.sizes) * self.kind.itemsize
-        with open(self.options["path"], "rb") as f:
+        from pyarrow import fs
+
+        if partition.start == partition.stop:
+            return
+        store, _ = fs.FileSystem.from_uri(self.options["path"])
+        clip = self.options.get("clip") or partition.path.rpartition("/")[2].rpartition(".")[0]
+        with store.open_input_file(partition.path) as f:
             for frame in range(partition.start, partition.stop):
                 f.seek(frame * size)
-                yield from _planes(f.read(size), self.options.get("clip", ""), frame, self.sizes, self.kind)
+                if len(raw := f.read(size)) == size:  # a shorter clip ends sooner
+                    yield from _planes(raw, clip, frame, self.sizes, self.kind)
 
 
 class PlanarSource(DataSource):
     """spark.read.format("planar") with path, height, width, frames and, at will, cheight, cwidth, planes, dtype, start, clip.
 
-    Every task opens the path by itself, so it has to be on a file system that
-    all executors mount; files elsewhere are read by scan_planar_template.
+    path is a container file or a folder of them, one a clip, in a store that
+    pyarrow opens by its address. A partition reads only its own range of frames.
     """
 
     @classmethod
@@ -104,6 +116,23 @@ def scan_planar_template(spark: SparkSession, glob: str, height: int, width: int
     return files.mapInArrow(run, SCHEMA)
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes (name, content binary) as files of a folder, from the tasks; a task that runs again writes the same files."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("name", "content").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+
+
 def frame_bytes(samples: DataFrame) -> DataFrame:
     """(clip, frame, body binary): clipped and rounded to bytes, planes in order, rows then columns."""
     byte = F.least(F.greatest(F.round("v"), F.lit(0.0)), F.lit(255.0)).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rippleframe.operators.entropy import capped_step
+from rippleframe.functions.adaptive import capped_step
 
 
 def stream_quality(stream: DataFrame, keys: list[str], value: str = "psnr") -> DataFrame:
