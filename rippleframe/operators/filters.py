@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 BANKS = {
     0: ((0.5645751, 0.2927051, -0.05224239, -0.04270508, 0.01995484), (0.5645751, -0.2927051, -0.05224239, 0.04270508, 0.01995484)),
     1: ((0.635577, 0.307180, -0.164740, 0.002902, 0.036870), (0.490663, -0.309311, 0.004668, 0.059311, 0.0)),
+    7: ((0.852699, 0.377403, -0.110624, -0.023849, 0.037829), (0.788485, -0.418092, -0.040690, 0.064539, 0.0)),
 }
+#: Gain of the way back: low taps of banks 0 and 1 add up to 1, those of bank 7 to the root of 2.
+GAIN = {0: 2.0, 1: 2.0, 7: 1.0}
 #: Eight taps of the quarter, half and three-quarter phases.
 PHASES = {
     1: (-0.0110, 0.0452, -0.1437, 0.8950, 0.2777, -0.0812, 0.0233, -0.0053),
@@ -31,8 +34,8 @@ def bank_taps(number: int, half: int) -> dict[int, float]:
 
 
 def synthesis_taps(number: int, half: int) -> dict[int, float]:
-    """Taps that undo the bank: the other half's taps with every second sign turned."""
-    return {o: w * (-1) ** (o + half) * (-1) ** half for o, w in bank_taps(number, 1 - half).items()}
+    """Taps that undo the bank: the other half's taps with every second sign turned, times the gain."""
+    return {o: GAIN[number] * w * (-1) ** o for o, w in bank_taps(number, 1 - half).items()}
 
 
 def scatter(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], n: int, at: Column | None = None, edge: str = "reflect", parity: int | None = None) -> DataFrame:
