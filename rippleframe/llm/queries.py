@@ -68,5 +68,7 @@ QUERIES: dict[str, Query] = {
     "op10_superminhash": op10_superminhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rules.ORACLE,
+    "op10_superminhash": superminhash.ORACLE,
     "op9_url_automaton": urls.ORACLE,
 }

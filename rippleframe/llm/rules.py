@@ -135,3 +135,22 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.mapInArrow(run, schema)
+
+
+_CLASS = r"[^\x20\x09-\x0D]+"
+#: The same judgement as SQL over the view `documents`.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, regexp_extract_all(t, '{_CLASS}') AS w FROM d),
+ a AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM w),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ c AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, (SELECT unnest(range(3)) AS k) GROUP BY 1),
+ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+ m AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_CLASS}')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS s, len(regexp_extract_all(line, '[A-Z]')) AS u, len(regexp_extract_all(line, '[a-z]')) AS o,
+   len(regexp_extract_all(line, '[!?]')) AS e, len(regexp_extract_all(line, '[|>]')) AS b, regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(p.decode() for p in BOILERPLATE)}') AS p FROM l),
+ f AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN 2 * s > n OR (n >= 4 AND (2 * e > n OR (u > 4 * o AND u > 2 * n) OR 3 * b >= n)) OR (p AND n <= {BOILERPLATE_WORDS}) THEN n ELSE 0 END) AS lost FROM m WHERE n > 0 GROUP BY 1),
+ z AS (SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM a LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+ NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept FROM z
+"""
