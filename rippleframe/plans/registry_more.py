@@ -368,12 +368,12 @@ def _ledger(spark, sf):
     return rate.bit_ledger(b, ["clip", "plane", "tband"])
 
 
-@register("AGG6_epoch_metrics", views("steps") + " " + " UNION ALL ".join(f"SELECT epoch, phase, {p} AS pos, {Q.rq('avg(loss)')} AS loss, {Q.rq('avg(psnr)')} AS psnr, {Q.rq('avg(bpp)')} AS bpp FROM steps GROUP BY {g}" for p, g in (("pos", "1, 2, 3"), ("NULL", "1, 2"))))
+@register("AGG6_epoch_metrics", views("steps") + " " + " UNION ALL ".join(f"SELECT epoch, phase, {p} AS pos, {Q.rq('avg(loss)', 10)} AS loss, {Q.rq('avg(psnr)', 10)} AS psnr, {Q.rq('avg(bpp)', 10)} AS bpp FROM steps GROUP BY {g}" for p, g in (("pos", "1, 2, 3"), ("NULL", "1, 2"))), 10)
 def _epochs(spark, sf):
     return rate.epoch_metrics(fixture(spark, sf, "steps"))
 
 
-@register("AGG7_rd_objective", views("steps") + f", m AS (SELECT epoch, phase, avg(bpp) AS bpp, avg(psnr) AS psnr FROM steps GROUP BY ALL) SELECT epoch, phase, {Q.rq('bpp')} AS rate_loss, {Q.rq('(-0.064 * psnr)')} AS quality_loss FROM m")
+@register("AGG7_rd_objective", views("steps") + f", m AS (SELECT epoch, phase, avg(bpp) AS bpp, avg(psnr) AS psnr FROM steps GROUP BY ALL) SELECT epoch, phase, {Q.rq('bpp', 10)} AS rate_loss, {Q.rq('(-0.064 * psnr)', 10)} AS quality_loss FROM m", 10)
 def _objective(spark, sf):
     m = fixture(spark, sf, "steps").groupBy("epoch", "phase").agg(F.avg("bpp").alias("bpp"), F.avg("psnr").alias("psnr"))
     return entropy.rd_objective(m).select("epoch", "phase", "rate_loss", "quality_loss")
@@ -523,7 +523,7 @@ def drained(spark: SparkSession, batch: DataFrame, query, mode: str, state: str
     return read
 
 
-@register("STR1_stream_quality", views("steps") + f" SELECT phase, {Q.rq('avg(psnr)')} AS psnr, count(*) AS n FROM steps GROUP BY 1")
+@register("STR1_stream_quality", views("steps") + f" SELECT phase, {Q.rq('avg(psnr)', 10)} AS psnr, count(*) AS n FROM steps GROUP BY 1", 10)
 def _squality(spark, sf):
     return drained(spark, fixture(spark, sf, "steps"), lambda s: running.stream_quality(s, ["phase"]), "complete")
 

@@ -88,6 +88,18 @@ def test_stream_equals_batch(spark):
     assert a == b
 
 
+def test_closed_windows_equal_batch_sums(spark):
+    closed = registry.QUERIES["STR3_stream_gop_bytes"](spark, SF).collect()
+    sizes = fixture(spark, SF, "mv_bytes").select(F.timestamp_seconds(F.col("gop") * 8 + F.col("set_k")).alias("ts"), "bytes")
+    batch = {r.start: (r.bytes, r.n) for r in sizes.groupBy(F.window("ts", "8 seconds").alias("w")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).select("w.start", "bytes", "n").collect()}
+    assert closed and all(batch[r.start] == (r.bytes, r.n) for r in closed)
+
+
+def test_planar_filter_reaches_the_source(spark):
+    df = registry.QUERIES["SRC1_scan_planar"](spark, SF)
+    assert df.agg(F.max("frame")).first()[0] == 5
+
+
 def test_batches_are_full_and_seeded(spark):
     clips = spark.range(103).withColumnRenamed("id", "k")
     one = {r.k: r.place for r in sampling.batches(clips, "k", 10, 1).collect()}
