@@ -31,8 +31,8 @@ from rippleframe.llm.tables import discard, id_and_text, stored, with_ids
 from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
 
 LENGTH, Q = 50, 20
-#: Buckets that a semi-join may send to every task: 40 MB of longs.
-BROADCAST_BUCKETS = 5_000_000
+#: Buckets that a semi-join may send to every task; their number grows with the input, so large inputs take the shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
