@@ -33,6 +33,8 @@ from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
 LENGTH, Q = 50, 20
 #: Buckets that a semi-join may send to every task; their number grows with the input, so large inputs take the shuffle.
 BROADCAST_BUCKETS = 500_000
+#: Single windows are refined in so many slices by their identifier, one after the other, to halve what lies on disk at a time.
+SLICES = 2
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -99,8 +101,8 @@ def _rows(docs: DataFrame, length: int, q: int, columns: tuple[str, ...]) -> Dat
     return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(w, doc, at): every window of the stretches (lo, n) listed with each text in rows (doc, text, runs)."""
+def _windows(texts: DataFrame, length: int, part: int, parts: int) -> DataFrame:
+    """(w, doc, at): of the windows of the stretches (lo, n) listed with each text in rows (doc, text, runs), those of one slice."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +115,8 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                     at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                     at = at[at + length <= offsets[k - a + 1] - offsets[k - a]]
                     w = prefix.of(at + offsets[k - a], at + offsets[k - a] + length)
+                    mine = w % np.uint64(parts) == part
+                    w, at = w[mine], at[mine]
                     yield pa.RecordBatch.from_arrays([signed(w), batch.column(0).take(pa.array(np.full(len(at), k))), pa.array(at.astype(np.int32))], ["w", "doc", "at"])
 
     return texts.select("doc", "text", "runs").mapInArrow(run, f"w bigint, doc {kind}, at int")
@@ -130,14 +134,16 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     discard(placed)
     open_buckets = pointers.groupBy("h").agg(F.count("*").alias("c"), F.min("first").alias("low"), F.max("first").alias("high")).filter("c > 1 and low < high").select("h")
     runs = pointers.join(open_buckets, "h").groupBy(F.col("first").alias("doc")).agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(runs, "doc")
-    windows = stored(_windows(texts, length))
+    texts = stored(docs.select(F.col("doc_id").alias("doc"), "text").join(runs, "doc"))
     discard(pointers)
-    again = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w", "first")
-    single = windows.join(stored(again), "w").filter(F.col("doc") > F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    out = stored(whole.unionByName(single))
-    discard(windows)
-    discard(whole)
+    out = whole
+    for part in range(SLICES):
+        windows = stored(_windows(texts, length, part, SLICES))
+        again = stored(windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w", "first"))
+        single = windows.join(again, "w").filter(F.col("doc") > F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+        out = out.unionByName(stored(single))
+        discard(windows)
+    discard(texts)
     return out
 
 
