@@ -10,8 +10,9 @@ around it, and every refinement works on what the one before left open:
 2. Buckets are refined by the identifier of the whole stretch of bytes that the
    suffix's windows cover. In a bucket pointer of two documents or more every
    window of the larger documents is repeated.
-3. Buckets that still hold several pointers are refined once more, from one
-   document of each pointer, by the identifiers of the single windows.
+3. Buckets that still hold several pointers are refined once more, from every
+   place in the first document of each pointer, by the identifiers of the single
+   windows.
 
 Identifiers are 64-bit hashes of the bytes, so every executor names a bucket
 alike without ranking all suffixes together.
@@ -128,14 +129,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     several = stored(_rows(docs, length, q, ("h",)).groupBy("h").count().filter("count > 1").select("h"))
     placed = stored(with_ids(_rows(docs, length, q, ("h", "x", "doc", "lo", "n")), several, "h", BROADCAST_BUCKETS))
     discard(several)
-    pointers = stored(placed.groupBy("x").agg(F.min(F.struct("doc", "lo", "n", "h")).alias("m")).select("x", F.col("m.doc").alias("first"), "m.lo", "m.n", "m.h"))
-    whole = placed.join(pointers.select("x", "first"), "x").filter(F.col("doc") > F.col("first")).select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
-    whole = stored(whole)
+    pointers = stored(placed.groupBy("x").agg(F.min("doc").alias("first")))
+    # the places of the first document keep their bucket: all of them are opened, not one for each stretch
+    marked = placed.join(pointers, "x").select("doc", "lo", "n", F.when(F.col("doc") == F.col("first"), F.col("h")).alias("h"))
+    marked = stored(marked)
     discard(placed)
-    open_buckets = pointers.groupBy("h").agg(F.count("*").alias("c"), F.min("first").alias("low"), F.max("first").alias("high")).filter("c > 1 and low < high").select("h")
-    runs = pointers.join(open_buckets, "h").groupBy(F.col("first").alias("doc")).agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
-    texts = stored(docs.select(F.col("doc_id").alias("doc"), "text").join(runs, "doc"))
     discard(pointers)
+    whole = marked.filter("h is null").select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
+    whole = stored(whole)
+    opened = marked.filter("h is not null")
+    open_buckets = opened.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h")
+    runs = opened.join(open_buckets, "h").groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
+    texts = stored(docs.select(F.col("doc_id").alias("doc"), "text").join(runs, "doc"))
+    discard(marked)
     out = whole
     for part in range(SLICES):
         windows = stored(_windows(texts, length, part, SLICES))

@@ -201,6 +201,18 @@ def test_repeated_strings(spark, monkeypatch, by_shuffle):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_every_place_of_a_repeat_in_one_document(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for k in range(12):
+        line, block = word(120), word(90)
+        rows += [(10 * k + 1, line), (10 * k + 2, word(20) + line * 4 + word(20))]
+        rows += [(10 * k + 3, word(30) + block[:70] + word(30)), (10 * k + 4, block + word(40) + block + word(25))]
+    got = Counter((key(x.doc_id), *x[1:]) for x in suffixes.remove_repeats(frame(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
 # ---- 6, 8
 
 
