@@ -1,11 +1,12 @@
 """Line dedup (operator 7): segment-partition edit join.
 
-Lines within an edit distance of each other share, of threshold-plus-one
-segments of the shorter one, at least one unchanged and at nearly the same
-place (pigeonhole). Each line is indexed by its segments and probes, for its own
-and every slightly smaller length, only the substrings that the multi-match
-rule leaves. Candidates are verified by a banded bit-parallel edit distance.
-Lengths, positions and edits count UTF-8 bytes.
+The threshold grows with the length of the shorter line. Lines within it share,
+of threshold-plus-one segments of the shorter one, at least one unchanged and
+moved by no more places than there are segments before it (pigeonhole, counted
+from the left). Segments have one length within a class of line lengths, so a
+probe needs no guess of the other line's length. Candidates are verified by a
+banded bit-parallel edit distance. Lengths, positions and edits count code
+points; only the floor of the edit join counts bytes.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.linking import Near, linked_groups
-from rippleframe.llm.tables import id_and_text, stored, with_ids
+from rippleframe.llm.linking import linked_groups
+from rippleframe.llm.tables import discard, stored, with_ids
 from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
 
-EDITS, MIN_BYTES = 1, 16
-SEEN = 1 << 20
+#: One edit for so many code points of the shorter line, up to so many; lines under MIN_BYTES have only exact repeats.
+PER_EDIT, MOST_EDITS = 12, 8
+MIN_BYTES = 16
+#: Keys are counted in so many slices, one after the other, to bound what lies on disk at a time.
+SLICES = 4
 
 
 def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,24 +44,42 @@ def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, doc, number
 
 
-def segment_keys(prefix: Prefix, starts: np.ndarray, ends: np.ndarray, edits: int, min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def length_classes(longest: int, edits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest length, threshold) of each class of line lengths; a class is wider than its threshold."""
+    low = [(PER_EDIT * t, t) for t in range(1, MOST_EDITS)] if edits is None else []
+    top, most = (PER_EDIT * MOST_EDITS, MOST_EDITS) if edits is None else (edits + 1, edits)
+    while not low or top <= longest:
+        low.append((top, most))
+        top *= 2
+    return np.array([x for x, _ in low]), np.array([t for _, t in low])
+
+
+def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines, keys, indexed): bucket keys of the segments of each line and of the substrings it probes with."""
-    parts = edits + 1
-    for less in range(parts):
-        at = np.flatnonzero(ends - starts - less >= max(min_bytes, parts))
-        length = (ends - starts)[at] - less
-        base, longer = length // parts, length % parts
-        for i in range(parts):
-            begin = i * base + np.maximum(0, i - (parts - longer))
-            size = base + (i >= parts - longer)
-            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                ok = (begin + move >= 0) & (begin + move + size <= length + less)
-                s = starts[at][ok] + (begin + move)[ok]
-                where = mix(length[ok].astype(np.uint64) * np.uint64(64) + np.uint64(i))
-                yield at[ok], mix(prefix.of(s, s + size[ok]) ^ where), less == 0 and move == 0
-
-
-def within(a: bytes, b: bytes, edits: int) -> bool:
+    prefix = Prefix(data)
+    place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each code point
+    starts = np.searchsorted(place, offsets)
+    length = np.diff(starts)
+    base, tau = length_classes(int(length.max(initial=0)), edits)
+    own = np.searchsorted(base, length, "right") - 1
+    # the shorter line of a pair may be of the class below
+    below = np.flatnonzero((own > 0) & (length < base[own] + tau[own - 1]))
+    line = np.concatenate([np.flatnonzero(own >= 0), below])
+    k = np.concatenate([own[own >= 0], own[below] - 1])
+    indexed = own[line] == k
+    size = base[k] // (tau[k] + 1)
+    out = []
+    for i in range(int(tau.max()) + 1):
+        where = mix(k.astype(np.uint64) * np.uint64(64) + np.uint64(i))
+        for move in range(-i, i + 1):
+            at = i * size + move
+            ok = np.flatnonzero((tau[k] >= i) & (at >= 0) & (at + size <= length[line]))
+            s = starts[line[ok]] + at[ok]
+            out.append((line[ok], mix(prefix.of(place[s], place[s + size[ok]]) ^ where[ok]), indexed[ok] & (move == 0)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`.
 
     Bit o of a level says that i = j + o - edits bytes of a can stand against j
@@ -68,7 +90,10 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     n, m = 0, min(len(a), len(b))
     while n < m and a[n] == b[n]:
         n += 1
-    a, b = a[n:], b[n:]
+    e = 0
+    while e < m - n and a[len(a) - 1 - e] == b[len(b) - 1 - e]:
+        e += 1
+    a, b = a[n : len(a) - e], b[n : len(b) - e]
     places: dict[int, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -106,30 +131,8 @@ def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, line int, id bigint")
 
 
-def bucket_members(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """(key, id, anchor) of the different lines of each task; a task that remembers too many lines starts afresh."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(2)):
-                starts, ends, _, _ = line_ranges(data, offsets)
-                prefix = Prefix(data)
-                use, ids = _ids(prefix, starts, ends, min_bytes)
-                ids, first = np.unique(ids, return_index=True)
-                new = np.array([x not in seen for x in ids.tolist()], bool)
-                ids, use = ids[new], use[first[new]]
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.update(ids.tolist())
-                for at, keys, indexed in segment_keys(prefix, starts[use], ends[use], edits, min_bytes):
-                    yield pa.RecordBatch.from_arrays([signed(keys), signed(ids[at]), pa.array(np.full(len(at), indexed))], ["key", "id", "anchor"])
-
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "key bigint, id bigint, anchor boolean")
-
-
-def line_texts(docs: DataFrame, ids: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, body) of the lines whose id is among the stored ids, each once."""
+def line_texts(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(id, body) of the different lines of at least min_bytes bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,63 +143,82 @@ def line_texts(docs: DataFrame, ids: DataFrame, min_bytes: int) -> DataFrame:
                 whole = data.tobytes()
                 yield pa.RecordBatch.from_arrays([signed(found), pa.array([whole[x:y] for x, y in zip(starts[use[first]], ends[use[first]], strict=True)], pa.binary())], ["id", "body"])
 
-    lines = docs.select("doc_id", "th", "text").mapInArrow(run, "id bigint, body binary")
-    return with_ids(lines, ids, "id").dropDuplicates(["id"])
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "id bigint, body binary").dropDuplicates(["id"])
 
 
 def parity(data: bytes) -> int:
-    """64 bits, each the parity of the bytes that fall to it: an edit changes at most two."""
-    n = np.bincount(np.frombuffer(data, np.uint8) & 63, minlength=64) & 1
+    """64 bits, each the parity of the code points that fall to it: an edit changes at most two."""
+    n = np.bincount(np.frombuffer(data.decode().encode("utf-32-le"), np.uint32) & 63, minlength=64) & 1
     return int(np.packbits(n.astype(np.uint8)).view(np.int64)[0])
 
 
-def open_members(texts: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """(key, id, anchor, traits) of lines (id, body); traits bound the edits between two lines."""
+def bucket_keys(texts: DataFrame, edits: int | None, part: int, parts: int) -> DataFrame:
+    """(key, anchor) of the segments and probes of lines (id, body), those of one slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(1)):
+                _, keys, indexed = segment_keys(data, offsets, edits)
+                mine = keys % np.uint64(parts) == part
+                yield pa.RecordBatch.from_arrays([signed(keys[mine]), pa.array(indexed[mine])], ["key", "anchor"])
+
+    return texts.select("id", "body").mapInArrow(run, "key bigint, anchor boolean")
+
+
+def bucket_members(texts: DataFrame, edits: int | None, part: int, parts: int) -> DataFrame:
+    """(key, id, anchor, size, bits) of lines (id, body), those of one slice; size and bits bound the edits between two lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(1)):
-                ids, lengths = batch.column(0).slice(a, b - a), np.diff(offsets)
-                bits = np.array([parity(data[x:y].tobytes()) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
-                for at, keys, indexed in segment_keys(Prefix(data), offsets[:-1], offsets[1:], edits, min_bytes):
-                    yield pa.RecordBatch.from_arrays([signed(keys), ids.take(pa.array(at)), pa.array(np.full(len(at), indexed)), pa.array(lengths[at]), pa.array(bits[at])], ["key", "id", "anchor", "size", "bits"])
+                ids = batch.column(0).slice(a, b - a)
+                bodies = [data[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                lengths, bits = np.array([len(x.decode()) for x in bodies], np.int64), np.array([parity(x) for x in bodies], np.int64)
+                at, keys, indexed = segment_keys(data, offsets, edits)
+                mine = keys % np.uint64(parts) == part
+                at, keys, indexed = at[mine], keys[mine], indexed[mine]
+                yield pa.RecordBatch.from_arrays([signed(keys), ids.take(pa.array(at)), pa.array(indexed), pa.array(lengths[at]), pa.array(bits[at])], ["key", "id", "anchor", "size", "bits"])
 
-    rows = texts.select("id", "body").mapInArrow(run, "key bigint, id bigint, anchor boolean, size bigint, bits bigint")
-    return rows.select("key", "id", "anchor", F.struct("size", "bits").alias("traits"))
+    return texts.select("id", "body").mapInArrow(run, "key bigint, id bigint, anchor boolean, size bigint, bits bigint")
 
 
-def line_classes(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """(id, label) of the lines of rows (doc_id, th, text) that have another one within `edits` edits, by links or chains of links."""
-    texts: list[DataFrame] = []  # of every line that shares a bucket, once the first pairs are known
+def line_classes(docs: DataFrame, edits: int | None, min_bytes: int) -> DataFrame:
+    """(id, label) of the lines of rows (doc_id, th, text) that have another one within the threshold, by links or chains of links."""
+    texts = stored(line_texts(docs, min_bytes))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        if not texts:
-            ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-            texts.append(stored(line_texts(docs, ids, min_bytes)))
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [within(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), edits) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = x.as_buffer().to_pybytes().decode(), y.as_buffer().to_pybytes().decode()
+                    keep.append(within(x, y, min(min(len(x), len(y)) // PER_EDIT, MOST_EDITS) if edits is None else edits))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = pairs.join(texts[0].select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts[0].select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-        both = both.filter(F.abs(F.length("x") - F.length("y")) <= edits)
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
     def possible(x: F.Column, y: F.Column) -> F.Column:
-        return (F.abs(x["size"] - y["size"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
-
-    def refined(ids: DataFrame) -> tuple[DataFrame, Near]:
-        return open_members(texts[0].join(ids, "id", "left_semi"), edits, min_bytes), possible
+        most = F.least(F.floor(F.least(x["size"], y["size"]) / PER_EDIT), F.lit(MOST_EDITS)) if edits is None else F.lit(edits)
+        return (F.abs(x["size"] - y["size"]) <= most) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * most)
 
-    return linked_groups(bucket_members(docs, edits, min_bytes), verified, refine=refined)[0]
+    # most keys occur once, or only among probes: they go before ids and traits are attached
+    members = None
+    for part in range(SLICES):
+        counted = bucket_keys(texts, edits, part, SLICES).groupBy("key").agg(F.count("*").alias("n"), F.max("anchor").alias("some"))
+        several = stored(counted.filter("n > 1 and some").select("key"))
+        mine = stored(with_ids(bucket_members(texts, edits, part, SLICES), several, "key").select("key", "id", "anchor", F.struct("size", "bits").alias("traits")))
+        discard(several)
+        members = mine if members is None else members.unionByName(mine)
+    return linked_groups(members, verified, possible)[0]
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, text (without the removed lines) and the columns named in keep.
 
     Lines of at least min_bytes bytes fall into classes: equal lines, and lines
-    linked by at most `edits` edits. Of a class the line with the smallest
+    linked by at most `edits` edits; by default by one edit for every PER_EDIT
+    code points of the shorter line, up to MOST_EDITS. Of a class the line with the smallest
     (doc_id, line number) stays and all others are removed; shorter lines stay.
     A null or empty text has one empty line and loses nothing, the null comes
     back as empty. Repeated equal rows count as one document and come back

@@ -320,6 +320,40 @@ def test_line_dedup(spark, edits):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_near_lines_by_length(spark):
+    r = random.Random(11)
+    words = ["straße", "ordinary", "maße", "little", "日本語", "of", "paragraphs", "walk", "zürich", "near"]
+    sentence = lambda n: "".join(r.choice(words) + " " for _ in range(n))[: r.randint(12, 8 * n)]
+
+    def changed(s, k):
+        s = list(s)
+        for _ in range(k):
+            i = r.randrange(len(s))
+            s[i : i + 1] = r.choice([["é"], ["y", s[i]], [], [s[i], "語"]])
+        return "".join(s)
+
+    every = []
+    for _ in range(40):
+        s = sentence(r.randint(3, 32))
+        every += [s, *(changed(s, r.randint(0, 9)) for _ in range(3))]
+    every = [x for x in dict.fromkeys(every) if len(x.encode()) >= lines.MIN_BYTES]
+    up = list(range(len(every)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(every)):
+        for j in range(i):
+            most = min(min(len(every[i]), len(every[j])) // 12, 8)
+            if abs(len(every[i]) - len(every[j])) <= most and plain_edits(every[i], every[j]) <= most:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(frame(spark, list(enumerate(every)))).collect()}
+    assert got == {i: int(top(i) != i) for i in range(len(every))} and 30 < sum(got.values())
+
+
 # ---- 9
 
 
