@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import linked_groups
 from rippleframe.llm.tables import discard, stored, with_ids
-from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
+from rippleframe.llm.wordbytes import SPACES, Prefix, mix, pieces, signed
 
 #: One edit for so many code points of the shorter line, up to so many; lines under MIN_BYTES have only exact repeats.
 PER_EDIT, MOST_EDITS = 12, 8
@@ -116,15 +116,17 @@ def _ids(prefix: Prefix, starts: np.ndarray, ends: np.ndarray, min_bytes: int) -
     return use, prefix.of(starts[use], ends[use])
 
 
-def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc_id, th, line, id) of the lines of at least min_bytes bytes of rows (doc_id, th, text)."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line, id) of the lines with a word of rows (doc_id, th, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(2)):
                 starts, ends, doc, number = line_ranges(data, offsets)
-                use, ids = _ids(Prefix(data), starts, ends, min_bytes)
+                inked = np.concatenate([[0], np.cumsum(~SPACES[data])])
+                use = np.flatnonzero(inked[ends] > inked[starts])
+                ids = Prefix(data).of(starts[use], ends[use])
                 rows = pa.array(a + doc[use])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[use].astype(np.int32)), signed(ids)], ["doc_id", "th", "line", "id"])
 
@@ -216,10 +218,11 @@ def line_classes(docs: DataFrame, edits: int | None, min_bytes: int) -> DataFram
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, text (without the removed lines) and the columns named in keep.
 
-    Lines of at least min_bytes bytes fall into classes: equal lines, and lines
-    linked by at most `edits` edits; by default by one edit for every PER_EDIT
-    code points of the shorter line, up to MOST_EDITS. Of a class the line with the smallest
-    (doc_id, line number) stays and all others are removed; shorter lines stay.
+    Lines with a word fall into classes: equal lines and, from min_bytes bytes
+    on, lines linked by at most `edits` edits; by default by one edit for every
+    PER_EDIT code points of the shorter line, up to MOST_EDITS. Of a class the
+    line with the smallest (doc_id, line number) stays and all others are
+    removed; lines without a word stay.
     A null or empty text has one empty line and loses nothing, the null comes
     back as empty. Repeated equal rows count as one document and come back
     alike; rows with a null id take no part and keep their text. Other columns
@@ -230,7 +233,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *kept)
     known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
-    lines = stored(occurrences(known, min_bytes))
+    lines = stored(occurrences(known))
     groups = line_classes(known, edits, min_bytes)
     first = F.min(F.struct("doc_id", "th", "line")).alias("first")
     seen = F.max(F.struct("doc_id", "th", "line")).alias("last")

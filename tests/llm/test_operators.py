@@ -354,6 +354,12 @@ def test_near_lines_by_length(spark):
     assert got == {i: int(top(i) != i) for i in range(len(every))} and 30 < sum(got.values())
 
 
+def test_short_lines_repeat_too(spark):
+    rows = [(1, "Menu\n\nan ordinary line of text\n \n日本語"), (2, "Menu\n\n日本語\n \nMenus"), (3, "Menu\nMenu")]
+    got = {x.doc_id: (x.n_removed, x.text) for x in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "\n \nMenus"), 3: (2, "")}
+
+
 # ---- 9
 
 
