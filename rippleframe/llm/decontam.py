@@ -5,7 +5,8 @@ sentence turn into typed placeholders, other words lose case and outer
 punctuation. Hashes of template windows of five words join documents with
 benchmark items. An item counts as leaked into a document if at least 80 % of
 its distinct windows occur there and the slots behind the placeholders map one
-to one between the two texts: a question that only got other numbers or names
+to one between the two texts, over the whole document or in any one place that
+has so many of the windows: a question that only got other numbers or names
 is still caught, a text that merely shares a form is not.
 """
 
@@ -115,13 +116,40 @@ class Block:
         out = []
         for p, f in zip(pairs[enough], found[enough], strict=True):
             mine = pair == p
-            n_slots, broken, changed = self._slots(here[mine], pos[mine], value, kind, doc)
+            n_slots, broken, changed = self._slots(here[mine], pos[mine], value, kind)
+            if 100 * broken > slack * n_slots:
+                n_slots, broken, changed = self._aligned(here[mine], pos[mine], key[mine], int(p % len(self.ids)), value, kind, percent, slack) or (n_slots, broken, changed)
             if 100 * broken <= slack * n_slots:
                 out.append((int(p // len(self.ids)), int(p % len(self.ids)), int(f), int(self.distinct[p % len(self.ids)]), n_slots, changed))
         return out
 
-    def _slots(self, here: np.ndarray, pos: np.ndarray, value: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-        """(slots, slots against the mapping, slots with another value) under agreeing windows."""
+    def _aligned(self, here: np.ndarray, pos: np.ndarray, key: np.ndarray, item: int, value: np.ndarray, kind: np.ndarray, percent: int, slack: int) -> tuple[int, int, int] | None:
+        """_slots() of the first alignment of item and document that has enough windows and keeps the mapping.
+
+        An alignment is a diagonal (document word minus item word) with its
+        neighbours, as far as a quarter of the item's words; diagonals of most windows come first.
+        """
+        diagonal = here - pos
+        order = np.argsort(diagonal, kind="stable")
+        here, pos, key, diagonal = here[order], pos[order], key[order], diagonal[order]
+        centres, size = np.unique(diagonal, return_counts=True)
+        reach = max(self.words, int((self.item == item).sum()) // 4)
+        low, high = np.searchsorted(diagonal, centres - reach, "left"), np.searchsorted(diagonal, centres + reach, "right")
+        for k in np.argsort(-size, kind="stable"):
+            band = slice(low[k], high[k])
+            needed = percent * self.distinct[item]
+            if 100 * (high[k] - low[k]) >= needed and 100 * len(np.unique(key[band])) >= needed:
+                got = self._slots(here[band], pos[band], value, kind, int(centres[k]))
+                if 100 * got[1] <= slack * got[0]:
+                    return got
+        return None
+
+    def _slots(self, here: np.ndarray, pos: np.ndarray, value: np.ndarray, kind: np.ndarray, centre: int | None = None) -> tuple[int, int, int]:
+        """(slots, slots against the mapping, slots with another value) under agreeing windows.
+
+        Each slot of the item is read where the document has it next to the
+        diagonal centre, without one where it has it first.
+        """
         a = (here[:, None] + np.arange(self.words)).ravel()
         b = (pos[:, None] + np.arange(self.words)).ravel()
         a, b = a[(a < len(kind)) & (b < len(self.kind))], b[(a < len(kind)) & (b < len(self.kind))]
@@ -129,7 +157,9 @@ class Block:
         at = np.unique(np.stack([b[same], a[same]]), axis=1)
         if not at.shape[1]:
             return 0, 0, 0
-        slots = np.unique(at[0], return_index=True)[1]  # each slot of the item, where the document first has it
+        if centre is not None:
+            at = at[:, np.lexsort((np.abs(at[1] - at[0] - centre), at[0]))]
+        slots = np.unique(at[0], return_index=True)[1]
         theirs, ours = self.value[at[0][slots]], value[at[1][slots]]
         broken = 0
         for x, y in ((theirs, ours), (ours, theirs)):

@@ -109,6 +109,16 @@ def test_template_leaks(spark):
     assert decontam.contamination(frame(spark, rows), items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_leak_after_a_variant_of_it(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    partial = "If Anna walks 5 km in 2 hours how far is it?"
+    table = " ".join(str(k) for k in range(40))
+    other = ITEM.replace("Tom", "Anna", 1).replace("7", "12")
+    rows = [(1, f"{partial} {ITEM}"), (2, f"{ITEM} {partial}"), (3, f"{table}\n{partial} {partial} and {ITEM}"), (4, f"{partial} {other}")]
+    found = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame(spark, rows), items).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 1)} and found[(1, 1)].n_changed == 0
+
+
 def test_planted_items_are_found(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = lambda t: re.sub(r"\s+", " ", t).strip()
