@@ -6,7 +6,8 @@ p(c | t) is the share of the word's documents in which it stands near c, and the
 disclosure of c by t is its pointwise mutual information as a share of the
 information content of c, PMI(c; t) / IC(c) = 1 + log p(c | t) / IC(c). Words
 whose disclosure exceeds a threshold, with enough independent support, become
-spans of the kind `term`, to be generalised or removed like the entities.
+spans of the kind `term` at all their places, to be generalised or removed like
+the entities.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import id_and_text, stored
+from rippleframe.llm.tables import id_and_text, stored, with_ids
 
 #: Fixed patterns. Groups repeat possessively, and a run of characters is tried
 #: from its first one (or where the last match ended), so that long runs take
@@ -111,12 +112,32 @@ def revealing_terms(docs: DataFrame, near: DataFrame, disclosure: float = DISCLO
     return judged.filter(F.when(content > 0, 1 + F.log2(share) / content).otherwise(0.0) >= disclosure).select("entity", "term")
 
 
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, th, start, end) of every word of rows (doc_id, th, text) that is among the stored terms, wherever it stands.
+
+    Only texts that hold a term are taken apart into placed words.
+    """
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = docs.select("doc_id", "th", F.explode(F.array_distinct(F.transform(found, lambda m: F.lower(m)))).alias("term"))
+    holders = with_ids(words, terms, "term").select(F.col("doc_id").alias("i"), F.col("th").alias("t")).distinct()
+    held = docs.join(holders, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi")
+    gaps = F.transform(F.split("text", WORD, -1), lambda g: F.length(g))
+    zipped = held.select("doc_id", "th", found.alias("m"), gaps.alias("g")).select("doc_id", "th", F.posexplode(F.arrays_zip("m", "g")).alias("n", "z")).filter("z.m is not null")
+    one = zipped.select("doc_id", "th", "n", F.lower("z.m").alias("term"), F.length("z.m").alias("size"), F.col("z.g").alias("gap")).dropDuplicates(["doc_id", "th", "n"])  # repeated rows
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("doc_id", "th").orderBy("n"))
+    placed = one.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    return with_ids(placed, terms, "term").select("doc_id", "th", "start", "end")
+
+
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(docs, spans): docs (doc_id, th, text) and one row (doc_id, th, kind, rank, start, end) for each span."""
     docs = id_and_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     base = stored(base_spans(docs))
     near = stored(context_terms(base))
-    terms = near.join(revealing_terms(docs, near, disclosure, support), ["entity", "term"]).select("doc_id", "th", F.lit("term").alias("kind"), F.lit(len(PATTERNS)).alias("rank"), "start", "end").distinct()
+    revealing = stored(revealing_terms(docs, near, disclosure, support))
+    beside = near.join(revealing, ["entity", "term"]).select("doc_id", "th", "start", "end")
+    places = beside.unionByName(term_places(docs, stored(revealing.select("term").distinct())))
+    terms = places.select("doc_id", "th", F.lit("term").alias("kind"), F.lit(len(PATTERNS)).alias("rank"), "start", "end").distinct()
     return docs, base.select("doc_id", "th", "kind", "rank", "start", "end").unionByName(terms)
 
 

@@ -91,6 +91,16 @@ def test_disclosing_terms(spark):
     assert all("term" not in r.spans for r in pii.private_spans(copies).collect())
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    far = "filler words of no account go on and on here. " * 6
+    rows = PRIVATE + [(20, f"ZORBLAX 🙂 began. {far}Then Zorblax mail q@w.e now. {far}At last Zorblax left."), (21, "Only Zorblax here")]
+    rows += [(100 + k, f"other text {k}") for k in range(400)] + [(21, "Only Zorblax here")]
+    spans = [(r.doc_id, r.spans) for r in pii.private_spans(frame(spark, rows)).collect()]
+    assert {"term:0:7", "term:298:305", "term:606:613"} <= set(dict(spans)[20].split(",")) and [s for i, s in spans if i == 21] == ["term:5:12"] * 2
+    texts = {r.doc_id: r.text for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert not any("zorblax" in t.lower() for t in texts.values()) and texts[20].startswith("[TERM] 🙂 began.")
+
+
 # ---- 2
 
 
