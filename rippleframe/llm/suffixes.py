@@ -1,21 +1,26 @@
 """Suffix-array dedup (operator 5): bucket-pointer refinement of repeated byte strings.
 
 Suffixes need to be told apart only to a depth of 50 bytes. They start in
-buckets by a q-gram; buckets are refined by the identifiers of longer strings
-around it, and every refinement works on what the one before left open:
-
-1. Of the q-grams of a 50-byte window the one with the smallest hash stands for
-   the window, so one suffix in about fifteen is placed in a bucket. Buckets
-   with one suffix are finished.
-2. Buckets are refined by the identifier of the whole stretch of bytes that the
-   suffix's windows cover. In a bucket pointer of two documents or more every
-   window of the larger documents is repeated.
-3. Buckets that still hold several pointers are refined once more, from every
-   place in the first document of each pointer, by the identifiers of the single
-   windows.
-
-Identifiers are 64-bit hashes of the bytes, so every executor names a bucket
-alike without ranking all suffixes together.
+buckets by a q-gram; a bucket that holds several documents is open and its
+suffixes are refined by the identifiers of longer strings around the q-gram,
+each round working on what the rounds before left open:
+
+0. Of the q-grams of a 50-byte window the one with the smallest hash stands for
+   the window, so one suffix in about fifteen is placed. Its windows start 0 to
+   30 bytes before it.
+1. Open buckets are refined by the identifiers at the offsets that all windows
+   starting 0 to 15, or 16 to 30, bytes before the suffix share, and by the
+   identifier of the whole stretch that the suffix's windows cover. A stretch
+   that a smaller document has is repeated as a whole and goes no further.
+2. What is still open is refined to the full depth, window by window.
+
+In every round each piece of the corpus names its buckets once, with the
+smallest document that it has there; the names are sorted by ranges of their
+identifiers, and each piece gets back a bit for each of its buckets. So a
+bucket that a third of all documents share costs a row for each piece.
+Identifiers are 64-bit hashes of the bytes: with n of them in the last two
+rounds two different strings of a corpus fall together with a probability of
+about n * n / 2**65 (n = 10**7: 3e-6).
 """
 
 from __future__ import annotations
@@ -28,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import discard, id_and_text, stored, with_ids
-from rippleframe.llm.wordbytes import Prefix, mix, pieces, signed
+from rippleframe.llm.tables import discard, id_and_text, stored
+from rippleframe.llm.wordbytes import Prefix, flat, mix, pieces
 
 LENGTH, Q = 50, 20
-#: Buckets that a semi-join may send to every task; their number grows with the input, so large inputs take the shuffle.
-BROADCAST_BUCKETS = 500_000
-#: Single windows are refined in so many slices by their identifier, one after the other, to halve what lies on disk at a time.
-SLICES = 2
+#: Bytes of text in a row of pieces, of those that are hashed together, and of those whose q-grams are ranked together.
+PIECE_TEXT, HASHED, RANKED = 2 << 20, 1 << 20, 1 << 17
+#: Pieces whose buckets of one round make up one range of identifiers on average: about 16 MB of them.
+PIECES_A_SLOT = 16
+GRAM, HALF, STRETCH, WINDOW = range(4)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -49,108 +57,192 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return v
 
 
-def anchors(prefix: Prefix, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first window, windows, document) of each sampled position.
+def anchors(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, place, first window, windows, document) of each sampled suffix of the live documents.
 
-    Of the q-grams in a window of `length` bytes the one with the smallest hash
-    (the first of equals) stands for the window; runs of windows with the same
-    one become one row. Equal windows always choose equal q-grams.
+    Of the q-grams in a window the one with the smallest hash (the first of
+    equals) stands for the window; runs of windows with the same one become one
+    row. Equal windows always choose equal q-grams.
     """
-    n = int(offsets[-1])
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none.astype(np.uint64), none, none, none
-    at = np.arange(n - q + 1)
-    order = prefix.of(at, at + q)
-    # the upper 40 bits of the hash, and the distance from the end to break ties towards the first
-    rank = (order >> np.uint64(24) << np.uint64(24)) | (at & 0xFFFFFF).astype(np.uint64)
-    best = sliding_min(rank, length - q + 1)
-    starts = np.arange(len(best))
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    whole = starts + length <= offsets[doc + 1]
-    starts, best, doc = starts[whole], best[whole], doc[whole]
-    if not len(starts):
-        return none.astype(np.uint64), none, none, none
-    new = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])))
-    low = starts[new]
-    count = np.diff(np.append(new, len(starts)))
-    where = (best[new] & np.uint64(0xFFFFFF)).astype(np.int64)
-    where += low >> 24 << 24
-    where[where < low] += 1 << 24
-    return mix(order[where]), low, count, doc[new]
-
-
-def _rows(docs: DataFrame, length: int, q: int, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns of (h bigint, x bigint, doc, lo int, n int) for every sampled suffix of rows (doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = {"h": "bigint", "x": "bigint", "doc": kind, "lo": "int", "n": "int"}
+    found = []
+    for base in range(0, max(len(data) - length + 1, 0), RANKED):
+        part = data[base : base + RANKED + length - 1]
+        prefix = Prefix(part)
+        v = prefix.sums[q:] - prefix.sums[:-q]
+        v *= prefix.down[: len(v)]
+        v ^= v >> np.uint64(29)
+        v *= _STEP
+        # the upper 40 bits of the hash, then the place: of equals the first
+        v &= ~_PLACE
+        v |= np.arange(len(v), dtype=np.uint64)
+        best = sliding_min(v, length - q + 1)
+        # windows that leave their document, or lie in one that takes no part
+        d = np.arange(np.searchsorted(offsets, base, "right") - 1, np.searchsorted(offsets, base + len(best), "left"))
+        bad_from = np.clip(np.where(live[d], np.maximum(offsets[d], offsets[d + 1] - length + 1), offsets[d]) - base, 0, len(best))
+        bad_to = np.clip(offsets[d + 1] - base, 0, len(best))
+        good = np.cumsum(np.bincount(bad_from, minlength=len(best) + 1) - np.bincount(bad_to, minlength=len(best) + 1))[:-1] == 0
+        new = np.empty(len(best), bool)
+        new[0] = True
+        np.not_equal(best[1:], best[:-1], out=new[1:])
+        new[np.clip(offsets[d] - base, 0, len(best) - 1)] = True
+        low = np.flatnonzero(new & good)
+        # a run ends where the next one, or a window that does not count, begins
+        stops = np.flatnonzero(np.append(new | ~good, True))
+        n = stops[np.searchsorted(stops, low, "right")] - low
+        at = (best[low] & _PLACE).astype(np.int64)
+        found.append((prefix.of(at, at + q), at + base, low + base, n, np.searchsorted(offsets, low + base, "right") - 1))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    """Identifiers of byte ranges of at most `longest` bytes."""
+    out = np.zeros(len(starts), np.uint64)
+    for base in range(0, len(data), HASHED):
+        mine = slice(None) if len(data) <= HASHED else np.flatnonzero((starts >= base) & (starts < base + HASHED))
+        out[mine] = Prefix(data[base : base + HASHED + longest]).of(starts[mine] - base, ends[mine] - base)
+    return out
+
+
+class Buckets:
+    """The different identifiers of a piece in order, with the smallest document and whether there are several."""
+
+    def __init__(self, keys: np.ndarray, docs: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        k, d = keys[order], docs[order]
+        new = np.append(True, k[1:] != k[:-1])[: len(k)]
+        at = np.flatnonzero(new)
+        self.keys = k[at]
+        self.first = np.minimum.reduceat(d, at) if len(at) else d
+        self.several = (np.maximum.reduceat(d, at) if len(at) else d) > self.first
+        self.of = np.empty(len(k), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def bounds(self, slots: int) -> np.ndarray:
+        """Where each slot, an even range of identifiers, begins; the end is added."""
+        edges = np.array([(j << 64) // slots for j in range(1, slots)], np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
+
+
+class Piece:
+    """One row of pieces and what the rounds so far have answered."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, answers: list | None, slots: int, length: int, q: int):
+        self.data, self.offsets = flat(texts)
+        self.ids, self.live = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+        self.slots, self.length, self.q = slots, length, q
+        self.answers: dict[int, dict[int, bytes]] = {}
+        for a in answers or ():
+            self.answers.setdefault(a["level"], {})[a["slot"]] = a["bits"]
+
+    def answered(self, level: int, buckets: Buckets) -> np.ndarray:
+        bounds, out = buckets.bounds(self.slots), np.zeros(len(buckets.keys), bool)
+        for slot, bits in self.answers.get(level, {}).items():
+            a, b = bounds[slot], bounds[slot + 1]
+            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
+        return out
+
+    def _windows(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, window) for all windows low..high bytes before the places."""
+        n = high - low + 1
+        row = np.repeat(np.arange(len(at)), n)
+        return row, at[row] - low[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+
+    def refine(self, rounds: int) -> tuple[dict[int, Buckets], np.ndarray, np.ndarray]:
+        """(buckets by level of round `rounds`, starts, ends of what is known to be repeated)."""
+        length, reach = self.length, self.length - self.q
+        none = np.zeros(0, np.int64)
+        h, at, low, n, doc = anchors(self.data, self.offsets, self.live, length, self.q)
+        grams = Buckets(h, self.ids[doc])
+        if rounds == 0:
+            return {GRAM: grams}, none, none
+        go = np.flatnonzero(self.answered(GRAM, grams)[grams.of])
+        at, low, n, doc = at[go], low[go], n[go], doc[go]
+        stretches = Buckets(hashes(self.data, low, low + n - 1 + length, 2 * length), self.ids[doc])
+        # the windows start near..far bytes before their suffix, in two halves
+        far, half = at - low, (reach + 2) // 2
+        near = far - n + 1
+        rows, lows, highs, keys = [], [], [], []
+        for k in (0, half):
+            top = min(k + half - 1, reach)
+            row = np.flatnonzero((near <= top) & (far >= k))
+            rows.append(row)
+            lows.append(np.maximum(near[row], k))
+            highs.append(np.minimum(far[row], top))
+            keys.append(mix(hashes(self.data, at[row] - k, at[row] - top + length, 2 * length) + np.uint64(k)))
+        row, lows, highs = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
+        halves = Buckets(np.concatenate(keys), self.ids[doc[row]])
+        if rounds == 1:
+            return {HALF: halves, STRETCH: stretches}, none, none
+        whole = self.answered(STRETCH, stretches)[stretches.of] | (self.ids[doc] > stretches.first[stretches.of])
+        go = np.flatnonzero(self.answered(HALF, halves)[halves.of] & ~whole[row])
+        some, start = self._windows(at[row[go]], lows[go], highs[go])
+        owner = self.ids[doc[row[go][some]]]
+        windows = Buckets(hashes(self.data, start, start + length, length), owner)
+        if rounds == 2:
+            return {WINDOW: windows}, none, none
+        single = self.answered(WINDOW, windows)[windows.of] | (owner > windows.first[windows.of])
+        starts = np.concatenate([low[whole], start[single]])
+        return {}, starts, np.concatenate([(low + n - 1)[whole], start[single]]) + length
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(piece, ids, texts): rows (doc_id, text) in runs of about PIECE_TEXT bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, offsets in pieces(batch.column(1)):
-                prefix = Prefix(data)
-                h, lo, n, doc = anchors(prefix, offsets, length, q)
-                make = {
-                    "h": lambda: signed(h), "x": lambda: signed(prefix.of(lo, lo + n - 1 + length)), "doc": lambda: batch.column(0).take(pa.array(a + doc)),
-                    "lo": lambda: pa.array((lo - offsets[doc]).astype(np.int32)), "n": lambda: pa.array(n.astype(np.int32)),
-                }
-                if columns == ("h",):
-                    # a q-gram that one document has twice is no second document
-                    h = h[np.unique(mix(h ^ mix(doc.astype(np.uint64))), return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([make[c]() for c in columns], list(columns))
+            ends = [b for _, b, _, _ in pieces(batch.column(1), PIECE_TEXT, batch.num_rows)]
+            bounds = pa.array(np.array([0, *ends], np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(bounds, c) for c in batch.columns], ["ids", "texts"])
+
+    return docs.mapInArrow(run, "ids array<bigint>, texts array<string>").select(F.monotonically_increasing_id().alias("piece"), "ids", "texts")
+
 
-    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+def _each(batches: Iterator[pa.RecordBatch], slots: int, length: int, q: int) -> Iterator[tuple[int, Piece]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            answers = batch.column(3)[k].as_py() if batch.num_columns > 3 else None
+            yield batch.column(0)[k].as_py(), Piece(batch.column(1)[k].values, batch.column(2)[k].values, answers, slots, length, q)
 
 
-def _windows(texts: DataFrame, length: int, part: int, parts: int) -> DataFrame:
-    """(w, doc, at): of the windows of the stretches (lo, n) listed with each text in rows (doc, text, runs), those of one slice."""
-    kind = texts.schema["doc"].dataType.simpleString()
+def _named(rows: DataFrame, rounds: int, slots: int, length: int, q: int) -> DataFrame:
+    """(level, slot, piece, keys, firsts): the buckets of each piece in a round. The last bit of a key says whether
+    several documents of the piece are in the bucket; where order counts, firsts has the smallest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
-                prefix = Prefix(data)
-                for k in range(a, b):
-                    runs = batch.column(2)[k].values
-                    lo, n = runs.field(0).to_numpy(), runs.field(1).to_numpy()
-                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    at = at[at + length <= offsets[k - a + 1] - offsets[k - a]]
-                    w = prefix.of(at + offsets[k - a], at + offsets[k - a] + length)
-                    mine = w % np.uint64(parts) == part
-                    w, at = w[mine], at[mine]
-                    yield pa.RecordBatch.from_arrays([signed(w), batch.column(0).take(pa.array(np.full(len(at), k))), pa.array(at.astype(np.int32))], ["w", "doc", "at"])
-
-    return texts.select("doc", "text", "runs").mapInArrow(run, f"w bigint, doc {kind}, at int")
-
-
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(doc, start, stop): byte ranges of rows (doc_id, text) whose strings of `length` bytes also start in a document with a smaller id; ranges overlap."""
-    docs = docs.filter("doc_id is not null")
-    several = stored(_rows(docs, length, q, ("h",)).groupBy("h").count().filter("count > 1").select("h"))
-    placed = stored(with_ids(_rows(docs, length, q, ("h", "x", "doc", "lo", "n")), several, "h", BROADCAST_BUCKETS))
-    discard(several)
-    pointers = stored(placed.groupBy("x").agg(F.min("doc").alias("first")))
-    # the places of the first document keep their bucket: all of them are opened, not one for each stretch
-    marked = placed.join(pointers, "x").select("doc", "lo", "n", F.when(F.col("doc") == F.col("first"), F.col("h")).alias("h"))
-    marked = stored(marked)
-    discard(placed)
-    discard(pointers)
-    whole = marked.filter("h is null").select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("stop"))
-    whole = stored(whole)
-    opened = marked.filter("h is not null")
-    open_buckets = opened.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h")
-    runs = opened.join(open_buckets, "h").groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
-    texts = stored(docs.select(F.col("doc_id").alias("doc"), "text").join(runs, "doc"))
-    discard(marked)
-    out = whole
-    for part in range(SLICES):
-        windows = stored(_windows(texts, length, part, SLICES))
-        again = stored(windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w", "first"))
-        single = windows.join(again, "w").filter(F.col("doc") > F.col("first")).select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-        out = out.unionByName(stored(single))
-        discard(windows)
-    discard(texts)
-    return out
+        for name, piece in _each(batches, slots, length, q):
+            for level, buckets in piece.refine(rounds)[0].items():
+                bounds = buckets.bounds(slots)
+                used = np.flatnonzero(np.diff(bounds))
+                ends = pa.array(np.append(bounds[used], bounds[-1]).astype(np.int32))
+                keys = buckets.keys & ~np.uint64(1) | buckets.several.astype(np.uint64)
+                firsts = pa.ListArray.from_arrays(ends, pa.array(buckets.first)) if level in (STRETCH, WINDOW) else pa.nulls(len(used), pa.list_(pa.int64()))
+                column = lambda v, kind: pa.array(np.full(len(used), v), kind)
+                yield pa.RecordBatch.from_arrays([column(level, pa.int32()), pa.array(used.astype(np.int32)), column(name, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), firsts], ["level", "slot", "piece", "keys", "firsts"])
+
+    return rows.mapInArrow(run, "level int, slot int, piece bigint, keys array<bigint>, firsts array<bigint>")
+
+
+def _sorted_buckets(table: pa.Table) -> pa.Table:
+    """A bit for each bucket that each piece named in one slot: whether another document, or a smaller one where order counts, has it."""
+    column = table["keys"].combine_chunks()
+    sizes = column.value_lengths().to_numpy()
+    keys = column.flatten().to_numpy().view(np.uint64)
+    order = np.argsort(keys >> np.uint64(1), kind="stable")
+    k = keys[order] >> np.uint64(1)
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    n = np.diff(np.append(at, len(k)))
+    if table["firsts"].null_count:
+        yes = np.repeat((n > 1) | (np.bitwise_or.reduceat(keys[order], at) & np.uint64(1)).astype(bool), n)
+    else:
+        firsts = table["firsts"].combine_chunks().flatten().to_numpy()[order]
+        yes = firsts > np.repeat(np.minimum.reduceat(firsts, at), n)
+    bits = np.empty(len(k), bool)
+    bits[order] = yes
+    packed = [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
+    return pa.table({"piece": table["piece"], "level": table["level"], "slot": table["slot"], "bits": pa.array(packed, pa.binary())})
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, with_bytes: bool = False) -> DataFrame:
@@ -158,40 +250,45 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Every byte goes that lies in a string of `length` bytes which also starts in
     a document with a smaller id; strings never cross documents, overlaps count,
-    and all is judged on the input. Texts are their UTF-8 bytes. Null and empty
-    texts, and texts shorter than length, lose nothing. Rows that repeat an id
-    and text each lose what that document loses; one id given to different texts
-    loses in each of them the ranges found for any. Rows with a null id take no
-    part and keep all. Other columns are ignored; an empty table gives an empty
-    result.
+    and all is judged on the input. Ids are integers. Texts are their UTF-8
+    bytes. Null and empty texts, and texts shorter than length, lose nothing.
+    Rows with the same id are no smaller than each other, so repeated rows come
+    back alike. Rows with a null id take no part and keep all. Other columns are
+    ignored; an empty table gives an empty result.
     """
     docs = id_and_text(df, id_col, text_col)
-    ranges = repeated_ranges(docs, length, q).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = docs.join(ranges, docs["doc_id"] == ranges["doc"], "left").select("doc_id", "text", "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are integers here, not {kind}")
+    parts = stored(_pieces(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))))
+    slots = -(-max(parts.count(), 1) // PIECES_A_SLOT)
+    answers, rows = None, parts
+    for rounds in range(3):
+        named = _named(rows, rounds, slots, length, q)
+        judged = stored(named.groupBy("level", "slot").applyInArrow(_sorted_buckets, "piece bigint, level int, slot int, bits binary"))
+        answers = judged if answers is None else answers.unionByName(judged)
+        rows = parts.join(answers.groupBy("piece").agg(F.collect_list(F.struct("level", "slot", "bits")).alias("answers")), "piece", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, n_removed, n_spans, digests, bodies = [], [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                gone = np.zeros(len(data), bool)
-                if found.is_valid and len(data):
-                    depth = np.zeros(len(data) + 1, np.int64)
-                    for side, step in ((0, 1), (1, -1)):
-                        np.add.at(depth, np.minimum(found.values.field(side).to_numpy(), len(data)), step)
-                    gone = np.cumsum(depth[:-1]) > 0
-                kept = data[~gone].tobytes()
-                n_bytes.append(len(data))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0)
-                digests.append(hashlib.sha256(kept).hexdigest())
-                bodies.append(kept)
-            out = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_bytes:
-                out.append(pa.array(bodies, pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
+            for k in range(batch.num_rows):
+                ids = batch.column(1)[k].values
+                piece = Piece(ids, batch.column(2)[k].values, batch.column(3)[k].as_py(), slots, length, q)
+                _, starts, ends = piece.refine(3)
+                size = len(piece.data)
+                gone = np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[:-1] > 0
+                edge = gone & ~np.append(False, gone[:-1])[:size]
+                edge[piece.offsets[:-1][piece.offsets[:-1] < size]] |= gone[piece.offsets[:-1][piece.offsets[:-1] < size]]
+                total, spans = (np.concatenate([[0], np.cumsum(v)]) for v in (gone, edge))
+                left, cut = piece.data[~gone].tobytes(), piece.offsets - total[piece.offsets]
+                bodies = [left[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                counts = [np.diff(piece.offsets), np.diff(total[piece.offsets]), np.diff(spans[piece.offsets])]
+                out = [ids, *(pa.array(c.astype(np.int64)) for c in counts), pa.array([hashlib.sha256(x).hexdigest() for x in bodies], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if with_bytes:
+                    out.append(pa.array(bodies, pa.binary()))
+                    names.append("kept")
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    judged = rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
+    return judged.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -6,12 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rippleframe.llm import bpe, decontam, lines, linking, pii, qda, rules, suffixes, superminhash, toxicity, urls
 from rippleframe.llm import queries as registered
-from rippleframe.llm.wordbytes import mix
+from rippleframe.llm.wordbytes import flat, mix
 from tests.compare import differences
 
 SF = "/root/testdata/sf0.001"
@@ -210,10 +211,10 @@ def brute_repeats(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("by_shuffle", [False, True])
-def test_repeated_strings(spark, monkeypatch, by_shuffle):
-    if by_shuffle:
-        monkeypatch.setattr(suffixes, "BROADCAST_BUCKETS", 0)
+@pytest.mark.parametrize(("text", "per_slot"), [(suffixes.PIECE_TEXT, suffixes.PIECES_A_SLOT), (3000, 1)])
+def test_repeated_strings(spark, monkeypatch, text, per_slot):
+    monkeypatch.setattr(suffixes, "PIECE_TEXT", text)
+    monkeypatch.setattr(suffixes, "PIECES_A_SLOT", per_slot)
     p = "The quick brown fox jumps over the lazy dog again and again, é" + "abc" * 30
     rows = sample(spark, 60) + HARD + [(1001, p), (1002, "pre " + p[5:] + " post"), (1003, "a" * 300), (1004, "a" * 50), (1005, "b" + "a" * 60), (1006, p[:50]), (1007, p[:49]), (1002, "pre " + p[5:] + " post")]
     got = Counter((key(r.doc_id), *r[1:]) for r in suffixes.remove_repeats(frame(spark, rows)).collect())
@@ -233,6 +234,41 @@ def test_every_place_of_a_repeat_in_one_document(spark):
     assert got == brute_repeats(rows)
 
 
+def test_suffixes_of_a_long_text(monkeypatch):
+    """Ranking and hashing in parts leave out no window and change no result."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcde ") for _ in range(r.randrange(3, 90))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 300, 1, 40, 500, 2, 3)]
+    ids, texts = pa.array([4, 9, 1, None, 5, 6, 6]), pa.array(texts)
+    data, offsets = flat(texts)
+    live = np.array([True, True, True, False, True, True, True])
+
+    def result():
+        answers = []
+        for rounds in range(3):
+            for level, b in suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(rounds)[0].items():
+                firsts = pa.array([b.first.tolist() if level in (suffixes.STRETCH, suffixes.WINDOW) else None], pa.list_(pa.int64()))
+                keys = (b.keys & ~np.uint64(1) | b.several.astype(np.uint64)).view(np.int64)
+                answers += suffixes._sorted_buckets(pa.table({"piece": [0], "level": [level], "slot": [0], "keys": [keys.tolist()], "firsts": firsts})).to_pylist()
+        _, starts, ends = suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(3)
+        return {k for a, b in zip(starts, ends, strict=True) for k in range(a, b)}
+
+    whole = result()
+    for part in (64, 200, 1000):
+        monkeypatch.setattr(suffixes, "RANKED", part)
+        monkeypatch.setattr(suffixes, "HASHED", part)
+        _, at, low, n, doc = suffixes.anchors(data, offsets, live)
+        covered = np.concatenate([np.arange(a, a + c) for a, c in zip(low, n, strict=True)])
+        every = [k for d in range(7) if live[d] for k in range(offsets[d], offsets[d + 1] - 49)]
+        assert sorted(covered) == every and (offsets[doc] <= low).all() and (at - low >= n - 1).all() and (at - low <= 30).all()
+        assert result() == whole
+    first = {}
+    for d, i in enumerate(ids.to_pylist()):
+        for k in range(offsets[d], offsets[d + 1] - 49) if i else ():
+            first[bytes(data[k : k + 50])] = min(first.get(bytes(data[k : k + 50]), i), i)
+    assert whole == {k + x for d, i in enumerate(ids.to_pylist()) for k in (range(offsets[d], offsets[d + 1] - 49) if i else ()) if first[bytes(data[k : k + 50])] < i for x in range(50)}
+
+
 # ---- 6, 8
 
 
