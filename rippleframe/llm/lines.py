@@ -1,12 +1,18 @@
 """Line dedup (operator 7): segment-partition edit join.
 
-The threshold grows with the length of the shorter line. Lines within it share,
-of threshold-plus-one segments of the shorter one, at least one unchanged and
-moved by no more places than there are segments before it (pigeonhole, counted
-from the left). Segments have one length within a class of line lengths, so a
-probe needs no guess of the other line's length. Candidates are verified by a
-banded bit-parallel edit distance. Lengths, positions and edits count code
-points; only the floor of the edit join counts bytes.
+The threshold grows with the length of the shorter line. Of threshold-plus-one
+segments of the shorter line, half are counted from its left end and half from
+its right end. Lines within the threshold share at least one segment unchanged,
+moved by no more places from that end than there are segments before it: else
+every segment would cost an edit. Segments have one length within a class of
+line lengths, so a probe needs no guess of the other line's length. Candidates
+are verified by a banded bit-parallel edit distance. Lengths, positions and
+edits count code points.
+
+Segments and probes travel as arrays, one row for each run of lines and range
+of keys; only those of buckets that hold several lines, one of them by a
+segment, become rows. Members of a bucket that is crowded with unlinked lines
+meet again over their rarest q-grams (an exact filter) instead of all with all.
 """
 
 from __future__ import annotations
@@ -18,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.linking import linked_groups
-from rippleframe.llm.tables import discard, stored, with_ids
+from rippleframe.llm.linking import Near, linked_groups
+from rippleframe.llm.tables import stored, with_ids
 from rippleframe.llm.wordbytes import SPACES, Prefix, mix, pieces, signed
 
-#: One edit for so many code points of the shorter line, up to so many; lines under MIN_BYTES have only exact repeats.
+#: One edit for so many code points of the shorter line, up to so many.
 PER_EDIT, MOST_EDITS = 12, 8
-MIN_BYTES = 16
-#: Keys are counted in so many slices, one after the other, to bound what lies on disk at a time.
-SLICES = 4
+#: Keys are sorted in so many slices, one after the other, to bound what lies on disk at a time.
+SLICES = 2
+#: Bytes of text whose lines or keys go into one row a slot; different lines, and keys, of a slot on average.
+RUN_BYTES, LINES_A_SLOT, KEYS_A_SLOT = 2 << 20, 50_000, 1_000_000
+#: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; unlinked members that crowd a bucket.
+SKETCH, GRAM, COUNTERS, CROWD = 4, 5, 18, 64
 
 
 def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,12 +59,18 @@ def length_classes(longest: int, edits: int | None) -> tuple[np.ndarray, np.ndar
     top, most = (PER_EDIT * MOST_EDITS, MOST_EDITS) if edits is None else (edits + 1, edits)
     while not low or top <= longest:
         low.append((top, most))
-        top *= 2
+        top += max(top // 4, most + 1)
     return np.array([x for x, _ in low]), np.array([t for _, t in low])
 
 
+def probes(tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, whether from the right, move) of the substrings that stand for tau edits."""
+    own = [(i, side, move) for side, n in ((0, tau // 2 + 1), (1, tau - tau // 2)) for i in range(n) for move in range(-i, i + 1)]
+    return tuple(np.array(c) for c in zip(*own, strict=True))
+
+
 def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, keys, indexed): bucket keys of the segments of each line and of the substrings it probes with."""
+    """(lines, keys, indexed): bucket keys of the substrings each line probes with; indexed are those of its own segments."""
     prefix = Prefix(data)
     place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each code point
     starts = np.searchsorted(place, offsets)
@@ -66,24 +81,26 @@ def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tu
     below = np.flatnonzero((own > 0) & (length < base[own] + tau[own - 1]))
     line = np.concatenate([np.flatnonzero(own >= 0), below])
     k = np.concatenate([own[own >= 0], own[below] - 1])
-    indexed = own[line] == k
-    size = base[k] // (tau[k] + 1)
-    out = []
-    for i in range(int(tau.max()) + 1):
-        where = mix(k.astype(np.uint64) * np.uint64(64) + np.uint64(i))
-        for move in range(-i, i + 1):
-            at = i * size + move
-            ok = np.flatnonzero((tau[k] >= i) & (at >= 0) & (at + size <= length[line]))
-            s = starts[line[ok]] + at[ok]
-            out.append((line[ok], mix(prefix.of(place[s], place[s + size[ok]]) ^ where[ok]), indexed[ok] & (move == 0)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
+    for t in np.unique(tau[k]):
+        rows = np.flatnonzero(tau[k] == t)
+        i, right, move = probes(int(t))
+        size = (base[k[rows]] // (t + 1))[:, None]
+        at = np.where(right, length[line[rows]][:, None] - (i + 1) * size, i * size) + move
+        fits = (at >= 0) & (at + size <= length[line[rows]][:, None])
+        kind = mix((k[rows][:, None] * 64 + i * 2 + right).astype(np.uint64))
+        s = (starts[line[rows]][:, None] + at)[fits]
+        keys = mix(prefix.sum(place[s], place[s + np.broadcast_to(size, at.shape)[fits]]) ^ kind[fits])
+        indexed = (own[line[rows]] == k[rows])[:, None] & (move == 0)
+        found.append((np.broadcast_to(line[rows][:, None], at.shape)[fits], keys, indexed[fits]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`.
 
-    Bit o of a level says that i = j + o - edits bytes of a can stand against j
-    bytes of b with so many edits: a band of 2 * edits + 1 diagonals.
+    Bit o of a level says that i = j + o - edits code points of a can stand against j
+    of b with so many edits: a band of 2 * edits + 1 diagonals.
     """
     if abs(len(a) - len(b)) > edits:
         return False
@@ -111,9 +128,12 @@ def within(a: bytes | str, b: bytes | str, edits: int) -> bool:
     return bool(level[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def _ids(prefix: Prefix, starts: np.ndarray, ends: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    use = np.flatnonzero(ends - starts >= min_bytes)
-    return use, prefix.of(starts[use], ends[use])
+def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots in use, where each begins among the sorted hashes h; the end is added): even ranges of hashes."""
+    edges = np.array([(j << 64) // slots for j in range(1, slots)], np.uint64)
+    bounds = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+    used = np.flatnonzero(np.diff(bounds))
+    return used, np.append(bounds[used], len(h)).astype(np.int32)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -133,60 +153,146 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, line int, id bigint")
 
 
-def line_texts(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, body) of the different lines of at least min_bytes bytes."""
+def line_texts(docs: DataFrame, slots: int) -> DataFrame:
+    """(id, body) of the different lines with a word of rows (doc_id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(2)):
+            for _, _, data, offsets in pieces(batch.column(2), RUN_BYTES):
                 starts, ends, _, _ = line_ranges(data, offsets)
-                use, found = _ids(Prefix(data), starts, ends, min_bytes)
-                found, first = np.unique(found, return_index=True)
+                inked = np.concatenate([[0], np.cumsum(~SPACES[data])])
+                use = np.flatnonzero(inked[ends] > inked[starts])
+                found, first = np.unique(Prefix(data).of(starts[use], ends[use]), return_index=True)
                 whole = data.tobytes()
-                yield pa.RecordBatch.from_arrays([signed(found), pa.array([whole[x:y] for x, y in zip(starts[use[first]], ends[use[first]], strict=True)], pa.binary())], ["id", "body"])
+                bodies = pa.array([whole[x:y] for x, y in zip(starts[use[first]], ends[use[first]], strict=True)], pa.binary())
+                used, bounds = _slots(found, slots)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(found)), pa.ListArray.from_arrays(bounds, bodies)], ["slot", "ids", "bodies"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "id bigint, body binary").dropDuplicates(["id"])
+    def once(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(table["ids"].combine_chunks().flatten().to_numpy(), return_index=True)
+        return pa.table({"id": ids, "body": table["bodies"].combine_chunks().flatten().take(pa.array(first))})
 
+    rows = docs.select("doc_id", "th", "text").mapInArrow(run, "slot int, ids array<bigint>, bodies array<binary>")
+    return rows.groupBy("slot").applyInArrow(once, "id bigint, body binary")
 
-def parity(data: bytes) -> int:
-    """64 bits, each the parity of the code points that fall to it: an edit changes at most two."""
-    n = np.bincount(np.frombuffer(data.decode().encode("utf-32-le"), np.uint32) & 63, minlength=64) & 1
-    return int(np.packbits(n.astype(np.uint8)).view(np.int64)[0])
 
-
-def bucket_keys(texts: DataFrame, edits: int | None, part: int, parts: int) -> DataFrame:
-    """(key, anchor) of the segments and probes of lines (id, body), those of one slice."""
+def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int) -> DataFrame:
+    """(key, id, anchor) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(1)):
-                _, keys, indexed = segment_keys(data, offsets, edits)
-                mine = keys % np.uint64(parts) == part
-                yield pa.RecordBatch.from_arrays([signed(keys[mine]), pa.array(indexed[mine])], ["key", "anchor"])
+            for a, b, data, offsets in pieces(batch.column(1), rows=batch.num_rows):
+                ids = batch.column(0).slice(a, b - a)
+                at, keys, indexed = segment_keys(data, offsets, edits)
+                keys = keys & ~np.uint64(1) | indexed.astype(np.uint64)  # the last bit tells segments from probes
+                mine = np.flatnonzero((keys >> np.uint64(1)) % np.uint64(parts) == part)
+                mine = mine[np.argsort(keys[mine], kind="stable")]
+                used, bounds = _slots(keys[mine], slots)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(keys[mine])), pa.ListArray.from_arrays(bounds, ids.take(pa.array(at[mine])))], ["slot", "keys", "ids"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        keys, ids = (table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "ids"))
+        order = np.lexsort((ids, keys >> 1))
+        k, i, anchor = (keys >> 1)[order], ids[order], (keys & 1).astype(bool)[order]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        n = np.diff(np.append(at, len(k)))
+        several = np.minimum.reduceat(i, at) < np.maximum.reduceat(i, at)
+        kept = np.repeat(several & np.logical_or.reduceat(anchor, at), n)
+        return pa.table({"key": k[kept], "id": i[kept], "anchor": anchor[kept]})
+
+    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint, anchor boolean")
 
-    return texts.select("id", "body").mapInArrow(run, "key bigint, anchor boolean")
 
+def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, line of each) of a run of lines."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    return points, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
 
-def bucket_members(texts: DataFrame, edits: int | None, part: int, parts: int) -> DataFrame:
-    """(key, id, anchor, size, bits) of lines (id, body), those of one slice; size and bits bound the edits between two lines."""
+
+def line_traits(texts: DataFrame) -> DataFrame:
+    """(id, traits) of lines (id, body): code points, and bits of which each is the parity of the pairs of neighbours
+    that fall to it. An edit changes at most four pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(1)):
-                ids = batch.column(0).slice(a, b - a)
-                bodies = [data[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                lengths, bits = np.array([len(x.decode()) for x in bodies], np.int64), np.array([parity(x) for x in bodies], np.int64)
-                at, keys, indexed = segment_keys(data, offsets, edits)
-                mine = keys % np.uint64(parts) == part
-                at, keys, indexed = at[mine], keys[mine], indexed[mine]
-                yield pa.RecordBatch.from_arrays([signed(keys), ids.take(pa.array(at)), pa.array(indexed), pa.array(lengths[at]), pa.array(bits[at])], ["key", "id", "anchor", "size", "bits"])
+                points, line = _code_points(data, offsets)
+                pairs = np.flatnonzero(line[1:] == line[:-1])
+                bit = (mix(points[pairs].astype(np.uint64) << np.uint64(32) | points[pairs + 1]) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+                flips = np.bincount(line[pairs] * (64 * SKETCH) + bit.astype(np.int64), minlength=(b - a) * 64 * SKETCH) % 2
+                sketch = np.packbits(flips.astype(np.uint8).reshape(b - a, -1), axis=1).view(np.int64)
+                size = np.bincount(line, minlength=b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(sketch[:, k].copy()) for k in range(SKETCH))], ["id", "size", *(f"s{k}" for k in range(SKETCH))])
+
+    columns = ["size", *(f"s{k}" for k in range(SKETCH))]
+    return texts.select("id", "body").mapInArrow(run, "id bigint, " + ", ".join(f"{c} bigint" for c in columns)).select("id", F.struct(*columns).alias("traits"))
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line, code points of each line): the different grams of GRAM code points of each line."""
+    points, line = _code_points(data, offsets)
+    length = np.bincount(line, minlength=len(offsets) - 1)
+    if len(points) < GRAM:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), length
+    at = np.flatnonzero(line[: len(line) - GRAM + 1] == line[GRAM - 1 :])
+    h = np.zeros(len(at), np.uint64)
+    for i in range(GRAM):
+        h = mix(h * np.uint64(3) + points[at + i])
+    first = np.unique(mix(h ^ mix(line[at].astype(np.uint64))), return_index=True)[1]
+    return h[first], line[at[first]], length
+
+
+def rare_grams(texts: DataFrame, edits: int | None) -> DataFrame:
+    """(key, id) of the rarest grams of lines (id, body): enough that two lines within the threshold share one.
+
+    t edits spoil at most GRAM * t grams of a line, so in any common order the first GRAM * t + 1 of two such lines
+    meet. The order is by counters that many grams share, 2**COUNTERS of them in all, so they fit into every task.
+    A line with no more grams than can be spoiled has no such guarantee: those meet by their length.
+    """
+    places = np.uint64((1 << COUNTERS) - 1)
 
-    return texts.select("id", "body").mapInArrow(run, "key bigint, id bigint, anchor boolean, size bigint, bits bigint")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(1)):
+                total += np.bincount((_grams(data, offsets)[0] & places).astype(np.int64), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["place", "n"])
 
+    counted = texts.select("id", "body").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()  # at most 2**COUNTERS rows
+    known = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64)
 
-def line_classes(docs: DataFrame, edits: int | None, min_bytes: int) -> DataFrame:
-    """(id, label) of the lines of rows (doc_id, th, text) that have another one within the threshold, by links or chains of links."""
-    texts = stored(line_texts(docs, min_bytes))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(1 << COUNTERS, np.int64)
+        often[known[0]] = known[1]
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(1)):
+                h, line, length = _grams(data, offsets)
+                tau = np.minimum(length // PER_EDIT, MOST_EDITS) if edits is None else np.full(len(length), edits)
+                order = np.lexsort((h, often[(h & places).astype(np.int64)], line))
+                h, line = h[order], line[order]
+                n = np.bincount(line, minlength=len(length))
+                keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) <= GRAM * tau[line]
+                few = np.flatnonzero((n <= GRAM * tau) & (tau > 0))
+                step = length[few] // ((MOST_EDITS if edits is None else edits) + 1)
+                at = np.concatenate([line[keep], few, few])
+                keys = np.concatenate([h[keep], mix(step.astype(np.uint64) + np.uint64(1 << 32)), mix(step.astype(np.uint64) + np.uint64((1 << 32) + 1))])
+                yield pa.RecordBatch.from_arrays([signed(keys), batch.column(0).slice(a, b - a).take(pa.array(at))], ["key", "id"])
+
+    return texts.select("id", "body").mapInArrow(run, "key bigint, id bigint")
+
+
+def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> DataFrame:
+    """(id, label) of the stored lines (id, body) that have another one within the threshold, by links or chains of links."""
+    slots = -(-max(texts.count(), 1) * 45 // (SLICES * KEYS_A_SLOT))  # about 45 keys a line
+    members = None
+    for part in range(SLICES):
+        mine = stored(bucket_members(texts, edits, slots, part, SLICES))
+        members = mine if members is None else members.unionByName(mine)
+    ids = stored(members.select("id").distinct())
+    near = stored(with_ids(texts, ids, "id"))
+    traits = stored(line_traits(near))
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,30 +303,29 @@ def line_classes(docs: DataFrame, edits: int | None, min_bytes: int) -> DataFram
                     keep.append(within(x, y, min(min(len(x), len(y)) // PER_EDIT, MOST_EDITS) if edits is None else edits))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        both = pairs.join(near.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(near.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
     def possible(x: F.Column, y: F.Column) -> F.Column:
         most = F.least(F.floor(F.least(x["size"], y["size"]) / PER_EDIT), F.lit(MOST_EDITS)) if edits is None else F.lit(edits)
-        return (F.abs(x["size"] - y["size"]) <= most) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * most)
+        apart = F.lit(0)
+        for k in range(SKETCH):
+            apart = apart + F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"]))
+        return (F.abs(x["size"] - y["size"]) <= most) & (apart <= 4 * most)
 
-    # most keys occur once, or only among probes: they go before ids and traits are attached
-    members = None
-    for part in range(SLICES):
-        counted = bucket_keys(texts, edits, part, SLICES).groupBy("key").agg(F.count("*").alias("n"), F.max("anchor").alias("some"))
-        several = stored(counted.filter("n > 1 and some").select("key"))
-        mine = stored(with_ids(bucket_members(texts, edits, part, SLICES), several, "key").select("key", "id", "anchor", F.struct("size", "bits").alias("traits")))
-        discard(several)
-        members = mine if members is None else members.unionByName(mine)
-    return linked_groups(members, verified, possible)[0]
+    def refined(crowded: DataFrame) -> tuple[DataFrame, Near]:
+        return rare_grams(stored(with_ids(near, crowded, "id")), edits).join(traits, "id"), possible
+
+    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd)[0]
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, text (without the removed lines) and the columns named in keep.
 
-    Lines with a word fall into classes: equal lines and, from min_bytes bytes
-    on, lines linked by at most `edits` edits; by default by one edit for every
-    PER_EDIT code points of the shorter line, up to MOST_EDITS. Of a class the
+    Lines with a word fall into classes: equal lines, and lines linked by at most
+    `edits` edits (only lines longer than that link); by default by one edit for every
+    PER_EDIT code points of the shorter line, up to MOST_EDITS, so lines under PER_EDIT
+    code points have only equal ones. Of a class the
     line with the smallest (doc_id, line number) stays and all others are
     removed; lines without a word stay.
     A null or empty text has one empty line and loses nothing, the null comes
@@ -234,7 +339,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *kept)
     known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
     lines = stored(occurrences(known))
-    groups = line_classes(known, edits, min_bytes)
+    texts = stored(line_texts(known, -(-max(lines.count(), 1) // LINES_A_SLOT)))
+    groups = line_classes(texts, edits)
     first = F.min(F.struct("doc_id", "th", "line")).alias("first")
     seen = F.max(F.struct("doc_id", "th", "line")).alias("last")
     own = lines.groupBy("id").agg(first, seen).join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))

@@ -1,11 +1,11 @@
 """Links and connected groups from buckets, without listing the pairs of a bucket.
 
 Members that share a bucket are candidates. A bucket first links its members to
-its smallest one (a star). Only then, and only where members of a bucket still
-lie in different groups, the members outside the bucket's largest group meet
-the members of the other groups. So a bucket of many copies costs as many pairs
-as it has members, and yet every candidate pair is either checked or already
-connected: the groups are those of all links.
+one of them, another one in each bucket (a star). Only then, and only where
+members of a bucket still lie in different groups, the members outside the
+bucket's largest group meet the members of the other groups. So a bucket of many
+copies costs as many pairs as it has members, and yet every candidate pair is
+either checked or already connected: the groups are those of all links.
 """
 
 from __future__ import annotations
@@ -41,53 +41,62 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(members: DataFrame, extra: list[str]) -> DataFrame:
-    """(key, id, *extra, centre, centre_traits) of the members of buckets with two ids or more."""
-    low, last = F.min(F.struct("id", *extra)).alias("c"), F.max("id").alias("last")
+    """(key, id, *extra, centre, centre_traits) of the members of buckets with two ids or more; centres differ between buckets."""
     some = [F.max("anchor").alias("some")] if "anchor" in members.columns else []
-    stars = members.groupBy("key").agg(low, last, *some).filter("c.id < last" + " and some" * len(some))
+    stars = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id", *extra)).alias("c"), F.min("id").alias("low"), F.max("id").alias("last"), *some).filter("low < last" + " and some" * len(some))
     stars = stars.select("key", F.col("c.id").alias("centre"), *[F.col("c.traits").alias("centre_traits")] * len(extra))
     return stored(members.select("key", "id", *extra).join(stars, "key").distinct())
 
 
-def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> tuple[DataFrame, DataFrame]:
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0) -> tuple[DataFrame, DataFrame]:
     """(groups, links) of members (key, id), with `traits` if near is given and, at will, `anchor`.
 
     check keeps those of its stored pairs (a, b), a < b, that are links; near is
-    a necessary condition on the traits of two members; with anchors, buckets without one are
-    skipped. refine, given the stored (id) of all members of buckets that the
-    stars left in several groups, returns finer members of them, in whose
-    buckets all their links can be found too, with their own near. groups has (id, label) of linked
-    ids. Without buckets of two ids both are empty.
+    a necessary condition on the traits of two members; with anchors, buckets
+    without one are skipped. refine, given the stored (id) of all members of
+    buckets that the stars left in several groups and with over `crowd` members,
+    returns finer members of them, in whose buckets all their links can be found
+    too, with their own near; these take the place of those buckets. groups has
+    (id, label) of linked ids. Without buckets of two ids both are empty.
     """
-    extra = ["traits"] if near else []
-    fits = lambda x, y: near(F.col(x), F.col(y)) if near else F.lit(True)
 
-    def stars(buckets: DataFrame) -> DataFrame:
-        return buckets.filter((F.col("id") > F.col("centre")) & fits("traits", "centre_traits")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    def fits(x: str, y: str, near: Near | None) -> F.Column:
+        return near(F.col(x), F.col(y)) if near else F.lit(True)
+
+    def stars(buckets: DataFrame, near: Near | None) -> DataFrame:
+        pairs = buckets.filter((F.col("id") != F.col("centre")) & fits("traits", "centre_traits", near))
+        return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
-    def open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    def open_members(buckets: DataFrame, groups: DataFrame, extra: list[str]) -> DataFrame:
         placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y").select("key", (F.col("n") > crowd).alias("crowded"))
         return stored(placed.join(several, "key"))
 
+    def crossed(placed: DataFrame, near: Near | None, extra: list[str]) -> DataFrame:
+        largest = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"))
+        placed = placed.join(largest, "key")
+        rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("traits").alias("i_traits")] * len(extra), F.col("label").alias("i_label"))
+        pairs = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("traits", "i_traits", near))
+        return pairs.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+
+    extra = ["traits"] if near else []
     buckets = _buckets(members, extra)
-    tried = stored(stars(buckets))
+    tried = stored(stars(buckets, near))
     links = stored(check(tried))
     groups = components(links)
-    placed = open_members(buckets, groups)
+    placed = open_members(buckets, groups, extra)
     if refine:
-        members, near = refine(stored(placed.select("id").distinct()))
-        extra = ["traits"]
-        buckets = _buckets(members, extra)
-        fresh = stored(stars(buckets).join(tried, ["a", "b"], "left_anti"))
+        finer, finer_near = refine(stored(placed.filter("crowded").select("id").distinct()))
+        buckets = _buckets(finer, ["traits"])
+        fresh = stored(stars(buckets, finer_near).join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.unionByName(fresh), links.unionByName(stored(check(fresh)))
         groups = components(links)
-        placed = open_members(buckets, groups)
-    largest = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"))
-    placed = placed.join(largest, "key")
-    rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("traits").alias("i_traits")] * len(extra), F.col("label").alias("i_label"))
-    crossed = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("traits", "i_traits"))
-    untried = stored(crossed.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        more = crossed(open_members(buckets, groups, ["traits"]), finer_near, ["traits"])
+        if crowd:
+            more = more.unionByName(crossed(placed.filter("not crowded"), near, extra))
+    else:
+        more = crossed(placed, near, extra)
+    untried = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))
     more = stored(check(untried))
     if not more.head(1):
         return groups, links

@@ -8,18 +8,19 @@ each round working on what the rounds before left open:
 0. Of the q-grams of a 50-byte window the one with the smallest hash stands for
    the window, so one suffix in about fifteen is placed. Its windows start 0 to
    30 bytes before it.
-1. Open buckets are refined by the identifiers at the offsets that all windows
-   starting 0 to 15, or 16 to 30, bytes before the suffix share, and by the
-   identifier of the whole stretch that the suffix's windows cover. A stretch
-   that a smaller document has is repeated as a whole and goes no further.
-2. What is still open is refined to the full depth, window by window.
+1. Open buckets are refined by the identifier of the whole stretch that the
+   suffix's windows cover. A stretch that a smaller document has is repeated as
+   a whole; only its first document's goes on.
+2. What is left is refined by the identifiers at the offsets that all windows
+   starting 0 to 15, or 16 to 30, bytes before the suffix share.
+3. What is still open is refined to the full depth, window by window.
 
 In every round each piece of the corpus names its buckets once, with the
 smallest document that it has there; the names are sorted by ranges of their
 identifiers, and each piece gets back a bit for each of its buckets. So a
 bucket that a third of all documents share costs a row for each piece.
-Identifiers are 64-bit hashes of the bytes: with n of them in the last two
-rounds two different strings of a corpus fall together with a probability of
+Identifiers are 64-bit hashes of the bytes: with n of them in the stretch
+and window rounds two different strings of a corpus fall together with a probability of
 about n * n / 2**65 (n = 10**7: 3e-6).
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import discard, id_and_text, stored
+from rippleframe.llm.tables import id_and_text, stored, tidy
 from rippleframe.llm.wordbytes import Prefix, flat, mix, pieces
 
 LENGTH, Q = 50, 20
@@ -41,7 +42,7 @@ LENGTH, Q = 50, 20
 PIECE_TEXT, HASHED, RANKED = 2 << 20, 1 << 20, 1 << 17
 #: Pieces whose buckets of one round make up one range of identifiers on average: about 16 MB of them.
 PIECES_A_SLOT = 16
-GRAM, HALF, STRETCH, WINDOW = range(4)
+GRAM, STRETCH, HALF, WINDOW = range(4)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -150,42 +151,44 @@ class Piece:
         row = np.repeat(np.arange(len(at)), n)
         return row, at[row] - low[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
 
-    def refine(self, rounds: int) -> tuple[dict[int, Buckets], np.ndarray, np.ndarray]:
-        """(buckets by level of round `rounds`, starts, ends of what is known to be repeated)."""
+    def refine(self, rounds: int) -> tuple[Buckets | None, np.ndarray, np.ndarray]:
+        """(buckets of a round, starts, ends of what is repeated): the buckets before the last answer, the ranges after it."""
         length, reach = self.length, self.length - self.q
         none = np.zeros(0, np.int64)
         h, at, low, n, doc = anchors(self.data, self.offsets, self.live, length, self.q)
         grams = Buckets(h, self.ids[doc])
-        if rounds == 0:
-            return {GRAM: grams}, none, none
+        if rounds == GRAM:
+            return grams, none, none
         go = np.flatnonzero(self.answered(GRAM, grams)[grams.of])
         at, low, n, doc = at[go], low[go], n[go], doc[go]
         stretches = Buckets(hashes(self.data, low, low + n - 1 + length, 2 * length), self.ids[doc])
+        if rounds == STRETCH:
+            return stretches, none, none
+        whole = self.answered(STRETCH, stretches)[stretches.of] | (self.ids[doc] > stretches.first[stretches.of])
         # the windows start near..far bytes before their suffix, in two halves
         far, half = at - low, (reach + 2) // 2
         near = far - n + 1
         rows, lows, highs, keys = [], [], [], []
         for k in (0, half):
             top = min(k + half - 1, reach)
-            row = np.flatnonzero((near <= top) & (far >= k))
+            row = np.flatnonzero((near <= top) & (far >= k) & ~whole)
             rows.append(row)
             lows.append(np.maximum(near[row], k))
             highs.append(np.minimum(far[row], top))
             keys.append(mix(hashes(self.data, at[row] - k, at[row] - top + length, 2 * length) + np.uint64(k)))
         row, lows, highs = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
         halves = Buckets(np.concatenate(keys), self.ids[doc[row]])
-        if rounds == 1:
-            return {HALF: halves, STRETCH: stretches}, none, none
-        whole = self.answered(STRETCH, stretches)[stretches.of] | (self.ids[doc] > stretches.first[stretches.of])
-        go = np.flatnonzero(self.answered(HALF, halves)[halves.of] & ~whole[row])
+        if rounds == HALF:
+            return halves, none, none
+        go = np.flatnonzero(self.answered(HALF, halves)[halves.of])
         some, start = self._windows(at[row[go]], lows[go], highs[go])
         owner = self.ids[doc[row[go][some]]]
         windows = Buckets(hashes(self.data, start, start + length, length), owner)
-        if rounds == 2:
-            return {WINDOW: windows}, none, none
+        if rounds == WINDOW:
+            return windows, none, none
         single = self.answered(WINDOW, windows)[windows.of] | (owner > windows.first[windows.of])
         starts = np.concatenate([low[whole], start[single]])
-        return {}, starts, np.concatenate([(low + n - 1)[whole], start[single]]) + length
+        return None, starts, np.concatenate([(low + n - 1)[whole], start[single]]) + length
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
@@ -208,21 +211,20 @@ def _each(batches: Iterator[pa.RecordBatch], slots: int, length: int, q: int) ->
 
 
 def _named(rows: DataFrame, rounds: int, slots: int, length: int, q: int) -> DataFrame:
-    """(level, slot, piece, keys, firsts): the buckets of each piece in a round. The last bit of a key says whether
+    """(slot, piece, keys, firsts): the buckets of each piece in a round. The last bit of a key says whether
     several documents of the piece are in the bucket; where order counts, firsts has the smallest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, piece in _each(batches, slots, length, q):
-            for level, buckets in piece.refine(rounds)[0].items():
-                bounds = buckets.bounds(slots)
-                used = np.flatnonzero(np.diff(bounds))
-                ends = pa.array(np.append(bounds[used], bounds[-1]).astype(np.int32))
-                keys = buckets.keys & ~np.uint64(1) | buckets.several.astype(np.uint64)
-                firsts = pa.ListArray.from_arrays(ends, pa.array(buckets.first)) if level in (STRETCH, WINDOW) else pa.nulls(len(used), pa.list_(pa.int64()))
-                column = lambda v, kind: pa.array(np.full(len(used), v), kind)
-                yield pa.RecordBatch.from_arrays([column(level, pa.int32()), pa.array(used.astype(np.int32)), column(name, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), firsts], ["level", "slot", "piece", "keys", "firsts"])
+            buckets = piece.refine(rounds)[0]
+            bounds = buckets.bounds(slots)
+            used = np.flatnonzero(np.diff(bounds))
+            ends = pa.array(np.append(bounds[used], bounds[-1]).astype(np.int32))
+            keys = buckets.keys & ~np.uint64(1) | buckets.several.astype(np.uint64)
+            firsts = pa.ListArray.from_arrays(ends, pa.array(buckets.first)) if rounds in (STRETCH, WINDOW) else pa.nulls(len(used), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), name)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), firsts], ["slot", "piece", "keys", "firsts"])
 
-    return rows.mapInArrow(run, "level int, slot int, piece bigint, keys array<bigint>, firsts array<bigint>")
+    return rows.mapInArrow(run, "slot int, piece bigint, keys array<bigint>, firsts array<bigint>")
 
 
 def _sorted_buckets(table: pa.Table) -> pa.Table:
@@ -242,7 +244,7 @@ def _sorted_buckets(table: pa.Table) -> pa.Table:
     bits = np.empty(len(k), bool)
     bits[order] = yes
     packed = [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
-    return pa.table({"piece": table["piece"], "level": table["level"], "slot": table["slot"], "bits": pa.array(packed, pa.binary())})
+    return pa.table({"piece": table["piece"], "slot": table["slot"], "bits": pa.array(packed, pa.binary())})
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, with_bytes: bool = False) -> DataFrame:
@@ -263,9 +265,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = stored(_pieces(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))))
     slots = -(-max(parts.count(), 1) // PIECES_A_SLOT)
     answers, rows = None, parts
-    for rounds in range(3):
+    for rounds in (GRAM, STRETCH, HALF, WINDOW):
         named = _named(rows, rounds, slots, length, q)
-        judged = stored(named.groupBy("level", "slot").applyInArrow(_sorted_buckets, "piece bigint, level int, slot int, bits binary"))
+        judged = stored(named.groupBy("slot").applyInArrow(_sorted_buckets, "piece bigint, slot int, bits binary")).withColumn("level", F.lit(rounds))
         answers = judged if answers is None else answers.unionByName(judged)
         rows = parts.join(answers.groupBy("piece").agg(F.collect_list(F.struct("level", "slot", "bits")).alias("answers")), "piece", "left")
 
@@ -274,7 +276,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k in range(batch.num_rows):
                 ids = batch.column(1)[k].values
                 piece = Piece(ids, batch.column(2)[k].values, batch.column(3)[k].as_py(), slots, length, q)
-                _, starts, ends = piece.refine(3)
+                _, starts, ends = piece.refine(WINDOW + 1)
                 size = len(piece.data)
                 gone = np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[:-1] > 0
                 edge = gone & ~np.append(False, gone[:-1])[:size]
@@ -290,5 +292,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(out, names)
 
+    tidy(df.sparkSession)
     judged = rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
     return judged.withColumn("doc_id", F.col("doc_id").cast(kind))

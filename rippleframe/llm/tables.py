@@ -19,11 +19,16 @@ def scratch(spark: SparkSession) -> str:
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: they stay on disk as long as the driver's memory holds their plans."""
+    gc.collect()
+    spark.range(1).count()  # Spark's listeners hold the plan of the query that ended last
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared scratch folder and read again: no lineage, and any executor can read it."""
-    # what finished steps left in memory on the driver keeps their shuffle files on disk
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    tidy(df.sparkSession)
     path = f"{scratch(df.sparkSession).rstrip('/')}/rippleframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,10 +85,13 @@ class Prefix:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=self.sums[1:])
 
+    def sum(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What of() is made of: the polynomial value of bytes starts..ends, not mixed and without their number."""
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of bytes starts..ends (end exclusive); ranges of other lengths differ too."""
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(h ^ mix((ends - starts).astype(np.uint64)))
+        return mix(self.sum(starts, ends) ^ mix((ends - starts).astype(np.uint64)))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

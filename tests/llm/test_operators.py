@@ -245,12 +245,12 @@ def test_suffixes_of_a_long_text(monkeypatch):
 
     def result():
         answers = []
-        for rounds in range(3):
-            for level, b in suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(rounds)[0].items():
-                firsts = pa.array([b.first.tolist() if level in (suffixes.STRETCH, suffixes.WINDOW) else None], pa.list_(pa.int64()))
-                keys = (b.keys & ~np.uint64(1) | b.several.astype(np.uint64)).view(np.int64)
-                answers += suffixes._sorted_buckets(pa.table({"piece": [0], "level": [level], "slot": [0], "keys": [keys.tolist()], "firsts": firsts})).to_pylist()
-        _, starts, ends = suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(3)
+        for level in range(4):
+            b = suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(level)[0]
+            firsts = pa.array([b.first.tolist() if level in (suffixes.STRETCH, suffixes.WINDOW) else None], pa.list_(pa.int64()))
+            keys = (b.keys & ~np.uint64(1) | b.several.astype(np.uint64)).view(np.int64)
+            answers += [x | {"level": level} for x in suffixes._sorted_buckets(pa.table({"piece": [0], "slot": [0], "keys": [keys.tolist()], "firsts": firsts})).to_pylist()]
+        _, starts, ends = suffixes.Piece(ids, texts, answers, 1, 50, 20).refine(4)
         return {k for a, b in zip(starts, ends, strict=True) for k in range(a, b)}
 
     whole = result()
@@ -357,7 +357,7 @@ def test_line_dedup(spark, edits):
 
     rows = [(i, "\n".join(changed(base, r.randint(0, 3)) if r.random() < 0.5 else "".join(r.choice("abcdef ") for _ in range(r.randint(3, 40))) for _ in range(4))) for i in range(40)]
     rows += HARD + [(60, "only line here that is long"), (61, "only line here that is long"), (None, "only line here that is long"), (61, "only line here that is long")]
-    every = sorted({(i, n, x) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if len(x.encode()) >= lines.MIN_BYTES})
+    every = sorted({(i, n, x) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if re.search(WORD, x)})
     up = list(range(len(every)))
 
     def top(x):
@@ -367,7 +367,8 @@ def test_line_dedup(spark, edits):
 
     for i in range(len(every)):
         for j in range(i):
-            if abs(len(every[i][2]) - len(every[j][2])) <= edits and (every[i][2] == every[j][2] or len(every[i][2]) < 200 and plain_edits(every[i][2].encode(), every[j][2].encode()) <= edits):
+            x, y = every[i][2], every[j][2]
+            if x == y or abs(len(x) - len(y)) <= edits < min(len(x), len(y)) < 200 and plain_edits(x, y) <= edits:
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     gone = {every[i][:2] for i in range(len(every)) if top(i) != i}
@@ -376,7 +377,9 @@ def test_line_dedup(spark, edits):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
-def test_near_lines_by_length(spark):
+@pytest.mark.parametrize("crowd", [lines.CROWD, 0, 3])
+def test_near_lines_by_length(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines.line_classes, "__defaults__", (crowd,))
     r = random.Random(11)
     words = ["straße", "ordinary", "maße", "little", "日本語", "of", "paragraphs", "walk", "zürich", "near"]
     sentence = lambda n: "".join(r.choice(words) + " " for _ in range(n))[: r.randint(12, 8 * n)]
@@ -392,7 +395,8 @@ def test_near_lines_by_length(spark):
     for _ in range(40):
         s = sentence(r.randint(3, 32))
         every += [s, *(changed(s, r.randint(0, 9)) for _ in range(3))]
-    every = [x for x in dict.fromkeys(every) if len(x.encode()) >= lines.MIN_BYTES]
+    every += ["ab" * k for k in range(30, 45)] + ["a " * k for k in range(30, 45)]  # fewer different grams than edits spoil
+    every = list(dict.fromkeys(every))
     up = list(range(len(every)))
 
     def top(x):
@@ -410,6 +414,17 @@ def test_near_lines_by_length(spark):
     assert got == {i: int(top(i) != i) for i in range(len(every))} and 30 < sum(got.values())
 
 
+def test_many_lines_with_one_half(spark):
+    r = random.Random(2)
+    half = "2026-11-28 07:01:57 INFO one.long.name.of.a.service.that.writes.every.line "
+    body = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(70))
+    texts = [half + body() for _ in range(20_000)]
+    texts += [x[:90] + "é" + x[91:] for x in texts[:50]]
+    docs = spark.createDataFrame([(i, "\n".join(texts[k : k + 50])) for i, k in enumerate(range(0, len(texts), 50))], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(docs).collect()}
+    assert got.pop(400) == 50 and set(got.values()) == {0}
+
+
 def test_short_lines_repeat_too(spark):
     rows = [(1, "Menu\n\nan ordinary line of text\n \n日本語"), (2, "Menu\n\n日本語\n \nMenus"), (3, "Menu\nMenu")]
     got = {x.doc_id: (x.n_removed, x.text) for x in lines.dedup_lines(frame(spark, rows)).collect()}
