@@ -39,8 +39,8 @@ from rippleframe.llm.wordbytes import Prefix, flat, mix, pieces
 
 LENGTH, Q = 50, 20
 #: Bytes of text in a row of pieces, of those that are hashed together, and of those whose q-grams are ranked together.
-PIECE_TEXT, HASHED, RANKED = 2 << 20, 1 << 20, 1 << 17
-#: Pieces whose buckets of one round make up one range of identifiers on average: about 16 MB of them.
+PIECE_TEXT, HASHED, RANKED = 1 << 20, 1 << 18, 1 << 17
+#: Pieces whose buckets of one round make up one range of identifiers on average: about 8 MB of them.
 PIECES_A_SLOT = 16
 GRAM, STRETCH, HALF, WINDOW = range(4)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
