@@ -1,8 +1,8 @@
 """Quality rules (operator 3): line-first cleaning.
 
-Each line of a text is judged by itself: lines that are mostly symbols, shouted,
-without sentence punctuation though long, navigation lists or boilerplate
-phrases fail and are removed. A document that loses too large a part of its
+Each line of a text is judged by itself: lines that are mostly symbols or
+exclamation, shouted, long without any punctuation, navigation lists or
+boilerplate phrases fail and are removed. A document that loses too large a part of its
 words is rejected.
 """
 
@@ -21,6 +21,9 @@ from rippleframe.llm.wordbytes import LOWERCASE, SPACES, UPPER, Prefix, byte_tab
 SYMBOLS = byte_table(b"#*$%&|<>")
 LOUD = byte_table(b"!?")
 SEPARATORS = byte_table(b"|>")
+#: A line of RUN_ON words or more needs one of these.
+POINTS = byte_table(b".,;:!?")
+RUN_ON = 30
 #: Lower-case phrases that mark a line of up to BOILERPLATE_WORDS words as boilerplate.
 BOILERPLATE = (
     b"all rights reserved", b"terms of use", b"terms of service", b"privacy policy", b"use of cookies",
@@ -45,12 +48,13 @@ def line_failures(data: np.ndarray, line_bounds: np.ndarray, starts: np.ndarray)
     first = np.searchsorted(starts, line_bounds)
     words = first[1:] - first[:-1]
     count = lambda table: _sums(table[data], line_bounds)
-    symbols, upper, lower, loud, bars = map(count, (SYMBOLS, UPPER, LOWERCASE, LOUD, SEPARATORS))
+    symbols, upper, lower, loud, bars, points = map(count, (SYMBOLS, UPPER, LOWERCASE, LOUD, SEPARATORS, POINTS))
     some = words > 0
     failed = some & (symbols * 2 > words)  # symbols on more than half of the words
     failed |= (words >= 4) & (loud * 2 > words)  # exclamation all through
     failed |= (words >= 4) & (upper > 4 * lower) & (upper > 2 * words)  # shouted
     failed |= (words >= 4) & (bars * 3 >= words)  # a navigation list
+    failed |= (words >= RUN_ON) & (points == 0)  # no sentence, no clause, no list
     if len(data):
         text = np.where(UPPER[data], data + np.uint8(32), data).astype(np.uint8).tobytes()
         for m in _BOILERPLATE.finditer(text):
@@ -148,8 +152,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, (SELECT unnest(range(3)) AS k) GROUP BY 1),
  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
  m AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_CLASS}')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS s, len(regexp_extract_all(line, '[A-Z]')) AS u, len(regexp_extract_all(line, '[a-z]')) AS o,
-   len(regexp_extract_all(line, '[!?]')) AS e, len(regexp_extract_all(line, '[|>]')) AS b, regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(p.decode() for p in BOILERPLATE)}') AS p FROM l),
- f AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN 2 * s > n OR (n >= 4 AND (2 * e > n OR (u > 4 * o AND u > 2 * n) OR 3 * b >= n)) OR (p AND n <= {BOILERPLATE_WORDS}) THEN n ELSE 0 END) AS lost FROM m WHERE n > 0 GROUP BY 1),
+   len(regexp_extract_all(line, '[!?]')) AS e, len(regexp_extract_all(line, '[|>]')) AS b, len(regexp_extract_all(line, '[.,;:!?]')) AS q, regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(p.decode() for p in BOILERPLATE)}') AS p FROM l),
+ f AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN 2 * s > n OR (n >= 4 AND (2 * e > n OR (u > 4 * o AND u > 2 * n) OR 3 * b >= n)) OR (n >= {RUN_ON} AND q = 0) OR (p AND n <= {BOILERPLATE_WORDS}) THEN n ELSE 0 END) AS lost FROM m WHERE n > 0 GROUP BY 1),
  z AS (SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words FROM a LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept FROM z
