@@ -17,7 +17,7 @@ meet again over their rarest q-grams (an exact filter) instead of all with all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import Near, linked_groups
-from rippleframe.llm.tables import stored, with_ids
-from rippleframe.llm.wordbytes import SPACES, Prefix, mix, pieces, signed
+from rippleframe.llm.tables import discard, stored, with_ids
+from rippleframe.llm.wordbytes import SPACES, Prefix, flat, mix, pieces, signed
 
 #: One edit for so many code points of the shorter line, up to so many.
 PER_EDIT, MOST_EDITS = 12, 8
-#: Keys are sorted in so many slices, one after the other, to bound what lies on disk at a time.
-SLICES = 2
+#: Keys are sorted in so many slices of the segments, one after the other, to bound what lies on disk at a time.
+SLICES = 4
 #: Bytes of text whose lines or keys go into one row a slot; different lines, and keys, of a slot on average.
 RUN_BYTES, LINES_A_SLOT, KEYS_A_SLOT = 2 << 20, 50_000, 1_000_000
+#: Pairs, and code points of one side, that are verified together; so few that are left are verified one by one.
+PAIRS, CELLS, FEW = 4096, 1 << 21, 24
 #: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; unlinked members that crowd a bucket.
 SKETCH, GRAM, COUNTERS, CROWD = 4, 5, 18, 64
 
@@ -63,13 +65,19 @@ def length_classes(longest: int, edits: int | None) -> tuple[np.ndarray, np.ndar
     return np.array([x for x, _ in low]), np.array([t for _, t in low])
 
 
-def probes(tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, whether from the right, move) of the substrings that stand for tau edits."""
-    own = [(i, side, move) for side, n in ((0, tau // 2 + 1), (1, tau - tau // 2)) for i in range(n) for move in range(-i, i + 1)]
-    return tuple(np.array(c) for c in zip(*own, strict=True))
+def probes(tau: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, whether from the right, move) of the substrings that stand for tau edits, those of one of about even parts."""
+    segments = sorted(((i, side) for side, n in ((0, tau // 2 + 1), (1, tau - tau // 2)) for i in range(n)), reverse=True)
+    load = [0] * parts
+    own = []
+    for i, side in segments:
+        to = load.index(min(load))
+        load[to] += 2 * i + 1
+        own += [(i, side, move) for move in range(-i, i + 1) if to == part]
+    return tuple(np.array([x[c] for x in own], np.int64) for c in range(3))
 
 
-def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines, keys, indexed): bucket keys of the substrings each line probes with; indexed are those of its own segments."""
     prefix = Prefix(data)
     place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each code point
@@ -84,7 +92,7 @@ def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tu
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
     for t in np.unique(tau[k]):
         rows = np.flatnonzero(tau[k] == t)
-        i, right, move = probes(int(t))
+        i, right, move = probes(int(t), part, parts)
         size = (base[k[rows]] // (t + 1))[:, None]
         at = np.where(right, length[line[rows]][:, None] - (i + 1) * size, i * size) + move
         fits = (at >= 0) & (at + size <= length[line[rows]][:, None])
@@ -96,7 +104,7 @@ def segment_keys(data: np.ndarray, offsets: np.ndarray, edits: int | None) -> tu
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def within(a: str, b: str, edits: int) -> bool:
+def within(a: Sequence, b: Sequence, edits: int) -> bool:
     """Whether the edit distance is at most `edits`.
 
     Bit o of a level says that i = j + o - edits code points of a can stand against j
@@ -128,6 +136,54 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(level[edits] >> (len(a) - len(b) + edits) & 1)
 
 
+def all_within(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], edits: np.ndarray) -> np.ndarray:
+    """within() of many pairs at a time: a and b hold (code points, offsets) of the lines, edits the most edits of each pair."""
+    band = int(edits.max(initial=0))
+    n_a, n_b = np.diff(a[1]), np.diff(b[1])
+    out = np.zeros(len(edits), bool)
+    order = np.flatnonzero(np.abs(n_a - n_b) <= edits)
+    order = order[np.argsort(n_b[order], kind="stable")]
+    while len(order):
+        n = min(len(order), PAIRS)
+        while n > 1 and n * n_b[order[n - 1]] > CELLS:
+            n //= 2
+        rows, order = order[:n], order[n:]
+        columns = int(n_b[rows].max())
+        grids = []
+        for (points, offsets), size, shift, blank in ((a, n_a, band, 0xFFFFFFFF), (b, n_b, 0, 0xFFFFFFFE)):
+            grid = np.full((columns + 2 * band + 1, n), blank, np.uint32)
+            own = np.repeat(np.arange(n), size[rows])
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])
+            grid[place + shift, own] = points[offsets[rows][own] + place]
+            grids.append(grid)
+        x, y = grids
+        full, places = np.uint32((1 << (2 * band + 1)) - 1), np.float32(2) ** np.arange(2 * band + 1, dtype=np.float32)
+        level = np.array([[(1 << (band + e + 1)) - (1 << band)] for e in range(band + 1)], np.uint32).repeat(n, axis=1)
+        ends, pair = n_b[rows], rows
+        for j in range(columns + 1):
+            done = np.searchsorted(ends, j, "right")
+            if done:  # the shortest come first
+                p = pair[:done]
+                out[p] = level[edits[p], np.arange(done)] >> (n_a[p] - n_b[p] + band).astype(np.uint32) & 1
+                x, y, level, ends, pair = x[:, done:], y[:, done:], level[:, done:], ends[done:], pair[done:]
+            if j % 32 == 31:  # those beyond their edits leave the grid
+                keep = np.flatnonzero(level[band])
+                if len(keep) < 0.8 * len(pair):
+                    x, y, level, ends, pair = x[:, keep], y[:, keep], level[:, keep], ends[keep], pair[keep]
+            if len(pair) <= FEW:
+                for p in pair:
+                    out[p] = within(*(tuple(v[o[p] : o[p + 1]].tolist()) for v, o in (a, b)), int(edits[p]))
+                break
+            same = (places @ (x[j : j + 2 * band + 1] == y[j]).astype(np.float32)).astype(np.uint32)
+            now = level & same
+            now[1:] |= level[:-1]
+            now[1:] |= level[:-1] >> np.uint32(1)
+            for e in range(1, band + 1):
+                now[e] |= now[e - 1] << np.uint32(1)
+            level = now & full
+    return out
+
+
 def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots in use, where each begins among the sorted hashes h; the end is added): even ranges of hashes."""
     edges = np.array([(j << 64) // slots for j in range(1, slots)], np.uint64)
@@ -177,30 +233,29 @@ def line_texts(docs: DataFrame, slots: int) -> DataFrame:
 
 
 def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int) -> DataFrame:
-    """(key, id, anchor) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment."""
+    """(key, id) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(1), rows=batch.num_rows):
                 ids = batch.column(0).slice(a, b - a)
-                at, keys, indexed = segment_keys(data, offsets, edits)
+                at, keys, indexed = segment_keys(data, offsets, edits, part, parts)
                 keys = keys & ~np.uint64(1) | indexed.astype(np.uint64)  # the last bit tells segments from probes
-                mine = np.flatnonzero((keys >> np.uint64(1)) % np.uint64(parts) == part)
-                mine = mine[np.argsort(keys[mine], kind="stable")]
-                used, bounds = _slots(keys[mine], slots)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(keys[mine])), pa.ListArray.from_arrays(bounds, ids.take(pa.array(at[mine])))], ["slot", "keys", "ids"])
+                order = np.argsort(keys)
+                used, bounds = _slots(keys[order], slots)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(keys[order])), pa.ListArray.from_arrays(bounds, ids.take(pa.array(at[order])))], ["slot", "keys", "ids"])
 
     def shared(table: pa.Table) -> pa.Table:
         keys, ids = (table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "ids"))
-        order = np.lexsort((ids, keys >> 1))
+        order = np.argsort(keys >> 1)
         k, i, anchor = (keys >> 1)[order], ids[order], (keys & 1).astype(bool)[order]
         at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         n = np.diff(np.append(at, len(k)))
         several = np.minimum.reduceat(i, at) < np.maximum.reduceat(i, at)
         kept = np.repeat(several & np.logical_or.reduceat(anchor, at), n)
-        return pa.table({"key": k[kept], "id": i[kept], "anchor": anchor[kept]})
+        return pa.table({"key": k[kept], "id": i[kept]}).group_by(["key", "id"]).aggregate([])
 
-    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint, anchor boolean")
+    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint")
 
 
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +339,7 @@ def rare_grams(texts: DataFrame, edits: int | None) -> DataFrame:
 
 
 def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> DataFrame:
-    """(id, label) of the stored lines (id, body) that have another one within the threshold, by links or chains of links."""
+    """(id, label) of the stored lines (id, body) that have another one within the threshold, by links or chains of links. The lines are deleted."""
     slots = -(-max(texts.count(), 1) * 45 // (SLICES * KEYS_A_SLOT))  # about 45 keys a line
     members = None
     for part in range(SLICES):
@@ -292,16 +347,16 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
         members = mine if members is None else members.unionByName(mine)
     ids = stored(members.select("id").distinct())
     near = stored(with_ids(texts, ids, "id"))
+    discard(texts)
     traits = stored(line_traits(near))
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = x.as_buffer().to_pybytes().decode(), y.as_buffer().to_pybytes().decode()
-                    keep.append(within(x, y, min(min(len(x), len(y)) // PER_EDIT, MOST_EDITS) if edits is None else edits))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = ((p, np.concatenate([[0], np.cumsum(np.bincount(line, minlength=batch.num_rows))])) for p, line in (_code_points(*flat(c)) for c in batch.columns[2:]))
+                shorter = np.minimum(np.diff(x[1]), np.diff(y[1]))
+                most = np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(batch.num_rows, edits)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(all_within(x, y, most)))
 
         both = pairs.join(near.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(near.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")

@@ -45,7 +45,7 @@ def _buckets(members: DataFrame, extra: list[str]) -> DataFrame:
     some = [F.max("anchor").alias("some")] if "anchor" in members.columns else []
     stars = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id", *extra)).alias("c"), F.min("id").alias("low"), F.max("id").alias("last"), *some).filter("low < last" + " and some" * len(some))
     stars = stars.select("key", F.col("c.id").alias("centre"), *[F.col("c.traits").alias("centre_traits")] * len(extra))
-    return stored(members.select("key", "id", *extra).join(stars, "key").distinct())
+    return stored(members.select("key", "id", *extra).join(stars, "key"))
 
 
 def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +89,9 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
         finer, finer_near = refine(stored(placed.filter("crowded").select("id").distinct()))
         buckets = _buckets(finer, ["traits"])
         fresh = stored(stars(buckets, finer_near).join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(fresh), links.unionByName(stored(check(fresh)))
-        groups = components(links)
+        found = stored(check(fresh))
+        tried, links = tried.unionByName(fresh), links.unionByName(found)
+        groups = components(links) if found.head(1) else groups
         more = crossed(open_members(buckets, groups, ["traits"]), finer_near, ["traits"])
         if crowd:
             more = more.unionByName(crossed(placed.filter("not crowded"), near, extra))

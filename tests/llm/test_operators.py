@@ -114,8 +114,8 @@ def test_template_leaks(spark):
     found = {(key(r.doc_id), r.item_id): r for r in decontam.leaks(frame(spark, rows), items).collect()}
     assert {(1, 1), (3, 1), (7, 4)} <= set(found) and (2, 1) not in found and not any(d >= 900 or d in (4, 5) for d, _ in found)
     assert found[(3, 1)].n_changed == 0 and found[(1, 1)].n_changed > 0
-    blocks = decontam.leaks(frame(spark, rows), items, block_items=1)
-    assert {(key(r.doc_id), r.item_id) for r in blocks.collect()} == set(found)
+    shuffled = decontam.leaks(frame(spark, rows), items, carried=0)
+    assert {(key(r.doc_id), r.item_id) for r in shuffled.collect()} == set(found)
     assert decontam.leaks(empty(spark), items).count() == 0
     assert decontam.contamination(frame(spark, rows), items.limit(0)).filter("contaminated").count() == 0
 
@@ -130,6 +130,29 @@ def test_a_leak_after_a_variant_of_it(spark):
     assert set(found) == {(1, 1), (2, 1), (3, 1)} and found[(1, 1)].n_changed == 0
 
 
+def test_all_pairs_of_texts(spark):
+    """The join finds what a plain loop over all pairs finds, whatever stands beside a text in its batch; number lists do not meet by form."""
+    r = random.Random(4)
+    words = "how many apples does each of the 3 7 12 kg km children Tom Anna Paris buy in days and 5 sell".split()
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(2, 25)))) for k in range(40)] + [(None, "add 3 apples to 4 pears and 5 plums now"), (41, "add 3 apples")]
+    items += [(100 + k, " ".join(str(r.randrange(10_000)) for _ in range(30))) for k in range(300)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 60))) + " " + (items[k % 42][1].replace("3", "9").replace("Tom", "Eve") if k % 3 else "")) for k in range(150)]
+    rows += [(500, "add 9 apples"), (501, "add 8 apples to 2 pears and 6 plums now"), (502, " ".join(str(r.randrange(10_000)) for _ in range(2000))), (503, items[60][1]), *HARD]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((key(x.doc_id), key(x.item_id), x.n_found, x.n_windows, x.n_slots, x.n_changed) for x in decontam.leaks(frame(spark, rows), benchmark).collect())
+    parsed = [(i, decontam.Text(t, 5)) for i, t in items]
+    expected = Counter()
+    for i, t in rows:
+        doc = decontam.Text(t or "", 5)
+        for j, item in parsed:
+            found = decontam.leak(doc, item, 80, 10)
+            if found:
+                expected[(key(i), key(j), *found)] += 1
+    assert got == expected and {(500, 41), (501, -1), (503, items[60][0])} <= {x[:2] for x in got} and not any(x[0] == 502 for x in got)
+    whole = {key(x.doc_id): x for x in decontam.contamination(frame(spark, rows), benchmark).collect()}
+    assert whole[501].contaminated and whole[501].n_items == 1
+
+
 def test_planted_items_are_found(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = lambda t: re.sub(r"\s+", " ", t).strip()
@@ -343,6 +366,16 @@ def test_banded_distance():
             assert lines.within(a, b, k) == (plain_edits(a, b) <= k)
 
 
+def test_many_banded_distances(monkeypatch):
+    monkeypatch.setattr(lines, "CELLS", 400)
+    monkeypatch.setattr(lines, "FEW", 3)
+    r = random.Random(8)
+    pairs = [tuple("".join(r.choice("abé") for _ in range(r.randint(0, 9))) for _ in range(2)) for _ in range(400)]
+    edits = np.array([r.randint(0, 4) for _ in pairs])
+    side = lambda k: (np.array([ord(c) for p in pairs for c in p[k]], np.uint32), np.concatenate([[0], np.cumsum([len(p[k]) for p in pairs])]))
+    assert lines.all_within(side(0), side(1), edits).tolist() == [plain_edits(*p) <= e for p, e in zip(pairs, edits, strict=True)]
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, edits):
     r = random.Random(edits)

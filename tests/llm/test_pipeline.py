@@ -26,8 +26,11 @@ def test_stages_keep_columns_and_act(spark):
     lines = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
     got = {r.doc_id: r for r in lines.collect()}
     assert lines.columns == docs.columns and 6 not in got and got[1].text == LONG and got[1].n_chars == len(LONG) and got[4].text == ""
-    for _, stage in corpus_pipeline.STAGES:
+    clashing = docs.withColumns({c: F.lit(c) for c in ("n_removed", "n_lines", "gone", "th", "item", "h", "other_0", "doc", "key", "label")})
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, clashing, SF)
+        assert name == "byte_bpe" or out.columns == clashing.columns and {r.n_removed for r in out.collect()} == {"n_removed"}
 
 
 def test_toxic_documents_go(spark):
