@@ -21,12 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document (or line) has; one of which no word is left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = lines.dedup_lines(docs, keep=others)
+    others = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # their names may be those of counts
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(new) for c, new in others.items()])
+    out = lines.dedup_lines(named, keep=tuple(others.values()))
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn(others["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
