@@ -353,10 +353,12 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = ((p, np.concatenate([[0], np.cumsum(np.bincount(line, minlength=batch.num_rows))])) for p, line in (_code_points(*flat(c)) for c in batch.columns[2:]))
-                shorter = np.minimum(np.diff(x[1]), np.diff(y[1]))
-                most = np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(batch.num_rows, edits)
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(all_within(x, y, most)))
+                for k in range(0, batch.num_rows, PAIRS):
+                    part = batch.slice(k, PAIRS)
+                    x, y = ((p, np.concatenate([[0], np.cumsum(np.bincount(line, minlength=part.num_rows))])) for p, line in (_code_points(*flat(c)) for c in part.columns[2:]))
+                    shorter = np.minimum(np.diff(x[1]), np.diff(y[1]))
+                    most = np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(part.num_rows, edits)
+                    yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(all_within(x, y, most)))
 
         both = pairs.join(near.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(near.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -371,7 +373,7 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
     def refined(crowded: DataFrame) -> tuple[DataFrame, Near]:
         return rare_grams(stored(with_ids(near, crowded, "id")), edits).join(traits, "id"), possible
 
-    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd)[0]
+    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

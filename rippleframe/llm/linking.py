@@ -1,18 +1,19 @@
-"""Links and connected groups from buckets, without listing the pairs of a bucket.
+"""Connected groups from buckets, without listing the pairs of a bucket.
 
 Members that share a bucket are candidates. A bucket first links its members to
-one of them, another one in each bucket (a star). Only then, and only where
-members of a bucket still lie in different groups, the members outside the
-bucket's largest group meet the members of the other groups. So a bucket of many
-copies costs as many pairs as it has members, and yet every candidate pair is
-either checked or already connected: the groups are those of all links.
+one of them, another one in each bucket (a star); where members of a bucket
+still lie in different groups, those outside its largest group are tried with a
+few of that group. Only what then is left outside meets the members of the other
+groups. So a bucket of many copies costs a few pairs for each member, and yet
+every candidate pair is either checked or already connected: the groups are
+those of all links. Later links join groups, not members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.llm.tables import stored
@@ -48,58 +49,82 @@ def _buckets(members: DataFrame, extra: list[str]) -> DataFrame:
     return stored(members.select("key", "id", *extra).join(stars, "key"))
 
 
-def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(groups, links) of members (key, id), with `traits` if near is given and, at will, `anchor`.
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, label) after more links (a, b): these connect labels."""
+    label = lambda end: groups.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b").distinct()
+    moved = components(between)
+    old = groups.union(between.select("a", F.col("a")).union(between.select("b", F.col("b")))).toDF("id", "label").groupBy("id").agg(F.min("label").alias("label"))
+    return stored(old.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+
+
+#: Members of its largest group that a bucket tries with those outside.
+TRIED = 4
+
+
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0) -> DataFrame:
+    """(id, label) of the linked ids among members (key, id), with `traits` if near is given and, at will, `anchor`.
 
     check keeps those of its stored pairs (a, b), a < b, that are links; near is
     a necessary condition on the traits of two members; with anchors, buckets
     without one are skipped. refine, given the stored (id) of all members of
     buckets that the stars left in several groups and with over `crowd` members,
     returns finer members of them, in whose buckets all their links can be found
-    too, with their own near; these take the place of those buckets. groups has
-    (id, label) of linked ids. Without buckets of two ids both are empty.
+    too, with their own near; these take the place of those buckets. Without
+    buckets of two ids the result is empty.
     """
 
     def fits(x: str, y: str, near: Near | None) -> F.Column:
         return near(F.col(x), F.col(y)) if near else F.lit(True)
 
+    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
     def stars(buckets: DataFrame, near: Near | None) -> DataFrame:
-        pairs = buckets.filter((F.col("id") != F.col("centre")) & fits("traits", "centre_traits", near))
-        return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        return ordered(buckets.filter((F.col("id") != F.col("centre")) & fits("traits", "centre_traits", near)), "centre", "id")
 
     def open_members(buckets: DataFrame, groups: DataFrame, extra: list[str]) -> DataFrame:
+        """(key, id, *extra, label, largest, crowded) of the buckets whose members lie in several groups."""
         placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y").select("key", (F.col("n") > crowd).alias("crowded"))
-        return stored(placed.join(several, "key"))
+        several = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"), F.sum("count").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+        return stored(placed.join(several.select("key", "largest", (F.col("n") > crowd).alias("crowded")), "key"))
+
+    def closer(buckets: DataFrame, groups: DataFrame, near: Near | None, extra: list[str], tried: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(open members, groups, pairs tried) after members outside the largest group of a bucket have met a few of it."""
+        placed = open_members(buckets, groups, extra)
+        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id", F.lit(1)))
+        chosen = placed.filter("label = largest").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRIED)
+        chosen = chosen.select("key", F.col("id").alias("centre"), *[F.col("traits").alias("centre_traits")] * len(extra))
+        pairs = placed.filter("label <> largest").join(chosen, "key").filter(fits("traits", "centre_traits", near))
+        fresh = stored(ordered(pairs, "centre", "id").join(tried, ["a", "b"], "left_anti"))
+        found = stored(check(fresh))
+        if found.head(1):
+            groups = _joined(groups, found)
+            placed = open_members(placed.select("key", "id", *extra), groups, extra)
+        return placed, groups, tried.unionByName(fresh)
 
     def crossed(placed: DataFrame, near: Near | None, extra: list[str]) -> DataFrame:
-        largest = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"))
-        placed = placed.join(largest, "key")
         rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("traits").alias("i_traits")] * len(extra), F.col("label").alias("i_label"))
         pairs = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("traits", "i_traits", near))
-        return pairs.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+        return ordered(pairs, "i", "id")
 
     extra = ["traits"] if near else []
     buckets = _buckets(members, extra)
     tried = stored(stars(buckets, near))
-    links = stored(check(tried))
-    groups = components(links)
-    placed = open_members(buckets, groups, extra)
+    groups = components(stored(check(tried)))
+    placed, groups, tried = closer(buckets, groups, near, extra, tried)
     if refine:
         finer, finer_near = refine(stored(placed.filter("crowded").select("id").distinct()))
         buckets = _buckets(finer, ["traits"])
         fresh = stored(stars(buckets, finer_near).join(tried, ["a", "b"], "left_anti"))
         found = stored(check(fresh))
-        tried, links = tried.unionByName(fresh), links.unionByName(found)
-        groups = components(links) if found.head(1) else groups
-        more = crossed(open_members(buckets, groups, ["traits"]), finer_near, ["traits"])
+        groups = _joined(groups, found) if found.head(1) else groups
+        finer_placed, groups, tried = closer(buckets, groups, finer_near, ["traits"], tried.unionByName(fresh))
+        more = crossed(finer_placed, finer_near, ["traits"])
         if crowd:
             more = more.unionByName(crossed(placed.filter("not crowded"), near, extra))
     else:
         more = crossed(placed, near, extra)
     untried = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    more = stored(check(untried))
-    if not more.head(1):
-        return groups, links
-    links = links.unionByName(more)
-    return components(links), links
+    found = stored(check(untried))
+    return _joined(groups, found) if found.head(1) else groups
