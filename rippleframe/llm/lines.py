@@ -373,7 +373,7 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
     def refined(crowded: DataFrame) -> tuple[DataFrame, Near]:
         return rare_grams(stored(with_ids(near, crowded, "id")), edits).join(traits, "id"), possible
 
-    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd)
+    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd, once=True)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -62,7 +62,7 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 TRIED = 4
 
 
-def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0) -> DataFrame:
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0, once: bool = False) -> DataFrame:
     """(id, label) of the linked ids among members (key, id), with `traits` if near is given and, at will, `anchor`.
 
     check keeps those of its stored pairs (a, b), a < b, that are links; near is
@@ -70,8 +70,9 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
     without one are skipped. refine, given the stored (id) of all members of
     buckets that the stars left in several groups and with over `crowd` members,
     returns finer members of them, in whose buckets all their links can be found
-    too, with their own near; these take the place of those buckets. Without
-    buckets of two ids the result is empty.
+    too, with their own near; these take the place of those buckets. once lets
+    members that cross meet in the first bucket they share only; it is meant for
+    members of some tens of buckets. Without buckets of two ids the result is empty.
     """
 
     def fits(x: str, y: str, near: Near | None) -> F.Column:
@@ -104,8 +105,13 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
         return placed, groups, tried.unionByName(fresh)
 
     def crossed(placed: DataFrame, near: Near | None, extra: list[str]) -> DataFrame:
-        rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col("traits").alias("i_traits")] * len(extra), F.col("label").alias("i_label"))
-        pairs = rest.join(placed, "key").filter((F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id"))) & fits("traits", "i_traits", near))
+        own = ["keys"] if once else []
+        if once:
+            placed = placed.join(placed.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+        rest = placed.filter("label <> largest").select("key", F.col("id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in ("label", *extra, *own)])
+        apart = (F.col("label") != F.col("i_label")) & ((F.col("label") == F.col("largest")) | (F.col("i") < F.col("id")))
+        first = F.col("key") == F.array_min(F.array_intersect("keys", "i_keys")) if once else F.lit(True)
+        pairs = rest.join(placed, "key").filter(apart & fits("traits", "i_traits", near) & first)
         return ordered(pairs, "i", "id")
 
     extra = ["traits"] if near else []
