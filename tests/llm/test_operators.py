@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,30 @@ def test_disclosing_terms(spark):
     assert all("term" not in r.spans for r in pii.private_spans(copies).collect())
 
 
+def test_disclosure_figures(spark):
+    """Shares and information contents against plain counting, at several thresholds."""
+    r = random.Random(9)
+    words = "alpha bravo delta gamma zorblax quuxer plain other words".split()
+    rows = [(k, f"{r.choice(words)} {r.choice(words)} mail m{r.randrange(3)}@x.org {r.choice(words)} {k}" if k % 2 else " ".join(r.choice(words) for _ in range(3))) for k in range(120)]
+    docs = frame(spark, rows).select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    near = pii.context_terms(pii.base_spans(docs)).cache()
+    seen, contexts, entities = {}, {}, {}
+    for x in near.collect():
+        seen.setdefault((x.entity, x.term), set()).add(x.doc_id)
+        contexts.setdefault((x.entity, x.term), set()).add(x.context)
+        entities.setdefault(x.entity, set()).add(x.doc_id)
+    having = Counter(w for _, t in rows for w in set(re.split(r"[^a-z]+", t.lower())))
+    for least in (0.2, 0.4, 0.6):
+        expected = set()
+        for (e, t), ids in seen.items():
+            content = -np.log2(len(entities[e]) / len(rows))
+            if len(contexts[e, t]) >= 3 and content > 0 and 1 + np.log2(min(len(ids) / max(having[t], len(ids)), 1)) / content >= least:
+                expected.add((e, t))
+        assert {tuple(x) for x in pii.revealing_terms(docs, near, least, 3).collect()} == expected
+    near.unpersist()
+    assert expected is not None and seen
+
+
 def test_disclosing_terms_go_everywhere(spark):
     far = "filler words of no account go on and on here. " * 6
     rows = PRIVATE + [(20, f"ZORBLAX 🙂 began. {far}Then Zorblax mail q@w.e now. {far}At last Zorblax left."), (21, "Only Zorblax here")]
@@ -311,6 +336,7 @@ def test_toxicity_learns_words(spark):
     out = toxicity.toxicity(frame(spark, rows + HARD), labels).collect()
     truth = dict(marks)
     held = [x for x in out if x.held_out and x.doc_id in truth]
+    assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in out)
     assert len(held) > 60 and all(x.predicted == int(x.score >= 0.3) and 0 <= x.score <= 1 for x in out)
     assert sum(x.predicted == truth[x.doc_id] for x in held) >= 0.95 * len(held)
     assert len(out) == len(rows + HARD)
@@ -319,6 +345,28 @@ def test_toxicity_learns_words(spark):
     assert toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def test_ftrl_against_a_scalar_loop(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 4)
+    monkeypatch.setattr(toxicity, "L1", 0.3)
+    r = random.Random(6)
+    rows = [(np.array(sorted(r.sample(range(16), r.randint(0, 6))), np.int64), r.randint(0, 1)) for _ in range(80)]
+    z, n, bias = [0.0] * 17, [0.0] * 17, 16
+
+    def weight(i):
+        push = max(abs(z[i]) - (0 if i == bias else toxicity.L1), 0)
+        return (-push if z[i] > 0 else push) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for places, label in rows:
+            at = [*places.tolist(), bias]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + np.exp(-sum(w))) - label
+            for i, x in zip(at, w, strict=True):
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * x
+                n[i] += g * g
+    assert np.allclose(toxicity.fit(rows), [weight(i) for i in range(17)]) and any(weight(i) == 0 for i in range(16))
+
+
 def test_quality_separates_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.quality for r in labels.collect()}
