@@ -447,7 +447,7 @@ def _tagged(spark, sf):
 def _sizes(spark, sf):
     path = scratch(spark)
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    orders.orderBy("o_orderkey").select((F.col("o_orderkey") % 9001).cast("string").alias("value")).coalesce(1).write.text(path)  # a log is one file
+    orders.orderBy("o_orderkey").select((F.col("o_orderkey") % 9001).cast("string").alias("value")).write.text(path)  # part files in order
     return logs.scan_motion_sizes(spark, path, orders.count() // 9, {2: 2, 1: 3, 0: 4})
 
 

@@ -18,18 +18,19 @@ def scan_tagged_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """(dmv, freq) tables of a text log: `dmv:` lines with numbers, `frq:` lines with gop, level, frame, ctx, total, counts."""
     words = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"))
     numbers = lambda c, kind: F.transform(c, lambda v: v.cast(kind))
-    dmv = words.filter(F.col("w")[0] == "dmv:").select(numbers(F.slice("w", 2, 1000), "double").alias("fields"))
-    freq = words.filter(F.col("w")[0] == "frq:").select(*[F.col("w")[k + 1].cast("int").alias(c) for k, c in enumerate(("gop", "level", "frame", "ctx", "total"))], numbers(F.slice("w", 7, 100000), "int").alias("freq"))
+    dmv = words.filter(F.col("w")[0] == "dmv:").select(numbers(F.slice("w", F.lit(2), F.size("w")), "double").alias("fields"))
+    freq = words.filter(F.col("w")[0] == "frq:").select(*[F.col("w")[k + 1].cast("int").alias(c) for k, c in enumerate(("gop", "level", "frame", "ctx", "total"))], numbers(F.slice("w", F.lit(7), F.size("w")), "int").alias("freq"))
     return dmv, freq
 
 
-def numbered_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines (file order is the order of partitions) with n from 0: counts of partitions first, then ranks inside them."""
-    rows = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id())
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
-    ahead = counts.withColumn("_a", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_a")  # one row a partition
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_id")) - 1
-    return rows.withColumn("_r", rank).join(ahead, "_p").withColumn("n", F.col("_r") + F.col("_a")).drop("_id", "_p", "_r", "_a")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, n) of the lines of text files, n from 0 in the order of file names: counts of file splits first, then ranks inside them."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_a"))  # one row a split
+    rank = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_id")) - 1
+    return rows.withColumn("_r", rank).join(ahead, ["_f", "_b"]).select("value", (F.col("_r") + F.col("_a")).alias("n"))
 
 
 def motion_layout(spark: SparkSession, gops: int, sets: dict[int, int]) -> DataFrame:
@@ -49,8 +50,8 @@ def motion_layout(spark: SparkSession, gops: int, sets: dict[int, int]) -> DataF
 
 
 def scan_motion_sizes(spark: SparkSession, path: str, gops: int, sets: dict[int, int]) -> DataFrame:
-    """(gop, level, set_k, bytes) of a log with one integer a line."""
-    lines = numbered_lines(spark.read.text(path).select(F.trim("value").cast("bigint").alias("bytes")))
+    """(gop, level, set_k, bytes) of a log with one integer a line, in one file or several in the order of their names."""
+    lines = numbered_lines(spark, path).select("n", F.trim("value").cast("bigint").alias("bytes"))
     return lines.join(motion_layout(spark, gops, sets), "n").select("gop", "level", "set_k", "bytes")
 
 

@@ -8,6 +8,7 @@ from rippleframe.functions.adaptive import capped_step
 from rippleframe.operators import entropy, filters, lifting, motion, quality, rate, sampling, temporal
 from rippleframe.plans import registry
 from rippleframe.plans.fixtures import fixture
+from rippleframe.sources import logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +120,18 @@ def test_mixture_bits_of_a_sure_symbol(spark):
     x = spark.createDataFrame([("a", 0)] * 5, "g string, x int")
     params = spark.createDataFrame([("a", 0, 0.0, 0.0, 1e-9)], "g string, k int, logit double, mu double, sigma double")
     assert entropy.mixture_bits(x, params, ["g"]).first().bits == pytest.approx(0.0)
+
+
+def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
+    sizes = [5, 4000, 1, 900]
+    values, at = [], 0
+    for k, n in enumerate(sizes):
+        (tmp_path / f"log-{k}.txt").write_text("".join(f"{at + i}\n" for i in range(n)))
+        values += range(at, at + n)
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = logs.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.n, int(r.value)) for r in got) == [(v, v) for v in values]
