@@ -124,8 +124,10 @@ def _dense(compact: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def clean(df: DataFrame, weights: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns, whose score is below the threshold; null texts count as empty."""
+    """The rows of df, all columns, whose score is below the threshold; null texts count as empty. Without weights, as no labels give, all stay."""
     compact, at = _table(weights), df.columns.index(text_col)
+    if not len(compact[0]):
+        return df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _dense(compact)
