@@ -7,93 +7,129 @@ aggregation: one shuffle an axis and no join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Centre tap and one side of symmetric nine-tap filters (low, high), by number.
+#: Centre tap and one side of symmetric filters (low, high), by number. Banks 3 and 4 are half-band filters without a high half.
 BANKS = {
     0: ((0.5645751, 0.2927051, -0.05224239, -0.04270508, 0.01995484), (0.5645751, -0.2927051, -0.05224239, 0.04270508, 0.01995484)),
     1: ((0.635577, 0.307180, -0.164740, 0.002902, 0.036870), (0.490663, -0.309311, 0.004668, 0.059311, 0.0)),
+    2: ((0.602949, 0.266864, -0.078223, -0.016864, 0.026749), (0.557543, -0.295636, -0.028772, 0.045636, 0.0)),
+    3: ((138 / 256, 88 / 256, 0.0, -29 / 256, 0.0), (0.0,)),
+    4: ((26 / 64, 19 / 64, 5 / 64, -3 / 64, -4 / 64, 0.0, 2 / 64), (0.0,)),
+    5: ((0.557543, 0.295636, -0.028772, -0.045636, 0.0), (0.602949, -0.266864, -0.078223, 0.016864, 0.026749)),
     7: ((0.852699, 0.377403, -0.110624, -0.023849, 0.037829), (0.788485, -0.418092, -0.040690, 0.064539, 0.0)),
 }
-#: Gain of the way back: low taps of banks 0 and 1 add up to 1, those of bank 7 to the root of 2.
-GAIN = {0: 2.0, 1: 2.0, 7: 1.0}
+#: The way back of half-band filter 3.
+HALF_BAND_BACK = ((0.5, 70 / 256, 0.0, -6 / 256, 0.0), (0.0,))
+#: Gain of the way back: low taps of most banks add up to 1, those of bank 7 to the root of 2.
+GAIN = {0: 2.0, 1: 2.0, 2: 2.0, 3: 2.0, 5: 2.0, 7: 1.0}
 #: Eight taps of the quarter, half and three-quarter phases.
 PHASES = {
     1: (-0.0110, 0.0452, -0.1437, 0.8950, 0.2777, -0.0812, 0.0233, -0.0053),
     2: (-0.0105, 0.0465, -0.1525, 0.6165, 0.6165, -0.1525, 0.0465, -0.0105),
     3: (-0.0053, 0.0233, -0.0812, 0.2777, 0.8950, -0.1437, 0.0452, -0.0110),
 }
+#: Seven taps of chroma resampling, down and up.
 CHROMA_DOWN = {-3: -29 / 256, -1: 88 / 256, 0: 138 / 256, 1: 88 / 256, 3: -29 / 256}
 CHROMA_UP = {-3: -12 / 256, -1: 140 / 256, 0: 1.0, 1: 140 / 256, 3: -12 / 256}
 
 
-def bank_taps(number: int, half: int) -> dict[int, float]:
-    side = BANKS[number][half]
-    return {o: side[abs(o)] for o in range(-4, 5) if side[abs(o)]}
+#: A bank by number, or its own (low, high) sides from the centre on, as read_bank() gives.
+Bank = int | tuple[tuple[float, ...], tuple[float, ...]]
+
+
+def _both_sides(side: tuple[float, ...]) -> dict[int, float]:
+    return {o: side[abs(o)] for o in range(1 - len(side), len(side)) if side[abs(o)]} or {0: 0.0}
+
+
+def bank_taps(number: Bank, half: int) -> dict[int, float]:
+    return _both_sides(number[half] if isinstance(number, tuple) else BANKS[number][half])
 
 
 def synthesis_taps(number: int, half: int) -> dict[int, float]:
-    """Taps that undo the bank: the other half's taps with every second sign turned, times the gain."""
+    """Taps that undo the bank: the other half's taps with every second sign turned, times the gain. Bank 4 and banks from files have no way back."""
+    if number not in GAIN:
+        raise ValueError(f"bank {number} has no synthesis filters")
+    if number == 3:
+        return {o: GAIN[3] * w for o, w in _both_sides(HALF_BAND_BACK[half]).items()}
     return {o: GAIN[number] * w * (-1) ** o for o, w in bank_taps(number, 1 - half).items()}
 
 
-def scatter(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], n: int, at: Column | None = None, edge: str = "reflect", parity: int | None = None) -> DataFrame:
+def read_bank(spark: SparkSession, path: str, taps: int = 33) -> Bank:
+    """The symmetric low half-band filter of a text file with one tap a line; it has no high half."""
+    found = [float(r[0]) for r in spark.read.text(path).filter(F.trim("value") != "").limit(taps + 1).collect()]  # one tap more than a filter has tells a wrong file
+    if len(found) != taps or found != found[::-1]:
+        raise ValueError(f"{path} does not hold {taps} symmetric taps")
+    return tuple(found[taps // 2 :]), (0.0,)
+
+
+def scatter(samples: DataFrame, keys: list[str], axis: str, taps: dict, n: int, at: Column | None = None, edge: str = "reflect", parity: Column | int | None = None, sets: str | None = None, uses: str | None = None) -> DataFrame:
     """(keys, y, x, v): outputs 0 .. n - 1 along axis, each the sum of taps over inputs at output + offset.
 
     Every sample sends its products to the outputs that see it, directly or
     through its mirror images at both ends (or, with edge "clamp", as the
     repeated first or last sample). Zeros that up-sampling would put in are
     never made, outputs of the other parity neither. `at` is the samples' place
-    on the output grid, the axis itself by default.
+    on the output grid, the axis itself by default. taps is {offset: tap}; with
+    `sets` it is {number: {offset: tap}} and every set gives outputs, told apart
+    by the new column of that name (which parity may use); with `uses` each
+    sample goes by the set that its column of that name tells.
     """
     k = (F.col(axis) if at is None else at).cast("int")
-    table = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in taps.items()])
-    rows = samples.select(*keys, "y", "x", "v", k.alias("_k"), F.explode(table).alias("_t"))
+    every = taps if sets or uses else {0: taps}
+    reach = max(abs(o) for one in every.values() for o in one)
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for s, one in every.items() for o, w in one.items()])
+    rows = samples.select(*keys, *([uses] if uses else []), "y", "x", "v", k.alias("_k"), F.explode(table).alias("_t"))
+    if uses:
+        rows = rows.filter(F.col(uses) == F.col("_t.s"))
     o = F.col("_t.o")
     if edge == "reflect":
-        images = F.array(F.col("_k"), F.when(F.col("_k") > 0, -F.col("_k")), F.when(F.col("_k") < n - 1, 2 * (n - 1) - F.col("_k")))
+        if reach < n:
+            images = F.array(F.col("_k"), F.when(F.col("_k") > 0, -F.col("_k")), F.when(F.col("_k") < n - 1, 2 * (n - 1) - F.col("_k")))
+        else:  # filters longer than the line see images of images
+            turns = range(-(reach // (2 * n - 2)) - 1, reach // (2 * n - 2) + 2)
+            images = F.array_distinct(F.array(*[sign * F.col("_k") + 2 * (n - 1) * t for t in turns for sign in (1, -1)]))
         spots = F.transform(images, lambda m: m - o)
     else:
         first = F.when(o <= 0, F.sequence(F.lit(0), -o)).otherwise(F.array().cast("array<int>"))
         last = F.when(o >= 0, F.sequence(F.lit(n - 1) - o, F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
         spots = F.when(F.col("_k") == 0, first).when(F.col("_k") == n - 1, last).otherwise(F.array(F.col("_k") - o))
-    rows = rows.select(*keys, "x" if axis == "y" else "y", F.explode(spots).alias("_i"), (F.col("v") * F.col("_t.w")).alias("_p"))
+    own = [F.col("_t.s").alias(sets)] if sets else []
+    rows = rows.select(*keys, *own, "x" if axis == "y" else "y", F.explode(spots).alias("_i"), (F.col("v") * F.col("_t.w")).alias("_p"))
     rows = rows.filter((F.col("_i") >= 0) & (F.col("_i") < n))
     if parity is not None:
         rows = rows.filter(F.col("_i") % 2 == parity).withColumn("_i", F.expr("_i div 2").cast("int"))
+    keys = [*keys, sets] if sets else keys
     out = rows.withColumnRenamed("_i", axis).groupBy(*keys, "y", "x").agg(F.sum("_p").alias("v"))
     return out.select(*keys, "y", "x", "v")
 
 
-def fir_analysis(samples: DataFrame, keys: list[str], height: int, width: int, number: int = 0) -> DataFrame:
-    """(keys, band, y, x, c): only the kept parity is computed; columns first, as in wavelet2d."""
-    out = None
-    for down, names in ((0, ("LL", "HL")), (1, ("LH", "HH"))):
-        tall = scatter(samples, keys, "y", bank_taps(number, down), height, parity=down)
-        for across, name in enumerate(names):
-            part = scatter(tall, keys, "x", bank_taps(number, across), width, parity=across).select(*keys, F.lit(name).alias("band"), "y", "x", F.col("v").alias("c"))
-            out = part if out is None else out.unionByName(part)
-    return out
+def fir_analysis(samples: DataFrame, keys: list[str], height: int, width: int, number: Bank = 0) -> DataFrame:
+    """(keys, band, y, x, c): only the kept parity is computed; columns first, as in wavelet2d. Both halves of an axis share one shuffle."""
+    halves = {half: bank_taps(number, half) for half in (0, 1)}
+    tall = scatter(samples, keys, "y", halves, height, parity=F.col("_down"), sets="_down")
+    wide = scatter(tall, [*keys, "_down"], "x", halves, width, parity=F.col("_across"), sets="_across")
+    band = F.concat(F.when(F.col("_down") == 0, "L").otherwise("H"), F.when(F.col("_across") == 0, "L").otherwise("H"))
+    band = F.when(band == "LH", "HL").when(band == "HL", "LH").otherwise(band)  # the first letter is that of the rows
+    return wide.select(*keys, band.alias("band"), "y", "x", F.col("v").alias("c"))
 
 
-def upsampled(samples: DataFrame, keys: list[str], axis: str, taps: dict[int, float], n: int, start: int = 0) -> DataFrame:
+def upsampled(samples: DataFrame, keys: list[str], axis: str, taps: dict, n: int, start: int | Column = 0, uses: str | None = None) -> DataFrame:
     """2 * n samples along an axis from n that stand at 2k + start."""
-    return scatter(samples, keys, axis, taps, 2 * n, 2 * F.col(axis) + start)
+    return scatter(samples, keys, axis, taps, 2 * n, 2 * F.col(axis) + start, uses=uses)
 
 
 def fir_synthesis(coeffs: DataFrame, keys: list[str], height: int, width: int, number: int = 0) -> DataFrame:
-    """(keys, y, x, v): each band up-sampled along x, then y, and all four added; height and width are the frame's."""
-    parts = None
-    for band, (down, across) in {"LL": (0, 0), "HL": (0, 1), "LH": (1, 0), "HH": (1, 1)}.items():
-        one = coeffs.filter(F.col("band") == band).select(*keys, "y", "x", F.col("c").alias("v"))
-        one = upsampled(one, keys, "x", synthesis_taps(number, across), width // 2, across)
-        one = upsampled(one, keys, "y", synthesis_taps(number, down), height // 2, down)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy(*keys, "y", "x").agg(F.sum("v").alias("v"))
+    """(keys, y, x, v): bands up-sampled along x, then y, each by its half's filter, and added up; height and width are the frame's."""
+    halves = {half: synthesis_taps(number, half) for half in (0, 1)}
+    down, across = F.col("band").isin("LH", "HH").cast("int"), F.col("band").isin("HL", "HH").cast("int")
+    rows = coeffs.select(*keys, down.alias("_down"), across.alias("_across"), "y", "x", F.col("c").alias("v"))
+    wide = upsampled(rows, [*keys, "_down"], "x", halves, width // 2, F.col("_across"), "_across")
+    return upsampled(wide, keys, "y", halves, height // 2, F.col("_down"), "_down")
 
 
-def packet(samples: DataFrame, keys: list[str], height: int, width: int, number: int = 0, bands: int = 16) -> DataFrame:
+def packet(samples: DataFrame, keys: list[str], height: int, width: int, number: Bank = 0, bands: int = 16) -> DataFrame:
     """(keys, band, y, x, c): 4 bands; 7 or 10 split LL again (once, twice); 16 split every band once."""
     first = fir_analysis(samples, keys, height, width, number)
     if bands == 4:
@@ -110,15 +146,10 @@ def packet(samples: DataFrame, keys: list[str], height: int, width: int, number:
 def subpel_phases(samples: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """(keys, phase, y, x, v): 16 quarter-sample phases, 4 * (y phase) + (x phase), edges repeated."""
 
-    def along(frame: DataFrame, own: list[str], axis: str, n: int, name: str) -> DataFrame:
-        out = frame.withColumn(name, F.lit(0)).select(*own, name, "y", "x", "v")
-        for phase, taps in PHASES.items():
-            part = scatter(frame, own, axis, {o - 3: w for o, w in enumerate(taps)}, n, edge="clamp").withColumn(name, F.lit(phase))
-            out = out.unionByName(part.select(*own, name, "y", "x", "v"))
-        return out
-
-    wide = along(along(samples, keys, "x", width, "px"), [*keys, "px"], "y", height, "py")
-    return wide.select(*keys, (4 * F.col("py") + F.col("px")).alias("phase"), "y", "x", "v")
+    phases = {0: {0: 1.0}} | {phase: {o - 3: w for o, w in enumerate(taps)} for phase, taps in PHASES.items()}
+    wide = scatter(samples, keys, "x", phases, width, edge="clamp", sets="_px")
+    wide = scatter(wide, [*keys, "_px"], "y", phases, height, edge="clamp", sets="_py")
+    return wide.select(*keys, (4 * F.col("_py") + F.col("_px")).alias("phase"), "y", "x", "v")
 
 
 def chroma_down(samples: DataFrame, keys: list[str], height: int, width: int, to: str = "422") -> DataFrame:

@@ -37,7 +37,8 @@ def taps(pairs: dict[int, float]) -> str:
 
 
 def reflected(k: str, n: str) -> str:
-    return f"(CASE WHEN {k} < 0 THEN -({k}) WHEN {k} >= {n} THEN 2 * ({n} - 1) - ({k}) ELSE {k} END)"
+    m = f"((({k}) % (2 * {n} - 2) + 2 * {n} - 2) % (2 * {n} - 2))"
+    return f"least({m}, 2 * {n} - 2 - {m})"
 
 
 def fir(src: str, axis: str, n: int, pairs: dict[int, float], half: int | None, keys: str = "frame", edge: str = "reflect") -> str:
@@ -59,3 +60,14 @@ def up(src: str, axis: str, n: int, pairs: dict[int, float], start: int, keys: s
     own = ", ".join(f"s.{c}" for c in keys.split(", "))
     k = reflected("g.i + _o", str(2 * n))
     return f"SELECT {own}, CAST(g.i AS INT) AS {axis}, s.{other} AS {other}, sum(s.v * w) AS v FROM (SELECT unnest(range({2 * n})) AS i) g CROSS JOIN {taps(pairs)} JOIN {src} s ON 2 * s.{axis} + {start} = {k} GROUP BY ALL"
+
+
+def bank(src: str, name: str, n: int, number: int) -> str:
+    """CTEs that end in `name` (frame, band, y, x, c): src through a filter bank."""
+    parts = (("LL", f"{name}_0", 0), ("HL", f"{name}_0", 1), ("LH", f"{name}_1", 0), ("HH", f"{name}_1", 1))
+    tall = ", ".join(f"{name}_{h} AS ({fir(src, 'y', n, bank_taps(number, h), h)})" for h in (0, 1))
+    return f"{tall}, {name} AS ({' UNION ALL '.join(f"""SELECT frame, '{b}' AS band, y, x, v AS c FROM ({fir(s, 'x', n, bank_taps(number, k), k)})""" for b, s, k in parts)})"
+
+
+def low(name: str) -> str:
+    return f"{name}_low AS (SELECT frame, y, x, c AS v FROM {name} WHERE band = 'LL')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,6 +304,51 @@ def _packet(spark, sf):
     return filters.packet(frames(spark, sf), ["frame"], 16, 16, 0, 16)
 
 
+def _all_banks(spark, sf):
+    f = frames(spark, sf)
+    return reduce(DataFrame.unionByName, [filters.fir_analysis(f, ["frame"], 16, 16, b).withColumn("bank", F.lit(b)) for b in (1, 2, 3, 4, 5, 7)])
+
+
+register("WIN6_fir_all_banks", FR + "".join(",\n" + Q.bank("frames16", f"b{b}", 16, b) for b in (1, 2, 3, 4, 5, 7)) + " " + " UNION ALL ".join(f"SELECT frame, {b} AS bank, band, y, x, {Q.rq('c')} AS c FROM b{b}" for b in (1, 2, 3, 4, 5, 7)))(_all_banks)
+
+
+def _back_sql(b: int) -> str:
+    """CTEs of one bank there and back, ending in r{b}."""
+    parts = (("LL", 0, 0), ("HL", 0, 1), ("LH", 1, 0), ("HH", 1, 1))
+    ups = "".join(f", u{b}{n} AS (SELECT frame, y, x, c AS v FROM b{b} WHERE band = '{n}'), v{b}{n} AS ({Q.up(f'u{b}{n}', 'x', 8, Q.synthesis_taps(b, k), k)}), z{b}{n} AS ({Q.up(f'v{b}{n}', 'y', 8, Q.synthesis_taps(b, d), d)})" for n, d, k in parts)
+    return f",\n{Q.bank('frames16', f'b{b}', 16, b)}{ups}, r{b} AS (SELECT frame, y, x, sum(v) AS v FROM ({' UNION ALL '.join(f'SELECT * FROM z{b}{n}' for n, _, _ in parts)}) GROUP BY ALL)"
+
+
+@register("WIN7_fir_all_banks", FR + "".join(_back_sql(b) for b in (1, 2, 3, 5, 7)) + " " + " UNION ALL ".join(f"SELECT frame, {b} AS bank, y, x, {Q.rq('v')} AS v FROM r{b}" for b in (1, 2, 3, 5, 7)))
+def _all_back(spark, sf):
+    f = frames(spark, sf)
+    return reduce(DataFrame.unionByName, [filters.fir_synthesis(filters.fir_analysis(f, ["frame"], 16, 16, b), ["frame"], 16, 16, b).withColumn("bank", F.lit(b)) for b in (1, 2, 3, 5, 7)])
+
+
+_P1, _P2, _P3 = (Q.bank(src, name, n, 2) for src, name, n in (("frames16", "p1", 16), ("p1_low", "p2", 8), ("p2_low", "p3", 4)))
+_OUT = "SELECT frame, '{0}' || band AS band, y, x, " + Q.rq("c") + " AS c FROM {1}"
+
+
+@register("WIN8_packet_4", f"{FR}, {_P1} {_OUT.format('', 'p1')}")
+def _packet4(spark, sf):
+    return filters.packet(frames(spark, sf), ["frame"], 16, 16, 2, 4)
+
+
+@register("WIN8_packet_7", f"{FR}, {_P1}, {Q.low('p1')}, {_P2} {_OUT.format('', 'p1')} WHERE band <> 'LL' UNION ALL {_OUT.format('LL/', 'p2')}")
+def _packet7(spark, sf):
+    return filters.packet(frames(spark, sf), ["frame"], 16, 16, 2, 7)
+
+
+@register("WIN8_packet_10", f"{FR}, {_P1}, {Q.low('p1')}, {_P2}, {Q.low('p2')}, {_P3} {_OUT.format('', 'p1')} WHERE band <> 'LL' UNION ALL {_OUT.format('LL/', 'p2')} WHERE band <> 'LL' UNION ALL {_OUT.format('LL/LL/', 'p3')}")
+def _packet10(spark, sf):
+    return filters.packet(frames(spark, sf), ["frame"], 16, 16, 2, 10)
+
+
+@register("WIN10_chroma_down_422", FR + f" SELECT frame, y, x, {Q.rq('v')} AS v FROM ({Q.fir('frames16', 'x', 16, Q.CHROMA_DOWN, 0)})")
+def _cdown2(spark, sf):
+    return filters.chroma_down(frames(spark, sf), ["frame"], 16, 16, "422")
+
+
 _PX = " UNION ALL ".join(["SELECT frame, 0 AS px, y, x, v FROM frames16"] + [f"SELECT frame, {p} AS px, y, x, v FROM ({Q.fir('frames16', 'x', 16, {o - 3: w for o, w in enumerate(t)}, None, edge='clamp')})" for p, t in Q.PHASES.items()])
 _PY = " UNION ALL ".join(["SELECT frame, px, 0 AS py, y, x, v FROM hx"] + [f"SELECT frame, px, {p} AS py, y, x, v FROM ({Q.fir('hx', 'y', 16, {o - 3: w for o, w in enumerate(t)}, None, 'frame, px', 'clamp')})" for p, t in Q.PHASES.items()])
 PHASED = FR + f", hx AS ({_PX}), hy AS ({_PY}), ph AS (SELECT frame, CAST(4 * py + px AS INT) AS phase, y, x, v FROM hy)"
