@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,11 +61,16 @@ def mixture_bits(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame
     return each.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(-F.log2("p") * F.col("c")).alias("bits"))
 
 
-def code_bits(word: Column, code: str, order: int = 0) -> Column:
-    """Bits of a word under exp-Golomb of an order, signed truncated unary, a 2/4-byte length or a 1/2/4-byte number."""
+def code_bits(word: Column, code: str, order: int = 0, levels: int | None = None) -> Column:
+    """Bits of a word under exp-Golomb of an order, signed truncated unary, a 2/4-byte length or a 1/2/4-byte number.
+
+    With so many levels at most, exp-Golomb needs no stop bit at the last one, where larger words are cut to the largest.
+    """
     if code == "golomb":
         level = F.floor(F.log2(word / (1 << order) + 1))
-        return 1 + order + 2 * level
+        if levels is None:
+            return 1 + order + 2 * level
+        return 1 + order + 2 * F.least(level, F.lit(levels - 1)) - F.when(level >= levels - 1, 1).otherwise(0)
     if code == "unary":
         return F.abs(word) + 1 + F.when(word != 0, 1).otherwise(0)
     if code == "length":
@@ -71,9 +78,9 @@ def code_bits(word: Column, code: str, order: int = 0) -> Column:
     return F.when(word < (1 << 7), 8).when(word < (1 << 14), 16).otherwise(32)
 
 
-def code_size(df: DataFrame, keys: list[str], word: str, code: str, order: int = 0) -> DataFrame:
+def code_size(df: DataFrame, keys: list[str], word: str, code: str, order: int = 0, levels: int | None = None) -> DataFrame:
     """(keys, n, bits)."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(code_bits(F.col(word), code, order)).cast("bigint").alias("bits"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(code_bits(F.col(word), code, order, levels)).cast("bigint").alias("bits"))
 
 
 def frequency_rank(symbols: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,20 +89,22 @@ def frequency_rank(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "sym")))
 
 
-def adaptive_cost(symbols: DataFrame, size: int) -> DataFrame:
-    """symbols (stream, seq, ctx, sym) with bits, -log2 of the symbol's share before it is counted; counts start at one."""
+def adaptive_cost(symbols: DataFrame, size: int, prior: Sequence[int] | None = None) -> DataFrame:
+    """symbols (stream, seq, ctx, sym) with bits, -log2 of the symbol's share before it is counted; counts start at one, or at prior[sym]."""
+    start = [1] * size if prior is None else list(prior)
     seen = Window.partitionBy("stream", "ctx", "sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy("stream", "ctx").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return symbols.withColumn("bits", F.log2((F.count("*").over(total) + size) / (F.count("*").over(seen) + 1)))
+    return symbols.withColumn("bits", F.log2((F.count("*").over(total) + sum(start)) / (F.count("*").over(seen) + F.array(*map(F.lit, start))[F.col("sym")])))
 
 
-def adaptive_cost_capped(symbols: DataFrame, size: int, cap: int) -> DataFrame:
-    """adaptive_cost with halving at the cap: serial by nature within a (stream, ctx), parallel across them."""
+def adaptive_cost_capped(symbols: DataFrame, size: int, cap: int | dict[int, int], prior: Sequence[int] | None = None) -> DataFrame:
+    """adaptive_cost with halving at the cap, one for all or by context: serial by nature within a (stream, ctx), parallel across them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [1] * size
+        counts = [1] * size if prior is None else list(prior)
         pdf = pdf.sort_values("seq")
-        return pdf.assign(bits=[capped_step(counts, s, cap) for s in pdf["sym"]])
+        most = cap[int(pdf["ctx"].iloc[0])] if isinstance(cap, dict) else cap
+        return pdf.assign(bits=[capped_step(counts, s, most) for s in pdf["sym"]])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in symbols.select("stream", "seq", "ctx", "sym").schema)
     return symbols.select("stream", "seq", "ctx", "sym").groupBy("stream", "ctx").applyInPandas(run, kinds + ", bits double")

@@ -31,17 +31,25 @@ def color_convert(df: DataFrame, matrix: str = "601", to: str = "yuv") -> DataFr
     return wide.select("frame", "y", "x", F.explode(F.array(*planes)).alias("s")).select("frame", "s.plane", "y", "x", "s.v")
 
 
-def tone_table(df: DataFrame, peak: int = 255, curve: str = "linear") -> DataFrame:
-    """(code, value) of the 1024 ten-bit log codes: linear light between black and white, or its gamma curve."""
-    black, white = 2 ** (BLACK / 102.4) / 1024, 2 ** (WHITE / 102.4) / 1024
-    light = F.least(F.greatest((F.pow(F.lit(2.0), F.col("code") / 102.4) / 1024 - black) / (white - black), F.lit(0.0)), F.lit(1.0))
+def tone_table(df: DataFrame, peak: int = 255, domain: str = "linear", curve: str = "two") -> DataFrame:
+    """(code, value) of the 1024 ten-bit log codes: linear light between black and white, or (`video`) its gamma curve.
+
+    `two` takes codes as powers of two, 102.4 steps each; `ten` as powers of ten, 300 steps each.
+    """
+    base, steps = (2.0, 102.4) if curve == "two" else (10.0, 300.0)
+    black, white = base ** (BLACK / steps), base ** (WHITE / steps)
+    light = F.least(F.greatest((F.pow(F.lit(base), F.col("code") / steps) - black) / (white - black), F.lit(0.0)), F.lit(1.0))
     codes = df.sparkSession.range(1024).select(F.col("id").cast("int").alias("code"))
-    return codes.select("code", F.round(peak * (light if curve == "linear" else F.pow(light, F.lit(1 / GAMMA)))).cast("int").alias("value"))
+    return codes.select("code", F.round(peak * (light if domain == "linear" else F.pow(light, F.lit(1 / GAMMA)))).cast("int").alias("value"))
 
 
-def log_to_linear(df: DataFrame, peak: int = 255, curve: str = "linear") -> DataFrame:
-    """df with value for its column code."""
-    return df.join(F.broadcast(tone_table(df, peak, curve)), "code")  # 1024 rows
+def log_to_linear(df: DataFrame, peak: int = 255, domain: str = "linear", curve: str = "two") -> DataFrame:
+    """df with value for its column code; in the domain `log` codes stay as they are."""
+    if domain not in ("log", "linear", "video") or curve not in ("two", "ten"):
+        raise ValueError(f"unknown domain or curve: {domain}, {curve}")
+    if domain == "log":
+        return df.withColumn("value", F.col("code"))
+    return df.join(F.broadcast(tone_table(df, peak, domain, curve)), "code")  # 1024 rows
 
 
 def level_table(df: DataFrame) -> DataFrame:
@@ -56,12 +64,23 @@ def level_weight(df: DataFrame, value: str = "v", weight: str = "quant") -> Data
     return df.join(F.broadcast(table), ["kind", "level"]).withColumn(value, F.col(value) * F.col("_w")).drop("_w")  # 16 rows
 
 
-def keep_bands(coeffs: DataFrame, discard: int) -> DataFrame:
-    """Coefficients whose band survives `discard`."""
+def _rank() -> Column:
     rank = F.lit(None).cast("int")
     for band, r in BAND_RANK.items():
         rank = F.when(F.col("band") == band, 3 * F.col("level") + r).otherwise(rank)
-    return coeffs.filter(F.lit(discard) < F.coalesce(rank, F.lit(13)))
+    return F.coalesce(rank, F.lit(13))
+
+
+def keep_bands(coeffs: DataFrame, discard: int) -> DataFrame:
+    """Coefficients whose band survives `discard`."""
+    return coeffs.filter(F.lit(discard) < _rank())
+
+
+def rebuild_bands(base: DataFrame, discard: int, scale: float) -> DataFrame:
+    """base (.., level, band, c) of the bands that keep_bands drops: a rounded coefficient moves away from zero by scale, 0 stays 0; the low band is only rounded."""
+    r = F.rint("c")
+    moved = F.when(F.col("band") == "LL", r).otherwise(F.signum(r) * (F.abs(r) + F.when(r == 0, 0.0).otherwise(scale)))
+    return base.filter(F.lit(discard) >= _rank()).withColumn("c", moved)
 
 
 def keep_temporal(df: DataFrame, level: int) -> DataFrame:

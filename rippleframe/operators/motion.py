@@ -143,6 +143,19 @@ def motion_delta(blocks: DataFrame, predictors: DataFrame, keys: list[str]) -> D
     return out.select(*keys, "path", (F.col("mvx") - p["x"]).alias("dx"), (F.col("mvy") - p["y"]).alias("dy"))
 
 
+def neighbour_deltas(blocks: DataFrame, deltas: DataFrame, keys: list[str], cell: int, largest: int) -> DataFrame:
+    """deltas (keys, path, dx, dy) with those of the blocks left of, above and above left of each block's corner: hor_, ver_ and dia_.
+
+    Outside the frame, and for blocks without a delta, they are 0.
+    """
+    spots = F.array(*[F.struct(F.lit(n).alias("spot"), (F.col("cx") - dx).alias("px"), (F.col("cy") - dy).alias("py")) for n, dx, dy in (("hor", 1, 0), ("ver", 0, 1), ("dia", 1, 1))])
+    known = blocks.select(*keys, "path", "cx", "cy", "xblk", "yblk").join(deltas.select(*keys, "path", "dx", "dy"), [*keys, "path"])
+    points = known.select(*keys, "path", "dx", "dy", F.inline(spots))
+    found = block_at_point(points, known.drop("path"), keys, cell, largest)
+    side = lambda spot, d: F.coalesce(F.max(F.when(F.col("spot") == spot, F.col(f"b_{d}"))), F.lit(0.0)).alias(f"{spot}_{d}")
+    return found.groupBy(*keys, "path", "dx", "dy").agg(*[side(s, d) for s in ("hor", "ver", "dia") for d in ("dx", "dy")])
+
+
 def motion_cost(deltas: DataFrame, bits: DataFrame, lam: float, subpel: int = 2) -> DataFrame:
     """deltas with lam * (bits(dx) + bits(dy)) at 2**subpel; NULL for a delta between grid points, 0 for lam <= 0.
 

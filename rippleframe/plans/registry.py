@@ -214,6 +214,13 @@ def _tone(spark, sf):
     return grid.log_to_linear(fixture(spark, sf, "codes10"), 255, "video").groupBy("code", "value").agg(F.count("*").alias("n"))
 
 
+@register("PRJ6_log_to_linear_ten", views("codes10") + """, lut AS (SELECT CAST(i AS INT) AS code, CAST(round(1023 * least(greatest((pow(10.0, i / 300.0) - pow(10.0, 95 / 300.0)) / (pow(10.0, 685 / 300.0) - pow(10.0, 95 / 300.0)), 0.0), 1.0)) AS INT) AS value FROM range(1024) r(i))
+ SELECT code, value, code AS plain, count(*) AS n FROM codes10 JOIN lut USING (code) GROUP BY ALL""")
+def _tone_ten(spark, sf):
+    out = grid.log_to_linear(fixture(spark, sf, "codes10"), 1023, "linear", "ten").withColumnRenamed("value", "ten")
+    return grid.log_to_linear(out, 1023, "log").groupBy("code", F.col("ten").alias("value"), F.col("value").alias("plain")).agg(F.count("*").alias("n"))
+
+
 LEVELS = "(VALUES " + ", ".join(f"('{k}', {n}, {(S.HIGH_WEIGHTS if k == 'H' else S.LOW_WEIGHTS)[n]!r}, {S.copy_weight(k, n)!r})" for k in "HL" for n in range(8)) + ") lv(kind, level, quant, copy)"
 
 
@@ -228,6 +235,15 @@ def _keep(spark, sf):
     return grid.keep_bands(coded(spark, sf).withColumn("level", F.lit(1)), 5).select("frame", "level", "band", "y", "x", "q")
 
 
+_DROPPED = "5 >= CASE band WHEN 'HL' THEN 6 WHEN 'LH' THEN 5 WHEN 'HH' THEN 4 ELSE 13 END"
+
+
+@register("PRJ8_rebuild_bands", CODED + f" SELECT frame, band, y, x, CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * (abs(b) + 16) END AS c FROM (SELECT *, round_even(c9 / 4, 0) AS b FROM k) WHERE {_DROPPED}")
+def _rebuild(spark, sf):
+    base = coded(spark, sf).withColumn("level", F.lit(1)).withColumn("c", F.round("c", 9) / 4)
+    return grid.rebuild_bands(base, 5, 16.0).select("frame", "band", "y", "x", "c")
+
+
 @register("PRJ9_keep_temporal", views("mv_bytes") + " SELECT * FROM mv_bytes WHERE level >= 1")
 def _keept(spark, sf):
     return grid.keep_temporal(fixture(spark, sf, "mv_bytes"), 1)
@@ -411,6 +427,12 @@ def _cut(spark, sf):
     return temporal.scene_cut_fallback(f.withColumn("v", F.col("v") / 2), f, fixture(spark, sf, "motion"), S.copy_weight("H", 1))
 
 
+@register("WIN16_scene_cut_restore", views("motion") + f""", c AS (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) SELECT frame, y, x, {Q.rq(f"CASE WHEN cut THEN v / 2 / {S.copy_weight('L', 2)!r} ELSE v / 3 END")} AS v FROM frames16 JOIN c USING (frame)""")
+def _cut_back(spark, sf):
+    f = frames(spark, sf)
+    return temporal.scene_cut_restore(f.withColumn("v", F.col("v") / 3), f.withColumn("v", F.col("v") / 2), fixture(spark, sf, "motion"), S.copy_weight("L", 2))
+
+
 @register("WIN17_assign_gop", FR + ", f AS (SELECT DISTINCT frame FROM frames16) SELECT frame, 'a' AS clip, CAST(frame // 8 AS INT) AS gop, CAST(frame % 8 AS INT) AS pos, count(*) OVER (PARTITION BY frame // 8) AS eff_size, CAST((max(frame // 8) OVER () + 2) * 8 AS INT) AS padded FROM f")
 def _gop(spark, sf):
     return temporal.assign_gop(frames(spark, sf).select("frame").distinct().withColumn("clip", F.lit("a")), ["clip"])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.operators import contexts, entropy, filters, lifting, motion, quality, rate, sampling
+from rippleframe.operators import contexts, entropy, filters, lifting, motion, quality, rate, sampling, temporal
 from rippleframe.plans import oracles as Q
 from rippleframe.plans.fixtures import fixture, views
 from rippleframe.plans.registry import CODED, FR, PHASED, coded, frames, per_frame, register
@@ -161,6 +161,15 @@ def _delta(spark, sf):
     return motion.motion_delta(blocks(spark, sf), predictors(spark, sf), ["frame"])
 
 
+_AROUND = " ".join(f"LEFT JOIN bd {n} ON {n}.frame = b.frame AND b.cx - {dx} >= {n}.cx AND b.cx - {dx} < {n}.cx + {n}.xblk AND b.cy - {dy} >= {n}.cy AND b.cy - {dy} < {n}.cy + {n}.yblk" for n, dx, dy in (("hor", 1, 0), ("ver", 0, 1), ("dia", 1, 1)))
+
+
+@register("WIN22_neighbour_deltas", PREDICT + ", d AS (SELECT frame, path, mvx - c[1].x AS dx, mvy - c[1].y AS dy FROM cand), bd AS (SELECT b.frame, b.path, cx, cy, xblk, yblk, dx, dy FROM blocks b JOIN d USING (frame, path)) SELECT b.frame, b.path, b.dx, b.dy, " + ", ".join(f"coalesce({n}.d{a}, 0.0) AS {n}_d{a}" for n in ("hor", "ver", "dia") for a in "xy") + f" FROM bd b {_AROUND}")
+def _around(spark, sf):
+    b = blocks(spark, sf)
+    return motion.neighbour_deltas(b, motion.motion_delta(b, predictors(spark, sf), ["frame"]), ["frame"], 8, 8)
+
+
 @register("WIN24_motion_cost", PREDICT + ", d AS (SELECT frame, path, mvx - c[1].x AS dx, mvy - c[1].y AS dy FROM cand) SELECT frame, path, 0.5 * ((1 + 2 * floor(log2(abs(dx) * 4 + 1))) + (1 + 2 * floor(log2(abs(dy) * 4 + 1)))) AS cost FROM d")
 def _mcost(spark, sf):
     deltas = motion.motion_delta(blocks(spark, sf), predictors(spark, sf), ["frame"])
@@ -273,6 +282,18 @@ def _adapt(spark, sf):
     return entropy.adaptive_cost(fixture(spark, sf, "symbols"), 5).select("stream", "seq", "bits")
 
 
+@register("AGG12_code_size_capped", CODED + " SELECT band, count(*) AS n, CAST(sum(2 + 2 * least(floor(log2(abs(q) / 2.0 + 1)), 2) - CASE WHEN abs(q) >= 6 THEN 1 ELSE 0 END) AS BIGINT) AS golomb, CAST(sum(CASE WHEN abs(q) * 5000 < 32768 THEN 16 ELSE 32 END) AS BIGINT) AS length FROM k GROUP BY 1")
+def _code_capped(spark, sf):
+    k = coded(spark, sf).withColumn("w", F.abs("q")).withColumn("long", F.abs("q") * 5000)
+    out = entropy.code_size(k, ["band"], "w", "golomb", 1, 3).withColumnRenamed("bits", "golomb")
+    return out.join(entropy.code_size(k, ["band"], "long", "length").select("band", F.col("bits").alias("length")), "band")
+
+
+@register("WIN18_adaptive_cost_prior", views("symbols") + f" SELECT stream, seq, {Q.rq('log2((count(*) OVER (PARTITION BY stream, ctx ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 19) / (count(*) OVER (PARTITION BY stream, ctx, sym ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + [9, 4, 3, 2, 1][sym + 1])::DOUBLE)')} AS bits FROM symbols")
+def _prior(spark, sf):
+    return entropy.adaptive_cost(fixture(spark, sf, "symbols"), 5, (9, 4, 3, 2, 1)).select("stream", "seq", "bits")
+
+
 @register("WIN18_adaptive_cost_capped")
 def _capped(spark, sf):
     return entropy.adaptive_cost_capped(fixture(spark, sf, "symbols"), 5, 32)
@@ -537,3 +558,78 @@ def _sadapt(spark, sf):
 def _sbytes(spark, sf):
     sizes = fixture(spark, sf, "mv_bytes").select(F.timestamp_seconds(F.col("gop") * 8 + F.col("set_k")).alias("ts"), "bytes")
     return drained(spark, sizes, lambda s: running.stream_gop_bytes(s, "ts", "bytes", "8 seconds", "10 seconds"), "append")
+
+
+# ---- temporal lifting along motion
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the scratch folder and read again, so that a later level does not compute it anew."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clip_motion(spark, sf, levels: int) -> DataFrame:
+    """The stand-in motion of one clip, the same on each level."""
+    return fixture(spark, sf, "motion").withColumn("clip", F.lit("a")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+
+
+def clip_frames(spark, sf) -> DataFrame:
+    return frames(spark, sf).withColumn("clip", F.lit("a"))
+
+
+def _clamped(src: str, axis: str, own: str, name: str) -> str:
+    keys = f"frame{own}"
+    parts = [f"SELECT {keys}, 0 AS {name}, y, x, v FROM {src}"]
+    parts += [f"SELECT {keys}, {p} AS {name}, y, x, v FROM ({Q.fir(src, axis, 16, {o - 3: w for o, w in enumerate(t)}, None, keys, 'clamp')})" for p, t in Q.PHASES.items()]
+    return " UNION ALL ".join(parts)
+
+
+def _guess(name: str, src: str, odd: int) -> str:
+    """CTEs that end in {name} (frame, y, x, p, cut): src (frame, y, x, v), numbered, seen along the motion of odd or even frames."""
+    turn = 1 if odd else -1
+    return f"""{name}_h AS ({_clamped(src, 'x', '', 'px')}), {name}_v AS ({_clamped(f'{name}_h', 'y', ', px', 'py')}),
+{name}_n AS (SELECT max(frame) AS n FROM {src}),
+{name}_m AS (SELECT frame, y, x, side, CASE WHEN spot > n THEN 0 ELSE m END AS m, greatest(0, least(spot, n)) AS spot, greatest(0, least(63, 4 * y - CAST(round_even(4 * {turn} * mvy, 0) AS INT))) AS fy, greatest(0, least(63, 4 * x - CAST(round_even(4 * {turn} * mvx, 0) AS INT))) AS fx
+  FROM (SELECT *, frame // 2 + side - {1 - odd} AS spot FROM motion WHERE frame % 2 = {odd}), {name}_n),
+{name}_w AS (SELECT m.frame, m.y, m.x, m.side, m.m, p.v * m.m AS v FROM {name}_m m JOIN {name}_v p ON p.frame = m.spot AND p.py = fy % 4 AND p.px = fx % 4 AND p.y = fy // 4 AND p.x = fx // 4),
+{name} AS (SELECT a.frame, a.y, a.x, (CASE WHEN a.m = 0 THEN b.v ELSE a.v END + CASE WHEN b.m = 0 THEN a.v ELSE b.v END) / 2 AS p, cut FROM {name}_w a JOIN {name}_w b USING (frame, y, x) JOIN (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) USING (frame) WHERE a.side = 0 AND b.side = 1)"""
+
+
+_A, _B = "sqrt(23 / 32.0)", "sqrt(1.5)"
+#: Weights of copied frames times the gain, by level; the same numbers as in PRJ7.
+_COPY = {("h", 1): "1.0", ("l", 1): "1.0", ("h", 2): "(1.0 / 0.92470128353329)", ("l", 2): "(1.0 / 1.10554159678513)"}
+
+
+def _along_sql(src: str, n: int) -> str:
+    """CTEs mh{n} and ml{n} (frame, y, x, v) of one level of src."""
+    return f"""e{n} AS (SELECT frame // 2 AS frame, y, x, v FROM {src} WHERE frame % 2 = 0), {_guess(f'gp{n}', f'e{n}', 1)},
+mh{n} AS (SELECT frame // 2 AS frame, y, x, CASE WHEN cut THEN {_COPY['h', n]} * v ELSE (v - p) * {_A} END AS v FROM {src} JOIN gp{n} USING (frame, y, x)), {_guess(f'gu{n}', f'mh{n}', 0)},
+ml{n} AS (SELECT frame // 2 AS frame, y, x, CASE WHEN cut THEN {_COPY['l', n]} * v ELSE (v + coalesce(p, 0.0) / 2 / {_A}) * {_B} END AS v FROM {src} LEFT JOIN gu{n} USING (frame, y, x) WHERE frame % 2 = 0)"""
+
+
+ALONG = views("motion") + ", " + _along_sql("frames16", 1)
+
+
+@register("WIN12_t_predict_along", ALONG + f" SELECT CAST(frame AS INT) AS i, y, x, {Q.rq('v')} AS h FROM mh1")
+def _predict_along(spark, sf):
+    return temporal.t_predict_along(clip_frames(spark, sf), clip_motion(spark, sf, 1), ["clip"], 16, 16).drop("clip")
+
+
+@register("WIN13_t_update_along", ALONG + f" SELECT CAST(frame AS INT) AS i, y, x, {Q.rq('v')} AS l FROM ml1")
+def _update_along(spark, sf):
+    f, m = clip_frames(spark, sf), clip_motion(spark, sf, 1)
+    return temporal.t_update_along(f, kept(temporal.t_predict_along(f, m, ["clip"], 16, 16)), m, ["clip"], 16, 16).drop("clip")
+
+
+@register("WIN14_t_pyramid_along", ALONG + ", " + _along_sql("ml1", 2) + " " + " UNION ALL ".join(f"SELECT '{b[1:].upper()}' AS tband, CAST(frame AS INT) AS idx, y, x, {Q.rq('v')} AS v FROM {b}" for b in ("mh1", "mh2", "ml2")))
+def _pyramid_along(spark, sf):
+    return temporal.t_pyramid_along(clip_frames(spark, sf), clip_motion(spark, sf, 2), ["clip"], 16, 16, 2, kept).drop("clip")
+
+
+@register("WIN15_t_unpyramid_along", FR + " SELECT frame, y, x, v FROM frames16")
+def _unpyramid_along(spark, sf):
+    m = clip_motion(spark, sf, 3)
+    bands = kept(temporal.t_pyramid_along(clip_frames(spark, sf), m, ["clip"], 16, 16, 3, kept))
+    return temporal.t_unpyramid_along(bands, m, ["clip"], 16, 16, 3, kept).select(F.col("frame").cast("int").alias("frame"), "y", "x", "v")
