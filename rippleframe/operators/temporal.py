@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rippleframe.functions.scalars import ALPHA, BETA, copy_weight
@@ -14,51 +14,60 @@ from rippleframe.operators.motion import blend_bidir, warp_subpel
 POINT = ["y", "x"]
 
 
+def _predicted(odd: Column, w: WindowSpec) -> Column:
+    """v of odd frames minus the mean of their neighbours, times alpha; a missing right neighbour is the left one."""
+    left, right = F.lag("v").over(w), F.coalesce(F.lead("v").over(w), F.lag("v").over(w))
+    return F.when(odd, (F.col("v") - (left + right) / 2) * ALPHA).otherwise(F.col("v"))
+
+
+def _updates(w: WindowSpec) -> Column:
+    """What an even frame gets from its high neighbours; a missing one is the other, without any it is 0."""
+    right = F.coalesce(F.lead("v").over(w), F.lag("v").over(w))
+    return F.coalesce(F.coalesce(F.lag("v").over(w), right) + right, F.lit(0.0)) / 4 / ALPHA
+
+
 def t_predict(frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, h): odd frames minus the mean of their neighbours, times alpha; a missing right neighbour is the left one."""
     w = Window.partitionBy(*keys).orderBy("frame")
-    left, right = F.lag("v").over(w), F.coalesce(F.lead("v").over(w), F.lag("v").over(w))
-    rows = frames.withColumn("h", (F.col("v") - (left + right) / 2) * ALPHA)
+    rows = frames.withColumn("h", _predicted(F.col("frame") % 2 == 1, w))
     return rows.filter("frame % 2 = 1").select(*keys, F.expr("frame div 2").cast("int").alias("i"), "h")
 
 
 def t_update(frames: DataFrame, high: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, l): even frames plus a quarter of the neighbouring h over alpha, times beta; the left h of frame 0 is its own."""
-    w = Window.partitionBy(*keys).orderBy("i")
-    even = frames.filter("frame % 2 = 0").select(*keys, F.expr("frame div 2").cast("int").alias("i"), "v")
-    both = even.join(high.select(*keys, "i", "h"), [*keys, "i"], "left")
-    h = F.coalesce("h", F.lag("h").over(w))
-    left = F.coalesce(F.lag("h").over(w), h)
-    return both.withColumn("l", (F.col("v") + F.coalesce(left + h, F.lit(0.0)) / 4 / ALPHA) * BETA).select(*keys, "i", "l")
+    even = frames.filter("frame % 2 = 0").select(*keys, "frame", "v")
+    rows = even.unionByName(high.select(*keys, (2 * F.col("i") + 1).alias("frame"), F.col("h").alias("v")))
+    rows = rows.withColumn("l", (F.col("v") + _updates(Window.partitionBy(*keys).orderBy("frame"))) * BETA)
+    return rows.filter("frame % 2 = 0").select(*keys, F.expr("frame div 2").cast("int").alias("i"), "l")
 
 
 def t_pyramid(frames: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
-    """(keys, tband, idx, v): H1 .. Hn and Ln, across GOP borders."""
-    out, rest = None, frames.select(*keys, "frame", "v").repartition(*keys)
+    """(keys, tband, idx, v): H1 .. Hn and Ln, across GOP borders.
+
+    One scan and one shuffle for all levels: rows of bands that are done stay in
+    the same table, told apart by tband, and the windows go by (keys, tband).
+    """
+    rows = frames.select(*keys, F.lit(None).cast("string").alias("tband"), F.col("frame").cast("int").alias("frame"), "v").repartition(*keys)
+    w, going, odd = Window.partitionBy(*keys, "tband").orderBy("frame"), F.col("tband").isNull(), F.col("frame") % 2 == 1
     for level in range(1, levels + 1):
-        high = t_predict(rest, keys)
-        low = t_update(rest, high, keys)
-        part = high.select(*keys, F.lit(f"H{level}").alias("tband"), F.col("i").alias("idx"), F.col("h").alias("v"))
-        out = part if out is None else out.unionByName(part)
-        rest = low.select(*keys, F.col("i").alias("frame"), F.col("l").alias("v"))
-    return out.unionByName(rest.select(*keys, F.lit(f"L{levels}").alias("tband"), F.col("frame").alias("idx"), "v"))
+        rows = rows.withColumn("v", _predicted(going & odd, w))
+        rows = rows.withColumn("v", F.when(going & ~odd, (F.col("v") + _updates(w)) * BETA).otherwise(F.col("v")))
+        rows = rows.withColumns({"tband": F.when(going & odd, f"H{level}").otherwise(F.col("tband")), "frame": F.when(going, F.expr("frame div 2").cast("int")).otherwise(F.col("frame"))})
+    return rows.select(*keys, F.coalesce("tband", F.lit(f"L{levels}")).alias("tband"), F.col("frame").alias("idx"), "v")
 
 
 def t_unpyramid(bands: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
-    """(keys, frame, v) of t_pyramid: updates are undone first, then predictions."""
-    rest = bands.filter(F.col("tband") == f"L{levels}").select(*keys, F.col("idx").alias("i"), F.col("v").alias("l"))
-    w = Window.partitionBy(*keys).orderBy("i")
+    """(keys, frame, v) of t_pyramid: updates are undone first, then predictions, in one table as there."""
+    wanted = [f"L{levels}", *(f"H{k}" for k in range(1, levels + 1))]
+    rows = bands.filter(F.col("tband").isin(wanted)).select(*keys, F.when(F.col("tband") != wanted[0], F.col("tband")).alias("tband"), F.col("idx").cast("int").alias("frame"), "v").repartition(*keys)
+    w, going, odd = Window.partitionBy(*keys, "tband").orderBy("frame"), F.col("tband").isNull(), F.col("frame") % 2 == 1
     for level in range(levels, 0, -1):
-        high = bands.filter(F.col("tband") == f"H{level}").select(*keys, F.col("idx").alias("i"), F.col("v").alias("h"))
-        both = rest.join(high, [*keys, "i"], "left")
-        h = F.coalesce("h", F.lag("h").over(w))
-        even = F.col("l") / BETA - F.coalesce(F.coalesce(F.lag("h").over(w), h) + h, F.lit(0.0)) / 4 / ALPHA
-        both = both.withColumn("e", even)
-        odd = F.col("h") / ALPHA + (F.col("e") + F.coalesce(F.lead("e").over(w), F.col("e"))) / 2
-        both = both.withColumn("o", odd)
-        both = both.select(*keys, F.explode(F.array(F.struct((2 * F.col("i")).alias("i"), F.col("e").alias("l")), F.struct((2 * F.col("i") + 1).alias("i"), F.col("o").alias("l")))).alias("s"))
-        rest = both.select(*keys, F.col("s.i").alias("i"), F.col("s.l").alias("l")).filter("l is not null")
-    return rest.select(*keys, F.col("i").alias("frame"), F.col("l").alias("v"))
+        high = F.col("tband") == f"H{level}"
+        rows = rows.withColumns({"frame": F.when(going, 2 * F.col("frame")).when(high, 2 * F.col("frame") + 1).otherwise(F.col("frame")), "tband": F.when(~high, F.col("tband"))})
+        rows = rows.withColumn("v", F.when(going & ~odd, F.col("v") / BETA - _updates(w)).otherwise(F.col("v")))
+        left, right = F.lag("v").over(w), F.coalesce(F.lead("v").over(w), F.lag("v").over(w))
+        rows = rows.withColumn("v", F.when(going & odd, F.col("v") / ALPHA + (left + right) / 2).otherwise(F.col("v")))
+    return rows.select(*keys, "frame", "v")
 
 
 def scene_cut_fallback(bands: DataFrame, frames: DataFrame, masks: DataFrame, weight: float) -> DataFrame:

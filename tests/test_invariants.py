@@ -135,3 +135,36 @@ def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.n, int(r.value)) for r in got) == [(v, v) for v in values]
+
+
+@pytest.mark.parametrize("number", sorted(filters.BANKS))
+def test_taps_of_banks(number):
+    low, high = (filters.bank_taps(number, half) for half in (0, 1))
+    assert sum(low.values()) == pytest.approx(2**0.5 if number == 7 else 1, abs=1e-4)  # constants pass the low half
+    assert sum(high.values()) == pytest.approx(0, abs=1e-4)
+    if number == 4:
+        with pytest.raises(ValueError):
+            filters.synthesis_taps(4, 0)
+
+
+def test_bank_from_a_file(spark, tmp_path):
+    side = [1 / 2] + [(-1) ** k / (k + 3) for k in range(16)]
+    taps = side[:0:-1] + side
+    (tmp_path / "taps.txt").write_text("\n".join(map(repr, taps)))
+    (tmp_path / "short.txt").write_text("1.0\n")
+    bank = filters.read_bank(spark, str(tmp_path / "taps.txt"))
+    values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]  # shorter than the filter: images of images
+    rows = spark.createDataFrame([(0, 0, x, v) for x, v in enumerate(values)], "frame int, y int, x int, v double")
+    got = {r.x: r.v for r in filters.scatter(rows, ["frame"], "x", filters.bank_taps(bank, 0), 8).collect()}
+    around = values + values[-2:0:-1]
+    for x in range(8):
+        assert got[x] == pytest.approx(sum(w * around[(x + o) % 14] for o, w in zip(range(-16, 17), taps, strict=True)))
+    with pytest.raises(ValueError):
+        filters.read_bank(spark, str(tmp_path / "short.txt"))
+
+
+def test_temporal_plan_grows_by_level_only(spark):
+    rows = spark.createDataFrame([("a", t, float(t * t % 7)) for t in range(16)], "clip string, frame int, v double")
+    for levels in (1, 2, 3):
+        plan = temporal.t_unpyramid(temporal.t_pyramid(rows, ["clip"], levels), ["clip"], levels)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
