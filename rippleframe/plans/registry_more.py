@@ -239,6 +239,19 @@ def _sweep(spark, sf):
     return entropy.rd_sweep(k, [8.0, 32.0], [0, 4], ["plane"])
 
 
+_STEPS, _DISCARDS = [float(1 << p) for p in range(7, 2, -1)], [0, 4, 5]
+
+
+@register("AGG5_rd_sweep_planes", CODED + f""", g AS (SELECT CASE frame % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'u' ELSE 'v' END AS plane, c, step, discard, CASE WHEN discard < CASE band WHEN 'LL' THEN 13 WHEN 'HL' THEN 6 WHEN 'LH' THEN 5 ELSE 4 END THEN sign(c9) * floor(abs(c9 / step)) ELSE 0 END AS sym FROM k, (VALUES (8.0::DOUBLE), (16.0), (32.0), (64.0), (128.0)) a(step), (VALUES (0), (4), (5)) b(discard)),
+ n AS (SELECT plane, step, discard, sym, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT plane, step, discard, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM n GROUP BY ALL),
+ m AS (SELECT plane, step, discard, avg((c - CASE WHEN sym = 0 THEN 0 ELSE sign(sym) * (abs(sym) + 0.5) * step END) ** 2) AS mse FROM g GROUP BY ALL)
+ SELECT plane, step, discard, {Q.rq('bits')} AS bits, {Q.rq('mse')} AS mse FROM b JOIN m USING (plane, step, discard)""")
+def _sweep_planes(spark, sf):
+    """Bit planes 7 to 3, three discards and three channels (frames by turns)."""
+    k = coded(spark, sf).withColumn("level", F.lit(1)).withColumn("plane", F.expr("case frame % 3 when 0 then 'y' when 1 then 'u' else 'v' end"))
+    return entropy.rd_sweep(k, _STEPS, _DISCARDS, ["plane"])
+
+
 # ---- entropy
 
 
