@@ -24,7 +24,8 @@ from rippleframe.llm.wordbytes import LOWERCASE, UPPER, Prefix, byte_table, mix,
 DIGITS = byte_table(b"0123456789")
 STOPS = byte_table(b".,;:")
 BREAKS = byte_table(b"\n")
-SHRINKAGE = 0.1
+#: That of the lowest log loss over folds of the training rows (tests/llm/choose_settings.py), like the choice of statistics.
+SHRINKAGE = 0.3
 THRESHOLD = 0.3
 NAMES = ("log_words", "word_length", "symbols", "upper", "loud", "bars", "repeated", "distinct", "same_lines", "digits", "stops", "line_words", "failed_lines", "stutter")
 
