@@ -3,7 +3,7 @@
     python -m tests.llm.choose_settings /root/testdata/sf0.1
 
 Held-out rows (the remainders that the queries keep back) are dropped before
-anything else happens. Every other remainder of a finer division is a fold.
+anything else happens. The others fall into FOLDS folds by a hash of their id.
 Printed for each setting, over all folds: wrong rows of class 1, wrong rows of
 class 0 at the threshold, and the log loss a row.
 """
