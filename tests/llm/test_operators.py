@@ -345,6 +345,14 @@ def test_toxicity_learns_words(spark):
     assert toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def test_toxicity_learns_repeated_ids_once(spark):
+    rows = [(i, "vile words here" if i % 3 == 0 else "calm words here") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    once = {(x.place, x.weight) for x in toxicity.trained(frame(spark, rows), labels).collect()}
+    again = toxicity.trained(frame(spark, rows + [(0, "vile words here")] * 50 + [(0, "zz larger text")]), labels).collect()
+    assert once and once == {(x.place, x.weight) for x in again}
+
+
 def test_ftrl_against_a_scalar_loop(monkeypatch):
     monkeypatch.setattr(toxicity, "BITS", 4)
     monkeypatch.setattr(toxicity, "L1", 0.3)
