@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, suffixes, superminhash, toxicity, urls
+from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, suffixes, superminhash, tokencount, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_disclosure": op1_pii_disclosure,
     "op2_template_decontamination": op2_template_decontamination,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_qda": op8_quality_qda,
     "op9_url_automaton": op9_url_automaton,
     "op10_superminhash": op10_superminhash,
+    "op11_token_counts": op11_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rules.ORACLE,
