@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, decontam, lines, pii, qda, rules, suffixes, superminhash, tokencount, toxicity, urls
+from rippleframe.llm import bpe, decontam, lines, pii, qda, resampling, rules, suffixes, superminhash, tokencount, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_disclosure": op1_pii_disclosure,
     "op2_template_decontamination": op2_template_decontamination,
@@ -71,9 +75,11 @@ QUERIES: dict[str, Query] = {
     "op9_url_automaton": op9_url_automaton,
     "op10_superminhash": op10_superminhash,
     "op11_token_counts": op11_token_counts,
+    "op12_target_resampling": op12_target_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rules.ORACLE,
     "op10_superminhash": superminhash.ORACLE,
     "op9_url_automaton": urls.ORACLE,
+    "op12_target_resampling": resampling.ORACLE,
 }

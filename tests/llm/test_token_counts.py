@@ -16,7 +16,7 @@ TRICKY = [
 
 
 def by_library(text):
-    return len(tokencount.Splitter(PATH).library.encode(text, add_special_tokens=False).ids)
+    return len(tokencount.splitter(PATH).library.encode(text, add_special_tokens=False).ids)
 
 
 def test_counts_equal_the_library(spark):
