@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import bpe, decontam, lines, pii, qda, resampling, rules, suffixes, superminhash, tokencount, toxicity, urls
+from rippleframe.llm import bpe, decontam, lines, merkle, pii, qda, resampling, rules, suffixes, superminhash, tokencount, toxicity, urls
 from rippleframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.without_line_feeds())
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_disclosure": op1_pii_disclosure,
     "op2_template_decontamination": op2_template_decontamination,
@@ -76,10 +80,12 @@ QUERIES: dict[str, Query] = {
     "op10_superminhash": op10_superminhash,
     "op11_token_counts": op11_token_counts,
     "op12_target_resampling": op12_target_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rules.ORACLE,
     "op10_superminhash": superminhash.ORACLE,
     "op9_url_automaton": urls.ORACLE,
     "op12_target_resampling": resampling.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
