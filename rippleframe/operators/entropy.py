@@ -7,10 +7,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from rippleframe.functions.adaptive import capped_step
-from rippleframe.functions.scalars import dequantize, quantize
+from rippleframe.functions.scalars import dequantize, normal_mass, quantize
 
 
 def symbol_entropy(symbols: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,14 +37,6 @@ def conditional_entropy(df: DataFrame, keys: list[str], context: list[str]) -> D
     return sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n") - F.col("s")).alias("bits"))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Standard normal distribution function, Arrow batches at a time."""
-    from math import erf, sqrt
-
-    return x.map(lambda v: None if v is None else 0.5 * (1 + erf(v / sqrt(2))))
-
-
 def mixture_bits(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, bits): -log2 of the mass that a Gaussian mixture gives [x - 1/2, x + 1/2].
 
@@ -55,8 +46,9 @@ def mixture_bits(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame
     weights = params.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(own))).withColumn("w", F.col("_e") / F.sum("_e").over(own))
     values = df.groupBy(*keys, "x").agg(F.count("*").alias("c"))
     sd = F.greatest(F.abs("sigma"), F.lit(1e-6))
-    mass = normal_cdf((F.col("x") + 0.5 - F.col("mu")) / sd) - normal_cdf((F.col("x") - 0.5 - F.col("mu")) / sd)
-    rows = values.join(weights.select(*keys, "w", "mu", "sigma"), keys).withColumn("m", mass * F.col("w"))
+    rows = values.join(weights.select(*keys, "w", "mu", "sigma"), keys)
+    rows = rows.withColumn("_low", (F.col("x") - 0.5 - F.col("mu")) / sd).withColumn("_high", (F.col("x") + 0.5 - F.col("mu")) / sd)
+    rows = rows.withColumn("m", normal_mass(F.col("_low"), F.col("_high")) * F.col("w"))
     each = rows.groupBy(*keys, "x", "c").agg(F.greatest(F.sum("m"), F.lit(1e-9)).alias("p"))
     return each.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(-F.log2("p") * F.col("c")).alias("bits"))
 
@@ -67,7 +59,7 @@ def code_bits(word: Column, code: str, order: int = 0, levels: int | None = None
     With so many levels at most, exp-Golomb needs no stop bit at the last one, where larger words are cut to the largest.
     """
     if code == "golomb":
-        level = F.floor(F.log2(word / (1 << order) + 1))
+        level = F.length(F.bin(F.shiftright(word.cast("bigint"), order) + 1)) - 1  # the bit length is exact where a logarithm would round up
         if levels is None:
             return 1 + order + 2 * level
         return 1 + order + 2 * F.least(level, F.lit(levels - 1)) - F.when(level >= levels - 1, 1).otherwise(0)

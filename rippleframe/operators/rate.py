@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARE = 0.55
@@ -24,22 +24,62 @@ def motion_bytes(mv_bytes: DataFrame, level: int) -> DataFrame:
     return mv_bytes.groupBy("gop").agg(F.sum(F.when(F.col("level") >= level, F.col("bytes")).otherwise(0)).alias("used"), F.sum("bytes").alias("existing"))
 
 
-def motion_budget_prune(mv_bytes: DataFrame, budget: float, share: float = SHARE) -> DataFrame:
-    """Rows of mv_bytes (gop, level, set_k, part, sub_bit, bytes) that stay.
+def bits_per_sample(bits: DataFrame, clips: DataFrame) -> DataFrame:
+    """(clip, plane, bits, samples, per_sample): planes, their clip (plane NULL) and everything (clip NULL).
 
-    Where a GOP's motion takes over share of budget bytes, sub-symbols go in
-    order, the lowest level first and of it the last sub-symbol first, until it
-    fits; a level's sign bytes go with its last step.
+    bits (clip, plane, bits); clips (clip, start, last, ywidth, yheight, cwidth, cheight) say how many samples a plane has.
     """
-    gop, unit = Window.partitionBy("gop"), ["gop", "level", "step"]
-    step = F.when(F.col("part") == "sub", F.col("sub_bit")).when(F.col("part") == "sign", F.lit(0))
-    rows = mv_bytes.withColumn("step", step)
-    sizes = rows.groupBy("gop").agg(F.sum("bytes").alias("total"))
-    drops = rows.filter("step is not null").groupBy(*unit).agg(F.sum("bytes").alias("size"))
-    so_far = Window.partitionBy("gop").orderBy("level", F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    drops = drops.join(sizes, "gop").withColumn("left_before", F.col("total") - F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-    gone = drops.filter(F.col("left_before") > share * budget).select(*unit)
-    return rows.join(gone, unit, "left_anti").drop("step")
+    sums = bits.groupBy("clip", "plane").agg(F.sum("bits").alias("bits")).join(clips, "clip")
+    frames = F.col("last") - F.col("start") + 1
+    area = F.when(F.col("plane") == "y", F.col("ywidth") * F.col("yheight")).otherwise(F.col("cwidth") * F.col("cheight"))
+    out = sums.withColumn("samples", (frames * area).cast("bigint")).rollup("clip", "plane").agg(F.sum("bits").alias("bits"), F.sum("samples").alias("samples"))
+    return out.withColumn("per_sample", F.when(F.col("samples") > 0, F.col("bits") / F.col("samples")))
+
+
+def position_bytes(bits: DataFrame) -> DataFrame:
+    """(clip, position, tband, idx, bytes): bytes of each coded frame over all planes, frames by band and place, and their sum (position NULL)."""
+    each = bits.groupBy("clip", "tband", "idx").agg((F.sum("bits") / 8).alias("bytes"))
+    order = Window.partitionBy("clip").orderBy("tband", "idx")
+    rows = each.select("clip", (F.row_number().over(order) - 1).alias("position"), "tband", "idx", "bytes")
+    total = bits.groupBy("clip").agg((F.sum("bits") / 8).alias("bytes"))
+    return rows.unionByName(total, allowMissingColumns=True)
+
+
+def motion_drop_order(mv_bytes: DataFrame, clips: DataFrame, t_level: int = 0, share: float = SHARE) -> DataFrame:
+    """(clip, level, step, size, budget, left_before, dropped): the steps of a clip's motion in the order in which they go.
+
+    mv_bytes (clip, gop, level, part, sub_bit, bytes), clips (clip, start, last,
+    framerate, bitrate in kbit/s). A step is one sub-symbol of a level over all
+    GOPs of the clip; a level's sign bytes belong to its last step. The lowest
+    level from t_level up goes first and of it the last sub-symbol, while the
+    motion that is left takes more than share of the clip's bytes. Sign bytes
+    of a level without sub-symbols count nowhere (left_before NULL, dropped).
+    A clip that clips does not list keeps all.
+    """
+    unit = ["clip", "level", "step"]
+    rows = mv_bytes.filter(F.col("level") >= t_level).withColumn("step", _step())
+    sizes = rows.groupBy(*unit).agg(F.sum("bytes").alias("size"), F.max((F.col("part") == "sub").cast("int")).alias("_sub"))
+    level, clip = Window.partitionBy("clip", "level"), Window.partitionBy("clip")
+    counts = F.col("step").isNull() | (F.max("_sub").over(level) == 1)
+    sizes = sizes.withColumn("_counts", counts).withColumn("_total", F.sum(F.when(F.col("_counts"), F.col("size"))).over(clip))
+    budget = F.col("bitrate") * 1000 / 8 * (F.col("last") - F.col("start") + 1) / F.col("framerate")
+    steps = sizes.filter("step is not null").join(clips.select("clip", budget.alias("budget")), "clip", "left")
+    ahead = clip.orderBy("level", F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_total") - F.coalesce(F.sum(F.when(F.col("_counts"), F.col("size"))).over(ahead), F.lit(0))
+    steps = steps.withColumn("left_before", F.when(F.col("_counts"), left))
+    dropped = ~F.col("_counts") | F.coalesce(F.col("left_before") > share * F.col("budget"), F.lit(False))
+    return steps.select(*unit, "size", "budget", "left_before", dropped.alias("dropped"))
+
+
+def _step() -> Column:
+    return F.when(F.col("part") == "sub", F.col("sub_bit")).when(F.col("part") == "sign", F.lit(0))
+
+
+def motion_budget_prune(mv_bytes: DataFrame, clips: DataFrame, t_level: int = 0, share: float = SHARE) -> DataFrame:
+    """Rows of mv_bytes from t_level up that stay within share of their clip's budget, by motion_drop_order()."""
+    gone = motion_drop_order(mv_bytes, clips, t_level, share).filter("dropped").select("clip", "level", "step")
+    rows = mv_bytes.filter(F.col("level") >= t_level).withColumn("step", _step())
+    return rows.join(gone, ["clip", "level", "step"], "left_anti").drop("step")
 
 
 def truncate_streams(substreams: DataFrame) -> DataFrame:

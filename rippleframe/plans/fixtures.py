@@ -45,6 +45,15 @@ _SPARK = {
     "rgb": (("frames16",), """
         SELECT CAST(frame div 3 AS INT) AS frame, CASE frame % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'g' ELSE 'b' END AS plane, y, x, v FROM frames16
         WHERE frame < (SELECT (max(frame) + 1) div 3 * 3 FROM frames16)"""),
+    "mv_clips": (("mv_bytes",), "SELECT CAST(gop % 11 AS INT) AS clip, gop, level, set_k, part, sub_bit, bytes FROM mv_bytes WHERE gop % 11 <> 3 OR part <> 'sub' OR level > 0"),
+    "clips": (("mv_clips",), """
+        SELECT clip, 0 AS start, CAST(8 * count(DISTINCT gop) - 1 AS INT) AS last, CAST(25 + 5 * (clip % 2) AS DOUBLE) AS framerate,
+               CAST(sum(bytes) * (1 + clip % 5) * (25 + 5 * (clip % 2)) div (2000 * count(DISTINCT gop)) AS INT) AS bitrate FROM mv_clips GROUP BY clip"""),
+    "frame_bits": (("substreams",), """
+        SELECT concat('c', CAST(gop % 3 AS STRING)) AS clip, CASE band % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'u' ELSE 'v' END AS plane,
+               CASE fr % 4 WHEN 0 THEN 'H1' WHEN 1 THEN 'H2' WHEN 2 THEN 'H3' ELSE 'L3' END AS tband, CAST(gop div 3 AS INT) AS idx, avail AS bits FROM substreams"""),
+    "clip_sizes": (("frame_bits",), """
+        SELECT clip, 0 AS start, CAST(8 * count(DISTINCT idx) - 1 AS INT) AS last, 352 AS ywidth, 288 AS yheight, 176 AS cwidth, 144 AS cheight FROM frame_bits GROUP BY clip"""),
     "codes10": ((), "SELECT CAST(l_partkey * 31 % 1024 AS INT) AS code FROM lineitem"),
 }
 _TABLES = {"frames16": "embeddings", "series": "lineitem", "symbols": "events", "substreams": "lineitem", "mv_bytes": "orders", "steps": "events", "codes10": "lineitem"}

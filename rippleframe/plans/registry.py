@@ -438,4 +438,4 @@ def _gop(spark, sf):
     return temporal.assign_gop(frames(spark, sf).select("frame").distinct().withColumn("clip", F.lit("a")), ["clip"])
 
 
-from rippleframe.plans import registry_more  # noqa: E402, F401  the rest of the list registers itself
+from rippleframe.plans import registry_coding, registry_more  # noqa: E402, F401  the rest of the list registers itself

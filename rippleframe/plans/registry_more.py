@@ -274,13 +274,6 @@ def _cond(spark, sf):
     return entropy.conditional_entropy(s, ["ctx"], ["prev"])
 
 
-@register("AGG11_mixture_bits")
-def _mix(spark, sf):
-    x = coded(spark, sf).select("band", F.col("q").alias("x"))
-    params = spark.createDataFrame([(b, k, float(k), float(k), 1.0 + 3 * k) for b in ("LL", "HL", "LH", "HH") for k in range(3)], "band string, k int, logit double, mu double, sigma double")
-    return entropy.mixture_bits(x, params, ["band"])
-
-
 @register("AGG12_code_size", CODED + " SELECT band, count(*) AS n, CAST(sum(1 + 1 + 2 * floor(log2(abs(q) / 2.0 + 1))) AS BIGINT) AS golomb, CAST(sum(abs(q) + 1 + CASE WHEN q <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS unary, CAST(sum(CASE WHEN abs(q) < 128 THEN 8 WHEN abs(q) < 16384 THEN 16 ELSE 32 END) AS BIGINT) AS number FROM k GROUP BY 1")
 def _code(spark, sf):
     k = coded(spark, sf).withColumn("w", F.abs("q"))
@@ -418,13 +411,6 @@ def _mvb(spark, sf):
     return rate.motion_bytes(fixture(spark, sf, "mv_bytes"), 1)
 
 
-@register("AGG16_motion_budget_prune", views("mv_bytes") + """, r AS (SELECT *, CASE part WHEN 'sub' THEN sub_bit WHEN 'sign' THEN 0 END AS step FROM mv_bytes), t AS (SELECT gop, sum(bytes) AS total FROM r GROUP BY 1),
- d AS (SELECT gop, level, step, sum(bytes) AS size FROM r WHERE step IS NOT NULL GROUP BY ALL), e AS (SELECT d.*, total - coalesce(sum(size) OVER (PARTITION BY gop ORDER BY level, step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d JOIN t USING (gop)),
- g AS (SELECT gop, level, step FROM e WHERE ahead > 0.55 * 100000) SELECT r.gop, r.level, r.set_k, r.part, r.sub_bit, r.bytes FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.gop = r.gop AND g.level = r.level AND g.step = r.step)""")
-def _prune(spark, sf):
-    return rate.motion_budget_prune(fixture(spark, sf, "mv_bytes"), 100000.0)
-
-
 TRUNC = views("substreams", "mv_bytes") + ", z AS (SELECT *, least(alloc, avail) AS size FROM substreams), zz AS (SELECT *, CASE WHEN size = 0 THEN 0 WHEN size < 32768 THEN 2 ELSE 4 END AS header FROM z)"
 
 
