@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rippleframe.functions import scalars as S
-from rippleframe.operators import entropy, rate
+from rippleframe.operators import coder, entropy, rate
 from rippleframe.plans import oracles as Q
 from rippleframe.plans.fixtures import fixture, views
 from rippleframe.plans.registry import CODED, coded, register
+from rippleframe.plans.registry_more import two_levels
 
 # ---- a clip's motion budget: the twin tries every number of drops and takes the first that fits
 
@@ -71,3 +72,40 @@ def _mix(spark, sf):
     x = coded(spark, sf).select("band", F.col("q").alias("x"))
     params = spark.createDataFrame([(b, k, float(k), float(k), 1.0 + 3 * k) for b in ("LL", "HL", "LH", "HH") for k in range(3)], "band string, k int, logit double, mu double, sigma double")
     return entropy.mixture_bits(x, params, ["band"])
+
+
+# ---- a bit-plane coder with contexts: the twin counts neighbours by a self-join, a plane at a time
+
+_SEEN = "(abs(n.q) >> (b + {up})) > 0"
+_COUNT = "CAST(sum(CASE WHEN {where} AND " + _SEEN + " THEN 1 ELSE 0 END) AS INT) AS {name}"
+_SIDES = {"h": "n.y = a.y AND n.x <> a.x", "v": "n.x = a.x AND n.y <> a.y", "d": "n.x <> a.x AND n.y <> a.y", "fall": "n.x - a.x = n.y - a.y AND n.x <> a.x", "rise": "n.x - a.x = a.y - n.y AND n.x <> a.x"}
+_BALANCE = "max(CASE WHEN {where} AND n.q > 0 AND " + _SEEN + " THEN 1 ELSE 0 END) - max(CASE WHEN {where} AND n.q < 0 AND " + _SEEN + " THEN 1 ELSE 0 END) AS {name}"
+_COUNTS = ", ".join([_COUNT.format(where=_SIDES[s], up=up, name=name) for name, s, up in (("h0", "h", 1), ("v0", "v", 1), ("d", "d", 1), ("oh", "h", 2), ("ov", "v", 2))] + [_BALANCE.format(where=_SIDES[s], up=1, name=f"b{s}") for s in ("h", "v", "fall", "rise")])
+CODER = CODED + """,
+low AS (SELECT frame, y, x, c AS v FROM w1 WHERE band = 'LL'),
+""" + Q.wavelet("low", "w2") + f""",
+j AS (SELECT a.frame, a.band, a.y, a.x, a.q, b, {_COUNTS} FROM k a JOIN k n ON a.frame = n.frame AND a.band = n.band AND n.y BETWEEN a.y - 1 AND a.y + 1 AND n.x BETWEEN a.x - 1 AND a.x + 1, range(6) p(b) GROUP BY a.frame, a.band, a.y, a.x, a.q, b),
+t AS (SELECT j.* EXCLUDE (h0, v0, bh, bv, oh, ov), h0 + v0 AS s, abs(j.q) >> b AS here, abs(j.q) >> (b + 1) AS above, CASE WHEN (CAST(floor(abs(round(w2.c, 9) / 16)) AS INT) >> b) > 0 THEN 1 ELSE 0 END AS p,
+ CASE WHEN j.band = 'HL' THEN v0 ELSE h0 END AS h, CASE WHEN j.band = 'HL' THEN h0 ELSE v0 END AS v, CASE WHEN j.band = 'HL' THEN bv ELSE bh END AS gh, CASE WHEN j.band = 'HL' THEN bh ELSE bv END AS gv
+ FROM j LEFT JOIN w2 ON w2.frame = j.frame AND w2.band = j.band AND w2.y = j.y // 2 AND w2.x = j.x // 2),
+u AS (SELECT *, CASE WHEN p = 1 THEN CASE WHEN band = 'HH' THEN CASE WHEN s = 0 THEN CASE WHEN d = 1 THEN 0 ELSE 1 END WHEN s = 1 THEN CASE WHEN d < 3 THEN 1 ELSE 2 END WHEN h = 1 AND v = 1 THEN CASE WHEN d < 2 THEN 1 ELSE 2 END WHEN s = 2 THEN 2 ELSE 3 END
+      ELSE CASE WHEN s = 0 THEN CASE WHEN d = 1 THEN 0 ELSE 1 END WHEN h = 0 AND v = 1 THEN 1 WHEN h = 1 AND v = 0 THEN 2 WHEN s > 2 THEN 4 ELSE 3 END END
+      ELSE CASE WHEN band = 'HH' THEN 4 ELSE 5 END + CASE WHEN s = 0 THEN 0 WHEN s = 1 THEN CASE WHEN d < 3 THEN 0 ELSE 1 END WHEN s = 2 THEN 1 ELSE 2 END END AS joint,
+ CASE WHEN h = 0 AND v = 0 THEN 0 WHEN h = 0 THEN 1 WHEN v = 0 THEN CASE WHEN band = 'HH' THEN 1 ELSE 2 END WHEN h = 2 AND v = 2 THEN CASE WHEN band = 'HH' THEN 3 ELSE 4 END ELSE CASE WHEN band = 'HH' THEN 2 ELSE 3 END END AS refine,
+ CASE WHEN gv > 0 THEN 3 + gh WHEN gv < 0 THEN 3 - gh WHEN gh <> 0 THEN 1 WHEN bfall <> 0 OR brise <> 0 THEN 5 ELSE 0 END AS sign_class,
+ CASE WHEN gv > 0 THEN 1 WHEN gv < 0 THEN 0 WHEN gh <> 0 THEN CASE WHEN band = 'HH' THEN CASE WHEN gh > 0 THEN 1 ELSE 0 END ELSE CASE WHEN gh < 0 THEN 1 ELSE 0 END END
+      WHEN bfall < 0 THEN 1 WHEN bfall > 0 THEN 0 WHEN brise <> 0 THEN CASE WHEN band = 'HH' THEN CASE WHEN brise < 0 THEN 1 ELSE 0 END ELSE CASE WHEN brise > 0 THEN 1 ELSE 0 END END ELSE 0 END AS flip FROM t),
+e AS (SELECT band, b AS plane, 'significance' AS kind, joint AS class, CASE WHEN here > 0 THEN 1 ELSE 0 END AS sym FROM u WHERE above = 0
+ UNION ALL SELECT band, b, 'sign', sign_class, CASE WHEN (flip = 1) = (q < 0) THEN 1 ELSE 0 END FROM u WHERE above = 0 AND here > 0 UNION ALL SELECT band, b, 'refinement', refine, here % 2 FROM u WHERE above > 0),
+f AS (SELECT band, plane, kind, class, sym, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT band, plane, kind, sum(n) AS n, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM f GROUP BY band, plane, kind, class)"""
+
+
+@register("AGG22_plane_coder", CODER + f""", s AS (SELECT band, plane, coalesce(sum(bits) FILTER (kind = 'significance'), 0) AS significance, coalesce(sum(bits) FILTER (kind = 'sign'), 0) AS sign, coalesce(sum(bits) FILTER (kind = 'refinement'), 0) AS refinement FROM g GROUP BY ALL),
+ m AS (SELECT band, b AS plane, avg((c - CASE WHEN (abs(q) >> b) = 0 THEN 0 ELSE sign(q) * ((abs(q) >> b) + 0.5) * (1 << b) * 16 END) ** 2) AS mse FROM k, range(7) p(b) GROUP BY ALL),
+ n AS (SELECT a.band, a.plane, a.mse, c.mse - a.mse AS gain FROM m a JOIN m c ON c.band = a.band AND c.plane = a.plane + 1),
+ r AS (SELECT s.*, s.significance + s.sign + s.refinement AS bits, (SELECT sum(z.significance + z.sign + z.refinement) FROM s z WHERE z.band = s.band AND z.plane >= s.plane) AS total FROM s)
+ SELECT band, CAST(plane AS INT) AS plane, {Q.rq('significance')} AS significance, {Q.rq('sign')} AS sign, {Q.rq('refinement')} AS refinement, {Q.rq('bits')} AS bits, {Q.rq('total')} AS total, {Q.rq('mse')} AS mse, {Q.rq('gain')} AS gain,
+ CASE WHEN bits > 1e-9 THEN {Q.rq('(gain / bits)')} END AS slope FROM r JOIN n USING (band, plane)""")
+def _coder(spark, sf):
+    k, parents = two_levels(spark, sf)
+    return coder.coded_rd_curve(k, ["frame", "band"], ["band"], 6, 16.0, parents).select("band", "plane", *coder.KINDS, "bits", "total", "mse", "gain", "slope")

@@ -333,7 +333,7 @@ def _sig(spark, sf):
     return out.select("frame", "band", "y", "x", "h", "v", "d", "sig", "border")
 
 
-def _two_levels(spark, sf):
+def two_levels(spark, sf):
     """First-level coefficients, and those of the level above as their parents (frame, band, y, x, q)."""
     first = lifting.wavelet2d(frames(spark, sf), ["frame"])
     low = first.filter("band = 'LL'").select("frame", "y", "x", F.col("c").alias("v"))
@@ -354,7 +354,7 @@ PARENT = CODED + ",\nlow AS (SELECT frame, y, x, c AS v FROM w1 WHERE band = 'LL
       ELSE CASE WHEN h = 0 AND v = 0 THEN CASE WHEN d = 1 THEN 0 ELSE 1 END WHEN h = 0 AND v = 1 THEN 1 WHEN h = 1 AND v = 0 THEN 2 WHEN h + v > 2 THEN 4 ELSE 3 END END
       ELSE CASE WHEN band = 'HH' THEN 4 ELSE 5 END + CASE WHEN h + v = 0 THEN 0 WHEN h + v = 1 THEN CASE WHEN d < 3 THEN 0 ELSE 1 END WHEN h + v = 2 THEN 1 ELSE 2 END END AS joint FROM t""")
 def _class(spark, sf):
-    k, parents = _two_levels(spark, sf)
+    k, parents = two_levels(spark, sf)
     ctx = contexts.significance_context(k, ["frame", "band"], 0, parents)
     return contexts.significance_class(ctx).select("frame", "band", "y", "x", "alone", "joint")
 
