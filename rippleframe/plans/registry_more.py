@@ -473,9 +473,10 @@ def _sizes(spark, sf):
 
 @register("SNK1_write_planar", FR + " SELECT 'c' AS clip, 'y' AS plane, CAST(frame AS INT) AS frame, y, x, v FROM frames16")
 def _planar(spark, sf):
+    """One clip of all frames: its ranges of frames become files that are read as one."""
     path = scratch(spark)
-    planar.write_planar(frames(spark, sf).withColumn("clip", F.lit("c")).withColumn("plane", F.lit("y")), path)
-    return planar.read_bodies(spark, path, 16, 16)
+    planar.write_planar(frames(spark, sf).withColumn("clip", F.lit("c")).withColumn("plane", F.lit("y")), path, 16, 16, planes="y")
+    return planar.scan_planar(spark, path, 16, 16, planes="y")
 
 
 @register("SNK2_export_blocks", views("blocks") + " SELECT CAST(frame AS INT) AS frame, cx, cy, xblk, yblk, mode, 1 AS has_mv, mvx, mvy FROM blocks")
@@ -485,14 +486,12 @@ def _export(spark, sf):
     return spark.read.schema("frame int, cx int, cy int, xblk int, yblk int, mode int, has_mv int, mvx double, mvy double").csv(path, sep="\t")
 
 
-@register("SRC1_scan_planar", FR + " SELECT 'c' || frame // 8 AS clip, 'y' AS plane, CAST(frame % 8 AS INT) AS frame, y, x, v FROM frames16 WHERE frame % 8 < 6")
+@register("SRC1_scan_planar", FR + " SELECT 'c' || frame // 8 AS clip, 'y' AS plane, CAST(frame % 8 AS INT) AS frame, y, x, v FROM frames16")
 def _container(spark, sf):
     path = scratch(spark)
-    clips = frames(spark, sf).withColumn("clip", F.concat(F.lit("c"), F.expr("frame div 8").cast("string"))).withColumn("plane", F.lit("y"))
-    bodies = planar.frame_bytes(clips).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", "body"))).alias("b"))
-    whole = F.unhex(F.array_join(F.transform("b", lambda s: F.hex(s["body"])), ""))
-    planar.write_files(bodies.select(F.concat("clip", F.lit(".yuv")).alias("name"), whole.alias("content")), path)
-    return planar.scan_planar(spark, path, 16, 16, 8, planes="y").filter("frame <= 5")
+    clips = frames(spark, sf).select(F.concat(F.lit("c"), F.expr("frame div 8").cast("string")).alias("clip"), F.lit("y").alias("plane"), (F.col("frame") % 8).alias("frame"), "y", "x", "v")
+    planar.write_planar(clips, path, 16, 16, planes="y")
+    return planar.scan_planar(spark, path, 16, 16, planes="y", frames_per_task=3)
 
 
 @register("SRC2_scan_planar_template", FR + " SELECT 'f' AS clip, 'y' AS plane, CAST(frame AS INT) AS frame, y, x, v FROM frames16")

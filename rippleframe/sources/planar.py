@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+import uuid
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "clip string, plane string, frame int, y int, x int, v double"
 
 
+#: Name of a file that holds a clip from a later frame on: clip, first frame, suffix.
+SEGMENT = re.compile(r"(.*)@(\d{10})$")
+
+
 @dataclass
 class Range(InputPartition):
     path: str
     start: int
     stop: int
+    first: int = 0
+
+
+def _clip_and_first(path: str) -> tuple[str, int]:
+    """The clip of a container file and the frame that the file begins with."""
+    stem = path.rpartition("/")[2].rpartition(".")[0]
+    found = SEGMENT.match(stem)
+    return (found[1], int(found[2])) if found else (stem, 0)
 
 
 def _planes(raw: bytes, clip: str, frame: int, sizes: list[tuple[str, int, int]], kind: np.dtype) -> Iterator[pa.RecordBatch]:
@@ -43,7 +57,7 @@ class PlanarReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.sizes = options, _sizes(options)
         self.kind = np.dtype(options.get("dtype", "uint8"))
-        self.low, self.high = int(options.get("start", 0)), int(options["frames"]) - 1
+        self.low, self.high = int(options.get("start", 0)), int(options.get("frames", 1 << 40)) - 1
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
@@ -58,9 +72,16 @@ class PlanarReader(DataSourceReader):
         from pyarrow import fs
 
         step = int(self.options.get("frames_per_task", 8))
+        body = sum(h * w for _, h, w in self.sizes) * self.kind.itemsize
         store, path = fs.FileSystem.from_uri(self.options["path"])
-        files = [path] if store.get_file_info(path).is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.is_file)
-        return [Range(p, a, min(a + step, self.high + 1)) for p in files for a in range(self.low, self.high + 1, step)] or [Range(path, 0, 0)]
+        own = store.get_file_info(path)
+        files = [own] if own.is_file else sorted((f for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name[0] not in "._"), key=lambda f: f.path)
+        out = []
+        for f in files:
+            first = _clip_and_first(f.path)[1]
+            low, stop = max(self.low, first), min(self.high + 1, first + f.size // body)
+            out += [Range(f.path, a, min(a + step, stop), first) for a in range(low, stop, step)]
+        return out or [Range(path, 0, 0)]
 
     def read(self, partition: Range):
         size = sum(h * w for _, h, w in self.sizes) * self.kind.itemsize
@@ -69,19 +90,142 @@ class PlanarReader(DataSourceReader):
         if partition.start == partition.stop:
             return
         store, _ = fs.FileSystem.from_uri(self.options["path"])
-        clip = self.options.get("clip") or partition.path.rpartition("/")[2].rpartition(".")[0]
+        clip = self.options.get("clip") or _clip_and_first(partition.path)[0]
         with store.open_input_file(partition.path) as f:
             for frame in range(partition.start, partition.stop):
-                f.seek(frame * size)
-                if len(raw := f.read(size)) == size:  # a shorter clip ends sooner
-                    yield from _planes(raw, clip, frame, self.sizes, self.kind)
+                f.seek((frame - partition.first) * size)
+                yield from _planes(f.read(size), clip, frame, self.sizes, self.kind)
+
+
+@dataclass
+class Segments(WriterCommitMessage):
+    """What one task has staged: (clip, first frame, frames, file)."""
+
+    found: list[tuple[str, int, int, str]] = field(default_factory=list)
+
+
+class PlanarWriter(DataSourceArrowWriter):
+    """Containers of whole frames in two phases: tasks stage segments of consecutive frames, the driver names them and checks that they meet.
+
+    Rows (clip, plane, frame, y, x, v) of a partition come in the order of clip,
+    frame, plane, y and x, all rows of a frame in one partition. A task appends
+    frame after frame to a file of its own in a staging folder and reports where
+    which frames are. Only what tasks report is moved into place, so that a task
+    which ran twice or died leaves nothing; abort deletes the staging folder.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.sizes, self.overwrite = options["path"], _sizes(options), overwrite
+        self.kind = np.dtype(options.get("dtype", "uint8"))
+        self.stage = f"_staged-{uuid.uuid4().hex}"
+
+    def _store(self):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        return store, path.rstrip("/")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Segments:
+        store, path = self._store()
+        folder, done = f"{path}/{self.stage}", Segments()
+        store.create_dir(folder, recursive=True)
+        whole = sum(h * w for _, h, w in self.sizes)
+        out, now, missing = None, None, 0  # the open file, its clip and frame, samples that the frame still lacks
+        try:
+            for batch in iterator:
+                clips, frames, values = batch.column("clip").to_pylist(), batch.column("frame").to_numpy(), batch.column("v").to_numpy()
+                raw = self._coded(values)
+                edges = [0, *[i for i in range(1, len(clips)) if frames[i] != frames[i - 1] or clips[i] != clips[i - 1]], len(clips)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a == b:
+                        continue
+                    key = (clips[a], int(frames[a]))
+                    if key != now:
+                        if missing:
+                            raise ValueError(f"frame {now} lacks {missing} samples")
+                        if out is None or now is None or key != (now[0], now[1] + 1):
+                            if out is not None:
+                                out.close()
+                            name = f"{folder}/{uuid.uuid4().hex}"
+                            out = store.open_output_stream(name)
+                            done.found.append((*key, 0, name))
+                        done.found[-1] = (*done.found[-1][:2], done.found[-1][2] + 1, done.found[-1][3])
+                        now, missing = key, whole
+                    self._in_place(batch.slice(a, b - a), whole - missing)
+                    missing -= b - a
+                    out.write(raw[a:b].tobytes())
+            if missing:
+                raise ValueError(f"frame {now} lacks {missing} samples")
+        finally:
+            if out is not None:
+                out.close()
+        return done
+
+    def _coded(self, v: np.ndarray) -> np.ndarray:
+        """Values as they are stored: whole types are rounded half away from zero and cut to their range."""
+        if self.kind.kind == "f":
+            return v.astype(self.kind)
+        limits = np.iinfo(self.kind)
+        return np.clip(np.trunc(v + np.copysign(0.5, v)), limits.min, limits.max).astype(self.kind)
+
+    def _in_place(self, rows: pa.RecordBatch, at: int) -> None:
+        """Raises unless the rows are those of the frame from sample `at` on."""
+        first, planes = 0, rows.column("plane").to_pylist()
+        spots = np.stack([rows.column("y").to_numpy(), rows.column("x").to_numpy()])
+        for plane, height, width in self.sizes:
+            a, b = max(at, first), min(at + len(planes), first + height * width)
+            if a < b and (set(planes[a - at : b - at]) != {plane} or not np.array_equal(spots[:, a - at : b - at], np.divmod(np.arange(a - first, b - first), width))):
+                raise ValueError(f"samples of plane {plane} are not in order or not of {height} x {width}")
+            first += height * width
+        if at + len(planes) > first:
+            raise ValueError(f"a frame has more than {first} samples")
+
+    def commit(self, messages: Sequence[Segments | None]) -> None:
+        store, path = self._store()
+        found = sorted(s for m in messages if m is not None for s in m.found)
+        moved: list[str] = []
+        try:
+            for one, two in zip(found, found[1:], strict=False):
+                if one[0] == two[0] and one[1] + one[2] != two[1]:
+                    raise ValueError(f"clip {one[0]} has frames up to {one[1] + one[2] - 1} and then {two[1]}")
+            if self.overwrite:
+                self._clear(store, path)
+            for clip, first, _, name in found:
+                target = f"{path}/{clip}.yuv" if first == 0 else f"{path}/{clip}@{first:010d}.yuv"
+                if not self.overwrite and store.get_file_info(target).type.name != "NotFound":
+                    raise ValueError(f"{target} exists")
+                store.move(name, target)
+                moved.append(target)
+        except Exception:
+            for target in moved:
+                store.delete_file(target)
+            raise
+        finally:
+            self._unstage()
+
+    def abort(self, messages: Sequence[Segments | None]) -> None:
+        self._unstage()
+
+    def _clear(self, store, path: str) -> None:
+        from pyarrow import fs
+
+        for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.is_file:
+                store.delete_file(f.path)
+
+    def _unstage(self) -> None:
+        store, path = self._store()
+        if store.get_file_info(f"{path}/{self.stage}").type.name == "Directory":
+            store.delete_dir(f"{path}/{self.stage}")
 
 
 class PlanarSource(DataSource):
-    """spark.read.format("planar") with path, height, width, frames and, at will, cheight, cwidth, planes, dtype, start, clip.
+    """spark.read.format("planar") with path, height, width and, at will, frames, cheight, cwidth, planes, dtype, start, clip.
 
-    path is a container file or a folder of them, one a clip, in a store that
-    pyarrow opens by its address. A partition reads only its own range of frames.
+    path is a container file or a folder of them, one or more a clip, in a store
+    that pyarrow opens by its address. A partition reads only its own range of
+    frames. df.write.format("planar") takes the same options; write_planar()
+    puts the rows in order for it.
     """
 
     @classmethod
@@ -94,13 +238,33 @@ class PlanarSource(DataSource):
     def reader(self, schema):
         return PlanarReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):
+        return PlanarWriter(dict(self.options), overwrite)
+
 
-def scan_planar(spark: SparkSession, path: str, height: int, width: int, frames: int, **options) -> DataFrame:
-    """Samples of one container file."""
+def scan_planar(spark: SparkSession, path: str, height: int, width: int, frames: int | None = None, **options) -> DataFrame:
+    """Samples of a container file or a folder of them, of the first `frames` frames where a number is given."""
     spark.dataSource.register(PlanarSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("planar").options(path=path, height=height, width=width, frames=frames, **options)
-    return reader.load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses sources that take filters
+    if frames is not None:
+        options["frames"] = frames
+    return spark.read.format("planar").options(path=path, height=height, width=width, **options).load()
+
+
+def write_planar(samples: DataFrame, path: str, height: int, width: int, mode: str = "append", **options) -> None:
+    """Writes (clip, plane, frame, y, x, v) as planar containers, which scan_planar() reads back.
+
+    A clip is one file, or one for each range of frames that a task had; ranges
+    must meet. Values are rounded and cut to the type's range. With mode
+    "overwrite" the folder's files go when all tasks are done, not before.
+    Frames with missing or extra samples, and gaps between frames, are errors
+    that leave the folder as it was.
+    """
+    planes = options.get("planes", "y,u,v").split(",")
+    rank = F.array_position(F.array(*map(F.lit, planes)), F.col("plane"))
+    rows = samples.select("clip", "plane", F.col("frame").cast("int").alias("frame"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    samples.sparkSession.dataSource.register(PlanarSource)
+    rows.repartitionByRange("clip", "frame").sortWithinPartitions("clip", "frame", rank, "y", "x").write.format("planar").options(path=path, height=height, width=width, **options).mode(mode).save()
 
 
 def scan_planar_template(spark: SparkSession, glob: str, height: int, width: int, dtype: str = "uint8", planes: str = "y") -> DataFrame:
@@ -141,20 +305,3 @@ def frame_bytes(samples: DataFrame) -> DataFrame:
     rows = rows.withColumn("row", F.unhex(F.array_join(F.transform("row", lambda s: F.lpad(F.hex(s["b"]), 2, "0")), "")))
     whole = rows.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(F.struct("p", "y", "row"))).alias("rows"))
     return whole.select("clip", "frame", F.unhex(F.array_join(F.transform("rows", lambda s: F.hex(s["row"])), "")).alias("body"))
-
-
-def write_planar(samples: DataFrame, path: str) -> None:
-    """Frames as a Parquet table of bodies, ranges of frames in order: no task holds more than a frame."""
-    frame_bytes(samples).repartitionByRange("clip", "frame").sortWithinPartitions("clip", "frame").write.parquet(path)
-
-
-def read_bodies(spark: SparkSession, path: str, height: int, width: int, planes: str = "y") -> DataFrame:
-    """Samples of what write_planar wrote."""
-    sizes = [(p, height, width) for p in planes.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for clip, frame, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _planes(raw, clip, frame, sizes, np.dtype("uint8"))
-
-    return spark.read.schema("clip string, frame int, body binary").parquet(path).mapInArrow(run, SCHEMA)

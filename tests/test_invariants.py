@@ -96,11 +96,6 @@ def test_closed_windows_equal_batch_sums(spark):
     assert closed and all(batch[r.start] == (r.bytes, r.n) for r in closed)
 
 
-def test_planar_filter_reaches_the_source(spark):
-    df = registry.QUERIES["SRC1_scan_planar"](spark, SF)
-    assert df.agg(F.max("frame")).first()[0] == 5
-
-
 def test_batches_are_full_and_seeded(spark):
     clips = spark.range(103).withColumnRenamed("id", "k")
     one = {r.k: r.place for r in sampling.batches(clips, "k", 10, 1).collect()}
