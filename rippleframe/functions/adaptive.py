@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import log2
 
 
-def capped_step(counts: list[int], sym: int, cap: int) -> float:
+def capped_step(counts: list[int], sym: int, cap: float) -> float:
     """Bits of one symbol; the counts move on, and halve, rounding up, when their sum reaches the cap."""
     bits = log2(sum(counts) / counts[sym])
     counts[sym] += 1

@@ -1,12 +1,14 @@
-"""What a bit-plane coder with contexts would spend, and the rate-distortion curve that follows."""
+"""What a bit-plane coder with contexts would spend, and rate-distortion curves and sweeps."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleframe.functions.scalars import clip_round, dequantize, psnr, quantize
 from rippleframe.operators.contexts import AROUND, neighbours, refine_classes, sign_classes, zero_classes
 from rippleframe.operators.entropy import conditional_entropy
+from rippleframe.operators.lifting import pyramid, unpyramid
 
 KINDS = ("significance", "sign", "refinement")
 
@@ -73,3 +75,26 @@ def coded_rd_curve(coeffs: DataFrame, keys: list[str], group: list[str], planes:
     bits: Column = F.col(KINDS[0]) + F.col(KINDS[1]) + F.col(KINDS[2])
     out = spent.withColumn("bits", bits).withColumn("total", F.sum("bits").over(down.rowsBetween(Window.unboundedPreceding, 0))).join(error, [*group, "plane"])
     return out.withColumn("slope", F.when(F.col("bits") > 1e-9, F.col("gain") / F.col("bits")))
+
+
+def sample_rd_sweep(samples: DataFrame, keys: list[str], channel: str, steps: list[float], discards: list[int], levels: int = 4, peak: float = 255) -> DataFrame:
+    """(channel, step, discard, gid, bits, frames, psnr) on the grid of steps, discarded bands and channels, and totals over any of them.
+
+    samples (keys, y, x, v), keys naming a frame of a channel. The grid point
+    goes as a key through quantiser, dequantiser and inverse pyramid, all in one
+    plan. bits are those of the symbols in their level and band; psnr is the
+    mean over frames of what comes back, rounded and cut to 0..peak; frames
+    counts those with an error. In totals (gid by grouping_id) bits add up and
+    psnr is the mean over all frames.
+    """
+    point = [channel, "step", "discard"]
+    rank = F.when(F.col("band") == "LL", 13).otherwise(3 * F.col("level") + F.when(F.col("band") == "HL", 3).when(F.col("band") == "LH", 2).otherwise(1))
+    rows = pyramid(samples, keys, levels).withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("discard", F.explode(F.array(*map(F.lit, discards))))
+    rows = rows.withColumn("sym", F.when(F.col("discard") < rank, quantize(F.round("c", 9), F.col("step"))).otherwise(0.0).cast("bigint"))
+    bits = conditional_entropy(rows, point, ["level", "band"]).select(*point, "bits")
+    back = unpyramid(rows.withColumn("c", dequantize(F.col("sym").cast("double"), F.col("step"))), [*keys, "step", "discard"], levels)
+    both = back.withColumn("v", clip_round(F.col("v"), 0, peak)).join(samples.select(*keys, "y", "x", F.col("v").alias("_v")), [*keys, "y", "x"])
+    each = both.groupBy(*dict.fromkeys([*keys, *point])).agg(F.avg((F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v"))).alias("mse"))
+    seen = each.withColumn("psnr", psnr(F.col("mse"), peak)).groupBy(*point).agg(F.count("psnr").alias("frames"), F.sum("psnr").alias("_sum"))
+    out = bits.join(seen, point).cube(*point).agg(F.grouping_id().alias("gid"), F.sum("bits").alias("bits"), F.sum("frames").alias("frames"), F.sum("_sum").alias("_sum"))
+    return out.withColumn("psnr", F.when(F.col("frames") > 0, F.col("_sum") / F.col("frames"))).drop("_sum")

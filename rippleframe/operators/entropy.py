@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import inf
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,25 +82,51 @@ def frequency_rank(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "sym")))
 
 
-def adaptive_cost(symbols: DataFrame, size: int, prior: Sequence[int] | None = None) -> DataFrame:
-    """symbols (stream, seq, ctx, sym) with bits, -log2 of the symbol's share before it is counted; counts start at one, or at prior[sym]."""
+#: Symbols of a stream that adaptive_cost() counts in one window.
+COUNT_BLOCK = 1 << 16
+
+
+def adaptive_cost(symbols: DataFrame, size: int, prior: Sequence[int] | None = None, block: int = COUNT_BLOCK) -> DataFrame:
+    """symbols (stream, seq, ctx, sym) with bits, -log2 of the symbol's share before it is counted; counts start at one, or at prior[sym].
+
+    A stream is counted in blocks of seq: windows inside a block, and sums of
+    the blocks before it, so that a long stream or a context of most of the rows
+    is the work of many tasks.
+    """
     start = [1] * size if prior is None else list(prior)
-    seen = Window.partitionBy("stream", "ctx", "sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("stream", "ctx").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return symbols.withColumn("bits", F.log2((F.count("*").over(total) + sum(start)) / (F.count("*").over(seen) + F.array(*map(F.lit, start))[F.col("sym")])))
+    rows = symbols.withColumn("_block", F.floor(F.col("seq") / block))
+    for name, own in (("_all", ["stream", "ctx"]), ("_same", ["stream", "ctx", "sym"])):
+        totals = rows.groupBy(*own, "_block").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inside = F.count("*").over(Window.partitionBy(*own, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.join(totals.select(*own, "_block", before.alias("_before")), [*own, "_block"]).withColumn(name, inside + F.col("_before")).drop("_before")
+    bits = F.log2((F.col("_all") + sum(start)) / (F.col("_same") + F.array(*map(F.lit, start))[F.col("sym")]))
+    return rows.withColumn("bits", bits).select(*symbols.columns, "bits")
 
 
 def adaptive_cost_capped(symbols: DataFrame, size: int, cap: int | dict[int, int], prior: Sequence[int] | None = None) -> DataFrame:
-    """adaptive_cost with halving at the cap, one for all or by context: serial by nature within a (stream, ctx), parallel across them."""
+    """adaptive_cost with halving at the cap, one for all or by context (a context that is not listed has none).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [1] * size if prior is None else list(prior)
-        pdf = pdf.sort_values("seq")
-        most = cap[int(pdf["ctx"].iloc[0])] if isinstance(cap, dict) else cap
-        return pdf.assign(bits=[capped_step(counts, s, most) for s in pdf["sym"]])
+    Serial by nature within a (stream, ctx), parallel across them. A task gets
+    its contexts in order and carries the counts from one Arrow batch to the
+    next, so a context of any length takes the memory of a batch.
+    """
+    start = [1] * size if prior is None else list(prior)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in symbols.select("stream", "seq", "ctx", "sym").schema)
-    return symbols.select("stream", "seq", "ctx", "sym").groupBy("stream", "ctx").applyInPandas(run, kinds + ", bits double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts, most = None, [], 0
+        for batch in batches:
+            bits = []
+            for stream, ctx, sym in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if (stream, ctx) != now:
+                    now, counts = (stream, ctx), list(start)
+                    most = cap.get(ctx, inf) if isinstance(cap, dict) else cap
+                bits.append(capped_step(counts, sym, most))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.float64())], [*batch.schema.names, "bits"])
+
+    rows = symbols.select("stream", "seq", "ctx", "sym")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition("stream", "ctx").sortWithinPartitions("stream", "ctx", "seq").mapInArrow(run, kinds + ", bits double")
 
 
 def band_planes(coeffs: DataFrame, keys: list[str]) -> DataFrame:

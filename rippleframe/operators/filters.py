@@ -7,7 +7,9 @@ aggregation: one shuffle an axis and no join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Centre tap and one side of symmetric filters (low, high), by number. Banks 3 and 4 are half-band filters without a high half.
@@ -143,13 +145,32 @@ def packet(samples: DataFrame, keys: list[str], height: int, width: int, number:
     return first.filter("band <> 'LL'").unionByName(deeper.withColumn("band", F.concat(F.lit("LL/"), "band")))
 
 
-def subpel_phases(samples: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """(keys, phase, y, x, v): 16 quarter-sample phases, 4 * (y phase) + (x phase), edges repeated."""
+def subpel_vectors(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x, phases): the 16 quarter-sample phases of each sample as one array, 4 * (y phase) + (x phase), edges repeated.
+
+    Neighbours come from a window along the rows and one down the columns, after
+    one shuffle by keys; a frame has a sample at every place.
+    """
 
-    phases = {0: {0: 1.0}} | {phase: {o - 3: w for o, w in enumerate(taps)} for phase, taps in PHASES.items()}
-    wide = scatter(samples, keys, "x", phases, width, edge="clamp", sets="_px")
-    wide = scatter(wide, [*keys, "_px"], "y", phases, height, edge="clamp", sets="_py")
-    return wide.select(*keys, (4 * F.col("_py") + F.col("_px")).alias("phase"), "y", "x", "v")
+    def around(line: str, index: str, c: str) -> dict[int, Column]:
+        w = Window.partitionBy(*keys, line).orderBy(index)
+        near = lambda k: F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else F.col(c)
+        return {o: F.coalesce(*[near(k) for k in range(o, 1 if o < 0 else -1, 1 if o < 0 else -1)]) for o in range(-3, 5)}
+
+    mixed = lambda taps, seen: reduce(Column.__add__, [w * seen[o - 3] for o, w in enumerate(taps)])
+    own = samples.select(*keys, "y", "x", F.col("v").cast("double").alias("v")).repartition(*keys)
+    names = {o: f"_n{o + 3}" for o in range(-3, 5)}
+    beside = own.select("*", *[c.alias(names[o]) for o, c in around("y", "x", "v").items()])
+    seen = {o: F.col(n) for o, n in names.items()}
+    wide = beside.select(*keys, "y", "x", F.array(F.col("v"), *[mixed(PHASES[p], seen) for p in (1, 2, 3)]).alias("_h"))
+    above = wide.select("*", *[c.alias(names[o]) for o, c in around("x", "y", "_h").items()])
+    phases = [F.col("_h")[px] if py == 0 else mixed(PHASES[py], {o: F.col(n)[px] for o, n in names.items()}) for py in range(4) for px in range(4)]
+    return above.select(*keys, "y", "x", F.array(*phases).alias("phases"))
+
+
+def subpel_phases(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, phase, y, x, v): subpel_vectors() with a row for each phase."""
+    return subpel_vectors(samples, keys).select(*keys, "y", "x", F.posexplode("phases").alias("phase", "v")).select(*keys, "phase", "y", "x", "v")
 
 
 def chroma_down(samples: DataFrame, keys: list[str], height: int, width: int, to: str = "422") -> DataFrame:

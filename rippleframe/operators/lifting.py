@@ -40,14 +40,37 @@ def _steps(halves: DataFrame, keys: list[str], sign: int) -> DataFrame:
     return halves
 
 
-def lift97(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
-    """(keys, n, l, h): low and high half of each series."""
+#: Pairs that a block of a long series sees beyond its own on each side: what four lifting steps reach.
+HALO = 2
+
+
+def _blocked(df: DataFrame, pair: Column, block: int) -> DataFrame:
+    """df with _block: rows of pair numbers that the block holds, and those that it only looks at."""
+    own = F.floor(pair / block)
+    before, after = F.when(pair % block < HALO, own - 1), F.when(pair % block >= block - HALO, own + 1)
+    return df.withColumn("_block", F.explode(F.array_compact(F.array(own, before, after))))
+
+
+def lift97(df: DataFrame, keys: list[str], index: str, value: str, block: int | None = None) -> DataFrame:
+    """(keys, n, l, h): low and high half of each series.
+
+    With `block`, a series is cut into blocks of so many pairs (at least 2),
+    each a window of its own that also sees the four samples to both sides: one
+    long series is the work of many tasks. The index must run without gaps then.
+    """
+    if block:
+        df = _blocked(df, F.expr(f"`{index}` div 2"), block)
+        halves = lift97(df, [*keys, "_block"], index, value)
+        return halves.filter(F.floor(F.col("n") / block) == F.col("_block")).drop("_block")
     out = _steps(polyphase_split(df, keys, index, value), keys, 1)
     return out.withColumn("l", F.col("l") * LOW_GAIN).withColumn("h", F.col("h") * HIGH_GAIN)
 
 
-def unlift97(halves: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
-    """The series of lift97's halves."""
+def unlift97(halves: DataFrame, keys: list[str], index: str, value: str, block: int | None = None) -> DataFrame:
+    """The series of lift97's halves, in blocks like lift97's where `block` is given."""
+    if block:
+        out = unlift97(_blocked(halves, F.col("n"), block), [*keys, "_block"], index, value)
+        return out.filter(F.floor(F.expr(f"`{index}` div 2") / block) == F.col("_block")).drop("_block")
     scaled = halves.withColumn("l", F.col("l") / LOW_GAIN).withColumn("h", F.col("h") / HIGH_GAIN)
     return polyphase_merge(_steps(scaled, keys, -1), keys, index, value)
 
@@ -78,23 +101,50 @@ def unwavelet2d(coeffs: DataFrame, keys: list[str]) -> DataFrame:
     return unlift97(cols, [*keys, "x"], "y", "v").select(*keys, "y", "x", "v")
 
 
+def _in_place(rows: DataFrame, keys: list[str], line: str, index: str, live: Column, sign: int) -> DataFrame:
+    """c of the live rows lifted (sign 1) or restored (-1) along index, every sample staying in its row: even ones low, odd ones high."""
+    w = Window.partitionBy(*keys, "level", "band", line).orderBy(index)
+    low, c = F.col(index) % 2 == 0, F.col("c")
+    if sign < 0:
+        rows = rows.withColumn("c", F.when(live, c / F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
+    near = lambda k: F.lag("c", k).over(w) if k > 0 else F.lead("c", -k).over(w)
+    for k in range(4)[::sign]:
+        odd = k % 2 == 0  # even steps change the high half
+        beside = near(1) + F.coalesce(near(-1), near(3)) if odd else near(-1) + F.coalesce(near(1), near(-3))
+        rows = rows.withColumn("c", F.when(live & (low != F.lit(odd)), c + sign * STEPS[k] * beside).otherwise(c))
+    if sign > 0:
+        rows = rows.withColumn("c", F.when(live, c * F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
+    return rows
+
+
+def _live(level: int) -> Column:
+    return (F.col("level") == level) & (F.col("band") == "LL")
+
+
 def pyramid(samples: DataFrame, keys: list[str], levels: int = 4) -> DataFrame:
-    """(keys, level, band, y, x, c): detail bands of each level and the last LL; the loop runs over levels and builds a plan."""
-    out, rest = None, samples
+    """(keys, level, band, y, x, c): detail bands of each level and the last LL. Heights and widths are multiples of 2**levels.
+
+    All levels live in one table: a level transforms the rows of the LL before
+    it where they stand and renames them. One shuffle by keys serves all
+    windows, eight for each level.
+    """
+    rows = samples.select(*keys, F.lit(0).alias("level"), F.lit("LL").alias("band"), "y", "x", F.col("v").alias("c")).repartition(*keys)
     for level in range(1, levels + 1):
-        bands = wavelet2d(rest, keys).withColumn("level", F.lit(level))
-        part = bands.select(*keys, "level", "band", "y", "x", "c")
-        part = part if level == levels else part.filter("band <> 'LL'")
-        out = part if out is None else out.unionByName(part)
-        rest = bands.filter("band = 'LL'").select(*keys, "y", "x", F.col("c").alias("v"))
-    return out
+        live = _live(level - 1)
+        rows = _in_place(_in_place(rows, keys, "x", "y", live, 1), keys, "y", "x", live, 1)
+        name = F.concat(F.when(F.col("x") % 2 == 0, "L").otherwise("H"), F.when(F.col("y") % 2 == 0, "L").otherwise("H"))
+        half = lambda c: F.when(live, F.expr(f"{c} div 2")).otherwise(F.col(c)).cast("int").alias(c)
+        rows = rows.select(*keys, F.when(live, level).otherwise(F.col("level")).alias("level"), F.when(live, name).otherwise(F.col("band")).alias("band"), half("y"), half("x"), "c")
+    return rows
 
 
 def unpyramid(coeffs: DataFrame, keys: list[str], levels: int = 4) -> DataFrame:
-    """(keys, y, x, v) of pyramid()."""
-    low = coeffs.filter((F.col("level") == levels) & (F.col("band") == "LL")).select(*keys, "band", "y", "x", "c")
+    """(keys, y, x, v) of pyramid(), the same way back: bands take their places between each other, then are restored where they stand."""
+    rows = coeffs.select(*keys, "level", "band", "y", "x", "c").repartition(*keys)
     for level in range(levels, 0, -1):
-        detail = coeffs.filter((F.col("level") == level) & (F.col("band") != "LL")).select(*keys, "band", "y", "x", "c")
-        out = unwavelet2d(low.unionByName(detail), keys)
-        low = out.select(*keys, F.lit("LL").alias("band"), "y", "x", F.col("v").alias("c"))
-    return out
+        own = F.col("level") == level
+        place = lambda c, high: F.when(own, 2 * F.col(c) + F.col("band").isin(*high).cast("int")).otherwise(F.col(c)).alias(c)
+        rows = rows.select(*keys, F.when(own, level - 1).otherwise(F.col("level")).alias("level"), F.when(own, "LL").otherwise(F.col("band")).alias("band"), place("y", ("LH", "HH")), place("x", ("HL", "HH")), "c")
+        live = _live(level - 1)
+        rows = _in_place(_in_place(rows, keys, "y", "x", live, -1), keys, "x", "y", live, -1)
+    return rows.select(*keys, "y", "x", F.col("c").alias("v"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions.scalars import median3
+from rippleframe.operators.entropy import code_bits
 
 
 def clip_bundle(frames: DataFrame, masks: DataFrame, motion: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,13 +64,13 @@ def warp_nearest(frames: DataFrame, motion: DataFrame, keys: list[str], height:
     return at.join(source, [*keys, "_y", "_x"]).drop("_y", "_x")
 
 
-def warp_subpel(phases: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """(motion columns, v) from sixteen phases: the nearest place of the fourfold grid."""
+def warp_subpel(vectors: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """(motion columns, v) from subpel_vectors(): the nearest place of the fourfold grid, one row joined and its array indexed."""
     fine = lambda c, mv, n: F.least(F.greatest(4 * F.col(c) - F.rint(4 * F.col(mv)).cast("int"), F.lit(0)), F.lit(4 * n - 1))
     at = motion.withColumn("_fy", fine("y", "mvy", height)).withColumn("_fx", fine("x", "mvx", width))
-    at = at.withColumn("phase", (4 * (F.col("_fy") % 4) + F.col("_fx") % 4).cast("int")).withColumn("_y", F.expr("_fy div 4").cast("int")).withColumn("_x", F.expr("_fx div 4").cast("int"))
-    source = phases.select(*keys, "phase", F.col("y").alias("_y"), F.col("x").alias("_x"), "v")
-    return at.join(source, [*keys, "phase", "_y", "_x"]).drop("_y", "_x", "_fy", "_fx", "phase")
+    at = at.withColumn("_phase", (4 * (F.col("_fy") % 4) + F.col("_fx") % 4).cast("int")).withColumn("_y", F.expr("_fy div 4").cast("int")).withColumn("_x", F.expr("_fx div 4").cast("int"))
+    source = vectors.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), "phases")
+    return at.join(source, [*keys, "_y", "_x"]).withColumn("v", F.col("phases")[F.col("_phase")]).drop("_y", "_x", "_fy", "_fx", "_phase", "phases")
 
 
 def blend_bidir(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,20 +116,82 @@ def median_predictor(blocks: DataFrame, keys: list[str], cell: int, largest: int
     return wide.select(*keys, "path", F.slice(F.array_distinct(F.concat("k", rest)), 1, 4).alias("candidates"))
 
 
-def block_match(current: DataFrame, reference: DataFrame, keys: list[str], size: int, reach: int, height: int, width: int, lam: float = 0.0) -> DataFrame:
-    """(keys, by, bx, dy, dx, cost): offset with the least sum of absolute differences plus lam * (|dy| + |dx|).
+def offset_bits(offset: Column, subpel: int = 0) -> Column:
+    """Bits of one component of a vector difference of whole samples: exp-Golomb over its sign and its size in steps of 2**-subpel."""
+    return code_bits(2 * (F.abs(offset).cast("int") * (1 << subpel)), "golomb")
+
+
+def block_sums(frames: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, y, x, sums array<double>): sums over the quarters of the block of size x size that begins at y, x (over all of it if size is odd).
+
+    Running sums along rows, then columns, and their differences: a window each
+    way, whatever the size. Blocks that leave the frame have no row.
+    """
+    part = size // 2 if size % 2 == 0 else size
+    along = lambda line, index: Window.partitionBy(*keys, line).orderBy(index)
+
+    def boxed(rows: DataFrame, line: str, index: str) -> DataFrame:
+        w = along(line, index)
+        rows = rows.withColumn("_run", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.withColumn("_s", F.lead("_run", part - 1).over(w) - F.coalesce(F.lag("_run", 1).over(w), F.lit(0.0)))
+
+    rows = frames.select(*keys, "y", "x", F.col("v").cast("double").alias("_s")).repartition(*keys)
+    rows = boxed(boxed(rows, "y", "x"), "x", "y")
+    if part < size:
+        rows = rows.withColumn("_pair", F.array("_s", F.lead("_s", part).over(along("y", "x"))))
+        rows = rows.withColumn("sums", F.concat("_pair", F.lead("_pair", part).over(along("x", "y"))))
+    else:
+        rows = rows.withColumn("sums", F.array("_s"))
+    return rows.filter(F.col("sums").isNotNull() & ~F.exists("sums", lambda s: s.isNull())).select(*keys, "y", "x", "sums")
+
+
+def block_candidates(current: DataFrame, reference: DataFrame, keys: list[str], size: int, reach: int, lam: float = 0.0, subpel: int = 0) -> DataFrame:
+    """(keys, by, bx, dy, dx, rate, bound): offsets of each block that stay in the frame, with lam times their bits and the least error that block sums allow.
 
-    Offsets that leave the frame are never made: at most (2 * reach + 1)**2 rows a sample; ties go to the shortest, then smallest offset.
+    An offset's sum of absolute differences is never below the sum of the
+    differences of its quarters' sums.
     """
     moves = F.sequence(F.lit(-reach), F.lit(reach))
-    by, bx = F.expr(f"y div {size}").cast("int"), F.expr(f"x div {size}").cast("int")
-    at = current.withColumn("by", by).withColumn("bx", bx).withColumn("dy", F.explode(moves)).withColumn("dx", F.explode(moves))
-    at = at.filter((F.col("by") * size + F.col("dy")).between(0, height - size) & (F.col("bx") * size + F.col("dx")).between(0, width - size))
-    at = at.select(*keys, "by", "bx", "dy", "dx", (F.col("y") + F.col("dy")).alias("_y"), (F.col("x") + F.col("dx")).alias("_x"), "v")
+    own = block_sums(current, keys, size).filter((F.col("y") % size == 0) & (F.col("x") % size == 0))
+    own = own.select(*keys, F.expr(f"y div {size}").cast("int").alias("by"), F.expr(f"x div {size}").cast("int").alias("bx"), F.col("y").alias("_y0"), F.col("x").alias("_x0"), F.col("sums").alias("_own"))
+    at = own.withColumn("dy", F.explode(moves)).withColumn("dx", F.explode(moves)).withColumn("_y", F.col("_y0") + F.col("dy")).withColumn("_x", F.col("_x0") + F.col("dx"))
+    there = block_sums(reference, keys, size).select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), "sums")
+    bound = F.aggregate(F.zip_with("_own", "sums", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, d: t + d)
+    rate = lam * (offset_bits(F.col("dy"), subpel) + offset_bits(F.col("dx"), subpel))
+    return at.join(there, [*keys, "_y", "_x"]).select(*keys, "by", "bx", "dy", "dx", rate.cast("double").alias("rate"), bound.alias("bound"))
+
+
+def block_errors(candidates: DataFrame, current: DataFrame, reference: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """candidates (keys, by, bx, dy, dx, rate) with their cost: the sum of absolute differences plus rate. Each makes size * size rows."""
+    blocks = current.select(*keys, F.expr(f"y div {size}").cast("int").alias("by"), F.expr(f"x div {size}").cast("int").alias("bx"), "y", "x", "v")
+    at = candidates.select(*keys, "by", "bx", "dy", "dx", "rate").join(blocks, [*keys, "by", "bx"])
+    at = at.withColumn("_y", F.col("y") + F.col("dy")).withColumn("_x", F.col("x") + F.col("dx")).drop("y", "x")
     source = reference.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("_r"))
-    sums = at.join(source, [*keys, "_y", "_x"]).groupBy(*keys, "by", "bx", "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("_r"))).alias("sad"))
-    cost = F.col("sad") + lam * (F.abs("dy") + F.abs("dx"))
-    best = sums.groupBy(*keys, "by", "bx").agg(F.min(F.struct(cost.alias("cost"), (F.abs("dy") + F.abs("dx")).alias("far"), "dy", "dx")).alias("m"))
+    sad = F.sum(F.abs(F.col("v") - F.col("_r")))
+    return at.join(source, [*keys, "_y", "_x"]).groupBy(*keys, "by", "bx", "dy", "dx", "rate").agg((sad + F.first("rate")).alias("cost"))
+
+
+def surviving_candidates(candidates: DataFrame, current: DataFrame, reference: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Candidates whose bound is not above the cost of the block's most promising one: the best is among them."""
+    block = [*keys, "by", "bx"]
+    first = candidates.groupBy(*block).agg(F.min(F.struct((F.col("bound") + F.col("rate")).alias("least"), "dy", "dx", "rate")).alias("m")).select(*block, "m.dy", "m.dx", "m.rate")
+    limit = block_errors(first, current, reference, keys, size).select(*block, F.col("cost").alias("_limit"))
+    slack = 1e-9 * (1 + F.abs(F.col("_limit")))  # of running sums of fractions
+    return candidates.join(limit, block).filter(F.col("bound") + F.col("rate") <= F.col("_limit") + slack).drop("_limit")
+
+
+def block_match(current: DataFrame, reference: DataFrame, keys: list[str], size: int, reach: int, lam: float = 0.0, subpel: int = 0, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(keys, by, bx, dy, dx, cost): offset with the least sum of absolute differences plus lam times the bits of the vector.
+
+    Exact, by successive elimination: block sums bound each offset's error from
+    below, and only offsets that can still win are compared sample by sample.
+    Offsets that leave the frame are never made; ties go to the shortest, then
+    smallest offset. Frames have a sample at every place; blocks cut off by the
+    border have no offset. `store` may write the candidates, which are used twice.
+    """
+    candidates = store(block_candidates(current, reference, keys, size, reach, lam, subpel))
+    costs = block_errors(surviving_candidates(candidates, current, reference, keys, size), current, reference, keys, size)
+    best = costs.groupBy(*keys, "by", "bx").agg(F.min(F.struct("cost", (F.abs("dy") + F.abs("dx")).alias("far"), "dy", "dx")).alias("m"))
     return best.select(*keys, "by", "bx", "m.dy", "m.dx", "m.cost")
 
 
@@ -174,3 +239,8 @@ def block_histogram(blocks: DataFrame) -> DataFrame:
     """(size_class, mode, n, area): blocks by rounded log2 of the longer side and mode."""
     k = F.rint(F.log2(F.greatest("xblk", "yblk"))).cast("int")
     return blocks.groupBy(k.alias("size_class"), "mode").agg(F.count("*").alias("n"), F.sum(F.col("xblk") * F.col("yblk")).alias("area"))
+
+
+def mode_shares(blocks: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """(keys, mode, n, share): blocks of each mode and the part of the frame's area that they take."""
+    return blocks.groupBy(*keys, "mode").agg(F.count("*").alias("n"), (F.sum(F.col("xblk") * F.col("yblk")) / (height * width)).alias("share"))

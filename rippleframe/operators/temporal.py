@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rippleframe.functions.scalars import ALPHA, BETA, copy_weight
-from rippleframe.operators.filters import subpel_phases
+from rippleframe.operators.filters import subpel_vectors
 from rippleframe.operators.motion import blend_bidir, warp_subpel
 
 POINT = ["y", "x"]
@@ -94,8 +94,8 @@ def _along(source: DataFrame, motion: DataFrame, keys: list[str], height: int, w
     places = source.groupBy(*keys).agg(F.max("at").alias("_last"))  # one row a clip
     known = motion.join(places, keys)
     known = known.withColumn("m", F.when(F.col("at") > F.col("_last"), 0).otherwise(F.col("m"))).withColumn("at", F.least("at", "_last")).drop("_last")
-    phases = subpel_phases(source.select(*keys, "at", *POINT, "v"), [*keys, "at"], height, width)
-    warped = warp_subpel(phases, known, [*keys, "at"], height, width)
+    vectors = subpel_vectors(source.select(*keys, "at", *POINT, "v"), [*keys, "at"])
+    warped = warp_subpel(vectors, known, [*keys, "at"], height, width)
     own = [*keys, "frame", *POINT]
     mixed = blend_bidir(warped.filter("side = 0"), warped.filter("side = 1"), own)
     cut = motion.groupBy(*keys, "frame").agg((F.max("m") == 0).alias("cut"))

@@ -65,9 +65,9 @@ def up(src: str, axis: str, n: int, pairs: dict[int, float], start: int, keys: s
 def bank(src: str, name: str, n: int, number: int) -> str:
     """CTEs that end in `name` (frame, band, y, x, c): src through a filter bank."""
     parts = (("LL", f"{name}_0", 0), ("HL", f"{name}_0", 1), ("LH", f"{name}_1", 0), ("HH", f"{name}_1", 1))
-    tall = ", ".join(f"{name}_{h} AS ({fir(src, 'y', n, bank_taps(number, h), h)})" for h in (0, 1))
-    return f"{tall}, {name} AS ({' UNION ALL '.join(f"""SELECT frame, '{b}' AS band, y, x, v AS c FROM ({fir(s, 'x', n, bank_taps(number, k), k)})""" for b, s, k in parts)})"
+    tall = ", ".join(f"{name}_{h} AS MATERIALIZED ({fir(src, 'y', n, bank_taps(number, h), h)})" for h in (0, 1))
+    return f"{tall}, {name} AS MATERIALIZED ({' UNION ALL '.join(f"""SELECT frame, '{b}' AS band, y, x, v AS c FROM ({fir(s, 'x', n, bank_taps(number, k), k)})""" for b, s, k in parts)})"
 
 
 def low(name: str) -> str:
-    return f"{name}_low AS (SELECT frame, y, x, c AS v FROM {name} WHERE band = 'LL')"
+    return f"{name}_low AS MATERIALIZED (SELECT frame, y, x, c AS v FROM {name} WHERE band = 'LL')"

@@ -126,12 +126,12 @@ def _merge(spark, sf):
 
 @register("WIN1_lift97", views("series") + f" SELECT sid, n, {Q.rq('l')} AS l, {Q.rq('h')} AS h FROM ({Q.lift('series', 'sid', 't', 'v')})")
 def _lift(spark, sf):
-    return lifting.lift97(fixture(spark, sf, "series"), ["sid"], "t", "v")
+    return lifting.lift97(fixture(spark, sf, "series"), ["sid"], "t", "v", block=100)
 
 
 @register("WIN2_unlift97", views("series") + f" SELECT sid, CAST(t AS INT) AS t, {Q.rq('v')} AS v FROM series")
 def _unlift(spark, sf):
-    out = lifting.unlift97(lifting.lift97(fixture(spark, sf, "series"), ["sid"], "t", "v"), ["sid"], "t", "v")
+    out = lifting.unlift97(lifting.lift97(fixture(spark, sf, "series"), ["sid"], "t", "v", block=100), ["sid"], "t", "v", block=70)
     return out.select("sid", F.col("t").cast("int").alias("t"), "v")
 
 
@@ -372,7 +372,7 @@ PHASED = FR + f", hx AS ({_PX}), hy AS ({_PY}), ph AS (SELECT frame, CAST(4 * py
 
 @register("WIN9_subpel_phases", PHASED + f" SELECT frame, phase, y, x, {Q.rq('v', 8)} AS v FROM ph", 8)
 def _phases(spark, sf):
-    return filters.subpel_phases(frames(spark, sf), ["frame"], 16, 16)
+    return filters.subpel_phases(frames(spark, sf), ["frame"])
 
 
 @register("WIN10_chroma_down", FR + f", cx AS ({Q.fir('frames16', 'x', 16, Q.CHROMA_DOWN, 0)}) SELECT frame, y, x, {Q.rq('v')} AS v FROM ({Q.fir('cx', 'y', 16, Q.CHROMA_DOWN, 0)})")

@@ -8,7 +8,7 @@ from rippleframe.functions import scalars as S
 from rippleframe.operators import coder, entropy, rate
 from rippleframe.plans import oracles as Q
 from rippleframe.plans.fixtures import fixture, views
-from rippleframe.plans.registry import CODED, coded, register
+from rippleframe.plans.registry import CODED, coded, frames, register, unwavelet_sql
 from rippleframe.plans.registry_more import two_levels
 
 # ---- a clip's motion budget: the twin tries every number of drops and takes the first that fits
@@ -109,3 +109,25 @@ f AS (SELECT band, plane, kind, class, sym, count(*) AS n FROM e GROUP BY ALL),
 def _coder(spark, sf):
     k, parents = two_levels(spark, sf)
     return coder.coded_rd_curve(k, ["frame", "band"], ["band"], 6, 16.0, parents).select("band", "plane", *coder.KINDS, "bits", "total", "mse", "gain", "slope")
+
+
+# ---- rate and distortion of samples: the twin puts the grid point into the frame number
+
+SWEPT = CODED + """,
+pt AS (SELECT row_number() OVER () - 1 AS g, step, discard FROM (VALUES (8.0::DOUBLE), (16.0), (32.0), (64.0), (128.0)) a(step), (VALUES (0), (4), (5)) b(discard)),
+sy AS (SELECT frame, g, step, discard, band, y, x, CASE WHEN discard < CASE band WHEN 'LL' THEN 13 WHEN 'HL' THEN 6 WHEN 'LH' THEN 5 ELSE 4 END THEN sign(c9) * floor(abs(c9 / step)) ELSE 0 END AS sym FROM k, pt),
+dq AS (SELECT frame * 15 + g AS frame, band, y, x, CASE WHEN sym = 0 THEN 0.0 ELSE sign(sym) * (abs(sym) + 0.5) * step END AS c FROM sy),
+""" + unwavelet_sql("dq", "rec") + """,
+er AS (SELECT a.frame, g, step, discard, avg((a.v - least(greatest(round(r.v), 0), 255)) ** 2) AS mse FROM rec r JOIN pt ON pt.g = r.frame % 15 JOIN frames16 a ON a.frame = r.frame // 15 AND a.y = r.y AND a.x = r.x GROUP BY ALL),
+ps AS (SELECT CASE frame % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'u' ELSE 'v' END AS plane, step, discard, CASE WHEN mse > 0 THEN 10 * log10(65025 / mse) END AS psnr FROM er),
+ct AS (SELECT CASE frame % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'u' ELSE 'v' END AS plane, step, discard, band, sym, count(*) AS n FROM sy GROUP BY ALL),
+bt AS (SELECT plane, step, discard, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM ct GROUP BY plane, step, discard, band)"""
+
+
+@register("AGG5_sample_rd_sweep", SWEPT + f""", b AS (SELECT plane, step, discard, CAST(grouping(plane, step, discard) AS BIGINT) AS gid, sum(bits) AS bits FROM bt GROUP BY CUBE (plane, step, discard)),
+ p AS (SELECT plane, step, discard, count(psnr) AS frames, avg(psnr) AS psnr FROM ps GROUP BY CUBE (plane, step, discard))
+ SELECT b.plane, b.step, b.discard, gid, {Q.rq('bits')} AS bits, frames, {Q.rq('psnr')} AS psnr FROM b JOIN p ON b.plane IS NOT DISTINCT FROM p.plane AND b.step IS NOT DISTINCT FROM p.step AND b.discard IS NOT DISTINCT FROM p.discard""")
+def _sample_sweep(spark, sf):
+    """Bit planes 7 to 3, three discards and three channels (frames by turns)."""
+    f = frames(spark, sf).withColumn("plane", F.expr("case frame % 3 when 0 then 'y' when 1 then 'u' else 'v' end"))
+    return coder.sample_rd_sweep(f, ["frame", "plane"], "plane", [float(1 << p) for p in range(7, 2, -1)], [0, 4, 5], 1)

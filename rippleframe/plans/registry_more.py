@@ -87,8 +87,8 @@ MOTION_DUCK = views("motion").removeprefix("WITH ").split("motion AS (", 1)[1]
 
 @register("JOI6_warp_subpel", PHASED + ", motion AS (" + MOTION_DUCK + f", t AS (SELECT frame, y, x, greatest(0, least(63, 4 * y - CAST(round_even(4 * mvy, 0) AS INT))) AS fy, greatest(0, least(63, 4 * x - CAST(round_even(4 * mvx, 0) AS INT))) AS fx FROM motion WHERE side = 0) SELECT t.frame, t.y, t.x, {Q.rq('ph.v', 8)} AS v FROM t JOIN ph ON ph.frame = t.frame AND ph.phase = 4 * (fy % 4) + fx % 4 AND ph.y = fy // 4 AND ph.x = fx // 4", 8)
 def _sub(spark, sf):
-    phases = filters.subpel_phases(frames(spark, sf), ["frame"], 16, 16)
-    return motion.warp_subpel(phases, side(spark, sf, 0), ["frame"], 16, 16).select(*KEY, "v")
+    vectors = filters.subpel_vectors(frames(spark, sf), ["frame"])
+    return motion.warp_subpel(vectors, side(spark, sf, 0), ["frame"], 16, 16).select(*KEY, "v")
 
 
 @register("JOI7_blend_bidir", views("motion") + f", w AS (SELECT m.frame, m.y, m.x, m.side, m.m, f.v * m.m AS v FROM (SELECT *, {near('y')} AS sy, {near('x')} AS sx FROM motion) m JOIN frames16 f ON f.frame = m.frame AND f.y = sy AND f.x = sx) SELECT a.frame, a.y, a.x, (CASE WHEN a.m = 0 THEN b.v ELSE a.v END + CASE WHEN b.m = 0 THEN a.v ELSE b.v END) / 2 AS p FROM w a JOIN w b USING (frame, y, x) WHERE a.side = 0 AND b.side = 1")
@@ -127,11 +127,11 @@ def _median(spark, sf):
 
 
 @register("JOI9_block_match", FR + """, g AS (SELECT a.frame, CAST(a.y // 8 AS INT) AS "by", CAST(a.x // 8 AS INT) AS bx, dy, dx, a.y, a.x, a.v FROM frames16 a, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx)),
- s0 AS (SELECT g.frame, g."by", bx, dy, dx, sum(abs(g.v - r.v)) AS sad FROM g JOIN frames16 r ON r.frame = g.frame - 1 AND r.y = g.y + dy AND r.x = g.x + dx WHERE "by" * 8 + dy BETWEEN 0 AND 8 AND bx * 8 + dx BETWEEN 0 AND 8 GROUP BY ALL), s AS (SELECT frame, "by", bx, dy, dx, sad + 1.5 * (abs(dy) + abs(dx)) AS cost FROM s0)
+ s0 AS (SELECT g.frame, g."by", bx, dy, dx, sum(abs(g.v - r.v)) AS sad FROM g JOIN frames16 r ON r.frame = g.frame - 1 AND r.y = g.y + dy AND r.x = g.x + dx WHERE "by" * 8 + dy BETWEEN 0 AND 8 AND bx * 8 + dx BETWEEN 0 AND 8 GROUP BY ALL), s AS (SELECT frame, "by", bx, dy, dx, sad + 1.5 * (2 + 2 * floor(log2(2 * abs(dy) + 1)) + 2 * floor(log2(2 * abs(dx) + 1))) AS cost FROM s0)
  SELECT frame, "by", bx, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, cost FROM s QUALIFY row_number() OVER (PARTITION BY frame, "by", bx ORDER BY cost, abs(dy) + abs(dx), dy, dx) = 1""")
 def _match(spark, sf):
     f = frames(spark, sf)
-    return motion.block_match(f, f.withColumn("frame", F.col("frame") + 1), ["frame"], 8, 2, 16, 16, 1.5)
+    return motion.block_match(f, f.withColumn("frame", F.col("frame") + 1), ["frame"], 8, 2, 1.5)
 
 
 @register("JOI10_mode_select", views("blocks") + ", c AS (SELECT frame, path, CAST(m AS INT) AS mode, (frame * 7 + cx * 3 + cy + m * 5) % 11 AS cost FROM blocks, (SELECT unnest(range(4)) AS m)) SELECT frame, path, mode, cost FROM c QUALIFY row_number() OVER (PARTITION BY frame, path ORDER BY cost, mode) = 1")
@@ -182,6 +182,11 @@ def _hist(spark, sf):
     return motion.block_histogram(blocks(spark, sf))
 
 
+@register("AGG13_mode_shares", views("blocks") + f" SELECT frame, mode, count(*) AS n, {Q.rq('(sum(xblk * yblk) / 256.0)')} AS share FROM blocks GROUP BY ALL")
+def _shares(spark, sf):
+    return motion.mode_shares(blocks(spark, sf), ["frame"], 16, 16)
+
+
 # ---- quality and statistics
 
 
