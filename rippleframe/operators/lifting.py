@@ -40,12 +40,14 @@ def _steps(halves: DataFrame, keys: list[str], sign: int) -> DataFrame:
     return halves
 
 
-#: Pairs that a block of a long series sees beyond its own on each side: what four lifting steps reach.
-HALO = 2
+#: Pairs that a block of a long series sees beyond its own on each side: what four lifting steps reach, and one more for the reflection at the ends.
+HALO = 3
 
 
 def _blocked(df: DataFrame, pair: Column, block: int) -> DataFrame:
     """df with _block: rows of pair numbers that the block holds, and those that it only looks at."""
+    if block < HALO:
+        raise ValueError(f"a block needs {HALO} pairs")
     own = F.floor(pair / block)
     before, after = F.when(pair % block < HALO, own - 1), F.when(pair % block >= block - HALO, own + 1)
     return df.withColumn("_block", F.explode(F.array_compact(F.array(own, before, after))))
@@ -54,9 +56,9 @@ def _blocked(df: DataFrame, pair: Column, block: int) -> DataFrame:
 def lift97(df: DataFrame, keys: list[str], index: str, value: str, block: int | None = None) -> DataFrame:
     """(keys, n, l, h): low and high half of each series.
 
-    With `block`, a series is cut into blocks of so many pairs (at least 2),
-    each a window of its own that also sees the four samples to both sides: one
-    long series is the work of many tasks. The index must run without gaps then.
+    With `block`, a series is cut into blocks of so many pairs (at least 3),
+    each a window of its own that also sees three pairs to both sides: one long
+    series is the work of many tasks. The index must run without gaps then.
     """
     if block:
         df = _blocked(df, F.expr(f"`{index}` div 2"), block)
