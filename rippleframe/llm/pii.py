@@ -7,7 +7,10 @@ disclosure of c by t is its pointwise mutual information as a share of the
 information content of c, PMI(c; t) / IC(c) = 1 + log p(c | t) / IC(c). Words
 whose disclosure exceeds a threshold, with enough independent support, become
 spans of the kind `term` at all their places, to be generalised or removed like
-the entities.
+the entities. Entities are protected one by one and by class (an owner's mail
+domain, a network, a card's issuer, a telephone area), as many members of a
+class are given away by the same words; those must also do better than words
+dealt out to documents by chance. Documents are counted by their ids.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ KINDS = (*PATTERNS, "term")
 NEAR_WORDS, NEAR_CHARS = 5, 120
 #: A term needs this share of the entity's information, in so many different contexts.
 DISCLOSURE, SUPPORT, MIN_TERM = 0.9, 3, 3
+#: Chance that any class at all would have a term if words stood in random documents.
+CHANCE = 0.01
+#: Names of classes; no entity is spelt like them.
+CLASS = r"^email:@|\*$"
 WORD = r"[\p{L}][\p{L}\p{Mn}'’-]*"
 GENERALISED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -80,11 +87,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def context_terms(spans: DataFrame) -> DataFrame:
-    """(doc_id, th, entity, term, start, end, context) of the words whole within the context of each span."""
+    """(doc_id, th, entity, term, start, end, context) of the words whole within the context of each span, for its entity and its entity's class."""
     side = lambda text, far: F.struct(F.split(text, WORD, -1).alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("m"), F.lit(far).alias("left"))
     clean_left = F.when(F.length("left") < NEAR_CHARS, F.col("left")).otherwise(F.concat(F.repeat(F.lit(" "), F.length(F.regexp_extract("left", r"\A\S*", 0))), F.regexp_replace("left", r"\A\S+", "")))
     clean_right = F.when(F.length("right") < NEAR_CHARS, F.col("right")).otherwise(F.regexp_replace("right", r"\S+\z", ""))
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match")).otherwise(F.when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", ""))))
+    mail, digits = F.lower("match"), F.regexp_replace("match", "[^0-9]", "")
+    same = F.when(F.col("kind") == "email", mail).when(F.col("kind") == "ip", F.col("match")).otherwise(digits)
+    group = F.when(F.col("kind") == "email", F.concat(F.lit("@"), F.substring_index(mail, "@", -1))).when(F.col("kind") == "ip", F.concat(F.substring_index("match", ".", 3), F.lit(".*"))).otherwise(F.concat(F.left(digits, F.lit(6)), F.lit("*")))
+    entity = F.explode(F.array(F.concat_ws(":", "kind", same), F.concat_ws(":", "kind", group)))
     rows = spans.select("doc_id", "th", entity.alias("entity"), "start", "end", F.xxhash64(clean_left, clean_right).alias("context"), F.explode(F.array(side(clean_left, True), side(clean_right, False))).alias("s"), F.length("left").alias("nl"))
     lengths = lambda a: F.transform(a, lambda x: F.length(x))
     rows = rows.select("doc_id", "th", "entity", "context", "start", "end", "nl", "s.left", F.col("s.m").alias("m"), F.size("s.m").alias("n"), lengths(F.col("s.g")).alias("gl"), lengths(F.col("s.m")).alias("ml"))
@@ -96,20 +106,30 @@ def context_terms(spans: DataFrame) -> DataFrame:
     return rows.filter(F.length("term") >= MIN_TERM)
 
 
-def revealing_terms(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def revealing_terms(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, chance: float | None = None) -> DataFrame:
     """(entity, term) pairs of near whose disclosure over all of docs exceeds the threshold.
 
     Copies are no evidence: contexts are counted once however often they are
-    repeated, and a word's own count is over all documents.
+    repeated, and documents once for each id, on both sides of every share.
+    Given a chance, a pair of a word and a class, which by its size meets many
+    words, must also beat the null of words dealt out to documents at random: the bound exp(-n KL(share || share of the entity)) on
+    the binomial tail, times the number of pairs, stays below it.
     """
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both")).filter(F.col("contexts") >= support)
+    pairs = stored(near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both")).filter(F.col("contexts") >= support))
     entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Mn}'’-]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.agg(F.count("*").alias("total"))
-    share = F.least(F.col("both") / F.greatest("with_term", "both"), F.lit(1.0))
-    content = -F.log2(F.col("with_entity") / F.greatest("total", "with_entity"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Mn}'’-]+"))).alias("term"))
+    words = with_ids(words, stored(pairs.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("doc_id").alias("with_term"))
+    total = docs.agg(F.countDistinct("doc_id").alias("total")).crossJoin(pairs.agg(F.count("*").alias("tried")))
+    n = F.greatest("with_term", "both")
+    share = F.least(F.col("both") / n, F.lit(1.0))
+    usual = F.col("with_entity") / F.greatest("total", "with_entity")
     judged = pairs.join(entities, "entity").join(words, "term").join(F.broadcast(total))  # total is one row
-    return judged.filter(F.when(content > 0, 1 + F.log2(share) / content).otherwise(0.0) >= disclosure).select("entity", "term")
+    kept = judged.filter(F.when(usual < 1, 1 + F.log2(share) / -F.log2(usual)).otherwise(0.0) >= disclosure)
+    if chance is not None:
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+        beats = (share > usual) & (n * (share * F.log(share / usual) + rest) >= F.log(F.col("tried") / chance))
+        kept = kept.filter(~F.col("entity").rlike(CLASS) | beats)
+    return kept.select("entity", "term")
 
 
 def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -134,7 +154,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclos
     docs = id_and_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     base = stored(base_spans(docs))
     near = stored(context_terms(base))
-    revealing = stored(revealing_terms(docs, near, disclosure, support))
+    revealing = stored(revealing_terms(docs, near, disclosure, support, CHANCE))
     beside = near.join(revealing, ["entity", "term"]).select("doc_id", "th", "start", "end")
     places = beside.unionByName(term_places(docs, stored(revealing.select("term").distinct())))
     terms = places.select("doc_id", "th", F.lit("term").alias("kind"), F.lit(len(PATTERNS)).alias("rank"), "start", "end").distinct()
