@@ -1,27 +1,30 @@
 """Suffix-array dedup (operator 5): bucket-pointer refinement of repeated byte strings.
 
 Suffixes need to be told apart only to a depth of 50 bytes. They start in
-buckets by a q-gram; a bucket that holds several documents is open and its
-suffixes are refined by the identifiers of longer strings around the q-gram,
-each round working on what the rounds before left open:
+buckets by their first 20 bytes, the only ones that are read as bytes. From then
+on a bucket's number is made of two numbers that are known already: that of the
+suffix itself and that of the suffix at a later offset (20 and 20 later give 40
+bytes, 40 and 10 later give 50, two of 50 a longer stretch). Numbers are updated
+once a length and reused for the next; suffixes are sorted by them.
 
 0. Of the q-grams of a 50-byte window the one with the smallest hash stands for
    the window, so one suffix in about fifteen is placed. Its windows start 0 to
    30 bytes before it.
-1. Open buckets are refined by the identifier of the whole stretch that the
-   suffix's windows cover. A stretch that a smaller document has is repeated as
-   a whole; only its first document's goes on.
-2. What is left is refined by the identifiers at the offsets that all windows
+1. Open buckets, those of several documents, are refined by the number of the
+   whole stretch that the suffix's windows cover. A stretch that a smaller
+   document has is repeated as a whole; only its first document's goes on.
+2. What is left is refined by the numbers at the offsets that all windows
    starting 0 to 15, or 16 to 30, bytes before the suffix share.
 3. What is still open is refined to the full depth, window by window.
 
 In every round each piece of the corpus names its buckets once, with the
 smallest document that it has there; the names are sorted by ranges of their
-identifiers, and each piece gets back a bit for each of its buckets. So a
-bucket that a third of all documents share costs a row for each piece.
-Identifiers are 64-bit hashes of the bytes: with n of them in the stretch
-and window rounds two different strings of a corpus fall together with a probability of
-about n * n / 2**65 (n = 10**7: 3e-6).
+numbers, and each piece gets back a bit for each of its buckets. So a bucket
+that a third of all documents share costs a row for each piece. A piece makes
+its numbers anew in each round, as eight bytes for each byte of text would cost
+more than the corpus to keep. Numbers have 64 bits; with n of them in the
+stretch and window rounds two different strings of a corpus fall together with a
+probability of about n * n / 2**65 (n = 10**7: 3e-6).
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from rippleframe.llm.tables import id_and_text, stored, tidy
 from rippleframe.llm.wordbytes import Prefix, flat, mix, pieces
 
 LENGTH, Q = 50, 20
-#: Bytes of text in a row of pieces, of those that are hashed together, and of those whose q-grams are ranked together.
+#: Bytes of text in a row of pieces, of those that are numbered together, and of those whose q-grams are ranked together.
 PIECE_TEXT, HASHED, RANKED = 1 << 20, 1 << 18, 1 << 17
 #: Pieces whose buckets of one round make up one range of identifiers on average: about 8 MB of them.
 PIECES_A_SLOT = 16
@@ -98,12 +101,44 @@ def anchors(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, length: int
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
-    """Identifiers of byte ranges of at most `longest` bytes."""
+class Numbers:
+    """Bucket numbers of every suffix of a run of bytes, at q bytes, twice and twice again, and at the full depth."""
+
+    def __init__(self, data: np.ndarray, length: int, q: int):
+        prefix = Prefix(data)
+        grams = prefix.sums[q:] - prefix.sums[:-q] if len(data) >= q else np.zeros(0, np.uint64)
+        size, now = q, mix(grams * prefix.down[: len(grams)])
+        self.levels = {q: now}
+        while size < length:
+            later = min(size, length - size)
+            now = self._refined(now[: max(len(now) - later, 0)], now[later:], size + later)
+            size += later
+            self.levels[size] = now
+
+    @staticmethod
+    def _refined(own: np.ndarray, later: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Numbers at a larger depth, from the own one and that of the suffix at a later offset."""
+        return mix(own * np.uint64(3) + later + np.asarray(size).astype(np.uint64))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of ranges of q to twice the full depth bytes: those of the deepest level that fits, at both ends."""
+        sizes, depths = ends - starts, np.array(list(self.levels))
+        out = np.zeros(len(starts), np.uint64)
+        fits = depths[np.searchsorted(depths, sizes, "right") - 1]
+        for depth in np.unique(fits):
+            rows = np.flatnonzero(fits == depth)
+            now, s, n = self.levels[int(depth)], starts[rows], sizes[rows]
+            out[rows] = np.where(n == depth, now[s], self._refined(now[s], now[s + n - depth], n))
+        return out
+
+
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Bucket numbers of byte ranges, made for HASHED bytes of text at a time."""
     out = np.zeros(len(starts), np.uint64)
     for base in range(0, len(data), HASHED):
         mine = slice(None) if len(data) <= HASHED else np.flatnonzero((starts >= base) & (starts < base + HASHED))
-        out[mine] = Prefix(data[base : base + HASHED + longest]).of(starts[mine] - base, ends[mine] - base)
+        if len(starts[mine]):
+            out[mine] = Numbers(data[base : base + HASHED + 2 * length], length, q).of(starts[mine] - base, ends[mine] - base)
     return out
 
 
@@ -161,7 +196,7 @@ class Piece:
             return grams, none, none
         go = np.flatnonzero(self.answered(GRAM, grams)[grams.of])
         at, low, n, doc = at[go], low[go], n[go], doc[go]
-        stretches = Buckets(hashes(self.data, low, low + n - 1 + length, 2 * length), self.ids[doc])
+        stretches = Buckets(numbers(self.data, low, low + n - 1 + length, length, self.q), self.ids[doc])
         if rounds == STRETCH:
             return stretches, none, none
         whole = self.answered(STRETCH, stretches)[stretches.of] | (self.ids[doc] > stretches.first[stretches.of])
@@ -175,7 +210,7 @@ class Piece:
             rows.append(row)
             lows.append(np.maximum(near[row], k))
             highs.append(np.minimum(far[row], top))
-            keys.append(mix(hashes(self.data, at[row] - k, at[row] - top + length, 2 * length) + np.uint64(k)))
+            keys.append(mix(numbers(self.data, at[row] - k, at[row] - top + length, length, self.q) + np.uint64(k)))
         row, lows, highs = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
         halves = Buckets(np.concatenate(keys), self.ids[doc[row]])
         if rounds == HALF:
@@ -183,7 +218,7 @@ class Piece:
         go = np.flatnonzero(self.answered(HALF, halves)[halves.of])
         some, start = self._windows(at[row[go]], lows[go], highs[go])
         owner = self.ids[doc[row[go][some]]]
-        windows = Buckets(hashes(self.data, start, start + length, length), owner)
+        windows = Buckets(numbers(self.data, start, start + length, length, self.q), owner)
         if rounds == WINDOW:
             return windows, none, none
         single = self.answered(WINDOW, windows)[windows.of] | (owner > windows.first[windows.of])
