@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from rippleframe.llm import qda, toxicity
-from rippleframe.llm.wordbytes import flat
+from rippleframe.llm.wordbytes import LOWER, PUNCTUATION, Prefix, chained, flat, mix, word_ranges
 
 FOLDS = 4
 
@@ -48,6 +48,38 @@ def across(y: np.ndarray, fold: np.ndarray, predict: Callable[[np.ndarray, np.nd
     return p
 
 
+def wider(data: np.ndarray, offsets: np.ndarray, longest: int, gaps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Features without word starts: n-grams up to a length and pairs with so many words between."""
+    data = LOWER[data]
+    starts, ends, doc = word_ranges(data, offsets, PUNCTUATION)
+    h = Prefix(data).of(starts, ends)
+    found, owner = [h], [doc]
+    for n in range(2, longest + 1):
+        at, grams = chained(h, doc, n)
+        found.append(grams)
+        owner.append(doc[at])
+    for gap in gaps:
+        far = np.flatnonzero(doc[: len(h) - gap - 1] == doc[gap + 1 :])
+        found.append(mix(mix(h[far] * np.uint64(3 + 2 * gap)) + h[far + gap + 1]))
+        owner.append(doc[far])
+    place = np.concatenate(found) & np.uint64((1 << toxicity.BITS) - 1)
+    return toxicity.distinct_places(place.astype(np.int64), np.concatenate(owner))
+
+
+def toxic_by_windows(sf_dir: str) -> None:
+    """Skip-grams of wider windows and longer n-grams in place of word starts."""
+    texts, y, fold = labelled(sf_dir, "toxic", 2, 4)
+    for longest, gaps in ((2, (1,)), (2, (1, 2)), (3, (1, 2, 3)), (2, (1, 2, 3, 4))):
+        place, doc = wider(*flat(texts), longest, gaps)
+        sets = np.split(place, np.searchsorted(doc, np.arange(1, len(y))))
+
+        def predict(train: np.ndarray, test: np.ndarray) -> np.ndarray:
+            w = toxicity.fit([(sets[k], int(y[k])) for k in train])
+            return np.array([1 / (1 + np.exp(-np.clip(w[-1] + w[sets[k]].sum(), -35, 35))) for k in test])
+
+        report(f"toxicity, n-grams to {longest}, words between {gaps}", across(y, fold, predict), y, toxicity.THRESHOLD)
+
+
 def toxic(sf_dir: str) -> None:
     texts, y, fold = labelled(sf_dir, "toxic", 2, 4)
     for stems in ((), toxicity.STEMS):
@@ -82,4 +114,5 @@ def quality(sf_dir: str) -> None:
 
 if __name__ == "__main__":
     quality(sys.argv[1])
+    toxic_by_windows(sys.argv[1])
     toxic(sys.argv[1])
