@@ -117,19 +117,26 @@ def revealing_terms(docs: DataFrame, near: DataFrame, disclosure: float = DISCLO
     """
     pairs = stored(near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both")).filter(F.col("contexts") >= support))
     entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("with_entity"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Mn}'’-]+"))).alias("term"))
-    words = with_ids(words, stored(pairs.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("doc_id").alias("with_term"))
+    nearby = near.groupBy("term").agg(F.countDistinct("doc_id").alias("with_term"))
     total = docs.agg(F.countDistinct("doc_id").alias("total")).crossJoin(pairs.agg(F.count("*").alias("tried")))
-    n = F.greatest("with_term", "both")
-    share = F.least(F.col("both") / n, F.lit(1.0))
-    usual = F.col("with_entity") / F.greatest("total", "with_entity")
-    judged = pairs.join(entities, "entity").join(words, "term").join(F.broadcast(total))  # total is one row
-    kept = judged.filter(F.when(usual < 1, 1 + F.log2(share) / -F.log2(usual)).otherwise(0.0) >= disclosure)
-    if chance is not None:
+
+    def disclosing(rows: DataFrame) -> DataFrame:
+        n = F.greatest("with_term", "both")
+        share = F.least(F.col("both") / n, F.lit(1.0))
+        usual = F.col("with_entity") / F.greatest("total", "with_entity")
+        kept = rows.filter(F.when(usual < 1, 1 + F.log2(share) / -F.log2(usual)).otherwise(0.0) >= disclosure)
+        if chance is None:
+            return kept
         rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
         beats = (share > usual) & (n * (share * F.log(share / usual) + rest) >= F.log(F.col("tried") / chance))
-        kept = kept.filter(~F.col("entity").rlike(CLASS) | beats)
-    return kept.select("entity", "term")
+        return kept.filter(~F.col("entity").rlike(CLASS) | beats)
+
+    # a word has at least the documents in which it stands near some entity: what fails with these fails with all
+    known = pairs.join(entities, "entity").join(F.broadcast(total))  # total is one row
+    doubtful = stored(disclosing(known.join(nearby, "term")).drop("with_term"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{Mn}'’-]+"))).alias("term"))
+    words = with_ids(words, stored(doubtful.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("doc_id").alias("with_term"))
+    return disclosing(doubtful.join(words, "term")).select("entity", "term")
 
 
 def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
