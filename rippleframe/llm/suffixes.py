@@ -43,6 +43,8 @@ from rippleframe.llm.wordbytes import Prefix, flat, mix, pieces
 LENGTH, Q = 50, 20
 #: Bytes of text in a row of pieces, of those that are numbered together, and of those whose q-grams are ranked together.
 PIECE_TEXT, HASHED, RANKED = 1 << 20, 1 << 18, 1 << 17
+#: Bytes of a piece up to which its numbers are kept for all steps of a round, 24 bytes each; longer texts make them again.
+KEPT = 2 << 20
 #: Pieces whose buckets of one round make up one range of identifiers on average: about 8 MB of them.
 PIECES_A_SLOT = 16
 GRAM, STRETCH, HALF, WINDOW = range(4)
@@ -132,13 +134,16 @@ class Numbers:
         return out
 
 
-def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Bucket numbers of byte ranges, made for HASHED bytes of text at a time."""
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, q: int, made: dict[int, Numbers] | None = None) -> np.ndarray:
+    """Bucket numbers of byte ranges, made for HASHED bytes of text at a time; made keeps them for the next call."""
     out = np.zeros(len(starts), np.uint64)
     for base in range(0, len(data), HASHED):
         mine = slice(None) if len(data) <= HASHED else np.flatnonzero((starts >= base) & (starts < base + HASHED))
         if len(starts[mine]):
-            out[mine] = Numbers(data[base : base + HASHED + 2 * length], length, q).of(starts[mine] - base, ends[mine] - base)
+            own = (made or {}).get(base) or Numbers(data[base : base + HASHED + 2 * length], length, q)
+            if made is not None:
+                made[base] = own
+            out[mine] = own.of(starts[mine] - base, ends[mine] - base)
     return out
 
 
@@ -169,6 +174,7 @@ class Piece:
         self.data, self.offsets = flat(texts)
         self.ids, self.live = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
         self.slots, self.length, self.q = slots, length, q
+        self.made: dict[int, Numbers] | None = {} if len(self.data) <= KEPT else None
         self.answers: dict[int, dict[int, bytes]] = {}
         for a in answers or ():
             self.answers.setdefault(a["level"], {})[a["slot"]] = a["bits"]
@@ -196,7 +202,7 @@ class Piece:
             return grams, none, none
         go = np.flatnonzero(self.answered(GRAM, grams)[grams.of])
         at, low, n, doc = at[go], low[go], n[go], doc[go]
-        stretches = Buckets(numbers(self.data, low, low + n - 1 + length, length, self.q), self.ids[doc])
+        stretches = Buckets(numbers(self.data, low, low + n - 1 + length, length, self.q, self.made), self.ids[doc])
         if rounds == STRETCH:
             return stretches, none, none
         whole = self.answered(STRETCH, stretches)[stretches.of] | (self.ids[doc] > stretches.first[stretches.of])
@@ -210,7 +216,7 @@ class Piece:
             rows.append(row)
             lows.append(np.maximum(near[row], k))
             highs.append(np.minimum(far[row], top))
-            keys.append(mix(numbers(self.data, at[row] - k, at[row] - top + length, length, self.q) + np.uint64(k)))
+            keys.append(mix(numbers(self.data, at[row] - k, at[row] - top + length, length, self.q, self.made) + np.uint64(k)))
         row, lows, highs = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
         halves = Buckets(np.concatenate(keys), self.ids[doc[row]])
         if rounds == HALF:
@@ -218,7 +224,7 @@ class Piece:
         go = np.flatnonzero(self.answered(HALF, halves)[halves.of])
         some, start = self._windows(at[row[go]], lows[go], highs[go])
         owner = self.ids[doc[row[go][some]]]
-        windows = Buckets(numbers(self.data, start, start + length, length, self.q), owner)
+        windows = Buckets(numbers(self.data, start, start + length, length, self.q, self.made), owner)
         if rounds == WINDOW:
             return windows, none, none
         single = self.answered(WINDOW, windows)[windows.of] | (owner > windows.first[windows.of])
