@@ -70,9 +70,10 @@ def test_at_most_four_candidates(spark):
 
 
 def test_budget_holds_or_all_steps_are_gone(spark):
-    kept = rate.motion_budget_prune(fixture(spark, SF, "mv_bytes"), 100000.0)
-    for r in kept.groupBy("gop").agg(F.sum("bytes").alias("s"), F.sum(F.expr("cast(part <> 'major' as int)")).alias("n")).collect():
-        assert r.s <= 55000 or r.n == 0
+    clips = fixture(spark, SF, "clips").withColumn("budget", F.expr("bitrate * 1000 / 8 * (last - start + 1) / framerate"))
+    kept = rate.motion_budget_prune(fixture(spark, SF, "mv_clips"), clips)
+    for r in kept.join(clips, "clip").groupBy("clip", "budget").agg(F.sum("bytes").alias("s"), F.sum(F.expr("cast(part <> 'major' as int)")).alias("n")).collect():
+        assert r.s <= 0.55 * r.budget or r.n == 0
 
 
 def test_capped_cost_is_the_plain_loop(spark):
