@@ -26,9 +26,10 @@ def fixed_point(df: DataFrame, column: str, scale: int = 16, inverse: bool = Fal
 def color_convert(df: DataFrame, matrix: str = "601", to: str = "yuv") -> DataFrame:
     """(frame, plane, y, x, v) with planes r, g, b into y, u, v or back; points without all three planes drop out."""
     source, target, table = ("rgb", "yuv", TO_YUV) if to == "yuv" else ("yuv", "rgb", TO_RGB)
-    wide = df.groupBy("frame", "y", "x").pivot("plane", list(source)).agg(F.first("v")).dropna(subset=list(source))
+    spots = df.select("frame", F.col("y").alias("_y"), F.col("x").alias("_x"), "plane", "v")  # a plane is called y too
+    wide = spots.groupBy("frame", "_y", "_x").pivot("plane", list(source)).agg(F.first("v")).dropna(subset=list(source))
     planes = [F.struct(F.lit(p).alias("plane"), reduce(Column.__add__, [w * F.col(s) for w, s in zip(row, source, strict=True)]).alias("v")) for p, row in zip(target, table[matrix], strict=True)]
-    return wide.select("frame", "y", "x", F.explode(F.array(*planes)).alias("s")).select("frame", "s.plane", "y", "x", "s.v")
+    return wide.select("frame", "_y", "_x", F.explode(F.array(*planes)).alias("s")).select("frame", "s.plane", F.col("_y").alias("y"), F.col("_x").alias("x"), "s.v")
 
 
 def tone_table(df: DataFrame, peak: int = 255, domain: str = "linear", curve: str = "two") -> DataFrame:

@@ -3,7 +3,22 @@
 from __future__ import annotations
 
 from rippleframe.operators.filters import BANKS, CHROMA_DOWN, CHROMA_UP, PHASES, bank_taps, synthesis_taps
-from rippleframe.operators.lifting import HIGH_GAIN, LOW_GAIN, STEPS
+
+#: Fixed values, stated again so that a wrong one in the operators shows: lifting steps and gains, gains of prediction and update, weights of the temporal levels.
+STEPS = (-1.586134342059924, -0.052980118572961, 0.882911075530934, 0.443506852043971)
+HIGH_GAIN, LOW_GAIN = 0.869864451624781, 1.149604398860241
+ALPHA, BETA = "sqrt(23 / 32.0)", "sqrt(1.5)"
+WEIGHTS = {
+    "H": (1.0, 0.92470128353329, 0.99029103222357, 1.12001265233249, 1.28641274725767, 1.48343269251745, 1.71234593056217, 1.97708086092642),
+    "L": (1.0, 1.10554159678513, 1.26197963240006, 1.45296631451356, 1.67651411818611, 1.93551742673391, 2.23484071726601, 2.58054224785086),
+}
+
+
+def copied(kind: str, level: int) -> str:
+    """The gain of a copied frame, as SQL: the low weight a level up over its own, over the gain of its step."""
+    above = WEIGHTS["L"][level - 1] if level else WEIGHTS[kind][0]
+    return f"({above!r} / {WEIGHTS[kind][level]!r} / {ALPHA if kind == 'H' else BETA})"
+
 
 __all__ = ["BANKS", "CHROMA_DOWN", "CHROMA_UP", "PHASES", "bank_taps", "synthesis_taps"]
 

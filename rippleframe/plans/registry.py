@@ -59,9 +59,9 @@ def _slice(spark, sf):
 def unlift_sql(src: str, keys: str) -> str:
     """SELECT keys, n, l, h: halves before interleaving."""
     w = f"OVER (PARTITION BY {keys} ORDER BY n)"
-    q = f"SELECT {keys}, n, l / {lifting.LOW_GAIN!r} AS l, h / {lifting.HIGH_GAIN!r} AS h FROM {src}"
+    q = f"SELECT {keys}, n, l / {Q.LOW_GAIN!r} AS l, h / {Q.HIGH_GAIN!r} AS h FROM {src}"
     for k in (3, 2, 1, 0):
-        step = lifting.STEPS[k]
+        step = Q.STEPS[k]
         if k % 2 == 0:
             q = f"SELECT {keys}, n, l, h - {step!r} * (l + coalesce(lead(l) {w}, lag(l) {w})) AS h FROM ({q})"
         else:
@@ -221,7 +221,7 @@ def _tone_ten(spark, sf):
     return grid.log_to_linear(out, 1023, "log").groupBy("code", F.col("ten").alias("value"), F.col("value").alias("plain")).agg(F.count("*").alias("n"))
 
 
-LEVELS = "(VALUES " + ", ".join(f"('{k}', {n}, {(S.HIGH_WEIGHTS if k == 'H' else S.LOW_WEIGHTS)[n]!r}, {S.copy_weight(k, n)!r})" for k in "HL" for n in range(8)) + ") lv(kind, level, quant, copy)"
+LEVELS = "(VALUES " + ", ".join(f"('{k}', {n}, {Q.WEIGHTS[k][n]!r}, {Q.copied(k, n)})" for k in "HL" for n in range(8)) + ") lv(kind, level, quant, copy)"
 
 
 @register("PRJ7_level_weight", views("frames16") + f" SELECT frame, y, x, kind, level, {Q.rq('v * quant')} AS v FROM (SELECT frame, y, x, v, CASE WHEN frame % 2 = 0 THEN 'L' ELSE 'H' END AS kind, CAST(frame % 8 AS INT) AS level FROM frames16) f JOIN {LEVELS} USING (kind, level)")
@@ -392,8 +392,8 @@ PT = "PARTITION BY y, x ORDER BY"
 
 def t_level(src: str, n: int) -> str:
     """CTEs h{n} (i, y, x, v) and l{n} of src (frame, y, x, v)."""
-    return f"""h{n} AS (SELECT CAST(frame // 2 AS INT) AS i, y, x, h AS v FROM (SELECT *, (v - (lag(v) OVER ({PT} frame) + coalesce(lead(v) OVER ({PT} frame), lag(v) OVER ({PT} frame))) / 2) * {S.ALPHA!r} AS h FROM {src}) WHERE frame % 2 = 1),
-l{n} AS (SELECT i, y, x, (v + coalesce(coalesce(lag(h0) OVER ({PT} i), h1) + h1, 0.0) / 4 / {S.ALPHA!r}) * {S.BETA!r} AS v FROM (
+    return f"""h{n} AS (SELECT CAST(frame // 2 AS INT) AS i, y, x, h AS v FROM (SELECT *, (v - (lag(v) OVER ({PT} frame) + coalesce(lead(v) OVER ({PT} frame), lag(v) OVER ({PT} frame))) / 2) * {Q.ALPHA} AS h FROM {src}) WHERE frame % 2 = 1),
+l{n} AS (SELECT i, y, x, (v + coalesce(coalesce(lag(h0) OVER ({PT} i), h1) + h1, 0.0) / 4 / {Q.ALPHA}) * {Q.BETA} AS v FROM (
   SELECT *, coalesce(h0, lag(h0) OVER ({PT} i)) AS h1 FROM (SELECT CAST(e.frame // 2 AS INT) AS i, e.y, e.x, e.v, h.v AS h0 FROM {src} e LEFT JOIN h{n} h ON h.i = e.frame // 2 AND h.y = e.y AND h.x = e.x WHERE e.frame % 2 = 0)))"""
 
 
@@ -421,13 +421,13 @@ def _tunp(spark, sf):
     return temporal.t_unpyramid(temporal.t_pyramid(frames(spark, sf), ["y", "x"]), ["y", "x"]).select("y", "x", F.col("frame").cast("int").alias("frame"), "v")
 
 
-@register("WIN16_scene_cut_fallback", views("motion") + f""", c AS (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) SELECT frame, y, x, {Q.rq(f'CASE WHEN cut THEN v * {S.copy_weight("H", 1)!r} ELSE v / 2 END')} AS v FROM frames16 JOIN c USING (frame)""")
+@register("WIN16_scene_cut_fallback", views("motion") + f""", c AS (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) SELECT frame, y, x, {Q.rq(f'CASE WHEN cut THEN v * {Q.copied("H", 1)} ELSE v / 2 END')} AS v FROM frames16 JOIN c USING (frame)""")
 def _cut(spark, sf):
     f = frames(spark, sf)
     return temporal.scene_cut_fallback(f.withColumn("v", F.col("v") / 2), f, fixture(spark, sf, "motion"), S.copy_weight("H", 1))
 
 
-@register("WIN16_scene_cut_restore", views("motion") + f""", c AS (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) SELECT frame, y, x, {Q.rq(f"CASE WHEN cut THEN v / 2 / {S.copy_weight('L', 2)!r} ELSE v / 3 END")} AS v FROM frames16 JOIN c USING (frame)""")
+@register("WIN16_scene_cut_restore", views("motion") + f""", c AS (SELECT frame, max(m) = 0 AS cut FROM motion GROUP BY 1) SELECT frame, y, x, {Q.rq(f"CASE WHEN cut THEN v / 2 / {Q.copied('L', 2)} ELSE v / 3 END")} AS v FROM frames16 JOIN c USING (frame)""")
 def _cut_back(spark, sf):
     f = frames(spark, sf)
     return temporal.scene_cut_restore(f.withColumn("v", F.col("v") / 3), f.withColumn("v", F.col("v") / 2), fixture(spark, sf, "motion"), S.copy_weight("L", 2))

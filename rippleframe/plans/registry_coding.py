@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rippleframe.functions import scalars as S
-from rippleframe.operators import coder, entropy, rate
+from rippleframe.operators import coder, entropy, grid, quality, rate
 from rippleframe.plans import oracles as Q
 from rippleframe.plans.fixtures import fixture, views
 from rippleframe.plans.registry import CODED, coded, frames, register, unwavelet_sql
@@ -131,3 +131,31 @@ def _sample_sweep(spark, sf):
     """Bit planes 7 to 3, three discards and three channels (frames by turns)."""
     f = frames(spark, sf).withColumn("plane", F.expr("case frame % 3 when 0 then 'y' when 1 then 'u' else 'v' end"))
     return coder.sample_rd_sweep(f, ["frame", "plane"], "plane", [float(1 << p) for p in range(7, 2, -1)], [0, 4, 5], 1)
+
+
+# ---- the other directions and matrices of small operators
+
+RGB = views("rgb") + ", w AS (SELECT frame, y, x, max(CASE plane WHEN 'r' THEN v END) AS r, max(CASE plane WHEN 'g' THEN v END) AS g, max(CASE plane WHEN 'b' THEN v END) AS b FROM rgb GROUP BY ALL)"
+BACK = RGB + """, t AS (SELECT frame, y, x, 0.212 * r + 0.701 * g + 0.087 * b AS cy, -0.116 * r - 0.384 * g + 0.5 * b AS cu, 0.5 * r - 0.445 * g - 0.055 * b AS cv FROM w)"""
+
+
+@register("PRJ1_color_convert_240m", BACK + "".join(f"{' UNION ALL' if k else ''} SELECT frame, '{p}' AS plane, y, x, {Q.rq('c' + p)} AS v FROM t" for k, p in enumerate("yuv")))
+def _color_240m(spark, sf):
+    return grid.color_convert(fixture(spark, sf, "rgb"), "240m")
+
+
+@register("PRJ1_color_back", BACK + f" SELECT frame, 'r' AS plane, y, x, {Q.rq('(cy - 0.0007 * cu + 1.5758 * cv)')} AS v FROM t UNION ALL SELECT frame, 'g', y, x, {Q.rq('(cy - 0.2264 * cu - 0.4765 * cv)')} FROM t UNION ALL SELECT frame, 'b', y, x, {Q.rq('(cy + 1.826 * cu - 0.0004 * cv)')} FROM t")
+def _color_back(spark, sf):
+    return grid.color_convert(grid.color_convert(fixture(spark, sf, "rgb"), "240m"), "240m", "rgb")
+
+
+@register("SRC3_fixed_point_back", views("frames16") + " SELECT frame, y, x, CAST(round((v / 7) * 16) AS SMALLINT) / 16.0 AS v FROM frames16")
+def _fixed_back(spark, sf):
+    return grid.fixed_point(grid.fixed_point(frames(spark, sf).withColumn("v", F.col("v") / 7), "v"), "v", inverse=True)
+
+
+@register("AGG2_roi_psnr_legacy", views("frames16") + f""", e AS (SELECT a.frame, sum((a.v - b.v) ** 2) / 128 AS mse FROM frames16 a JOIN frames16 b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x WHERE a.y BETWEEN 2 AND 9 AND a.x BETWEEN 4 AND 11 GROUP BY 1)
+ SELECT frame, {Q.rq('mse')} AS mse, CASE WHEN mse > 0 THEN {Q.rq('(10 * log10(65025 / mse))')} END AS psnr FROM e""")
+def _roi_legacy(spark, sf):
+    f = frames(spark, sf)
+    return quality.roi_psnr(f, f.withColumn("frame", F.col("frame") - 1), ["frame"], 4, 2, 8, 8, legacy_divisor=True)

@@ -146,6 +146,12 @@ def _names(spark, sf):
     return sampling.split_by_list(clips, clips.filter("id % 3 = 0")).select("id", "name")
 
 
+@register("JOI11_split_by_pattern", "SELECT p_partkey AS id, p_name AS name FROM part WHERE regexp_matches(p_name, '.*e.*')")
+def _pattern(spark, sf):
+    clips = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return sampling.split_by_list(clips, None, "%e%")
+
+
 @register("JOI12_validate_targets", """WITH c AS (SELECT s_suppkey AS clip, CAST(s_suppkey % 3 + 1 AS INT) AS t_levels, 1000 + s_suppkey % 7 * 100 AS bitrate FROM supplier WHERE s_suppkey % 11 <> 0),
  t AS (SELECT s_suppkey AS clip, 'n' || s_suppkey AS name, CAST(s_suppkey % 5 AS INT) AS t_level, s_suppkey * 37 % 1500 AS rate FROM supplier)
  SELECT t.clip, t.name, CASE WHEN t_levels IS NULL THEN 'unknown clip' WHEN t_level > t_levels THEN 'level' ELSE 'rate' END AS reason FROM t LEFT JOIN c USING (clip) WHERE t_levels IS NULL OR t_level > t_levels OR rate >= bitrate""")
@@ -468,12 +474,12 @@ def _tagged(spark, sf):
     return one.unionByName(b.select(F.lit("frq").alias("kind"), F.col("gop").cast("bigint").alias("id"), F.col("freq")[0].cast("double").alias("a"), F.col("total").cast("double").alias("b")))
 
 
-@register("SRC6_scan_motion_sizes", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_orderkey % 9001 AS bytes FROM orders), c AS (SELECT count(*) // 9 AS g FROM o) SELECT n // 9 AS gop, CAST(CASE WHEN n % 9 < 2 THEN 2 WHEN n % 9 < 5 THEN 1 ELSE 0 END AS INT) AS level, CAST(CASE WHEN n % 9 < 2 THEN n % 9 WHEN n % 9 < 5 THEN n % 9 - 2 ELSE n % 9 - 5 END AS INT) AS set_k, bytes FROM o WHERE n < (SELECT g FROM c) * 9")
+@register("SRC6_scan_motion_sizes", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_orderkey % 9001 AS bytes FROM orders) SELECT n // 9 AS gop, CAST(CASE WHEN n % 9 < 2 THEN 2 WHEN n % 9 < 5 THEN 1 ELSE 0 END AS INT) AS level, CAST(CASE WHEN n % 9 < 2 THEN n % 9 WHEN n % 9 < 5 THEN n % 9 - 2 ELSE n % 9 - 5 END AS INT) AS set_k, bytes FROM o")
 def _sizes(spark, sf):
     path = scratch(spark)
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     orders.orderBy("o_orderkey").select((F.col("o_orderkey") % 9001).cast("string").alias("value")).write.text(path)  # part files in order
-    return logs.scan_motion_sizes(spark, path, orders.count() // 9, {2: 2, 1: 3, 0: 4})
+    return logs.scan_motion_sizes(spark, path, -(-orders.count() // 9), {2: 2, 1: 3, 0: 4})  # the last group may be short
 
 
 @register("SNK1_write_planar", FR + " SELECT 'c' AS clip, 'y' AS plane, CAST(frame AS INT) AS frame, y, x, v FROM frames16")
@@ -507,13 +513,12 @@ def _template(spark, sf):
     return planar.scan_planar_template(spark, path + "/*.raw", 16, 16)
 
 
-@register("SRC4_scan_clip_bundle", views("motion") + " SELECT 'c' || frame // 8 AS clip, 'frame' AS kind, CAST(frame % 8 AS INT) AS channel, y, x, v FROM frames16 WHERE frame < (SELECT (max(frame) + 1) // 8 * 8 FROM frames16) UNION ALL SELECT 'c' || frame // 8, 'mv', CAST(frame % 8 AS INT), y, x, mvx FROM motion WHERE side = 0 AND frame < (SELECT (max(frame) + 1) // 8 * 8 FROM frames16)")
+@register("SRC4_scan_clip_bundle", views("motion") + " SELECT 'c' || frame // 8 AS clip, 'frame' AS kind, CAST(frame % 8 AS INT) AS channel, y, x, v FROM frames16 UNION ALL SELECT 'c' || frame // 8, 'mv', CAST(frame % 8 AS INT), y, x, mvx FROM motion WHERE side = 0")
 def _npy(spark, sf):
     path = scratch(spark)
     mv = side(spark, sf, 0).select("frame", "y", "x", (F.col("mvx") * 16).alias("v"), F.lit("mv").alias("kind"))
     rows = frames(spark, sf).withColumn("kind", F.lit("frame")).unionByName(mv).withColumn("clip", F.concat(F.lit("c"), F.expr("frame div 8").cast("string"))).withColumn("channel", (F.col("frame") % 8).cast("int"))
-    full = rows.groupBy("clip").agg(F.countDistinct("channel").alias("n")).filter("n = 8").select("clip")
-    logs.write_clip_bundle(rows.join(full, "clip"), path)
+    logs.write_clip_bundle(rows, path)
     return logs.scan_clip_bundle(spark, path)
 
 
@@ -531,8 +536,10 @@ def drained(spark: SparkSession, batch: DataFrame, query, mode: str, state: str
     base = scratch(spark)
     batch.write.parquet(base + "/in")
     stream = spark.readStream.schema(batch.schema).parquet(base + "/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
     if state:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", state)
+        spark.conf.set(provider, state)
     out = query(stream)
     name = "s" + uuid.uuid4().hex
     kept = []
@@ -542,7 +549,11 @@ def drained(spark: SparkSession, batch: DataFrame, query, mode: str, state: str
         kept.append(n)
 
     run = out.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", base + "/state").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
+    try:
+        run.awaitTermination()
+    finally:
+        if state:
+            spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     read = spark.read.schema(out.schema).parquet(*[f"{base}/out/n={n}" for n in (kept[-1:] if mode == "complete" else kept)])
     return read
 
