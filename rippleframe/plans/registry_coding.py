@@ -144,7 +144,7 @@ def _color_240m(spark, sf):
     return grid.color_convert(fixture(spark, sf, "rgb"), "240m")
 
 
-@register("PRJ1_color_back", BACK + f" SELECT frame, 'r' AS plane, y, x, {Q.rq('(cy - 0.0007 * cu + 1.5758 * cv)')} AS v FROM t UNION ALL SELECT frame, 'g', y, x, {Q.rq('(cy - 0.2264 * cu - 0.4765 * cv)')} FROM t UNION ALL SELECT frame, 'b', y, x, {Q.rq('(cy + 1.826 * cu - 0.0004 * cv)')} FROM t")
+@register("PRJ1_color_back", BACK + f" SELECT frame, 'r' AS plane, y, x, {Q.rq('(cy - 0.0007 * cu + 1.5758 * cv)', 8)} AS v FROM t UNION ALL SELECT frame, 'g', y, x, {Q.rq('(cy - 0.2264 * cu - 0.4765 * cv)', 8)} FROM t UNION ALL SELECT frame, 'b', y, x, {Q.rq('(cy + 1.826 * cu - 0.0004 * cv)', 8)} FROM t", 8)
 def _color_back(spark, sf):
     return grid.color_convert(grid.color_convert(fixture(spark, sf, "rgb"), "240m"), "240m", "rgb")
 
