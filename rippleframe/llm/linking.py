@@ -11,8 +11,11 @@ those of all links. Later links join groups, not members.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +25,40 @@ Check = Callable[[DataFrame], DataFrame]
 Near = Callable[[F.Column, F.Column], F.Column]
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Links that one task may join: two ids each, some tens of MB.
+LINKS_A_TASK = 500_000
+
+
+def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label) of all links (a, b) of a partition, by smallest neighbours with pointer jumping."""
+    links = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if links is None or not links.num_rows:
+        return
+    ids = pa.chunked_array([*links["a"].chunks, *links["b"].chunks]).unique()
+    ids = ids.take(pc.array_sort_indices(ids))
+    a, b = (pc.index_in(links[c], ids).to_numpy() for c in ("a", "b"))
+    label, old = np.arange(len(ids)), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        np.minimum.at(label, a, old[b])
+        np.minimum.at(label, b, old[a])
+        label = label[label]
+    yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(label))], ["id", "label"])
+
+
+def components(links: DataFrame, most: int = LINKS_A_TASK) -> DataFrame:
     """(id, label): the smallest id reachable over links (a, b), for every id with a link.
 
-    Smallest-neighbour rounds with pointer jumping; every round is a join and a
+    The links are counted first: up to `most` are joined in one task, more by
+    smallest-neighbour rounds with pointer jumping, where every round is a join and a
     partial aggregation, written to the scratch folder. Self-links and repeated
     links do no harm; without links the result is empty.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    if links.count() <= most:
+        kind = links.schema["a"].dataType.simpleString()
+        return stored(links.coalesce(1).mapInArrow(_joined_in_task, f"id {kind}, label {kind}"))
+    both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))

@@ -614,8 +614,17 @@ def test_parity_sketch_is_a_bound():
     assert 0 < sum(bin(int(x)).count("1") for x in s[0] ^ s[1]) <= 200
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_components_of_chains(spark, most):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 40)] + [(101, 100), (100, 101), (7, 7)], "a long, b long")
-    got = {r.id: r.label for r in linking.components(links).collect()}
+    got = {r.id: r.label for r in linking.components(links, most).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
-    assert linking.components(links.limit(0)).count() == 0
+    assert linking.components(links.limit(0), most).count() == 0
+
+
+def test_components_of_one_task_and_of_rounds(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    known = spark.createDataFrame([(f"\u00e9{a}" if a % 7 == 0 else f"z{a}", f"\u00e9{b}" if b % 7 == 0 else f"z{b}") for a, b in links], "a string, b string")
+    one, rounds = ({r.id: r.label for r in linking.components(known, most).collect()} for most in (10**6, 0))
+    assert one == rounds and len(set(one.values())) > 5
