@@ -38,6 +38,8 @@ RUN_BYTES, LINES_A_SLOT, KEYS_A_SLOT = 2 << 20, 50_000, 1_000_000
 PAIRS, CELLS, FEW = 4096, 1 << 21, 24
 #: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; unlinked members that crowd a bucket.
 SKETCH, GRAM, COUNTERS, CROWD = 4, 5, 18, 64
+#: Parts of a line between which it is halved to bound edits by letters on both sides.
+PARTS = 8
 
 
 def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,6 +286,53 @@ def line_traits(texts: DataFrame) -> DataFrame:
     return texts.select("id", "body").mapInArrow(run, "id bigint, " + ", ".join(f"{c} bigint" for c in columns)).select("id", F.struct(*columns).alias("traits"))
 
 
+def letter_sketches(points: np.ndarray, line: np.ndarray, lines: int, edits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(base, sketches) of a run of lines: the smallest length of their class, and for each of PARTS - 1 places k below
+    it the parities of the first k code points and of the last base - k.
+
+    A code point counts with the number of equal ones before it (behind it, from the right), so two sketches differ in
+    at most as many bits as the counts of letters of those k code points differ. If a prefix of k is aligned with one
+    of k + d, the d letters more or less make up for as many that differ at most on one side, so its edits are half of
+    that at least, and so are those of the suffix; both do not overlap, and their edits add up.
+    """
+    size = np.bincount(line, minlength=lines)
+    low, _ = length_classes(int(size.max(initial=0)), edits)
+    own = np.searchsorted(low, size, "right") - 1
+    base = np.where(own >= 0, low[own], 0)
+    first = np.cumsum(size) - size
+    place = np.arange(len(points)) - first[line]
+    order = np.lexsort((place, points, line))
+    new = np.append(True, (points[order][1:] != points[order][:-1]) | (line[order][1:] != line[order][:-1]))[: len(points)]
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(points)))
+    before = np.empty(len(points), np.int64)
+    before[order] = np.arange(len(points)) - np.repeat(starts, count)
+    behind = np.empty(len(points), np.int64)
+    behind[order] = np.repeat(count, count) - 1 - before[order]
+    bits, out = 64 * SKETCH, []
+    for part in range(1, PARTS):
+        k = base * part // PARTS
+        for number, at, most in ((before, place, k), (behind, size[line] - 1 - place, base - k)):
+            use = np.flatnonzero(at < most[line])
+            bit = (mix(points[use].astype(np.uint64) << np.uint64(32) | number[use].astype(np.uint64)) >> np.uint64(32)) % np.uint64(bits)
+            flips = np.bincount(line[use] * bits + bit.astype(np.int64), minlength=lines * bits) % 2
+            out.append(np.packbits(flips.astype(np.uint8).reshape(lines, bits), axis=1).view(np.int64).reshape(lines, SKETCH))
+    return base, np.concatenate(out, axis=1)
+
+
+def letter_traits(texts: DataFrame, edits: int | None) -> DataFrame:
+    """(id, base, z0, z1, ...) of lines (id, body): their letter_sketches()."""
+    columns = [f"z{k}" for k in range(2 * (PARTS - 1) * SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(1)):
+                base, sketches = letter_sketches(*_code_points(data, offsets), b - a, edits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(base), *(pa.array(c.copy()) for c in sketches.T)], ["id", "base", *columns])
+
+    return texts.select("id", "body").mapInArrow(run, "id bigint, base bigint, " + ", ".join(f"{c} bigint" for c in columns))
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, line, code points of each line): the different grams of GRAM code points of each line."""
     points, line = _code_points(data, offsets)
@@ -363,8 +412,11 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
         both = pairs.join(near.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(near.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
+    def allowed(x: F.Column, y: F.Column) -> F.Column:
+        return F.least(F.floor(F.least(x["size"], y["size"]) / PER_EDIT), F.lit(MOST_EDITS)) if edits is None else F.lit(edits)
+
     def possible(x: F.Column, y: F.Column) -> F.Column:
-        most = F.least(F.floor(F.least(x["size"], y["size"]) / PER_EDIT), F.lit(MOST_EDITS)) if edits is None else F.lit(edits)
+        most = allowed(x, y)
         apart = F.lit(0)
         for k in range(SKETCH):
             apart = apart + F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"]))
@@ -373,7 +425,21 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
     def refined(crowded: DataFrame) -> tuple[DataFrame, Near]:
         return rare_grams(stored(with_ids(near, crowded, "id")), edits).join(traits, "id"), possible
 
-    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd, once=True)
+    def halved(x: F.Column, y: F.Column) -> F.Column:
+        near_halves = F.lit(True)
+        for k in range(0, 2 * (PARTS - 1) * SKETCH, 2 * SKETCH):
+            apart = F.lit(0)
+            for z in range(k, k + 2 * SKETCH):
+                apart = apart + F.bit_count(x[f"z{z}"].bitwiseXOR(y[f"z{z}"]))
+            near_halves = near_halves & (apart <= 2 * allowed(x, y))
+        return possible(x, y) & ((x["base"] != y["base"]) | near_halves)
+
+    def wider(ids: DataFrame) -> tuple[DataFrame, Near]:
+        letters = letter_traits(with_ids(near, ids, "id"), edits)
+        columns = [F.col(c) for c in letters.columns if c != "id"]
+        return letters.join(traits, "id").select("id", F.struct("traits.*", *columns).alias("traits")), halved
+
+    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd, once=True, cross=wider)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -91,7 +91,7 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 TRIED = 4
 
 
-def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0, once: bool = False) -> DataFrame:
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0, once: bool = False, cross: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> DataFrame:
     """(id, label) of the linked ids among members (key, id), with `traits` if near is given and, at will, `anchor`.
 
     check keeps those of its stored pairs (a, b), a < b, that are links; near is
@@ -99,7 +99,9 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
     without one are skipped. refine, given the stored (id) of all members of
     buckets that the stars left in several groups and with over `crowd` members,
     returns finer members of them, in whose buckets all their links can be found
-    too, with their own near; these take the place of those buckets. once lets
+    too, with their own near; these take the place of those buckets. cross, given the
+    stored (id) of those finer members that still lie in several groups, returns wider
+    (id, traits) of them and the near by which they cross. once lets
     members that cross meet in the first bucket they share only; it is meant for
     members of some tens of buckets. Without buckets of two ids the result is empty.
     """
@@ -155,6 +157,9 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
         found = stored(check(fresh))
         groups = _joined(groups, found) if found.head(1) else groups
         finer_placed, groups, tried = closer(buckets, groups, finer_near, ["traits"], tried.unionByName(fresh))
+        if cross:
+            wider, finer_near = cross(stored(finer_placed.select("id").distinct()))
+            finer_placed = finer_placed.drop("traits").join(wider, "id")
         more = crossed(finer_placed, finer_near, ["traits"])
         if crowd:
             more = more.unionByName(crossed(placed.filter("not crowded"), near, extra))
