@@ -32,7 +32,7 @@ def bits_per_sample(bits: DataFrame, clips: DataFrame) -> DataFrame:
     sums = bits.groupBy("clip", "plane").agg(F.sum("bits").alias("bits")).join(clips, "clip")
     frames = F.col("last") - F.col("start") + 1
     area = F.when(F.col("plane") == "y", F.col("ywidth") * F.col("yheight")).otherwise(F.col("cwidth") * F.col("cheight"))
-    out = sums.withColumn("samples", (frames * area).cast("bigint")).rollup("clip", "plane").agg(F.sum("bits").alias("bits"), F.sum("samples").alias("samples"))
+    out = sums.withColumn("samples", frames.cast("bigint") * area).rollup("clip", "plane").agg(F.sum("bits").alias("bits"), F.sum("samples").alias("samples"))
     return out.withColumn("per_sample", F.when(F.col("samples") > 0, F.col("bits") / F.col("samples")))
 
 
