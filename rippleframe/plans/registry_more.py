@@ -486,7 +486,7 @@ def _sizes(spark, sf):
 def _planar(spark, sf):
     """One clip of all frames: its ranges of frames become files that are read as one."""
     path = scratch(spark)
-    planar.write_planar(frames(spark, sf).withColumn("clip", F.lit("c")).withColumn("plane", F.lit("y")), path, 16, 16, planes="y")
+    planar.write_planar(frames(spark, sf).withColumn("clip", F.lit("c")).withColumn("plane", F.lit("y")), path, 16, 16, planes="y", partial="true")
     return planar.scan_planar(spark, path, 16, 16, planes="y")
 
 
@@ -501,14 +501,14 @@ def _export(spark, sf):
 def _container(spark, sf):
     path = scratch(spark)
     clips = frames(spark, sf).select(F.concat(F.lit("c"), F.expr("frame div 8").cast("string")).alias("clip"), F.lit("y").alias("plane"), (F.col("frame") % 8).alias("frame"), "y", "x", "v")
-    planar.write_planar(clips, path, 16, 16, planes="y")
+    planar.write_planar(clips, path, 16, 16, planes="y", partial="true")
     return planar.scan_planar(spark, path, 16, 16, planes="y", frames_per_task=3)
 
 
 @register("SRC2_scan_planar_template", FR + " SELECT 'f' AS clip, 'y' AS plane, CAST(frame AS INT) AS frame, y, x, v FROM frames16")
 def _template(spark, sf):
     path = scratch(spark)
-    bodies = planar.frame_bytes(frames(spark, sf).withColumn("clip", F.lit("f")).withColumn("plane", F.lit("y")))
+    bodies = planar.frame_bytes(frames(spark, sf).withColumn("clip", F.lit("f")).withColumn("plane", F.lit("y")), [("y", 16, 16)])
     planar.write_files(bodies.select(F.concat(F.lit("f_"), F.col("frame").cast("string"), F.lit(".raw")).alias("name"), F.col("body").alias("content")), path)
     return planar.scan_planar_template(spark, path + "/*.raw", 16, 16)
 

@@ -36,12 +36,18 @@ def _clip_and_first(path: str) -> tuple[str, int]:
 
 
 def _planes(raw: bytes, clip: str, frame: int, sizes: list[tuple[str, int, int]], kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    at = 0
+    """Samples of a frame's bytes; a frame that lacks some is followed by a bit for each place, set where there is a sample."""
+    whole, first = sum(h * w for _, h, w in sizes), 0
+    body = whole * kind.itemsize
+    if len(raw) not in (body, body + -(-whole // 8)):
+        raise ValueError(f"frame {frame} of {clip} has {len(raw)} bytes, not {body}")
+    values = np.frombuffer(raw, kind, whole)
+    seen = np.unpackbits(np.frombuffer(raw, np.uint8, offset=body), count=whole).astype(bool) if len(raw) > body else np.ones(whole, bool)
     for plane, height, width in sizes:
-        n = height * width
-        v = np.frombuffer(raw, kind, n, at).astype(float)
-        at += n * kind.itemsize
-        y, x = np.divmod(np.arange(n, dtype=np.int32), width)
+        spots = np.flatnonzero(seen[first : first + height * width]).astype(np.int32)
+        v, n = values[first + spots].astype(float), len(spots)
+        first += height * width
+        y, x = np.divmod(spots, np.int32(width))
         yield pa.RecordBatch.from_arrays([pa.array([clip] * n), pa.array([plane] * n), pa.array(np.full(n, frame, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], ["clip", "plane", "frame", "y", "x", "v"])
 
 
@@ -51,6 +57,10 @@ def _sizes(options: dict) -> list[tuple[str, int, int]]:
     return [(p, h, w) if k == 0 else (p, ch, cw) for k, p in enumerate(options.get("planes", "y,u,v").split(","))]
 
 
+#: Suffix of a file that holds one frame which lacks samples: its bytes, then a bit for each place.
+PART = ".part"
+
+
 class PlanarReader(DataSourceReader):
     """One partition for each range of frames; comparisons on frame cut the ranges."""
 
@@ -79,7 +89,7 @@ class PlanarReader(DataSourceReader):
         out = []
         for f in files:
             first = _clip_and_first(f.path)[1]
-            low, stop = max(self.low, first), min(self.high + 1, first + f.size // body)
+            low, stop = max(self.low, first), min(self.high + 1, first + (1 if f.path.endswith(PART) else f.size // body))
             out += [Range(f.path, a, min(a + step, stop), first) for a in range(low, stop, step)]
         return out or [Range(path, 0, 0)]
 
@@ -92,6 +102,9 @@ class PlanarReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.options["path"])
         clip = self.options.get("clip") or _clip_and_first(partition.path)[0]
         with store.open_input_file(partition.path) as f:
+            if partition.path.endswith(PART):
+                yield from _planes(f.read(), clip, partition.first, self.sizes, self.kind)
+                return
             for frame in range(partition.start, partition.stop):
                 f.seek((frame - partition.first) * size)
                 yield from _planes(f.read(size), clip, frame, self.sizes, self.kind)
@@ -99,9 +112,9 @@ class PlanarReader(DataSourceReader):
 
 @dataclass
 class Segments(WriterCommitMessage):
-    """What one task has staged: (clip, first frame, frames, file)."""
+    """What one task has staged: (clip, first frame, frames, file, suffix of its name)."""
 
-    found: list[tuple[str, int, int, str]] = field(default_factory=list)
+    found: list[tuple[str, int, int, str, str]] = field(default_factory=list)
 
 
 class PlanarWriter(DataSourceArrowWriter):
@@ -112,11 +125,14 @@ class PlanarWriter(DataSourceArrowWriter):
     frame after frame to a file of its own in a staging folder and reports where
     which frames are. Only what tasks report is moved into place, so that a task
     which ran twice or died leaves nothing; abort deletes the staging folder.
+    With the option `partial` frames may lack samples, and clips frames: such a
+    frame gets a file of its own that also tells which places have a sample.
     """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.sizes, self.overwrite = options["path"], _sizes(options), overwrite
         self.kind = np.dtype(options.get("dtype", "uint8"))
+        self.partial = options.get("partial", "false").lower() == "true"
         self.stage = f"_staged-{uuid.uuid4().hex}"
 
     def _store(self):
@@ -129,6 +145,8 @@ class PlanarWriter(DataSourceArrowWriter):
         store, path = self._store()
         folder, done = f"{path}/{self.stage}", Segments()
         store.create_dir(folder, recursive=True)
+        if self.partial:
+            return self._write_partial(iterator, store, folder)
         whole = sum(h * w for _, h, w in self.sizes)
         out, now, missing = None, None, 0  # the open file, its clip and frame, samples that the frame still lacks
         try:
@@ -148,8 +166,8 @@ class PlanarWriter(DataSourceArrowWriter):
                                 out.close()
                             name = f"{folder}/{uuid.uuid4().hex}"
                             out = store.open_output_stream(name)
-                            done.found.append((*key, 0, name))
-                        done.found[-1] = (*done.found[-1][:2], done.found[-1][2] + 1, done.found[-1][3])
+                            done.found.append((*key, 0, name, ".yuv"))
+                        done.found[-1] = (*done.found[-1][:2], done.found[-1][2] + 1, *done.found[-1][3:])
                         now, missing = key, whole
                     self._in_place(batch.slice(a, b - a), whole - missing)
                     missing -= b - a
@@ -161,6 +179,62 @@ class PlanarWriter(DataSourceArrowWriter):
                 out.close()
         return done
 
+    def _write_partial(self, iterator: Iterator[pa.RecordBatch], store, folder: str) -> Segments:
+        """write() of frames that may lack samples; a task holds one frame's bytes."""
+        done, out, now = Segments(), None, None
+        whole = sum(h * w for _, h, w in self.sizes)
+        body, seen = np.zeros(whole, self.kind), np.zeros(whole, bool)
+
+        def put() -> None:
+            """Writes the frame that body and seen hold."""
+            nonlocal out
+            suffix = ".yuv" if seen.all() else PART
+            last = done.found[-1] if done.found else None
+            if last is None or suffix == PART or last[4] == PART or (last[0], last[1] + last[2]) != now:
+                if out is not None:
+                    out.close()
+                name = f"{folder}/{uuid.uuid4().hex}"
+                out = store.open_output_stream(name)
+                last = (*now, 0, name, suffix)
+                done.found.append(last)
+            done.found[-1] = (*last[:2], last[2] + 1, *last[3:])
+            out.write(body.tobytes() + (np.packbits(seen).tobytes() if suffix == PART else b""))
+            body[:], seen[:] = 0, False
+
+        try:
+            for batch in iterator:
+                clips, frames = batch.column("clip").to_pylist(), batch.column("frame").to_numpy()
+                raw, spots = self._coded(batch.column("v").to_numpy()), self._places(batch)
+                edges = [0, *[i for i in range(1, len(clips)) if frames[i] != frames[i - 1] or clips[i] != clips[i - 1]], len(clips)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a == b:
+                        continue
+                    key = (clips[a], int(frames[a]))
+                    if now is not None and key != now:
+                        put()
+                    now = key
+                    if seen[spots[a:b]].any() or len(np.unique(spots[a:b])) < b - a:
+                        raise ValueError(f"frame {now} has a sample twice")
+                    body[spots[a:b]], seen[spots[a:b]] = raw[a:b], True
+            if now is not None:
+                put()
+        finally:
+            if out is not None:
+                out.close()
+        return done
+
+    def _places(self, rows: pa.RecordBatch) -> np.ndarray:
+        """Each row's place in the bytes of its frame."""
+        planes, y, x = np.array(rows.column("plane").to_pylist()), rows.column("y").to_numpy(), rows.column("x").to_numpy()
+        out, first = np.full(rows.num_rows, -1), 0
+        for plane, height, width in self.sizes:
+            own = (planes == plane) & (y >= 0) & (y < height) & (x >= 0) & (x < width)
+            out[own] = first + y[own] * width + x[own]
+            first += height * width
+        if (out < 0).any():
+            raise ValueError(f"samples outside the planes {self.sizes}")
+        return out
+
     def _coded(self, v: np.ndarray) -> np.ndarray:
         """Values as they are stored: whole types are rounded half away from zero and cut to their range."""
         if self.kind.kind == "f":
@@ -186,12 +260,12 @@ class PlanarWriter(DataSourceArrowWriter):
         moved: list[str] = []
         try:
             for one, two in zip(found, found[1:], strict=False):
-                if one[0] == two[0] and one[1] + one[2] != two[1]:
+                if one[0] == two[0] and (one[1] + one[2] > two[1] if self.partial else one[1] + one[2] != two[1]):
                     raise ValueError(f"clip {one[0]} has frames up to {one[1] + one[2] - 1} and then {two[1]}")
             if self.overwrite:
                 self._clear(store, path)
-            for clip, first, _, name in found:
-                target = f"{path}/{clip}.yuv" if first == 0 else f"{path}/{clip}@{first:010d}.yuv"
+            for clip, first, _, name, suffix in found:
+                target = f"{path}/{clip}{suffix}" if first == 0 else f"{path}/{clip}@{first:010d}{suffix}"
                 if not self.overwrite and store.get_file_info(target).type.name != "NotFound":
                     raise ValueError(f"{target} exists")
                 store.move(name, target)
@@ -258,7 +332,8 @@ def write_planar(samples: DataFrame, path: str, height: int, width: int, mode: s
     must meet. Values are rounded and cut to the type's range. With mode
     "overwrite" the folder's files go when all tasks are done, not before.
     Frames with missing or extra samples, and gaps between frames, are errors
-    that leave the folder as it was.
+    that leave the folder as it was. With partial="true" missing samples and
+    frames are kept as missing; scan_planar() makes no rows of them.
     """
     planes = options.get("planes", "y,u,v").split(",")
     rank = F.array_position(F.array(*map(F.lit, planes)), F.col("plane"))
@@ -268,7 +343,7 @@ def write_planar(samples: DataFrame, path: str, height: int, width: int, mode: s
 
 
 def scan_planar_template(spark: SparkSession, glob: str, height: int, width: int, dtype: str = "uint8", planes: str = "y") -> DataFrame:
-    """Samples of one file per frame, whose last number in the name is the frame."""
+    """Samples of one file per frame, whose last number in the name is the frame; missing ones are told as frame_bytes() does."""
     files = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("int").alias("frame"), F.regexp_extract("path", r"([^/]*?)_?\d+\.[^./]*$", 1).alias("clip"), "content")
     sizes, kind = [(p, height, width) for p in planes.split(",")], np.dtype(dtype)
 
@@ -297,11 +372,36 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.select("name", "content").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
 
 
-def frame_bytes(samples: DataFrame) -> DataFrame:
-    """(clip, frame, body binary): clipped and rounded to bytes, planes in order, rows then columns."""
+def frame_bytes(samples: DataFrame, sizes: Sequence[tuple[str, int, int]] | None = None) -> DataFrame:
+    """(clip, frame, body binary): clipped and rounded to bytes, planes in order, rows then columns.
+
+    With sizes (plane, height, width), a frame that lacks samples has 0 in their
+    places and, after its bytes, a bit for each place, set where there is one.
+    """
     byte = F.least(F.greatest(F.round("v"), F.lit(0.0)), F.lit(255.0)).cast("int")
     order = F.when(F.col("plane") == "y", 0).when(F.col("plane") == "u", 1).otherwise(2)
     rows = samples.groupBy("clip", "frame", order.alias("p"), "y").agg(F.array_sort(F.collect_list(F.struct("x", byte.alias("b")))).alias("row"))
-    rows = rows.withColumn("row", F.unhex(F.array_join(F.transform("row", lambda s: F.lpad(F.hex(s["b"]), 2, "0")), "")))
-    whole = rows.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(F.struct("p", "y", "row"))).alias("rows"))
-    return whole.select("clip", "frame", F.unhex(F.array_join(F.transform("rows", lambda s: F.hex(s["row"])), "")).alias("body"))
+    rows = rows.withColumn("xs", F.transform("row", lambda s: s["x"])).withColumn("row", F.unhex(F.array_join(F.transform("row", lambda s: F.lpad(F.hex(s["b"]), 2, "0")), "")))
+    whole = rows.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(F.struct("p", "y", "row", "xs"))).alias("rows"))
+    bodies = whole.select("clip", "frame", F.unhex(F.array_join(F.transform("rows", lambda s: F.hex(s["row"])), "")).alias("body"), "rows")
+    if sizes is None:
+        return bodies.drop("rows")
+    n = sum(h * w for _, h, w in sizes)
+    rank, first = {"y": 0, "u": 1}, {}
+    for k, (plane, _, width) in enumerate(sizes):
+        first[rank.get(plane, 2)] = (sum(h * w for _, h, w in sizes[:k]), width)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body, lines in zip(batch.column("body").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if len(body) != n:
+                    spots = np.array([first[s["p"]][0] + s["y"] * first[s["p"]][1] + x for s in lines for x in s["xs"]])
+                    full, seen = np.zeros(n, np.uint8), np.zeros(n, bool)
+                    full[spots], seen[spots] = np.frombuffer(body, np.uint8), True
+                    body = full.tobytes() + np.packbits(seen).tobytes()
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("frame"), pa.array(out, pa.binary())], ["clip", "frame", "body"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bodies.select("clip", "frame").schema)
+    return bodies.mapInArrow(spread, kinds + ", body binary")
