@@ -464,7 +464,7 @@ def _crop(spark, sf):
 @register("SRC5_scan_tagged_log", views("blocks", "symbols") + " SELECT 'dmv' AS kind, frame * 1000000 + cx * 1000 + cy AS id, mvx AS a, mvy AS b FROM blocks UNION ALL SELECT 'frq', stream, sum(CASE WHEN sym = 0 THEN 1 ELSE 0 END)::DOUBLE, count(*)::DOUBLE FROM symbols GROUP BY stream")
 def _tagged(spark, sf):
     path = scratch(spark)
-    dmv = blocks(spark, sf).select(F.concat_ws(" ", F.lit("dmv:"), F.expr("cast(frame * 1000000 + cx * 1000 + cy as string)"), F.col("mvx").cast("string"), F.col("mvy").cast("string")).alias("value"))
+    dmv = blocks(spark, sf).select(F.concat_ws(" ", F.lit("dmv:"), F.expr("cast(cast(frame as bigint) * 1000000 + cx * 1000 + cy as string)"), F.col("mvx").cast("string"), F.col("mvy").cast("string")).alias("value"))
     counts = fixture(spark, sf, "symbols").groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.expr("cast(sym = 0 as int)")).alias("z"))
     frq = counts.select(F.concat_ws(" ", F.lit("frq:"), F.col("stream").cast("string"), F.lit("0"), F.lit("0"), F.lit("0"), F.col("n").cast("string"), F.col("z").cast("string"), (F.col("n") - F.col("z")).cast("string")).alias("value"))
     dmv.unionByName(frq).write.text(path)
