@@ -97,8 +97,10 @@ def pad_to(samples: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
     return samples.join(size, keys).select(*keys, F.explode(edge_y).alias("y"), "v", edge_x.alias("xs")).select(*keys, "y", F.explode("xs").alias("x"), "v")
 
 
-def crop_to(samples: DataFrame, keys: list[str], block: int = 16) -> DataFrame:
-    """Frames cut to a multiple of block."""
+def crop_to(samples: DataFrame, keys: list[str], block: int = 16, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Frames cut to a multiple of block, from height and width where both are given (a frame may lack samples then), else from the last row and column that a frame has."""
+    if height and width:
+        return samples.filter((F.col("y") < height - height % block) & (F.col("x") < width - width % block))
     size = samples.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     return samples.join(size, keys).filter((F.col("y") < F.col("h") - F.col("h") % block) & (F.col("x") < F.col("w") - F.col("w") % block)).drop("h", "w")
 
