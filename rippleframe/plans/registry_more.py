@@ -87,7 +87,7 @@ MOTION_DUCK = views("motion").removeprefix("WITH ").split("motion AS (", 1)[1]
 
 @register("JOI6_warp_subpel", PHASED + ", motion AS (" + MOTION_DUCK + f", t AS (SELECT frame, y, x, greatest(0, least(63, 4 * y - CAST(round_even(4 * mvy, 0) AS INT))) AS fy, greatest(0, least(63, 4 * x - CAST(round_even(4 * mvx, 0) AS INT))) AS fx FROM motion WHERE side = 0) SELECT t.frame, t.y, t.x, {Q.rq('ph.v', 8)} AS v FROM t JOIN ph ON ph.frame = t.frame AND ph.phase = 4 * (fy % 4) + fx % 4 AND ph.y = fy // 4 AND ph.x = fx // 4", 8)
 def _sub(spark, sf):
-    vectors = filters.subpel_vectors(frames(spark, sf), ["frame"])
+    vectors = filters.subpel_vectors(frames(spark, sf), ["frame"], 16, 16)
     return motion.warp_subpel(vectors, side(spark, sf, 0), ["frame"], 16, 16).select(*KEY, "v")
 
 
