@@ -86,16 +86,20 @@ def scene_cut_restore(frames: DataFrame, bands: DataFrame, masks: DataFrame, wei
 # ---- along motion: keys name the clip; motion is (keys, level, frame, y, x, side, mvx, mvy, m), frames counted within their level;
 # vectors of odd frames predict, those of even frames update (with the sign turned). A frame whose
 # masks are all zero is a scene cut: it is copied times its level's weight. A side without
-# a frame counts as masked, so the other side stands in for it.
+# a frame counts as masked, so the other side stands in for it. Where the source frame lacks the sample that a
+# vector points at, the point drops out of the high frame and has no update; with `whole` such a side counts as
+# masked too (without any the prediction is 0), so that the way back, with the same setting, restores every sample.
 
 
-def _along(source: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+def _along(source: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, whole: bool = False) -> DataFrame:
     """(keys, frame, y, x, p, cut): blended prediction from source (keys, at, y, x, v) by motion with the place `at` of each side."""
     places = source.groupBy(*keys).agg(F.max("at").alias("_last"))  # one row a clip
     known = motion.join(places, keys)
     known = known.withColumn("m", F.when(F.col("at") > F.col("_last"), 0).otherwise(F.col("m"))).withColumn("at", F.least("at", "_last")).drop("_last")
-    vectors = subpel_vectors(source.select(*keys, "at", *POINT, "v"), [*keys, "at"])
-    warped = warp_subpel(vectors, known, [*keys, "at"], height, width)
+    vectors = subpel_vectors(source.select(*keys, "at", *POINT, "v"), [*keys, "at"], height, width)
+    warped = warp_subpel(vectors, known, [*keys, "at"], height, width, "left" if whole else "inner")
+    if whole:
+        warped = warped.withColumn("m", F.when(F.col("v").isNull(), 0).otherwise(F.col("m"))).withColumn("v", F.coalesce("v", F.lit(0.0)))
     own = [*keys, "frame", *POINT]
     mixed = blend_bidir(warped.filter("side = 0"), warped.filter("side = 1"), own)
     cut = motion.groupBy(*keys, "frame").agg((F.max("m") == 0).alias("cut"))
@@ -110,49 +114,49 @@ def _motion_of(motion: DataFrame, keys: list[str], odd: bool) -> DataFrame:
     return rows.select(*keys, "frame", *POINT, "side", (turn * F.col("mvx")).alias("mvx"), (turn * F.col("mvy")).alias("mvy"), "m", F.greatest(at, F.lit(0)).cast("int").alias("at"))
 
 
-def t_predict_along(frames: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1) -> DataFrame:
+def t_predict_along(frames: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1, whole: bool = False) -> DataFrame:
     """(keys, i, y, x, h): odd frames minus the blend of both neighbours along motion, times alpha."""
     even = frames.filter("frame % 2 = 0").withColumn("at", F.expr("frame div 2").cast("int"))
-    guess = _along(even, _motion_of(motion, keys, True), keys, height, width)
-    own = frames.filter("frame % 2 = 1").join(guess, [*keys, "frame", *POINT])
-    h = F.when(F.col("cut"), copy_weight("H", level - 1) * F.col("v")).otherwise(F.col("v") - F.col("p")) * ALPHA
+    guess = _along(even, _motion_of(motion, keys, True), keys, height, width, whole)
+    own = frames.filter("frame % 2 = 1").join(guess, [*keys, "frame", *POINT], "left" if whole else "inner")
+    h = F.when(F.col("cut"), copy_weight("H", level - 1) * F.col("v")).otherwise(F.col("v") - F.coalesce("p", F.lit(0.0))) * ALPHA
     return own.select(*keys, F.expr("frame div 2").cast("int").alias("i"), *POINT, h.alias("h"))
 
 
-def t_update_along(frames: DataFrame, high: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1) -> DataFrame:
+def t_update_along(frames: DataFrame, high: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1, whole: bool = False) -> DataFrame:
     """(keys, i, y, x, l): even frames plus half the blend of the neighbouring h over alpha, times beta."""
-    guess = _along(high.select(*keys, F.col("i").alias("at"), *POINT, F.col("h").alias("v")), _motion_of(motion, keys, False), keys, height, width)
+    guess = _along(high.select(*keys, F.col("i").alias("at"), *POINT, F.col("h").alias("v")), _motion_of(motion, keys, False), keys, height, width, whole)
     own = frames.filter("frame % 2 = 0").join(guess, [*keys, "frame", *POINT], "left")
     low = F.when(F.col("cut"), copy_weight("L", level - 1) * F.col("v")).otherwise(F.col("v") + F.coalesce("p", F.lit(0.0)) / 2 / ALPHA) * BETA
     return own.select(*keys, F.expr("frame div 2").cast("int").alias("i"), *POINT, low.alias("l"))
 
 
-def t_pyramid_along(frames: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, levels: int = 3, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def t_pyramid_along(frames: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, levels: int = 3, store: Callable[[DataFrame], DataFrame] = lambda df: df, whole: bool = False) -> DataFrame:
     """(keys, tband, idx, y, x, v) like t_pyramid, along motion. `store` writes a level's frames before they are used again."""
     out, rest = None, frames.select(*keys, "frame", *POINT, "v")
     for level in range(1, levels + 1):
         own = motion.filter(F.col("level") == level).drop("level")
-        high = store(t_predict_along(rest, own, keys, height, width, level))
-        low = store(t_update_along(rest, high, own, keys, height, width, level))
+        high = store(t_predict_along(rest, own, keys, height, width, level, whole))
+        low = store(t_update_along(rest, high, own, keys, height, width, level, whole))
         part = high.select(*keys, F.lit(f"H{level}").alias("tband"), F.col("i").alias("idx"), *POINT, F.col("h").alias("v"))
         out = part if out is None else out.unionByName(part)
         rest = low.select(*keys, F.col("i").alias("frame"), *POINT, F.col("l").alias("v"))
     return out.unionByName(rest.select(*keys, F.lit(f"L{levels}").alias("tband"), F.col("frame").alias("idx"), *POINT, "v"))
 
 
-def t_unpyramid_along(bands: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, levels: int = 3, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def t_unpyramid_along(bands: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, levels: int = 3, store: Callable[[DataFrame], DataFrame] = lambda df: df, whole: bool = False) -> DataFrame:
     """(keys, frame, y, x, v) of t_pyramid_along: updates are undone first, then predictions; copied frames are divided by their weights."""
     rest = bands.filter(F.col("tband") == f"L{levels}").select(*keys, F.col("idx").alias("i"), *POINT, F.col("v").alias("l"))
     for level in range(levels, 0, -1):
         own = motion.filter(F.col("level") == level).drop("level")
         high = bands.filter(F.col("tband") == f"H{level}").select(*keys, F.col("idx").alias("at"), *POINT, "v")
-        guess = _along(high, _motion_of(own, keys, False), keys, height, width)
+        guess = _along(high, _motion_of(own, keys, False), keys, height, width, whole)
         both = rest.select(*keys, (2 * F.col("i")).alias("frame"), *POINT, "l").join(guess, [*keys, "frame", *POINT], "left")
         back = F.when(F.col("cut"), F.col("l") / BETA / copy_weight("L", level - 1)).otherwise(F.col("l") / BETA - F.coalesce("p", F.lit(0.0)) / 2 / ALPHA)
         even = store(both.select(*keys, "frame", *POINT, back.alias("v")))
-        guess = _along(even.withColumn("at", F.expr("frame div 2").cast("int")), _motion_of(own, keys, True), keys, height, width)
-        both = high.select(*keys, (2 * F.col("at") + 1).alias("frame"), *POINT, F.col("v").alias("h")).join(guess, [*keys, "frame", *POINT])
-        back = F.when(F.col("cut"), F.col("h") / ALPHA / copy_weight("H", level - 1)).otherwise(F.col("h") / ALPHA + F.col("p"))
+        guess = _along(even.withColumn("at", F.expr("frame div 2").cast("int")), _motion_of(own, keys, True), keys, height, width, whole)
+        both = high.select(*keys, (2 * F.col("at") + 1).alias("frame"), *POINT, F.col("v").alias("h")).join(guess, [*keys, "frame", *POINT], "left" if whole else "inner")
+        back = F.when(F.col("cut"), F.col("h") / ALPHA / copy_weight("H", level - 1)).otherwise(F.col("h") / ALPHA + F.coalesce("p", F.lit(0.0)))
         rest = store(even.unionByName(both.select(*keys, "frame", *POINT, back.alias("v")))).select(*keys, F.col("frame").alias("i"), *POINT, F.col("v").alias("l"))
     return rest.select(*keys, F.col("i").alias("frame"), *POINT, F.col("l").alias("v"))
 

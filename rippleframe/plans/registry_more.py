@@ -645,5 +645,5 @@ def _pyramid_along(spark, sf):
 @register("WIN15_t_unpyramid_along", FR + " SELECT frame, y, x, v FROM frames16")
 def _unpyramid_along(spark, sf):
     m = clip_motion(spark, sf, 3)
-    bands = kept(temporal.t_pyramid_along(clip_frames(spark, sf), m, ["clip"], 16, 16, 3, kept))
-    return temporal.t_unpyramid_along(bands, m, ["clip"], 16, 16, 3, kept).select(F.col("frame").cast("int").alias("frame"), "y", "x", "v")
+    bands = kept(temporal.t_pyramid_along(clip_frames(spark, sf), m, ["clip"], 16, 16, 3, kept, True))
+    return temporal.t_unpyramid_along(bands, m, ["clip"], 16, 16, 3, kept, True).select(F.col("frame").cast("int").alias("frame"), "y", "x", "v")
