@@ -9,15 +9,14 @@ AROUND = ("tl", "t", "tr", "l", "r", "bl", "b", "br")
 
 
 def _rows_of_three(df: DataFrame, keys: list[str], value: Column, names: dict[str, str]) -> DataFrame:
-    """df with value's eight neighbours: by row first, then by column; outside a band 0."""
-    row, col = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    """df with value's eight neighbours by place: a window along each row, column and both diagonals; where there is no sample 0."""
     out = df.withColumn("_c", value)
-    out = out.withColumn("_w", F.coalesce(F.lag("_c").over(row), F.lit(0))).withColumn("_e", F.coalesce(F.lead("_c").over(row), F.lit(0)))
-    out = out.withColumn("_s", F.struct("_w", "_c", "_e"))
-    up, down = F.lag("_s").over(col), F.lead("_s").over(col)
-    for name, c in {"tl": up["_w"], "t": up["_c"], "tr": up["_e"], "l": F.col("_w"), "r": F.col("_e"), "bl": down["_w"], "b": down["_c"], "br": down["_e"]}.items():
-        out = out.withColumn(names[name], F.coalesce(c, F.lit(0)))
-    return out.drop("_c", "_w", "_e", "_s")
+    lines = (("y", "x", "l", "r"), ("x", "y", "t", "b"), (F.col("x") - F.col("y"), "y", "tl", "br"), (F.col("x") + F.col("y"), "y", "tr", "bl"))
+    for line, index, before, after in lines:
+        w = Window.partitionBy(*keys, line).orderBy(index)
+        near = lambda k, w=w, i=index: F.when(F.lag(i, k).over(w) == F.col(i) - k, F.lag("_c", k).over(w)).otherwise(F.lit(0))
+        out = out.withColumns({names[before]: near(1), names[after]: near(-1)})
+    return out.drop("_c")
 
 
 def neighbours(coeffs: DataFrame, keys: list[str], prefix: str = "n_") -> DataFrame:
@@ -25,15 +24,18 @@ def neighbours(coeffs: DataFrame, keys: list[str], prefix: str = "n_") -> DataFr
     return _rows_of_three(coeffs.repartition(*keys), keys, F.col("q"), {n: prefix + n for n in AROUND})
 
 
-def significance_context(coeffs: DataFrame, keys: list[str], plane: int, parents: DataFrame | None = None) -> DataFrame:
+def significance_context(coeffs: DataFrame, keys: list[str], plane: int, parents: DataFrame | None = None, height: int | None = None, width: int | None = None) -> DataFrame:
     """coeffs (keys, y, x, q) with sig, the eight neighbour bits, border, h, v, d and the parent bit p at a bit plane.
 
     parents (keys, y, x, q) is the same band one level up; without it p is 0.
+    The border is that of a band of height and width; where they are not given,
+    the first row and column and the last that the band has.
     """
     own = coeffs.repartition(*keys).withColumn("sig", F.when(F.shiftright(F.abs("q").cast("int"), plane) > 0, 1).otherwise(0))
     out = _rows_of_three(own, keys, F.col("sig"), {n: n for n in AROUND})
     w = Window.partitionBy(*keys)
-    out = out.withColumn("border", ((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.max("y").over(w)) | (F.col("x") == F.max("x").over(w))).cast("int"))
+    last = {c: F.lit(n - 1) if n else F.max(c).over(w) for c, n in (("y", height), ("x", width))}
+    out = out.withColumn("border", ((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == last["y"]) | (F.col("x") == last["x"])).cast("int"))
     out = out.withColumn("h", F.col("l") + F.col("r")).withColumn("v", F.col("t") + F.col("b")).withColumn("d", F.col("tl") + F.col("tr") + F.col("bl") + F.col("br"))
     if parents is None:
         return out.withColumn("p", F.lit(0))

@@ -340,7 +340,7 @@ def ctx_sql_grouped(name: str, plane: int) -> str:
 
 @register("WIN21_significance_context", CODED + ",\n" + ctx_sql_grouped("n0", 0) + " SELECT frame, band, CAST(y AS INT) AS y, CAST(x AS INT) AS x, h, v, d, CASE WHEN q <> 0 THEN 1 ELSE 0 END AS sig, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 1 ELSE 0 END AS border FROM n0")
 def _sig(spark, sf):
-    out = contexts.significance_context(coded(spark, sf), ["frame", "band"], 0)
+    out = contexts.significance_context(coded(spark, sf), ["frame", "band"], 0, None, 8, 8)
     return out.select("frame", "band", "y", "x", "h", "v", "d", "sig", "border")
 
 
