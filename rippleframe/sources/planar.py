@@ -48,7 +48,7 @@ def _planes(raw: bytes, clip: str, frame: int, sizes: list[tuple[str, int, int]]
         v, n = values[first + spots].astype(float), len(spots)
         first += height * width
         y, x = np.divmod(spots, np.int32(width))
-        yield pa.RecordBatch.from_arrays([pa.array([clip] * n), pa.array([plane] * n), pa.array(np.full(n, frame, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], ["clip", "plane", "frame", "y", "x", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([clip] * n, pa.string()), pa.array([plane] * n, pa.string()), pa.array(np.full(n, frame, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], ["clip", "plane", "frame", "y", "x", "v"])
 
 
 def _sizes(options: dict) -> list[tuple[str, int, int]]:
