@@ -77,9 +77,9 @@ def unlift97(halves: DataFrame, keys: list[str], index: str, value: str, block:
     return polyphase_merge(_steps(scaled, keys, -1), keys, index, value)
 
 
-def wavelet2d(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, band, y, x, c) of samples (keys, y, x, v): columns first, then rows; one shuffle by keys serves all windows."""
-    own = samples.select(*keys, "y", "x", "v").repartition(*keys)
+def wavelet2d(samples: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """(keys, band, y, x, c) of samples (keys, y, x, v): columns first, then rows; one shuffle by keys, into `parts` partitions where given, serves all windows."""
+    own = samples.select(*keys, "y", "x", "v").repartition(*([parts] if parts else []), *keys)
     down = lift97(own, [*keys, "x"], "y", "v")
     tall = down.select(*keys, "x", F.col("n").alias("y"), F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("l").alias("v")), F.struct(F.lit(1).alias("half"), F.col("h").alias("v")))).alias("s"))
     tall = tall.select(*keys, F.col("s.half").alias("half"), "y", "x", F.col("s.v").alias("v"))
