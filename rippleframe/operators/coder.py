@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rippleframe.functions.scalars import clip_round, dequantize, psnr, quantize
 from rippleframe.operators.contexts import AROUND, neighbours, refine_classes, sign_classes, zero_classes
 from rippleframe.operators.entropy import conditional_entropy
-from rippleframe.operators.lifting import pyramid, unpyramid
+from rippleframe.operators.lifting import pyramid, restored
 
 KINDS = ("significance", "sign", "refinement")
 
@@ -80,21 +80,30 @@ def coded_rd_curve(coeffs: DataFrame, keys: list[str], group: list[str], planes:
 def sample_rd_sweep(samples: DataFrame, keys: list[str], channel: str, steps: list[float], discards: list[int], levels: int = 4, peak: float = 255) -> DataFrame:
     """(channel, step, discard, gid, bits, frames, psnr) on the grid of steps, discarded bands and channels, and totals over any of them.
 
-    samples (keys, y, x, v), keys naming a frame of a channel. The grid point
-    goes as a key through quantiser, dequantiser and inverse pyramid, all in one
-    plan. bits are those of the symbols in their level and band; psnr is the
-    mean over frames of what comes back, rounded and cut to 0..peak; frames
+    samples (keys, y, x, v), keys naming a frame of a channel. A grid point is a
+    column: a coefficient's row carries its values at all of them, and its own
+    sample, through one inverse pyramid, where they were put by the first
+    shuffle. Symbols are counted by step; what a discard drops becomes zeros of
+    the counts. bits are those of the symbols in their level and band; psnr is
+    the mean over frames of what comes back, rounded and cut to 0..peak; frames
     counts those with an error. In totals (gid by grouping_id) bits add up and
     psnr is the mean over all frames.
     """
     point = [channel, "step", "discard"]
     rank = F.when(F.col("band") == "LL", 13).otherwise(3 * F.col("level") + F.when(F.col("band") == "HL", 3).when(F.col("band") == "LH", 2).otherwise(1))
-    rows = pyramid(samples, keys, levels).withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("discard", F.explode(F.array(*map(F.lit, discards))))
-    rows = rows.withColumn("sym", F.when(F.col("discard") < rank, quantize(F.round("c", 9), F.col("step"))).otherwise(0.0).cast("bigint"))
-    bits = conditional_entropy(rows, point, ["level", "band"]).select(*point, "bits")
-    back = unpyramid(rows.withColumn("c", dequantize(F.col("sym").cast("double"), F.col("step"))), [*keys, "step", "discard"], levels)
-    both = back.withColumn("v", clip_round(F.col("v"), 0, peak)).join(samples.select(*keys, "y", "x", F.col("v").alias("_v")), [*keys, "y", "x"])
-    each = both.groupBy(*dict.fromkeys([*keys, *point])).agg(F.avg((F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v"))).alias("mse"))
+    rows = pyramid(samples.withColumn("_v", F.col("v")), keys, levels, ["_v"])
+    symbol = lambda step: quantize(F.round("c", 9), step).cast("bigint")
+    counts = rows.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).groupBy(channel, "step", "level", "band", symbol(F.col("step")).alias("sym")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("discard", F.explode(F.array(*map(F.lit, discards)))).withColumn("sym", F.when(F.col("discard") < rank, F.col("sym")).otherwise(F.lit(0)))
+    counts = counts.groupBy(*point, "level", "band", "sym").agg(F.sum("c").alias("c"))
+    sums = counts.groupBy(*point, "level", "band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    bits = sums.groupBy(*point).agg(F.sum(F.col("n") * F.log2("n") - F.col("s")).alias("bits"))
+    grid = {f"_c{k}": (step, discard) for k, (step, discard) in enumerate((s, d) for s in steps for d in discards)}
+    known = {c: F.when(F.lit(discard) < rank, dequantize(symbol(F.lit(step)).cast("double"), step)).otherwise(F.lit(0.0)) for c, (step, discard) in grid.items()}
+    back = restored(rows.select(*keys, "level", "band", "y", "x", "_v", *[v.alias(c) for c, v in known.items()]), keys, levels, list(grid))
+    off = lambda c: clip_round(F.col(c), 0, peak) - F.col("_v")
+    each = back.groupBy(*keys).agg(*[F.avg(off(c) * off(c)).alias(c) for c in grid])
+    each = each.select(channel, F.inline(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(discard).alias("discard"), F.col(c).alias("mse")) for c, (step, discard) in grid.items()])))
     seen = each.withColumn("psnr", psnr(F.col("mse"), peak)).groupBy(*point).agg(F.count("psnr").alias("frames"), F.sum("psnr").alias("_sum"))
     out = bits.join(seen, point).cube(*point).agg(F.grouping_id().alias("gid"), F.sum("bits").alias("bits"), F.sum("frames").alias("frames"), F.sum("_sum").alias("_sum"))
     return out.withColumn("psnr", F.when(F.col("frames") > 0, F.col("_sum") / F.col("frames"))).drop("_sum")

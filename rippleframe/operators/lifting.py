@@ -7,6 +7,8 @@ sample the one after it. Each half needs two samples.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,19 +105,20 @@ def unwavelet2d(coeffs: DataFrame, keys: list[str]) -> DataFrame:
     return unlift97(cols, [*keys, "x"], "y", "v").select(*keys, "y", "x", "v")
 
 
-def _in_place(rows: DataFrame, keys: list[str], line: str, index: str, live: Column, sign: int) -> DataFrame:
-    """c of the live rows lifted (sign 1) or restored (-1) along index, every sample staying in its row: even ones low, odd ones high."""
+def _in_place(rows: DataFrame, keys: list[str], line: str, index: str, live: Column, sign: int, values: Sequence[str] = ("c",)) -> DataFrame:
+    """The values of the live rows lifted (sign 1) or restored (-1) along index, every sample staying in its row: even ones low, odd ones high."""
     w = Window.partitionBy(*keys, "level", "band", line).orderBy(index)
-    low, c = F.col(index) % 2 == 0, F.col("c")
+    low = F.col(index) % 2 == 0
+    near = lambda c, k: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w)
+    every = lambda new: rows.withColumns({v: new(F.col(v)) for v in values})
     if sign < 0:
-        rows = rows.withColumn("c", F.when(live, c / F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
-    near = lambda k: F.lag("c", k).over(w) if k > 0 else F.lead("c", -k).over(w)
+        rows = every(lambda c: F.when(live, c / F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
     for k in range(4)[::sign]:
         odd = k % 2 == 0  # even steps change the high half
-        beside = near(1) + F.coalesce(near(-1), near(3)) if odd else near(-1) + F.coalesce(near(1), near(-3))
-        rows = rows.withColumn("c", F.when(live & (low != F.lit(odd)), c + sign * STEPS[k] * beside).otherwise(c))
+        beside = (lambda c: near(c, 1) + F.coalesce(near(c, -1), near(c, 3))) if odd else (lambda c: near(c, -1) + F.coalesce(near(c, 1), near(c, -3)))
+        rows = every(lambda c, k=k, odd=odd, beside=beside: F.when(live & (low != F.lit(odd)), c + sign * STEPS[k] * beside(c)).otherwise(c))
     if sign > 0:
-        rows = rows.withColumn("c", F.when(live, c * F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
+        rows = every(lambda c: F.when(live, c * F.when(low, LOW_GAIN).otherwise(HIGH_GAIN)).otherwise(c))
     return rows
 
 
@@ -123,30 +126,38 @@ def _live(level: int) -> Column:
     return (F.col("level") == level) & (F.col("band") == "LL")
 
 
-def pyramid(samples: DataFrame, keys: list[str], levels: int = 4) -> DataFrame:
+def pyramid(samples: DataFrame, keys: list[str], levels: int = 4, beside: Sequence[str] = ()) -> DataFrame:
     """(keys, level, band, y, x, c): detail bands of each level and the last LL. Heights and widths are multiples of 2**levels.
 
+    Columns named in `beside` stay with the row of their sample.
+
     All levels live in one table: a level transforms the rows of the LL before
     it where they stand and renames them. One shuffle by keys serves all
     windows, eight for each level.
     """
-    rows = samples.select(*keys, F.lit(0).alias("level"), F.lit("LL").alias("band"), "y", "x", F.col("v").alias("c")).repartition(*keys)
+    rows = samples.select(*keys, F.lit(0).alias("level"), F.lit("LL").alias("band"), "y", "x", F.col("v").alias("c"), *beside).repartition(*keys)
     for level in range(1, levels + 1):
         live = _live(level - 1)
         rows = _in_place(_in_place(rows, keys, "x", "y", live, 1), keys, "y", "x", live, 1)
         name = F.concat(F.when(F.col("x") % 2 == 0, "L").otherwise("H"), F.when(F.col("y") % 2 == 0, "L").otherwise("H"))
         half = lambda c: F.when(live, F.expr(f"{c} div 2")).otherwise(F.col(c)).cast("int").alias(c)
-        rows = rows.select(*keys, F.when(live, level).otherwise(F.col("level")).alias("level"), F.when(live, name).otherwise(F.col("band")).alias("band"), half("y"), half("x"), "c")
+        rows = rows.select(*keys, F.when(live, level).otherwise(F.col("level")).alias("level"), F.when(live, name).otherwise(F.col("band")).alias("band"), half("y"), half("x"), "c", *beside)
     return rows
 
 
 def unpyramid(coeffs: DataFrame, keys: list[str], levels: int = 4) -> DataFrame:
     """(keys, y, x, v) of pyramid(), the same way back: bands take their places between each other, then are restored where they stand."""
-    rows = coeffs.select(*keys, "level", "band", "y", "x", "c").repartition(*keys)
+    rows = restored(coeffs.select(*keys, "level", "band", "y", "x", "c").repartition(*keys), keys, levels)
+    return rows.select(*keys, "y", "x", F.col("c").alias("v"))
+
+
+def restored(rows: DataFrame, keys: list[str], levels: int, values: Sequence[str] = ("c",)) -> DataFrame:
+    """rows (keys, level, band, y, x, ..) of a pyramid, partitioned by keys, with each of the values taken back to samples in the row of its coefficient."""
     for level in range(levels, 0, -1):
         own = F.col("level") == level
         place = lambda c, high: F.when(own, 2 * F.col(c) + F.col("band").isin(*high).cast("int")).otherwise(F.col(c)).alias(c)
-        rows = rows.select(*keys, F.when(own, level - 1).otherwise(F.col("level")).alias("level"), F.when(own, "LL").otherwise(F.col("band")).alias("band"), place("y", ("LH", "HH")), place("x", ("HL", "HH")), "c")
+        moved = {"level": F.when(own, level - 1).otherwise(F.col("level")).alias("level"), "band": F.when(own, "LL").otherwise(F.col("band")).alias("band"), "y": place("y", ("LH", "HH")), "x": place("x", ("HL", "HH"))}
+        rows = rows.select(*[moved.get(c, F.col(c)) for c in rows.columns])
         live = _live(level - 1)
-        rows = _in_place(_in_place(rows, keys, "y", "x", live, -1), keys, "x", "y", live, -1)
-    return rows.select(*keys, "y", "x", F.col("c").alias("v"))
+        rows = _in_place(_in_place(rows, keys, "y", "x", live, -1, values), keys, "x", "y", live, -1, values)
+    return rows
