@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm import bpe, decontam, lines, superminhash, toxicity
-from rippleframe.llm.tables import stored, table, without_ids
+from rippleframe.llm.tables import alone, stored, table, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    judged = superminhash.near_duplicates(docs)
-    return without_ids(docs, stored(judged.filter(~F.col("kept")).select("doc_id").distinct()), "doc_id")
+    copies = alone(lambda: superminhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    return without_ids(docs, copies, "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaked."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, stored(found.select("doc_id").filter("doc_id is not null").distinct()), "doc_id")
+    leaked = alone(lambda: decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct())
+    return without_ids(docs, leaked, "doc_id")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

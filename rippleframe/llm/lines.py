@@ -11,7 +11,7 @@ edits count code points.
 
 Segments and probes travel as arrays, one row for each run of lines and range
 of keys; only those of buckets that hold several lines, one of them by a
-segment, become rows. Members of a bucket that is crowded with unlinked lines
+segment, become rows. In a small bucket all pairs are bounded at once. Members of a bucket that is crowded with unlinked lines
 meet again over their rarest q-grams (an exact filter) instead of all with all.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import Near, linked_groups
-from rippleframe.llm.tables import discard, stored, with_ids
+from rippleframe.llm.tables import BROADCAST_IDS, alone, discard, stored, with_ids
 from rippleframe.llm.wordbytes import SPACES, Prefix, flat, mix, pieces, signed
 
 #: One edit for so many code points of the shorter line, up to so many.
@@ -34,9 +34,11 @@ PER_EDIT, MOST_EDITS = 12, 8
 SLICES = 4
 #: Bytes of text whose lines or keys go into one row a slot; different lines, and keys, of a slot on average.
 RUN_BYTES, LINES_A_SLOT, KEYS_A_SLOT = 2 << 20, 50_000, 1_000_000
+#: Members of small buckets that meet in one task, on average.
+MEMBERS_A_SLOT = 250_000
 #: Pairs, and code points of one side, that are verified together; so few that are left are verified one by one.
 PAIRS, CELLS, FEW = 4096, 1 << 21, 24
-#: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; unlinked members that crowd a bucket.
+#: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; members beyond which a bucket is crowded.
 SKETCH, GRAM, COUNTERS, CROWD = 4, 5, 18, 64
 #: Parts of a line between which it is halved to bound edits by letters on both sides.
 PARTS = 8
@@ -234,8 +236,8 @@ def line_texts(docs: DataFrame, slots: int) -> DataFrame:
     return rows.groupBy("slot").applyInArrow(once, "id bigint, body binary")
 
 
-def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int) -> DataFrame:
-    """(key, id) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment."""
+def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int, crowd: int) -> DataFrame:
+    """(key, id, few) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment; few tells buckets of at most `crowd` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,9 +257,41 @@ def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, p
         n = np.diff(np.append(at, len(k)))
         several = np.minimum.reduceat(i, at) < np.maximum.reduceat(i, at)
         kept = np.repeat(several & np.logical_or.reduceat(anchor, at), n)
-        return pa.table({"key": k[kept], "id": i[kept]}).group_by(["key", "id"]).aggregate([])
+        out = pa.table({"key": k[kept], "id": i[kept]}).group_by(["key", "id"]).aggregate([])
+        _, own, lines = np.unique(out["key"].to_numpy(), return_inverse=True, return_counts=True)
+        return out.append_column("few", pa.array(lines[own] <= crowd))
 
-    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint")
+    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint, few boolean")
+
+
+def pairs_of_buckets(members: DataFrame, edits: int | None, slots: int) -> DataFrame:
+    """(a, b), a < b, of members (key, id, traits) that share a bucket, where their traits leave it possible that they are within the threshold.
+
+    All pairs of a bucket are compared, so buckets are to be small.
+    """
+    columns = ["size", *(f"s{k}" for k in range(SKETCH))]
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, size, *sketch = (table[c].to_numpy() for c in ("key", "id", *columns))
+        sketch = [s.view(np.uint64) for s in sketch]  # bits of negative numbers would be counted of their size
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        lines = np.diff(np.append(starts, len(key)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for n in np.unique(lines[lines > 1]):
+            i, j = np.triu_indices(n, 1)
+            first, step = starts[lines == n], max(1, CELLS // len(i))
+            for k in range(0, len(first), step):
+                x, y = (order[first[k : k + step, None] + side].ravel() for side in (i, j))
+                most = np.minimum(np.minimum(size[x], size[y]) // PER_EDIT, MOST_EDITS) if edits is None else edits
+                apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch)
+                keep = (np.abs(size[x] - size[y]) <= most) & (apart <= 4 * most)
+                found.append((ids[x[keep]], ids[y[keep]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+
+    rows = members.select(F.pmod("key", F.lit(slots)).alias("slot"), "key", "id", "traits.*")
+    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,12 +421,18 @@ def rare_grams(texts: DataFrame, edits: int | None) -> DataFrame:
     return texts.select("id", "body").mapInArrow(run, "key bigint, id bigint")
 
 
+def paired_lines(texts: DataFrame, pairs: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Lines (id, body) that stand in the stored pairs (a, b): up to `most` ids are sent to the tasks, so that no other line is shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return texts.join(F.broadcast(ends) if 2 * pairs.count() <= most else ends, "id", "left_semi")
+
+
 def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> DataFrame:
     """(id, label) of the stored lines (id, body) that have another one within the threshold, by links or chains of links. The lines are deleted."""
     slots = -(-max(texts.count(), 1) * 45 // (SLICES * KEYS_A_SLOT))  # about 45 keys a line
     members = None
     for part in range(SLICES):
-        mine = stored(bucket_members(texts, edits, slots, part, SLICES))
+        mine = stored(bucket_members(texts, edits, slots, part, SLICES, crowd))
         members = mine if members is None else members.unionByName(mine)
     ids = stored(members.select("id").distinct())
     near = stored(with_ids(texts, ids, "id"))
@@ -409,7 +449,8 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
                     most = np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(part.num_rows, edits)
                     yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(all_within(x, y, most)))
 
-        both = pairs.join(near.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(near.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        own = paired_lines(near, pairs)
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
     def allowed(x: F.Column, y: F.Column) -> F.Column:
@@ -439,7 +480,9 @@ def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> Dat
         columns = [F.col(c) for c in letters.columns if c != "id"]
         return letters.join(traits, "id").select("id", F.struct("traits.*", *columns).alias("traits")), halved
 
-    return linked_groups(members.join(traits, "id"), verified, possible, refined, crowd, once=True, cross=wider)
+    few, many = (members.filter(c).select("key", "id").join(traits, "id") for c in ("few", "not few"))
+    pairs = stored(pairs_of_buckets(few, edits, -(-max(members.count(), 1) // MEMBERS_A_SLOT)))
+    return linked_groups(many, verified, possible, refined, once=True, cross=wider, pairs=pairs)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -463,11 +506,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
     lines = stored(occurrences(known))
     texts = stored(line_texts(known, -(-max(lines.count(), 1) // LINES_A_SLOT)))
-    groups = line_classes(texts, edits)
+    groups = alone(lambda: line_classes(texts, edits))
     first = F.min(F.struct("doc_id", "th", "line")).alias("first")
     seen = F.max(F.struct("doc_id", "th", "line")).alias("last")
     own = lines.groupBy("id").agg(first, seen).join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
     own = stored(own)
+    discard(groups)
     classes = own.filter(F.col("label") != F.col("id")).select("label").distinct().join(own, "label").groupBy("label").agg(F.min("first").alias("stays"))
     doubtful = own.join(classes, "label", "left").withColumn("stays", F.coalesce("stays", "first")).filter((F.col("stays") < F.col("last"))).select("id", "stays")
     gone = lines.join(doubtful, "id").filter(F.struct("doc_id", "th", "line") != F.col("stays"))

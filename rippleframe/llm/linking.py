@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import stored
+from rippleframe.llm.tables import discard, stored
 
 Check = Callable[[DataFrame], DataFrame]
 Near = Callable[[F.Column, F.Column], F.Column]
@@ -91,19 +91,20 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 TRIED = 4
 
 
-def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, crowd: int = 0, once: bool = False, cross: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> DataFrame:
+def linked_groups(members: DataFrame, check: Check, near: Near | None = None, refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, once: bool = False, cross: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(id, label) of the linked ids among members (key, id), with `traits` if near is given and, at will, `anchor`.
 
     check keeps those of its stored pairs (a, b), a < b, that are links; near is
     a necessary condition on the traits of two members; with anchors, buckets
     without one are skipped. refine, given the stored (id) of all members of
-    buckets that the stars left in several groups and with over `crowd` members,
+    buckets that the stars left in several groups,
     returns finer members of them, in whose buckets all their links can be found
     too, with their own near; these take the place of those buckets. cross, given the
     stored (id) of those finer members that still lie in several groups, returns wider
     (id, traits) of them and the near by which they cross. once lets
     members that cross meet in the first bucket they share only; it is meant for
-    members of some tens of buckets. Without buckets of two ids the result is empty.
+    members of some tens of buckets. pairs (a, b), a < b, are candidates from elsewhere.
+    Without pairs and buckets of two ids the result is empty.
     """
 
     def fits(x: str, y: str, near: Near | None) -> F.Column:
@@ -116,10 +117,10 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
         return ordered(buckets.filter((F.col("id") != F.col("centre")) & fits("traits", "centre_traits", near)), "centre", "id")
 
     def open_members(buckets: DataFrame, groups: DataFrame, extra: list[str]) -> DataFrame:
-        """(key, id, *extra, label, largest, crowded) of the buckets whose members lie in several groups."""
+        """(key, id, *extra, label, largest) of the buckets whose members lie in several groups."""
         placed = buckets.join(groups, "id", "left").select("key", "id", *extra, F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"), F.sum("count").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
-        return stored(placed.join(several.select("key", "largest", (F.col("n") > crowd).alias("crowded")), "key"))
+        several = placed.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).getField("label").alias("largest"), F.count("*").alias("labels")).filter("labels > 1")
+        return stored(placed.join(several.select("key", "largest"), "key"))
 
     def closer(buckets: DataFrame, groups: DataFrame, near: Near | None, extra: list[str], tried: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(open members, groups, pairs tried) after members outside the largest group of a bucket have met a few of it."""
@@ -131,8 +132,9 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
         fresh = stored(ordered(pairs, "centre", "id").join(tried, ["a", "b"], "left_anti"))
         found = stored(check(fresh))
         if found.head(1):
-            groups = _joined(groups, found)
-            placed = open_members(placed.select("key", "id", *extra), groups, extra)
+            groups, before = _joined(groups, found), placed
+            placed = open_members(before.select("key", "id", *extra), groups, extra)
+            discard(before)
         return placed, groups, tried.unionByName(fresh)
 
     def crossed(placed: DataFrame, near: Near | None, extra: list[str]) -> DataFrame:
@@ -147,22 +149,23 @@ def linked_groups(members: DataFrame, check: Check, near: Near | None = None, re
 
     extra = ["traits"] if near else []
     buckets = _buckets(members, extra)
-    tried = stored(stars(buckets, near))
+    tried = stars(buckets, near)
+    tried = stored(tried if pairs is None else tried.union(pairs.select("a", "b")).distinct())
     groups = components(stored(check(tried)))
     placed, groups, tried = closer(buckets, groups, near, extra, tried)
+    discard(buckets)
     if refine:
-        finer, finer_near = refine(stored(placed.filter("crowded").select("id").distinct()))
+        finer, finer_near = refine(stored(placed.select("id").distinct()))
         buckets = _buckets(finer, ["traits"])
         fresh = stored(stars(buckets, finer_near).join(tried, ["a", "b"], "left_anti"))
         found = stored(check(fresh))
         groups = _joined(groups, found) if found.head(1) else groups
         finer_placed, groups, tried = closer(buckets, groups, finer_near, ["traits"], tried.unionByName(fresh))
+        discard(buckets)
         if cross:
             wider, finer_near = cross(stored(finer_placed.select("id").distinct()))
             finer_placed = finer_placed.drop("traits").join(wider, "id")
         more = crossed(finer_placed, finer_near, ["traits"])
-        if crowd:
-            more = more.unionByName(crossed(placed.filter("not crowded"), near, extra))
     else:
         more = crossed(placed, near, extra)
     untried = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import Near, linked_groups
-from rippleframe.llm.tables import id_and_text, stored, with_ids
+from rippleframe.llm.tables import alone, id_and_text, stored, with_ids
 from rippleframe.llm.wordbytes import LOWER, Prefix, chained, mix, pieces, signed, word_ranges
 
 PLACES, ROWS = 128, 4
@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = ids.withColumnRenamed("id", "doc_id")
         return rare_shingles(stored(shingle_sets(with_ids(docs, ids, "doc_id"), words).dropDuplicates(["doc_id"])), percent), possible
 
-    groups = linked_groups(members, verified, sized, refined)
+    groups = alone(lambda: linked_groups(members, verified, sized, refined))
     labels = twins.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What stored() made within the innermost alone().
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared scratch folder and read again: no lineage, and any executor can read it."""
     tidy(df.sparkSession)
@@ -33,6 +39,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -43,6 +51,22 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a table of stored(); the others that were stored on the way to it are deleted."""
+    token = _made.set(made := [])
+    try:
+        out = make()
+        out = out if hasattr(out, "_stored_at") else stored(out)
+    finally:
+        _made.reset(token)
+    for df in made:
+        if df._stored_at != out._stored_at:
+            discard(df)
+    if (outer := _made.get()) is not None:
+        outer.append(out)
+    return out
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that count, as doc_id and text; a null text becomes empty."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
