@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rippleframe.functions.adaptive import capped_step
 
@@ -22,30 +22,21 @@ def stream_gop_bytes(stream: DataFrame, time: str, value: str, length: str, late
     return stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w")).agg(F.sum(value).alias(value), F.count("*").alias("n")).select(F.col("w.start").alias("start"), value, "n")
 
 
-class AdaptiveCost(StatefulProcessor):
-    """Counts of a (stream, ctx) kept across batches; rows of a batch are taken in order of seq."""
-
-    def __init__(self, size: int, cap: int):
-        self.size, self.cap = size, cap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "sym int", "c int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        counts = [1] * self.size
-        for (sym,), (c,) in self.counts.iterator():
-            counts[sym] = c
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        bits = [capped_step(counts, s, self.cap) for s in pdf["sym"]]
-        for sym, c in enumerate(counts):
-            self.counts.updateValue((sym,), (c,))
-        yield pdf[["stream", "seq", "ctx", "sym"]].assign(bits=bits)
-
-    def close(self) -> None:
-        pass
-
-
 def stream_adaptive_cost(stream: DataFrame, size: int, cap: int) -> DataFrame:
-    """adaptive_cost_capped over a stream of symbols (stream, seq, ctx, sym); needs the RocksDB state store."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.select("stream", "seq", "ctx", "sym").schema)
-    return stream.groupBy("stream", "ctx").transformWithStateInPandas(statefulProcessor=AdaptiveCost(size, cap), outputStructType=kinds + ", bits double", outputMode="Append", timeMode="None")
+    """adaptive_cost_capped over a stream of symbols (stream, seq, ctx, sym); rows of a batch are taken in order of seq.
+
+    The counts of a (stream, ctx) are one state, which comes and goes with its
+    rows: many keys share an Arrow batch, and none asks the state store.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = list(state.get) if state.exists else [1] * size
+        pdf = pd.concat(list(parts)).sort_values("seq")
+        bits = [capped_step(counts, s, cap) for s in pdf["sym"].tolist()]
+        state.update(tuple(counts))
+        yield pdf.assign(bits=bits)
+
+    rows = stream.select("stream", "seq", "ctx", "sym")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    counters = ", ".join(f"c{k} int" for k in range(size))
+    return rows.groupBy("stream", "ctx").applyInPandasWithState(run, kinds + ", bits double", counters, "append", GroupStateTimeout.NoTimeout)
