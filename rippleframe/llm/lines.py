@@ -9,10 +9,14 @@ line lengths, so a probe needs no guess of the other line's length. Candidates
 are verified by a banded bit-parallel edit distance. Lengths, positions and
 edits count code points.
 
-Segments and probes travel as arrays, one row for each run of lines and range
-of keys; only those of buckets that hold several lines, one of them by a
-segment, become rows. In a small bucket all pairs are bounded at once. Members of a bucket that is crowded with unlinked lines
-meet again over their rarest q-grams (an exact filter) instead of all with all.
+Segments and probes travel packed, one row for each run of lines and range of
+keys; only those of buckets that hold several lines, one of them by a segment,
+become rows. The pairs of a bucket are compared by sketches within a task (an
+exact filter), and only who hangs together by them comes out of it: at most one
+row a member. The lines that hang together over all buckets are a family; each
+sends its text once to where its family is verified, and again what comes out is
+one row a line at most. Buckets and families of many lines are cut into parts,
+and each two parts meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.linking import Near, linked_groups
+from rippleframe.llm.linking import components
 from rippleframe.llm.tables import BROADCAST_IDS, alone, discard, stored, with_ids
 from rippleframe.llm.wordbytes import SPACES, Prefix, flat, mix, pieces, signed
 
@@ -34,12 +39,14 @@ PER_EDIT, MOST_EDITS = 12, 8
 SLICES = 4
 #: Bytes of text whose lines or keys go into one row a slot; different lines, and keys, of a slot on average.
 RUN_BYTES, LINES_A_SLOT, KEYS_A_SLOT = 2 << 20, 50_000, 1_000_000
-#: Members of small buckets that meet in one task, on average.
-MEMBERS_A_SLOT = 250_000
+#: Members of buckets, and lines of families, that meet in one task, on average.
+MEMBERS_A_SLOT, TEXTS_A_SLOT = 250_000, 6_000
 #: Pairs, and code points of one side, that are verified together; so few that are left are verified one by one.
 PAIRS, CELLS, FEW = 4096, 1 << 21, 24
-#: Longs of a line's sketch, and code points of its rare grams; counters that rank grams; members beyond which a bucket is crowded.
-SKETCH, GRAM, COUNTERS, CROWD = 4, 5, 18, 64
+#: Longs of a line's sketch; lines of a family beyond which it is cut into parts, and by how much a bucket may be larger; possible pairs kept at a time.
+SKETCH, CROWD, BUCKET, HELD = 4, 2048, 8, 1 << 19
+#: Possible pairs that a line has at least if its letters are compared, too.
+DENSE = 16
 #: Parts of a line between which it is halved to bound edits by letters on both sides.
 PARTS = 8
 
@@ -213,8 +220,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, line int, id bigint")
 
 
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values, one binary for each range of bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def line_texts(docs: DataFrame, slots: int) -> DataFrame:
-    """(id, body) of the different lines with a word of rows (doc_id, th, text)."""
+    """(id, n, body) of the different lines with a word of rows (doc_id, th, text); n of them are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,46 +238,86 @@ def line_texts(docs: DataFrame, slots: int) -> DataFrame:
                 starts, ends, _, _ = line_ranges(data, offsets)
                 inked = np.concatenate([[0], np.cumsum(~SPACES[data])])
                 use = np.flatnonzero(inked[ends] > inked[starts])
-                found, first = np.unique(Prefix(data).of(starts[use], ends[use]), return_index=True)
-                whole = data.tobytes()
-                bodies = pa.array([whole[x:y] for x, y in zip(starts[use[first]], ends[use[first]], strict=True)], pa.binary())
+                found, first, n = np.unique(Prefix(data).of(starts[use], ends[use]), return_index=True, return_counts=True)
+                starts, ends = starts[use[first]], ends[use[first]]
                 used, bounds = _slots(found, slots)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(found)), pa.ListArray.from_arrays(bounds, bodies)], ["slot", "ids", "bodies"])
+                places = np.concatenate([[0], np.cumsum(ends - starts)])
+                bodies = data[np.repeat(starts - places[:-1], ends - starts) + np.arange(places[-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int32)), *(_packed(v, bounds) for v in (found, n.astype(np.int32), (ends - starts).astype(np.int32))), _packed(bodies, places[bounds])],
+                    ["slot", "ids", "ns", "sizes", "bodies"],
+                )
 
     def once(table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table["ids"].combine_chunks().flatten().to_numpy(), return_index=True)
-        return pa.table({"id": ids, "body": table["bodies"].combine_chunks().flatten().take(pa.array(first))})
+        ids, first, own = np.unique(_unpacked(table["ids"], np.int64), return_index=True, return_inverse=True)
+        n = np.bincount(own, _unpacked(table["ns"], np.int32), len(ids)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(_unpacked(table["sizes"], np.int32), dtype=np.int64)])
+        bodies = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(table["bodies"].to_pylist()))])
+        return pa.table({"id": ids, "n": n, "body": bodies.take(pa.array(first)).cast(pa.binary())})
 
-    rows = docs.select("doc_id", "th", "text").mapInArrow(run, "slot int, ids array<bigint>, bodies array<binary>")
-    return rows.groupBy("slot").applyInArrow(once, "id bigint, body binary")
+    rows = docs.select("doc_id", "th", "text").mapInArrow(run, "slot int, ids binary, ns binary, sizes binary, bodies binary")
+    return rows.groupBy("slot").applyInArrow(once, "id bigint, n bigint, body binary")
 
 
 def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int, crowd: int) -> DataFrame:
-    """(key, id, few) of lines (id, body) in the buckets of one slice that hold several lines, one of them by its own segment; few tells buckets of at most `crowd` lines."""
+    """(key, no) of lines (no, body) in the buckets of one slice that hold several lines, one of them by its own segment.
+
+    A bucket of more than `crowd` lines is cut: any two of its parts make a bucket. Lines with
+    neighbouring numbers should come one after the other: then a key takes six bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1), rows=batch.num_rows):
-                ids = batch.column(0).slice(a, b - a)
-                at, keys, indexed = segment_keys(data, offsets, edits, part, parts)
-                keys = keys & ~np.uint64(1) | indexed.astype(np.uint64)  # the last bit tells segments from probes
-                order = np.argsort(keys)
-                used, bounds = _slots(keys[order], slots)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(bounds, signed(keys[order])), pa.ListArray.from_arrays(bounds, ids.take(pa.array(at[order])))], ["slot", "keys", "ids"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        keys, ids = (table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "ids"))
-        order = np.argsort(keys >> 1)
-        k, i, anchor = (keys >> 1)[order], ids[order], (keys & 1).astype(bool)[order]
-        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        n = np.diff(np.append(at, len(k)))
-        several = np.minimum.reduceat(i, at) < np.maximum.reduceat(i, at)
-        kept = np.repeat(several & np.logical_or.reduceat(anchor, at), n)
-        out = pa.table({"key": k[kept], "id": i[kept]}).group_by(["key", "id"]).aggregate([])
-        _, own, lines = np.unique(out["key"].to_numpy(), return_inverse=True, return_counts=True)
-        return out.append_column("few", pa.array(lines[own] <= crowd))
-
-    return texts.select("id", "body").mapInArrow(run, "slot int, keys array<bigint>, ids array<bigint>").groupBy("slot").applyInArrow(shared, "key bigint, id bigint, few boolean")
+            numbers = batch.column(0).to_numpy()
+            for a, b, data, offsets in pieces(batch.column(1), RUN_BYTES, rows=batch.num_rows):
+                line, keys, indexed = segment_keys(data, offsets, edits, part, parts)
+                slot = (keys >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)
+                low = (keys & np.uint64(0xFFFFFFFE) | indexed.astype(np.uint64)).astype(np.uint32)  # the last bit tells segments from probes
+                place = numbers[a:b] - numbers[a]
+                for high in np.unique(place >> 16):
+                    use = np.flatnonzero((place >> 16)[line] == high)
+                    use = use[np.argsort(slot[use].astype(np.uint16 if slots < 1 << 16 else np.uint64), kind="stable")]
+                    bounds = np.flatnonzero(np.append(True, slot[use][1:] != slot[use][:-1])) if len(use) else np.zeros(0, np.int64)
+                    ends = np.append(bounds, len(use))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slot[use[bounds]].astype(np.int32)), pa.array(np.full(len(bounds), numbers[a] + (high << 16))), _packed(low[use], ends), _packed((place[line[use]] & 0xFFFF).astype(np.uint16), ends)],
+                        ["slot", "first", "keys", "places"],
+                    )
+
+    def shared(slot: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = _unpacked(table["keys"], np.uint32)
+        n = pc.binary_length(table["keys"]).to_numpy() // 4
+        no = np.repeat(table["first"].to_numpy(), n) + _unpacked(table["places"], np.uint16)
+        order = np.argsort(keys)
+        k = keys[order] >> np.uint32(1)
+        same = k[1:] == k[:-1]
+        order = order[np.append(False, same) | np.append(same, False)]
+        k, no, anchor = keys[order] >> np.uint32(1), no[order], (keys[order] & 1).astype(bool)
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        if len(at):
+            kept = np.repeat((np.minimum.reduceat(no, at) < np.maximum.reduceat(no, at)) & np.logical_or.reduceat(anchor, at), np.diff(np.append(at, len(k))))
+            k, no = k[kept], no[kept]
+            order = np.lexsort((no, k))
+            k, no = k[order], no[order]
+            new = np.append(True, (k[1:] != k[:-1]) | (no[1:] != no[:-1]))[: len(k)]
+            k, no = k[new], no[new]
+        key = mix(np.uint64(slot[0].as_py()) << np.uint64(31) | k.astype(np.uint64))
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        lines = np.diff(np.append(at, len(k)))
+        large = np.flatnonzero(lines > crowd)
+        out = [(key, no)] if not len(large) else [(key[x], no[x]) for x in [np.repeat(lines <= crowd, lines)]]
+        for x in large:
+            own = no[at[x] : at[x] + lines[x]]
+            cut = np.array_split(own, -(-2 * len(own) // max(crowd, 2)))
+            for i in range(len(cut)):
+                for j in range(i):
+                    both = np.concatenate([cut[i], cut[j]])
+                    out.append((np.full(len(both), mix(key[at[x] : at[x] + 1] ^ np.uint64(i << 32 | j + 1))[0]), both))
+        key, no = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"key": signed(key), "no": no})
+
+    rows = texts.select("no", "body").mapInArrow(run, "slot int, first bigint, keys binary, places binary")
+    return rows.groupBy("slot").applyInArrow(shared, "key bigint, no bigint")
 
 
 def pairs_of_buckets(members: DataFrame, edits: int | None, slots: int) -> DataFrame:
@@ -301,23 +357,183 @@ def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return points, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
 
 
+def line_sketches(points: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, bits) of a run of lines: each bit is the parity of the pairs of neighbours that fall to it. An edit
+    changes at most four pairs."""
+    pairs = np.flatnonzero(line[1:] == line[:-1])
+    bit = (mix(points[pairs].astype(np.uint64) << np.uint64(32) | points[pairs + 1]) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    flips = np.bincount(line[pairs] * (64 * SKETCH) + bit.astype(np.int64), minlength=lines * 64 * SKETCH) % 2
+    return np.bincount(line, minlength=lines), np.packbits(flips.astype(np.uint8).reshape(lines, -1), axis=1).view(np.uint64)
+
+
 def line_traits(texts: DataFrame) -> DataFrame:
-    """(id, traits) of lines (id, body): code points, and bits of which each is the parity of the pairs of neighbours
-    that fall to it. An edit changes at most four pairs."""
+    """(no, id, size, s0, s1, ...) of lines (no, id, body): their line_sketches()."""
+    columns = ["size", *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
-                points, line = _code_points(data, offsets)
-                pairs = np.flatnonzero(line[1:] == line[:-1])
-                bit = (mix(points[pairs].astype(np.uint64) << np.uint64(32) | points[pairs + 1]) >> np.uint64(32)) % np.uint64(64 * SKETCH)
-                flips = np.bincount(line[pairs] * (64 * SKETCH) + bit.astype(np.int64), minlength=(b - a) * 64 * SKETCH) % 2
-                sketch = np.packbits(flips.astype(np.uint8).reshape(b - a, -1), axis=1).view(np.int64)
-                size = np.bincount(line, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(sketch[:, k].copy()) for k in range(SKETCH))], ["id", "size", *(f"s{k}" for k in range(SKETCH))])
+            for a, b, data, offsets in pieces(batch.column(2)):
+                size, sketch = line_sketches(*_code_points(data, offsets), b - a)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(size), *(signed(sketch[:, k].copy()) for k in range(SKETCH))], ["no", "id", *columns])
+
+    return texts.select("no", "id", "body").mapInArrow(run, "no bigint, id bigint, " + ", ".join(f"{c} bigint" for c in columns))
+
+
+def _allowed(shorter: np.ndarray, edits: int | None) -> np.ndarray:
+    return np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(shorter.shape, edits)
+
+
+def _possible(size: tuple[np.ndarray, np.ndarray], sketch: tuple[np.ndarray, np.ndarray], edits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(whether length and sketch leave two lines possible, bits that differ) of the lines on both sides, which may be crossed."""
+    most = _allowed(np.minimum(*size), edits)
+    apart = sum(np.bitwise_count(sketch[0][..., k] ^ sketch[1][..., k]).astype(np.int16) for k in range(SKETCH))
+    return (np.abs(size[0] - size[1]) <= most) & (apart <= 4 * most), apart
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the own number of one of its group) after the links a, b."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, np.maximum(x[open_], y[open_]), np.minimum(x[open_], y[open_]))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal values."""
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return at, np.diff(np.append(at, len(values)))
+
+
+def _pairs_of_runs(starts: np.ndarray, lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of the same run, so many at a time that memory is bounded."""
+    for n in np.unique(lines[lines > 1]):
+        own, rows = starts[lines == n], max(1, HELD // int(n))
+        for r in range(0, int(n), rows):
+            i = np.arange(r, min(int(n), r + rows))
+            i, j = (c.ravel() for c in np.broadcast_arrays(i[:, None], np.arange(n)))
+            i, j = i[i < j], j[i < j]
+            step = max(1, HELD // max(1, len(i)))
+            for k in range(0, len(own), step):
+                yield (own[k : k + step, None] + i).ravel(), (own[k : k + step, None] + j).ravel()
+
+
+def _spanning(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": ids[label[moved]], "b": ids[moved]})
+
+
+#: Lines of a bucket beyond which those that hang together are looked for one after the other.
+WIDE = 128
 
-    columns = ["size", *(f"s{k}" for k in range(SKETCH))]
-    return texts.select("id", "body").mapInArrow(run, "id bigint, " + ", ".join(f"{c} bigint" for c in columns)).select("id", F.struct(*columns).alias("traits"))
+
+def families(members: DataFrame, edits: int | None, slots: int) -> DataFrame:
+    """Links (a, b) by which all members (key, id, size, s0, ...) hang together that share a bucket and are possible pairs
+    by length and sketch, directly or in chains: at most one for each line and slot, however many pairs there are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        starts, lines = _runs(key[order])
+        size, sketch = table["size"].to_numpy()[order].astype(np.int32), np.stack([table[f"s{k}"].to_numpy()[order].view(np.uint64) for k in range(SKETCH)], 1)
+        ids, own = np.unique(table["id"].to_numpy()[order], return_inverse=True)
+        label = np.arange(len(ids))
+        few = lines <= WIDE
+        for x, y in _pairs_of_runs(starts[few], lines[few]):
+            near = _possible((size[x], size[y]), (sketch[x], sketch[y]), edits)[0]
+            label = _merged(label, own[x[near]], own[y[near]])
+        for start, n in zip(starts[~few], lines[~few], strict=True):
+            rest = np.arange(start, start + n)
+            while len(rest) > 1:
+                front, rest, links = rest[:1], rest[1:], []
+                while len(front) and len(rest):
+                    now = max(1, HELD // len(rest))
+                    now, front = front[:now], front[now:]
+                    near = _possible((size[now][:, None], size[rest]), (sketch[now][:, None], sketch[rest]), edits)[0]
+                    met = near.any(0)
+                    links.append((now[near[:, met].argmax(0)], rest[met]))
+                    front, rest = np.concatenate([front, rest[met]]), rest[~met]
+                if links:
+                    x, y = (np.concatenate(c) for c in zip(*links, strict=True))
+                    label = _merged(label, own[x], own[y])
+        return _spanning(ids, label)
+
+    rows = members.select(F.pmod("key", F.lit(slots)).alias("slot"), "key", "id", "size", *(f"s{k}" for k in range(SKETCH)))
+    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint")
+
+
+def verified(lines: DataFrame, edits: int | None, slots: int) -> DataFrame:
+    """Links (a, b) by which all lines (tile, side, id, body) hang together that share a tile and are within the threshold:
+    at most one for each line and slot. Sides tell lines that do not meet here with those of their own; -1 meets all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = table["tile"].to_numpy()
+        order = np.argsort(tile, kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        side, (ids, own) = table["side"].to_numpy(), np.unique(table["id"].to_numpy(), return_inverse=True)
+        parts = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint64))]
+        for body in table["body"].chunks:
+            for a, b, data, offsets in pieces(body):
+                points, line = _code_points(data, offsets)
+                parts.append((points, *line_sketches(points, line, b - a)))
+        points, size, sketch = (np.concatenate(c) for c in zip(*parts, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(size)])
+
+        def picked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ends = np.concatenate([[0], np.cumsum(size[rows])])
+            return points[np.repeat(offsets[rows] - ends[:-1], size[rows]) + np.arange(ends[-1])], ends
+
+        def compared(label: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+            x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+            most = _allowed(np.minimum(size[x], size[y]), edits)
+            pairs = np.bincount(np.concatenate([x, y]), minlength=len(size))
+            dense = np.flatnonzero((pairs[x] > DENSE) & (pairs[y] > DENSE))
+            if len(dense):
+                rows, at = np.unique(np.concatenate([x[dense], y[dense]]), return_inverse=True)
+                letters = [letter_sketches(p, np.repeat(np.arange(len(e) - 1), np.diff(e)), len(e) - 1, edits) for p, e in (picked(rows[k : k + PAIRS // 4]) for k in range(0, len(rows), PAIRS // 4))]
+                base, bits = (np.concatenate(c) for c in zip(*letters, strict=True))
+                bits = bits.view(np.uint64)  # bits of negative numbers would be counted of their size
+                i, j = at[: len(dense)], at[len(dense) :]
+                far = np.zeros(len(dense), bool)
+                for k in range(0, bits.shape[1], 2 * SKETCH):
+                    far |= sum(np.bitwise_count(bits[i, z] ^ bits[j, z]).astype(np.int16) for z in range(k, k + 2 * SKETCH)) > 2 * most[dense]
+                keep = np.ones(len(x), bool)
+                keep[dense[far & (base[i] == base[j])]] = False
+                x, y, apart, most = x[keep], y[keep], apart[keep], most[keep]
+            order = np.argsort(apart, kind="stable")  # the likeliest links come first: what they connect needs no more
+            for k in range(0, len(order), PAIRS):
+                p = order[k : k + PAIRS]
+                p = p[label[own[x[p]]] != label[own[y[p]]]]
+                p = p[all_within(picked(x[p]), picked(y[p]), most[p])]
+                label = _merged(label, own[x[p]], own[y[p]])
+            return label
+
+        label, found, held = np.arange(len(ids)), [], 0
+        for x, y in _pairs_of_runs(*_runs(tile[order])):
+            meet = (side[x] != side[y]) | (side[x] < 0)
+            x, y = x[meet], y[meet]
+            near, apart = _possible((size[x], size[y]), (sketch[x], sketch[y]), edits)
+            found.append((x[near], y[near], apart[near]))
+            held += int(near.sum())
+            if held > HELD:
+                label, found, held = compared(label, found), [], 0
+        return _spanning(ids, compared(label, found) if held else label)
+
+    rows = lines.select(F.pmod("tile", F.lit(slots)).alias("slot"), "tile", "side", "id", "body")
+    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint")
+
+
+def tiles(labels: DataFrame, crowd: int) -> DataFrame:
+    """(id, tile, side) of lines (id, label): a label is a tile; those of more than `crowd` lines are cut into parts, any two of which, and each alone, make one."""
+    large = labels.groupBy("label").count().filter(F.col("count") > crowd).select("label", F.ceil(2 * F.col("count") / max(crowd, 2)).cast("int").alias("parts"))
+    cut = labels.join(F.broadcast(large), "label", "left").select("id", "label", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("own"))
+    each = cut.select("id", "label", "own", F.explode(F.expr("if(parts is null, array(-1), sequence(0, parts - 1))")).alias("other"))
+    alone_ = (F.col("other") < 0) | (F.col("other") == F.col("own"))
+    return each.select("id", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.when(alone_, -1).otherwise(F.col("own")).alias("side"))
 
 
 def letter_sketches(points: np.ndarray, line: np.ndarray, lines: int, edits: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -354,73 +570,6 @@ def letter_sketches(points: np.ndarray, line: np.ndarray, lines: int, edits: int
     return base, np.concatenate(out, axis=1)
 
 
-def letter_traits(texts: DataFrame, edits: int | None) -> DataFrame:
-    """(id, base, z0, z1, ...) of lines (id, body): their letter_sketches()."""
-    columns = [f"z{k}" for k in range(2 * (PARTS - 1) * SKETCH)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
-                base, sketches = letter_sketches(*_code_points(data, offsets), b - a, edits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(base), *(pa.array(c.copy()) for c in sketches.T)], ["id", "base", *columns])
-
-    return texts.select("id", "body").mapInArrow(run, "id bigint, base bigint, " + ", ".join(f"{c} bigint" for c in columns))
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line, code points of each line): the different grams of GRAM code points of each line."""
-    points, line = _code_points(data, offsets)
-    length = np.bincount(line, minlength=len(offsets) - 1)
-    if len(points) < GRAM:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), length
-    at = np.flatnonzero(line[: len(line) - GRAM + 1] == line[GRAM - 1 :])
-    h = np.zeros(len(at), np.uint64)
-    for i in range(GRAM):
-        h = mix(h * np.uint64(3) + points[at + i])
-    first = np.unique(mix(h ^ mix(line[at].astype(np.uint64))), return_index=True)[1]
-    return h[first], line[at[first]], length
-
-
-def rare_grams(texts: DataFrame, edits: int | None) -> DataFrame:
-    """(key, id) of the rarest grams of lines (id, body): enough that two lines within the threshold share one.
-
-    t edits spoil at most GRAM * t grams of a line, so in any common order the first GRAM * t + 1 of two such lines
-    meet. The order is by counters that many grams share, 2**COUNTERS of them in all, so they fit into every task.
-    A line with no more grams than can be spoiled has no such guarantee: those meet by their length.
-    """
-    places = np.uint64((1 << COUNTERS) - 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(1)):
-                total += np.bincount((_grams(data, offsets)[0] & places).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["place", "n"])
-
-    counted = texts.select("id", "body").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()  # at most 2**COUNTERS rows
-    known = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(1 << COUNTERS, np.int64)
-        often[known[0]] = known[1]
-        for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
-                h, line, length = _grams(data, offsets)
-                tau = np.minimum(length // PER_EDIT, MOST_EDITS) if edits is None else np.full(len(length), edits)
-                order = np.lexsort((h, often[(h & places).astype(np.int64)], line))
-                h, line = h[order], line[order]
-                n = np.bincount(line, minlength=len(length))
-                keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) <= GRAM * tau[line]
-                few = np.flatnonzero((n <= GRAM * tau) & (tau > 0))
-                step = length[few] // ((MOST_EDITS if edits is None else edits) + 1)
-                at = np.concatenate([line[keep], few, few])
-                keys = np.concatenate([h[keep], mix(step.astype(np.uint64) + np.uint64(1 << 32)), mix(step.astype(np.uint64) + np.uint64((1 << 32) + 1))])
-                yield pa.RecordBatch.from_arrays([signed(keys), batch.column(0).slice(a, b - a).take(pa.array(at))], ["key", "id"])
-
-    return texts.select("id", "body").mapInArrow(run, "key bigint, id bigint")
-
-
 def paired_lines(texts: DataFrame, pairs: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """Lines (id, body) that stand in the stored pairs (a, b): up to `most` ids are sent to the tasks, so that no other line is shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -428,61 +577,21 @@ def paired_lines(texts: DataFrame, pairs: DataFrame, most: int = BROADCAST_IDS)
 
 
 def line_classes(texts: DataFrame, edits: int | None, crowd: int = CROWD) -> DataFrame:
-    """(id, label) of the stored lines (id, body) that have another one within the threshold, by links or chains of links. The lines are deleted."""
+    """(id, label) of the stored lines (no, id, body; numbered here if no is absent) that have another one within the threshold, by links or chains of links. The lines are deleted."""
+    if "no" not in texts.columns:
+        texts, given = stored(texts.select(F.monotonically_increasing_id().alias("no"), "id", "body")), texts
+        discard(given)
     slots = -(-max(texts.count(), 1) * 45 // (SLICES * KEYS_A_SLOT))  # about 45 keys a line
     members = None
     for part in range(SLICES):
-        mine = stored(bucket_members(texts, edits, slots, part, SLICES, crowd))
+        mine = stored(bucket_members(texts, edits, slots, part, SLICES, BUCKET * crowd))
         members = mine if members is None else members.unionByName(mine)
-    ids = stored(members.select("id").distinct())
-    near = stored(with_ids(texts, ids, "id"))
+    near = stored(with_ids(texts, stored(members.select("no").distinct()), "no"))
     discard(texts)
-    traits = stored(line_traits(near))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(0, batch.num_rows, PAIRS):
-                    part = batch.slice(k, PAIRS)
-                    x, y = ((p, np.concatenate([[0], np.cumsum(np.bincount(line, minlength=part.num_rows))])) for p, line in (_code_points(*flat(c)) for c in part.columns[2:]))
-                    shorter = np.minimum(np.diff(x[1]), np.diff(y[1]))
-                    most = np.minimum(shorter // PER_EDIT, MOST_EDITS) if edits is None else np.full(part.num_rows, edits)
-                    yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(all_within(x, y, most)))
-
-        own = paired_lines(near, pairs)
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-    def allowed(x: F.Column, y: F.Column) -> F.Column:
-        return F.least(F.floor(F.least(x["size"], y["size"]) / PER_EDIT), F.lit(MOST_EDITS)) if edits is None else F.lit(edits)
-
-    def possible(x: F.Column, y: F.Column) -> F.Column:
-        most = allowed(x, y)
-        apart = F.lit(0)
-        for k in range(SKETCH):
-            apart = apart + F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"]))
-        return (F.abs(x["size"] - y["size"]) <= most) & (apart <= 4 * most)
-
-    def refined(crowded: DataFrame) -> tuple[DataFrame, Near]:
-        return rare_grams(stored(with_ids(near, crowded, "id")), edits).join(traits, "id"), possible
-
-    def halved(x: F.Column, y: F.Column) -> F.Column:
-        near_halves = F.lit(True)
-        for k in range(0, 2 * (PARTS - 1) * SKETCH, 2 * SKETCH):
-            apart = F.lit(0)
-            for z in range(k, k + 2 * SKETCH):
-                apart = apart + F.bit_count(x[f"z{z}"].bitwiseXOR(y[f"z{z}"]))
-            near_halves = near_halves & (apart <= 2 * allowed(x, y))
-        return possible(x, y) & ((x["base"] != y["base"]) | near_halves)
-
-    def wider(ids: DataFrame) -> tuple[DataFrame, Near]:
-        letters = letter_traits(with_ids(near, ids, "id"), edits)
-        columns = [F.col(c) for c in letters.columns if c != "id"]
-        return letters.join(traits, "id").select("id", F.struct("traits.*", *columns).alias("traits")), halved
-
-    few, many = (members.filter(c).select("key", "id").join(traits, "id") for c in ("few", "not few"))
-    pairs = stored(pairs_of_buckets(few, edits, -(-max(members.count(), 1) // MEMBERS_A_SLOT)))
-    return linked_groups(many, verified, possible, refined, once=True, cross=wider, pairs=pairs)
+    met = families(members.join(line_traits(near), "no"), edits, -(-max(members.count(), 1) // MEMBERS_A_SLOT))
+    lines = stored(tiles(components(met), crowd))
+    links = verified(near.join(lines, "id"), edits, -(-max(lines.count(), 1) // TEXTS_A_SLOT))
+    return components(links)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -505,17 +614,20 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *kept)
     known = docs.select("doc_id", "text", "th").filter("doc_id is not null")
     lines = stored(occurrences(known))
-    texts = stored(line_texts(known, -(-max(lines.count(), 1) // LINES_A_SLOT)))
+    texts = stored(line_texts(known, -(-max(lines.count(), 1) // LINES_A_SLOT)).withColumn("no", F.monotonically_increasing_id()))
+    repeated = stored(texts.filter("n > 1").select("id"))
     groups = alone(lambda: line_classes(texts, edits))
-    first = F.min(F.struct("doc_id", "th", "line")).alias("first")
-    seen = F.max(F.struct("doc_id", "th", "line")).alias("last")
-    own = lines.groupBy("id").agg(first, seen).join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own = stored(own)
-    discard(groups)
-    classes = own.filter(F.col("label") != F.col("id")).select("label").distinct().join(own, "label").groupBy("label").agg(F.min("first").alias("stays"))
-    doubtful = own.join(classes, "label", "left").withColumn("stays", F.coalesce("stays", "first")).filter((F.col("stays") < F.col("last"))).select("id", "stays")
-    gone = lines.join(doubtful, "id").filter(F.struct("doc_id", "th", "line") != F.col("stays"))
-    gone = gone.select("doc_id", "th", "line").distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS // 4 else rows
+
+    labels = stored(repeated.join(groups, "id", "full").select("id", F.coalesce("label", "id").alias("label")))
+    for done in (groups, repeated):
+        discard(done)
+    own = lines.join(sent(labels), "id").select("label", F.struct("doc_id", "th", "line").alias("at"))
+    first = stored(own.groupBy("label").agg(F.min("at").alias("stays")))
+    gone = own.join(sent(first), "label").filter(F.col("at") != F.col("stays"))
+    gone = gone.groupBy("at.doc_id", "at.th").agg(F.sort_array(F.collect_set("at.line")).alias("gone"))
     joined = docs.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone", *[f"kept_{k}" for k in range(len(keep))])
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = [(c, df.schema[c].dataType.simpleString()) for c in keep]
