@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm import bpe, decontam, lines, superminhash, toxicity
-from rippleframe.llm.tables import alone, stored, table, without_ids
+from rippleframe.llm.tables import alone, small_batches, stored, table, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document (or line) has; one of which no word is left goes."""
+    small_batches(spark)
     others = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # their names may be those of counts
     named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(new) for c, new in others.items()])
     out = lines.dedup_lines(named, keep=tuple(others.values()))
@@ -32,18 +34,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
+    small_batches(spark)
     copies = alone(lambda: superminhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
     return without_ids(docs, copies, "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaked."""
+    small_batches(spark)
     leaked = alone(lambda: decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct())
     return without_ids(docs, leaked, "doc_id")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
+    small_batches(spark)
     return bpe.token_digests(docs)
 
 

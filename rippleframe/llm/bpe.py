@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rippleframe.llm.tables import id_and_text
+from rippleframe.llm.tables import id_and_text, map_arrow
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CUT_CHARS = 1 << 16
@@ -101,7 +101,7 @@ def token_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = rank_path or vocabulary_path()
     docs = id_and_text(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_digests(path, cut_chars), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs, _digests(path, cut_chars), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None, cut_chars: int = CUT_CHARS) -> DataFrame:
@@ -116,7 +116,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
                 ids = pa.array([encode_text(batch.column(1)[row].as_py() or "", path, cut_chars)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), ids], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return map_arrow(docs, run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_path: str | None = None) -> DataFrame:
@@ -131,4 +131,4 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_pat
             out = [b"".join([raw[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "raw"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, raw binary")
+    return map_arrow(rows, run, f"doc_id {kind}, raw binary")

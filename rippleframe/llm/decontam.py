@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import id_and_text, stored
+from rippleframe.llm.tables import id_and_text, map_arrow, stored
 from rippleframe.llm.wordbytes import LOWERCASE, UPPER, Prefix, byte_table, chained, flat, lowered, mix, pieces, signed, word_ranges
 
 WORDS, PERCENT = 5, 80
@@ -179,7 +179,7 @@ def _item_windows(items: DataFrame, words: int) -> DataFrame:
                 first = np.unique(mix(h ^ mix(item[at].astype(np.uint64))), return_index=True)[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(item[at[first]])), signed(h[first])], ["item", "h"])
 
-    return items.select("item", "text").mapInArrow(run, "item bigint, h bigint")
+    return map_arrow(items.select("item", "text"), run, "item bigint, h bigint")
 
 
 def _hits(docs: DataFrame, wanted: DataFrame, words: int, carried: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _hits(docs: DataFrame, wanted: DataFrame, words: int, carried: int) -> DataF
                     at, h = at[mine], h[mine]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc[at])), signed(h)], ["th", "h"])
 
-    hits = docs.select("th", "text").mapInArrow(run, "th bigint, h bigint")
+    hits = map_arrow(docs.select("th", "text"), run, "th bigint, h bigint")
     return hits if known is not None else hits.join(wanted, "h", "left_semi")
 
 
@@ -239,7 +239,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.join(pairs.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"])
     both = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").join(texts, "th").select("th", "item", "text", "item_text")
-    found = stored(both.mapInArrow(run, f"th bigint, item bigint, {LEAKS}"))
+    found = stored(map_arrow(both, run, f"th bigint, item bigint, {LEAKS}"))
     named = found.join(items.select("item", "item_id"), "item")
     return docs.select("doc_id", "th").join(named, "th").select("doc_id", "item_id", "n_found", "n_windows", "n_slots", "n_changed")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import components
-from rippleframe.llm.tables import BROADCAST_IDS, alone, discard, stored, with_ids
+from rippleframe.llm.tables import BROADCAST_IDS, alone, discard, map_arrow, map_groups, stored, with_ids
 from rippleframe.llm.wordbytes import SPACES, Prefix, flat, mix, pieces, signed
 
 #: One edit for so many code points of the shorter line, up to so many.
@@ -217,7 +217,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 rows = pa.array(a + doc[use])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[use].astype(np.int32)), signed(ids)], ["doc_id", "th", "line", "id"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, line int, id bigint")
+    return map_arrow(docs.select("doc_id", "th", "text"), run, f"doc_id {kind}, th bigint, line int, id bigint")
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -255,8 +255,8 @@ def line_texts(docs: DataFrame, slots: int) -> DataFrame:
         bodies = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(table["bodies"].to_pylist()))])
         return pa.table({"id": ids, "n": n, "body": bodies.take(pa.array(first)).cast(pa.binary())})
 
-    rows = docs.select("doc_id", "th", "text").mapInArrow(run, "slot int, ids binary, ns binary, sizes binary, bodies binary")
-    return rows.groupBy("slot").applyInArrow(once, "id bigint, n bigint, body binary")
+    rows = map_arrow(docs.select("doc_id", "th", "text"), run, "slot int, ids binary, ns binary, sizes binary, bodies binary")
+    return map_groups(rows.groupBy("slot"), once, "id bigint, n bigint, body binary")
 
 
 def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, parts: int, crowd: int) -> DataFrame:
@@ -316,8 +316,8 @@ def bucket_members(texts: DataFrame, edits: int | None, slots: int, part: int, p
         key, no = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"key": signed(key), "no": no})
 
-    rows = texts.select("no", "body").mapInArrow(run, "slot int, first bigint, keys binary, places binary")
-    return rows.groupBy("slot").applyInArrow(shared, "key bigint, no bigint")
+    rows = map_arrow(texts.select("no", "body"), run, "slot int, first bigint, keys binary, places binary")
+    return map_groups(rows.groupBy("slot"), shared, "key bigint, no bigint")
 
 
 def pairs_of_buckets(members: DataFrame, edits: int | None, slots: int) -> DataFrame:
@@ -347,7 +347,7 @@ def pairs_of_buckets(members: DataFrame, edits: int | None, slots: int) -> DataF
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
 
     rows = members.select(F.pmod("key", F.lit(slots)).alias("slot"), "key", "id", "traits.*")
-    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint").distinct()
+    return map_groups(rows.groupBy("slot"), run, "a bigint, b bigint").distinct()
 
 
 def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +376,7 @@ def line_traits(texts: DataFrame) -> DataFrame:
                 size, sketch = line_sketches(*_code_points(data, offsets), b - a)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(size), *(signed(sketch[:, k].copy()) for k in range(SKETCH))], ["no", "id", *columns])
 
-    return texts.select("no", "id", "body").mapInArrow(run, "no bigint, id bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    return map_arrow(texts.select("no", "id", "body"), run, "no bigint, id bigint, " + ", ".join(f"{c} bigint" for c in columns))
 
 
 def _allowed(shorter: np.ndarray, edits: int | None) -> np.ndarray:
@@ -463,7 +463,7 @@ def families(members: DataFrame, edits: int | None, slots: int) -> DataFrame:
         return _spanning(ids, label)
 
     rows = members.select(F.pmod("key", F.lit(slots)).alias("slot"), "key", "id", "size", *(f"s{k}" for k in range(SKETCH)))
-    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint")
+    return map_groups(rows.groupBy("slot"), run, "a bigint, b bigint")
 
 
 def verified(lines: DataFrame, edits: int | None, slots: int) -> DataFrame:
@@ -524,7 +524,7 @@ def verified(lines: DataFrame, edits: int | None, slots: int) -> DataFrame:
         return _spanning(ids, compared(label, found) if held else label)
 
     rows = lines.select(F.pmod("tile", F.lit(slots)).alias("slot"), "tile", "side", "id", "body")
-    return rows.groupBy("slot").applyInArrow(run, "a bigint, b bigint")
+    return map_groups(rows.groupBy("slot"), run, "a bigint, b bigint")
 
 
 def tiles(labels: DataFrame, crowd: int) -> DataFrame:
@@ -644,4 +644,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), *batch.columns[3:]], ["doc_id", "n_lines", "n_removed", "text", *keep])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, text string" + "".join(f", `{c}` {k}" for c, k in more))
+    return map_arrow(joined, run, f"doc_id {kind}, n_lines bigint, n_removed bigint, text string" + "".join(f", `{c}` {k}" for c, k in more))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import discard, stored
+from rippleframe.llm.tables import discard, map_arrow, stored
 
 Check = Callable[[DataFrame], DataFrame]
 Near = Callable[[F.Column, F.Column], F.Column]
@@ -57,7 +57,7 @@ def components(links: DataFrame, most: int = LINKS_A_TASK) -> DataFrame:
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     if links.count() <= most:
         kind = links.schema["a"].dataType.simpleString()
-        return stored(links.coalesce(1).mapInArrow(_joined_in_task, f"id {kind}, label {kind}"))
+        return stored(map_arrow(links.coalesce(1), _joined_in_task, f"id {kind}, label {kind}"))
     both = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.llm.linking import Near, linked_groups
-from rippleframe.llm.tables import alone, id_and_text, stored, with_ids
+from rippleframe.llm.tables import alone, id_and_text, map_arrow, stored, with_ids
 from rippleframe.llm.wordbytes import LOWER, Prefix, chained, mix, pieces, signed, word_ranges
 
 PLACES, ROWS = 128, 4
@@ -95,7 +95,7 @@ def features(docs: DataFrame, words: int, places: int, rows: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(ends), signed(keys[count > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), signed(names[0]), signed(names[1]), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return map_arrow(docs, run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def parity_sketches(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(sketch.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), signed(h)), sketch], ["doc_id", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>, sketch array<bigint>")
+    return map_arrow(docs, run, f"doc_id {kind}, shingles array<bigint>, sketch array<bigint>")
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +70,59 @@ def alone(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Returns to the system what this Python worker has freed: workers are used again, and otherwise keep the most that any task held."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema), after whose tasks their workers give their memory back."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def map_groups(groups: GroupedData, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """groups.applyInArrow(run, schema), after each of whose groups the worker gives its memory back."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    def tidied_with_key(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            give_back()
+
+    return groups.applyInArrow(tidied if run.__code__.co_argcount == 1 else tidied_with_key, schema)
+
+
+#: Rows that travel to Python in one Arrow batch of the pipeline: some MB of text.
+ARROW_ROWS = 2048
+
+
+def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> None:
+    """From now on Arrow batches of this session have at most so many rows; a smaller number that is set stays.
+
+    A batch of whole texts is held by the JVM's direct memory and by the worker at once, and both keep
+    what the largest batch took.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that count, as doc_id and text; a null text becomes empty."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.tables import id_and_text
+from rippleframe.llm.tables import id_and_text, map_arrow
 from rippleframe.llm.wordbytes import LOWER, PUNCTUATION, Prefix, chained, mix, pieces, word_ranges
 
 BITS = 20
@@ -109,8 +109,8 @@ def trained(df: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
 
-    features = docs.select(F.xxhash64("doc_id").alias("k"), "text", "label").mapInArrow(extract, "order_key bigint, label int, places array<int>")
-    return features.repartition(1).sortWithinPartitions("order_key").mapInArrow(learn, "place bigint, weight double")
+    features = map_arrow(docs.select(F.xxhash64("doc_id").alias("k"), "text", "label"), extract, "order_key bigint, label int, places array<int>")
+    return map_arrow(features.repartition(1).sortWithinPartitions("order_key"), learn, "place bigint, weight double")
 
 
 def _table(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def clean(df: DataFrame, weights: DataFrame, text_col: str = "text", threshold:
             for a, b, data, offsets in pieces(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(probabilities(data, offsets, w) < threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def score(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -154,7 +154,7 @@ def score(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: s
                 p = probabilities(data, offsets, w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return map_arrow(docs, run, f"doc_id {kind}, score double, predicted int")
 
 
 def toxicity(df: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int = 4, max_train: int = MAX_TRAIN) -> DataFrame:
