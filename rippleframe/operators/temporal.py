@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.functions.scalars import ALPHA, BETA, copy_weight
 from rippleframe.operators.filters import subpel_vectors
-from rippleframe.operators.motion import blend_bidir, warp_subpel
+from rippleframe.operators.motion import blended, warp_subpel
 
 POINT = ["y", "x"]
 
@@ -91,19 +91,30 @@ def scene_cut_restore(frames: DataFrame, bands: DataFrame, masks: DataFrame, wei
 # masked too (without any the prediction is 0), so that the way back, with the same setting, restores every sample.
 
 
-def _along(source: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, whole: bool = False) -> DataFrame:
-    """(keys, frame, y, x, p, cut): blended prediction from source (keys, at, y, x, v) by motion with the place `at` of each side."""
-    places = source.groupBy(*keys).agg(F.max("at").alias("_last"))  # one row a clip
-    known = motion.join(places, keys)
-    known = known.withColumn("m", F.when(F.col("at") > F.col("_last"), 0).otherwise(F.col("m"))).withColumn("at", F.least("at", "_last")).drop("_last")
+def _along(own: DataFrame, source: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, whole: bool = False) -> DataFrame:
+    """own (keys, frame, y, x, v) with p, the blended prediction from source (keys, at, y, x, v) by motion with the place `at` of each side, cut, and seen: whether the point has a prediction (else p and cut are NULL).
+
+    Samples and vectors meet in the partition of the frame they look at, so the
+    phases are joined where they are made. Both sides of a point, its own sample
+    and its frame's masks then meet in that of its frame, in one aggregate: three
+    shuffles, one join, one scan of each table (two of source without `whole`).
+    """
+    known = motion.withColumn("_mask", F.col("m"))
+    if not whole:  # beyond the last frame of a clip (one row a clip) the last one tells whether there is a sample; with `whole` no sample is a mask anyway
+        known = known.join(source.groupBy(*keys).agg(F.max("at").alias("_last")), keys)
+        known = known.withColumn("m", F.when(F.col("at") > F.col("_last"), 0).otherwise(F.col("m"))).withColumn("at", F.least("at", "_last")).drop("_last")
     vectors = subpel_vectors(source.select(*keys, "at", *POINT, "v"), [*keys, "at"], height, width)
-    warped = warp_subpel(vectors, known, [*keys, "at"], height, width, "left" if whole else "inner")
+    warped = warp_subpel(vectors, known.repartition(*keys, "at"), [*keys, "at"], height, width, "left")
     if whole:
         warped = warped.withColumn("m", F.when(F.col("v").isNull(), 0).otherwise(F.col("m"))).withColumn("v", F.coalesce("v", F.lit(0.0)))
-    own = [*keys, "frame", *POINT]
-    mixed = blend_bidir(warped.filter("side = 0"), warped.filter("side = 1"), own)
-    cut = motion.groupBy(*keys, "frame").agg((F.max("m") == 0).alias("cut"))
-    return mixed.join(cut, [*keys, "frame"])
+    blank = [F.lit(None).cast("int").alias(c) for c in ("m", "_mask")]
+    rows = own.select(*keys, "frame", *POINT, F.lit(-1).alias("side"), "v", *blank).unionByName(warped.select(*keys, "frame", *POINT, "side", "v", "m", "_mask"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    sides = [of(s, c).alias(f"_{c}{s}") for s in (0, 1) for c in ("v", "m")]
+    points = rows.repartition(*keys, "frame").groupBy(*keys, "frame", *POINT).agg(F.max(F.col("side") == -1).alias("_own"), of(-1, "v").alias("v"), *sides, F.max("_mask").alias("_mask"))
+    points = points.withColumn("cut", F.max("_mask").over(Window.partitionBy(*keys, "frame")) == 0).filter("_own")
+    seen, left, right = F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), F.col("_v0") * F.col("_m0"), F.col("_v1") * F.col("_m1")
+    return points.select(*keys, "frame", *POINT, "v", F.when(seen, blended(left, F.col("_m0"), right, F.col("_m1"))).alias("p"), F.when(seen, F.col("cut")).alias("cut"), seen.alias("seen"))
 
 
 def _motion_of(motion: DataFrame, keys: list[str], odd: bool) -> DataFrame:
@@ -117,16 +128,15 @@ def _motion_of(motion: DataFrame, keys: list[str], odd: bool) -> DataFrame:
 def t_predict_along(frames: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1, whole: bool = False) -> DataFrame:
     """(keys, i, y, x, h): odd frames minus the blend of both neighbours along motion, times alpha."""
     even = frames.filter("frame % 2 = 0").withColumn("at", F.expr("frame div 2").cast("int"))
-    guess = _along(even, _motion_of(motion, keys, True), keys, height, width, whole)
-    own = frames.filter("frame % 2 = 1").join(guess, [*keys, "frame", *POINT], "left" if whole else "inner")
+    own = _along(frames.filter("frame % 2 = 1"), even, _motion_of(motion, keys, True), keys, height, width, whole)
     h = F.when(F.col("cut"), copy_weight("H", level - 1) * F.col("v")).otherwise(F.col("v") - F.coalesce("p", F.lit(0.0))) * ALPHA
-    return own.select(*keys, F.expr("frame div 2").cast("int").alias("i"), *POINT, h.alias("h"))
+    return (own if whole else own.filter("seen")).select(*keys, F.expr("frame div 2").cast("int").alias("i"), *POINT, h.alias("h"))
 
 
 def t_update_along(frames: DataFrame, high: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, level: int = 1, whole: bool = False) -> DataFrame:
     """(keys, i, y, x, l): even frames plus half the blend of the neighbouring h over alpha, times beta."""
-    guess = _along(high.select(*keys, F.col("i").alias("at"), *POINT, F.col("h").alias("v")), _motion_of(motion, keys, False), keys, height, width, whole)
-    own = frames.filter("frame % 2 = 0").join(guess, [*keys, "frame", *POINT], "left")
+    source = high.select(*keys, F.col("i").alias("at"), *POINT, F.col("h").alias("v"))
+    own = _along(frames.filter("frame % 2 = 0"), source, _motion_of(motion, keys, False), keys, height, width, whole)
     low = F.when(F.col("cut"), copy_weight("L", level - 1) * F.col("v")).otherwise(F.col("v") + F.coalesce("p", F.lit(0.0)) / 2 / ALPHA) * BETA
     return own.select(*keys, F.expr("frame div 2").cast("int").alias("i"), *POINT, low.alias("l"))
 
@@ -150,14 +160,13 @@ def t_unpyramid_along(bands: DataFrame, motion: DataFrame, keys: list[str], heig
     for level in range(levels, 0, -1):
         own = motion.filter(F.col("level") == level).drop("level")
         high = bands.filter(F.col("tband") == f"H{level}").select(*keys, F.col("idx").alias("at"), *POINT, "v")
-        guess = _along(high, _motion_of(own, keys, False), keys, height, width, whole)
-        both = rest.select(*keys, (2 * F.col("i")).alias("frame"), *POINT, "l").join(guess, [*keys, "frame", *POINT], "left")
-        back = F.when(F.col("cut"), F.col("l") / BETA / copy_weight("L", level - 1)).otherwise(F.col("l") / BETA - F.coalesce("p", F.lit(0.0)) / 2 / ALPHA)
+        both = _along(rest.select(*keys, (2 * F.col("i")).alias("frame"), *POINT, F.col("l").alias("v")), high, _motion_of(own, keys, False), keys, height, width, whole)
+        back = F.when(F.col("cut"), F.col("v") / BETA / copy_weight("L", level - 1)).otherwise(F.col("v") / BETA - F.coalesce("p", F.lit(0.0)) / 2 / ALPHA)
         even = store(both.select(*keys, "frame", *POINT, back.alias("v")))
-        guess = _along(even.withColumn("at", F.expr("frame div 2").cast("int")), _motion_of(own, keys, True), keys, height, width, whole)
-        both = high.select(*keys, (2 * F.col("at") + 1).alias("frame"), *POINT, F.col("v").alias("h")).join(guess, [*keys, "frame", *POINT], "left" if whole else "inner")
-        back = F.when(F.col("cut"), F.col("h") / ALPHA / copy_weight("H", level - 1)).otherwise(F.col("h") / ALPHA + F.coalesce("p", F.lit(0.0)))
-        rest = store(even.unionByName(both.select(*keys, "frame", *POINT, back.alias("v")))).select(*keys, F.col("frame").alias("i"), *POINT, F.col("v").alias("l"))
+        both = _along(high.select(*keys, (2 * F.col("at") + 1).alias("frame"), *POINT, "v"), even.withColumn("at", F.expr("frame div 2").cast("int")), _motion_of(own, keys, True), keys, height, width, whole)
+        back = F.when(F.col("cut"), F.col("v") / ALPHA / copy_weight("H", level - 1)).otherwise(F.col("v") / ALPHA + F.coalesce("p", F.lit(0.0)))
+        odd = (both if whole else both.filter("seen")).select(*keys, "frame", *POINT, back.alias("v"))
+        rest = even.unionByName(store(odd) if level > 1 else odd).select(*keys, F.col("frame").alias("i"), *POINT, F.col("v").alias("l"))
     return rest.select(*keys, F.col("i").alias("frame"), *POINT, F.col("l").alias("v"))
 
 

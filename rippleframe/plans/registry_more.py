@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -584,9 +585,9 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clip_motion(spark, sf, levels: int) -> DataFrame:
+def clip_motion(spark, sf, levels: int, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The stand-in motion of one clip, the same on each level."""
-    return fixture(spark, sf, "motion").withColumn("clip", F.lit("a")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    return store(fixture(spark, sf, "motion").withColumn("clip", F.lit("a"))).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
 
 
 def clip_frames(spark, sf) -> DataFrame:
@@ -644,6 +645,6 @@ def _pyramid_along(spark, sf):
 
 @register("WIN15_t_unpyramid_along", FR + " SELECT frame, y, x, v FROM frames16")
 def _unpyramid_along(spark, sf):
-    m = clip_motion(spark, sf, 3)
-    bands = kept(temporal.t_pyramid_along(clip_frames(spark, sf), m, ["clip"], 16, 16, 3, kept, True))
+    m = clip_motion(spark, sf, 3, kept)
+    bands = temporal.t_pyramid_along(clip_frames(spark, sf), m, ["clip"], 16, 16, 3, kept, True)  # each band is a table that was kept
     return temporal.t_unpyramid_along(bands, m, ["clip"], 16, 16, 3, kept, True).select(F.col("frame").cast("int").alias("frame"), "y", "x", "v")
