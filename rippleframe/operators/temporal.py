@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rippleframe.functions.scalars import ALPHA, BETA, copy_weight
-from rippleframe.operators.filters import subpel_vectors
-from rippleframe.operators.motion import blended, warp_subpel
+from rippleframe.operators.filters import phases_in_place
+from rippleframe.operators.motion import blended, fourfold
 
 POINT = ["y", "x"]
 
@@ -94,17 +94,22 @@ def scene_cut_restore(frames: DataFrame, bands: DataFrame, masks: DataFrame, wei
 def _along(own: DataFrame, source: DataFrame, motion: DataFrame, keys: list[str], height: int, width: int, whole: bool = False) -> DataFrame:
     """own (keys, frame, y, x, v) with p, the blended prediction from source (keys, at, y, x, v) by motion with the place `at` of each side, cut, and seen: whether the point has a prediction (else p and cut are NULL).
 
-    Samples and vectors meet in the partition of the frame they look at, so the
-    phases are joined where they are made. Both sides of a point, its own sample
-    and its frame's masks then meet in that of its frame, in one aggregate: three
-    shuffles, one join, one scan of each table (two of source without `whole`).
+    Vectors go to the sample they look at and stay in its row while the phases
+    are made, so no array of phases is shuffled or joined. Both sides of a point,
+    its own sample and its frame's masks then meet in one aggregate by its frame:
+    two shuffles, no join, one scan of each table (two and a join with one row a
+    clip without `whole`).
     """
     known = motion.withColumn("_mask", F.col("m"))
     if not whole:  # beyond the last frame of a clip (one row a clip) the last one tells whether there is a sample; with `whole` no sample is a mask anyway
         known = known.join(source.groupBy(*keys).agg(F.max("at").alias("_last")), keys)
         known = known.withColumn("m", F.when(F.col("at") > F.col("_last"), 0).otherwise(F.col("m"))).withColumn("at", F.least("at", "_last")).drop("_last")
-    vectors = subpel_vectors(source.select(*keys, "at", *POINT, "v"), [*keys, "at"], height, width)
-    warped = warp_subpel(vectors, known.repartition(*keys, "at"), [*keys, "at"], height, width, "left")
+    asked = fourfold(known, height, width).withColumn("_ask", F.struct("frame", *POINT, "side", "m", "_mask", "_phase"))
+    asked = asked.select(*keys, "at", F.col("_y").alias("y"), F.col("_x").alias("x"), F.lit(None).cast("double").alias("v"), "_ask")
+    places = source.select(*keys, "at", *POINT, F.col("v").cast("double").alias("v"), F.lit(None).cast(asked.schema["_ask"].dataType).alias("_ask")).unionByName(asked)
+    places = places.repartition(*keys, "at").groupBy(*keys, "at", *POINT).agg(F.max("v").alias("v"), F.collect_list("_ask").alias("_asks"))
+    warped = phases_in_place(places, [*keys, "at"], height, width, ["_asks"]).select(*keys, "phases", F.explode("_asks").alias("_ask"))
+    warped = warped.select(*keys, "_ask.*", F.col("phases")[F.col("_ask._phase")].alias("v"))
     if whole:
         warped = warped.withColumn("m", F.when(F.col("v").isNull(), 0).otherwise(F.col("m"))).withColumn("v", F.coalesce("v", F.lit(0.0)))
     blank = [F.lit(None).cast("int").alias(c) for c in ("m", "_mask")]
